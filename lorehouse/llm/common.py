@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Text bytes that a task turns into numpy arrays at once; a longer document makes a chunk of its own.
 CHUNK_BYTES = 2_000_000
@@ -34,6 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def plus(df: DataFrame, **columns: str) -> T.StructType:
+    """The schema of df with further columns, by name and type."""
+    more = [T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in columns.items()]
+    return T.StructType([*df.schema.fields, *more])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, on a uint64 array."""
     x = x ^ (x >> np.uint64(30))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import html, langid, media, mixing, pieces, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +18,38 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.texts_to_media(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return media.digest(media.decode_media(stored)).withColumnRenamed("id", "doc_id")
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.decode(pieces.encode(docs))
+    return out.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages).select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out(F.col("doc_id")).alias("held_out"))
+    model = langid.train(docs.where("not held_out"))
+    return langid.predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
+
+
 QUERIES = {
+    "op10_language": op10_language,
+    "op4_media": op4_media,
+    "op5_pieces": op5_pieces,
+    "op6_main_text": op6_main_text,
     "op3_shards": op3_shards,
     "op7_mix": op7_mix,
 }
