@@ -1,5 +1,51 @@
 """DuckDB SQL for those queries that SQL can express."""
 
+OP1 = """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 10
+"""
+
+OP2 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4]))) END AS s
+  FROM w
+), c AS (
+  SELECT min(doc_id) AS rep, s, len(s) AS n FROM g WHERE len(s) > 0 GROUP BY s
+), u AS (
+  SELECT rep, n, unnest(s) AS x FROM c
+), p AS (
+  SELECT a.rep AS a, b.rep AS b FROM u a JOIN u b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), e AS (
+  SELECT a, b FROM p UNION SELECT b, a FROM p
+), r AS (
+  SELECT rep AS a, rep AS b FROM c
+  UNION
+  SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+), k AS (
+  SELECT a AS rep, min(b) AS component_id FROM r GROUP BY a
+), m AS (
+  SELECT c.s, k.component_id FROM c JOIN k ON k.rep = c.rep
+)
+SELECT g.doc_id, len(g.s)::BIGINT AS n_shingles, coalesce(m.component_id, g.doc_id) AS component_id, g.doc_id = coalesce(m.component_id, g.doc_id) AS kept
+FROM g LEFT JOIN m ON g.s = m.s
+"""
+
 OP7 = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
@@ -32,4 +78,4 @@ SELECT d.doc_id, d.size, e.source_size, e.target,
 FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source AND d.h = e.h
 """
 
-ORACLE_SQL = {"op7_mix": OP7}
+ORACLE_SQL = {"op1_topk": OP1, "op2_near_duplicates": OP2, "op7_mix": OP7}

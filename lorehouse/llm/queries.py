@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, media, mixing, pieces, sharding
+from . import html, langid, media, mixing, neardup, pieces, sharding, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantise(F.col("embedding")).alias("v"))
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
     out = sharding.assign_shards(docs, ["doc_id"], F.col("n") + 1, 8, ["doc_id", "text_crc32"])
@@ -46,6 +55,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk": op1_topk,
+    "op2_near_duplicates": op2_near_duplicates,
     "op10_language": op10_language,
     "op4_media": op4_media,
     "op5_pieces": op5_pieces,
