@@ -43,16 +43,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     return s.withColumn("t", level).select("source", "source_size", F.when(F.col("t").isNull(), F.col("limit")).otherwise(F.least("limit", F.col("t") * F.col("w"))).alias("target"))
 
 
-def mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """How often the mix takes each row: sized has source, size and hash; targets has source, source_size, target.
+def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row a source: src, source_size, target, whole and bound. sized has source, size and hash; targets source, source_size, target.
 
     With whole = floor(target / source_size) every row is taken whole times, and rows whose hash is below its
     source's threshold once more. The threshold is found without sorting: tokens are summed by source and the hash's
     top bits; the bucket in which the rest of the budget ends is refined by the next bits, and only its rows are
     summed again, until the bucket is a single hash value, which is taken when that brings the total nearer.
-
-    Adds source_size, target and times long to sized. Rows with equal source and hash are taken alike. A source
-    without tokens is not taken.
     """
     rest = F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")
     plan = targets.select(F.col("source").alias("src"), "source_size", "target", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("whole"), F.when(F.col("source_size") > 0, rest).otherwise(0.0).alias("rest"))
@@ -68,19 +65,21 @@ def mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
         got = hit.select(F.col("src").alias("s"), F.shiftleft(F.col("m.bucket"), shift).alias("l"), F.col("m.b").alias("b"), F.col("m.tokens").alias("last"))
         state = cut(state.drop("last").join(F.broadcast(got), F.col("src").eqNullSafe(F.col("s")), "left").select("src", "source_size", "target", "whole", "rest", F.coalesce("l", "low").alias("low"), F.coalesce("b", "below").alias("below"), F.coalesce("last", F.lit(0)).alias("last")))
     nearer = F.col("below") + F.col("last") - F.col("rest") <= F.col("rest") - F.col("below")
-    bounds = state.select("src", "source_size", "target", "whole", (F.col("low") + F.when(nearer, 1).otherwise(0)).alias("bound"))
-    out = sized.join(F.broadcast(bounds), F.col("source").eqNullSafe(F.col("src")))
-    once = F.when(F.col("hash") < F.col("bound"), 1).otherwise(0)
-    return out.withColumn("times", F.when(F.col("source_size") > 0, F.col("whole") + once).otherwise(0).cast("long")).drop("src", "whole", "bound")
+    return state.select("src", "source_size", "target", "whole", (F.col("low") + F.when(nearer, 1).otherwise(0)).alias("bound"))
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Mix documents to target weights; sizes are words of the whole text (null: 0), hashes come from the id.
+def take(rows: DataFrame, bounds: DataFrame, source: Column, hashed: Column) -> DataFrame:
+    """Add source_size, target and times long to rows, whose source and hash these columns give; nothing is shuffled.
 
-    Returns one row a document: doc_id, size, source, source_size, target, times. Repeated rows each get a row and
-    the same times; rows with a null id hash alike; a null source is a source of its own, the last. An empty table
-    gives an empty result. Targets stay one row a source; the broadcasts hold one row a source.
+    Rows with equal source and hash are taken alike. A source without tokens is not taken.
     """
+    once = F.when(hashed < F.col("bound"), 1).otherwise(0)
+    out = rows.join(F.broadcast(bounds), source.eqNullSafe(F.col("src")))
+    return out.withColumn("times", F.when(F.col("source_size") > 0, F.col("whole") + once).otherwise(0).cast("long")).drop("src", "whole", "bound")
+
+
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """The documents' sizes (doc_id, size, source, hash) and the thresholds of the sources."""
     sized = cut(
         docs.select(
             F.col(id_col).alias("doc_id"),
@@ -90,4 +89,15 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         )
     )
     targets = cut(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
-    return mix(sized, targets).select("doc_id", "size", "source", "source_size", "target", "times")
+    return sized, thresholds(sized, targets)
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """Mix documents to target weights; sizes are words of the whole text (null: 0), hashes come from the id.
+
+    Returns one row a document: doc_id, size, source, source_size, target, times. Repeated rows each get a row and
+    the same times; rows with a null id hash alike; a null source is a source of its own, the last. An empty table
+    gives an empty result. Targets stay one row a source; the broadcasts hold one row a source.
+    """
+    sized, bounds = plan(docs, id_col, text_col, source_col, weights, share, most)
+    return take(sized, bounds, F.col("source"), F.col("hash")).select("doc_id", "size", "source", "source_size", "target", "times")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, media, mixing, neardup, pieces, sharding, topk
+from . import html, langid, licences, media, mixing, neardup, pieces, pii, sharding, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,19 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_matches"), F.array_join(F.array_distinct("licenses.license"), ",").alias("license_ids"), "licenses")
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    base = F.filter("pii", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out(F.col("doc_id")).alias("held_out"))
     model = langid.train(docs.where("not held_out"))
@@ -63,4 +76,6 @@ QUERIES = {
     "op6_main_text": op6_main_text,
     "op3_shards": op3_shards,
     "op7_mix": op7_mix,
+    "op8_licenses": op8_licenses,
+    "op9_personal_data": op9_personal_data,
 }
