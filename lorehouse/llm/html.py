@@ -96,8 +96,8 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
 
     Lines of side parts, and of all but article or main where these have text, weigh nothing. A block is `window`
     lines; its weight is their characters. Text surges where a block weighs `surge` characters, or the page's
-    heaviest block if that has less, and lasts back and forth to the blocks that weigh nothing. Every such run is kept
-    whole, short lines within it too.
+    heaviest block if that has less, or anything where article or main says what the text is, and lasts back and forth
+    to the blocks that weigh nothing. Every such run is kept whole, short lines within it too.
     """
     found = lines(page)
     inner = any(m and not s for _, s, m in found)
@@ -105,7 +105,7 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     if not sizes.any():
         return ""
     sums = np.convolve(sizes, np.ones(window, np.int64))  # sums[i] is of the lines i - window + 1 to i
-    level = min(surge, int(sums.max()))
+    level = 1 if inner else min(surge, int(sums.max()))
     filled = np.concatenate([[False], sums > 0, [False]])
     edges = np.flatnonzero(filled[1:] != filled[:-1])
     keep = np.zeros(len(sizes), bool)
