@@ -49,7 +49,7 @@ def recency_decay(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def filter_facets(spark: SparkSession, d: str) -> DataFrame:
-    found = search.facets(S.entries(spark, d), user=USER, sources=("technical", "personal"), types=("memory", "fact", "pattern"), min_confidence=0.65, subjects=[f"{lang}.src{i}" for lang in ("en", "fr") for i in range(20)])
+    found = search.facets(S.entries(spark, d), user=USER, sources=("technical", "personal"), types=("insight", "relationship", "procedure"), min_confidence=0.65, subjects=[f"{lang}.src{i}" for lang in ("en", "fr") for i in range(20)])
     return found.select("id", "subject")
 
 
@@ -352,7 +352,7 @@ def entity_context(spark: SparkSession, d: str) -> DataFrame:
 @query
 def triggered_actions(spark: SparkSession, d: str) -> DataFrame:
     n = S.table(spark, d, "nation")
-    return n.where(T.any_word(F.col("n_name"), [w for w in "show united ARGENTINA or iran".split() if len(w) > 3])).select("n_nationkey")
+    return n.where(T.any_word(F.col("n_name"), [w for w in "show nation_1 or NATION_23 now".split() if len(w) > 3])).select("n_nationkey")
 
 
 @query
