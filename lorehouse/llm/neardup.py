@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, mix64, plus, seeds, shingle_hashes, text_buffer, word_hashes
@@ -21,8 +21,11 @@ from .common import chunks, cut, mix64, plus, seeds, shingle_hashes, text_buffer
 SHINGLE, COORDINATES, MATCHES = 5, 32, 10
 #: Similarity at which documents are linked: NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 75, 100
-#: Leaders of a list that its members are held against before the lists are searched for what is left.
+#: Leaders of a list that its members are held against, twice, before the lists are searched for what is left. The first
+#: time one leader is drawn and the others share most coordinates; the second time they share most of their shingles.
 STARS = 3
+#: Nodes that a list of a rare shingle holds at most.
+RARE = 8
 
 _XOR, _MUL, _TOKEN = seeds(COORDINATES, 3), seeds(COORDINATES, 5), seeds(COORDINATES, 7)
 _PRINT = seeds(2, 13)
@@ -114,7 +117,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("nid", "label")
 
 
-def _alike(a: str, b: str) -> F.Column:
+def _alike(a: str, b: str) -> Column:
     """Whether sets of these sizes can reach the similarity."""
     return (DENOMINATOR * F.col(a) >= NUMERATOR * F.col(b)) & (DENOMINATOR * F.col(b) >= NUMERATOR * F.col(a))
 
@@ -126,6 +129,52 @@ def _matching(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return counted.where(F.col("match") >= MATCHES)
 
 
+def _open(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """The lists that hold members of two components or more, with each member's label; a node in no component is its own."""
+    known = lists.join(found, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    several = known.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
+    return cut(known.join(several, "token"))
+
+
+def _shared(sets: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bounds of what the nodes of the lists have in common.
+
+    First nid, common: how many of a node's shingles over RARE of these nodes have. Two nodes share no more of them
+    than either's number, and no others but those in the lists of rare shingles. Second the pairs (x, y), x < y, of
+    those lists, which have RARE nodes at most.
+    """
+    mine = sets.join(lists.select("nid").distinct(), "nid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nid, one in zip(batch.column("nid").to_pylist(), batch.column("set"), strict=True):
+                flat = np.frombuffer(one.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), nid, np.int64)), pa.array(flat)], ["nid", "shingle"])
+
+    each = cut(mine.select("nid", "set").mapInArrow(run, "nid long, shingle long"))
+    often = cut(each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
+    common = each.join(often.where(F.col("df") > RARE), "shingle").groupBy("nid").agg(F.count("*").alias("common"))
+    few = each.join(often.where(F.col("df") <= RARE), "shingle").groupBy("shingle").agg(F.sort_array(F.collect_list("nid")).alias("nids"))
+    sides = few.select("nids").distinct().select(F.posexplode("nids").alias("i", "x"), "nids")
+    return cut(common), sides.select("x", F.explode(F.expr("slice(nids, i + 2, size(nids))")).alias("y")).distinct()
+
+
+def _spokes(lists: DataFrame, nodes: DataFrame, sets: DataFrame, leads: list[Column]) -> DataFrame:
+    """Verified pairs (x, y) of the lists' members with their lists' leaders, of the two leaders that agree most with each member.
+
+    lists has token, nid, n and label; leads are orders, each of which makes its first member a list's leader; pairs of
+    one label are left out.
+    """
+    heads = lists.groupBy("token").agg(F.array(*[F.min(F.struct(lead.alias("order"), "nid", "n", "label")) for lead in leads]).alias("heads"))
+    heads = heads.select("token", F.transform("heads", lambda h: F.struct(h["nid"].alias("nid"), h["n"].alias("n"), h["label"].alias("label"))).alias("heads"))
+    each = lists.join(heads, "token").select(F.col("nid").alias("x"), "n", "label", F.explode("heads").alias("head"))
+    pairs = each.where(F.col("label") != F.col("head.label")).select("x", "n", F.col("head.nid").alias("y"), F.col("head.n").alias("m"))
+    pairs = pairs.where(_alike("n", "m")).select("x", "y").distinct()
+    best = Window.partitionBy("x").orderBy(F.desc("match"), "y")  # a few leaders for each of the prefix's lists
+    held = _matching(pairs, nodes).withColumn("place", F.row_number().over(best)).where("place <= 2")
+    return verify(held.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), sets)
+
+
 def links(reps: DataFrame, docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """nid, label for the sets that are linked with others; reps has nid, fp, first_id, n, tokens, one row a set."""
     posts = reps.select("nid", F.explode("tokens").alias("token"))
@@ -138,22 +187,32 @@ def links(reps: DataFrame, docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     sets = cut(_shingle_sets(source, k).groupBy("nid").agg(F.first("set").alias("set")))
     lists = nodes.select("nid", "n", F.explode("prefix").alias("token"))
 
-    # Each list's members against a few leaders of the list, the two that agree most for each member: most groups come together.
-    heads = lists.groupBy("token").agg(F.array(*[F.min(F.struct(F.xxhash64("nid", F.lit(i)).alias("h"), "nid", "n")) for i in range(STARS)]).alias("heads"))
-    spokes = lists.join(heads, "token").select("nid", "n", F.explode("heads").alias("head")).select(F.col("nid").alias("x"), "n", F.col("head.nid").alias("y"), F.col("head.n").alias("m"))
-    spokes = spokes.where((F.col("x") != F.col("y")) & _alike("n", "m")).select("x", "y").distinct()
-    best = Window.partitionBy("x").orderBy(F.desc("match"), "y")  # a few leaders for each of the prefix's lists
-    held = _matching(spokes, nodes).withColumn("place", F.row_number().over(best)).where("place <= 2")
-    stars = cut(verify(held.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), sets))
+    # Each list's members against a few leaders of the list: most groups come together.
+    chance = F.struct(F.lit(0), F.xxhash64("nid", F.lit(0)))
+    central = [F.struct(-F.col("seen"), F.xxhash64("nid", F.lit(i))) for i in range(1, STARS)]
+    seen = nodes.select("nid", F.size("tokens").alias("seen"))
+    stars = cut(_spokes(lists.join(seen, "nid").withColumn("label", F.col("nid")), nodes, sets, [chance, *central]))
+
+    # The same with leaders that hold least of their own, for what can still reach the similarity over two components.
+    apart = _open(lists, components(stars))
+    shared, rare = _shared(sets, apart)
+    left = cut(apart.join(shared, "nid").where(DENOMINATOR * F.col("common") >= NUMERATOR * F.col("n")))
+    central = [F.struct(-F.col("common") / F.col("n"), F.xxhash64("nid", F.lit(i))) for i in range(STARS)]
+    stars = cut(stars.union(_spokes(left, nodes, sets, central)))
     found = components(stars)
 
-    # What the lists still hold together over two components or more: all their pairs across components.
-    known = lists.join(found, "nid", "left").select("token", "nid", "n", F.coalesce("label", "nid").alias("label"))
-    largest = known.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    open_lists = cut(known.join(largest.drop("labels"), "token"))
+    # What is then left over two components or more: the pairs that can still reach the similarity by what they share.
+    left = _open(left.drop("label"), found)
+    largest = left.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
+    open_lists = cut(left.join(largest, "token"))
     left, right = open_lists.where("label != main").alias("p"), open_lists.alias("q")
-    across = left.join(right, (F.col("p.token") == F.col("q.token")) & (F.col("p.label") != F.col("q.label")) & ((F.col("q.label") == F.col("q.main")) | (F.col("p.nid") < F.col("q.nid"))) & _alike("p.n", "q.n"))
-    across = across.select(F.least("p.nid", "q.nid").alias("x"), F.greatest("p.nid", "q.nid").alias("y")).distinct()
+    reach = (NUMERATOR + DENOMINATOR) * F.least("p.common", "q.common") >= NUMERATOR * (F.col("p.n") + F.col("q.n"))
+    across = left.join(right, (F.col("p.token") == F.col("q.token")) & (F.col("p.label") != F.col("q.label")) & ((F.col("q.label") == F.col("q.main")) | (F.col("p.nid") < F.col("q.nid"))) & _alike("p.n", "q.n") & reach)
+    across = across.select(F.least("p.nid", "q.nid").alias("x"), F.greatest("p.nid", "q.nid").alias("y"))
+    sizes = apart.select("nid", "n").distinct().join(found, "nid", "left").select("nid", "n", F.coalesce("label", "nid").alias("label"))
+    one, two = (sizes.select(*[F.col(c).alias(f"{side}_{c}" if c != "nid" else side) for c in sizes.columns]) for side in "xy")
+    rare = rare.join(one, "x").join(two, "y").where((F.col("x_label") != F.col("y_label")) & _alike("x_n", "y_n"))
+    across = across.union(rare.select("x", "y")).distinct()
     rest = cut(verify(_matching(across, nodes).select("x", "y"), sets))
     return found if rest.isEmpty() else components(stars.union(rest))
 
