@@ -204,10 +204,11 @@ def links(reps: DataFrame, docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     # What is then left over two components or more: the pairs that can still reach the similarity by what they share.
     left = _open(left.drop("label"), found)
     largest = left.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
-    open_lists = cut(left.join(largest, "token"))
+    open_lists = cut(left.join(largest, "token").join(nodes.select("nid", "prefix"), "nid"))
     left, right = open_lists.where("label != main").alias("p"), open_lists.alias("q")
     reach = (NUMERATOR + DENOMINATOR) * F.least("p.common", "q.common") >= NUMERATOR * (F.col("p.n") + F.col("q.n"))
-    across = left.join(right, (F.col("p.token") == F.col("q.token")) & (F.col("p.label") != F.col("q.label")) & ((F.col("q.label") == F.col("q.main")) | (F.col("p.nid") < F.col("q.nid"))) & _alike("p.n", "q.n") & reach)
+    once = F.array_intersect("p.prefix", "q.prefix")[0] == F.col("p.token")  # a pair comes from the first list that holds both
+    across = left.join(right, (F.col("p.token") == F.col("q.token")) & (F.col("p.label") != F.col("q.label")) & ((F.col("q.label") == F.col("q.main")) | (F.col("p.nid") < F.col("q.nid"))) & _alike("p.n", "q.n") & reach & once)
     across = across.select(F.least("p.nid", "q.nid").alias("x"), F.greatest("p.nid", "q.nid").alias("y"))
     sizes = apart.select("nid", "n").distinct().join(found, "nid", "left").select("nid", "n", F.coalesce("label", "nid").alias("label"))
     one, two = (sizes.select(*[F.col(c).alias(f"{side}_{c}" if c != "nid" else side) for c in sizes.columns]) for side in "xy")
