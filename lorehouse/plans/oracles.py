@@ -1,3 +1,138 @@
-"""DuckDB SQL for those knowledge queries that SQL can express."""
+"""DuckDB SQL for those knowledge queries that SQL can express plainly."""
 
-ORACLE_SQL: dict[str, str] = {}
+#: The derived tables, as in sources.tables.
+TABLES = """
+WITH e AS (
+  SELECT 'd' || d.doc_id AS id, d.doc_id AS ord, d.text AS content,
+    ['memory', 'insight', 'pattern', 'relationship', 'fact', 'procedure'][(d.doc_id % 6 + 1)::INT] AS content_type,
+    ['personal', 'technical', 'cross_domain'][((d.doc_id // 6) % 3 + 1)::INT] AS source,
+    'u' || (d.doc_id % 4) AS user_id,
+    CASE l.quality WHEN 1 THEN 0.9 WHEN 0 THEN 0.4 ELSE 0.65 END::DOUBLE AS confidence,
+    TIMESTAMP '2024-01-01' + to_days(((d.doc_id * 7919) % 400)::INT) AS ts,
+    CASE WHEN d.doc_id % 17 = 0 THEN 'SUPERSEDED' WHEN d.doc_id % 23 = 0 THEN 'DELETED' WHEN d.doc_id % 29 = 0 THEN 'RETRACTED' END AS flag,
+    CASE WHEN d.doc_id % 17 = 0 OR d.doc_id % 23 = 0 OR d.doc_id % 29 = 0 THEN TIMESTAMP '2024-01-31' + to_days(((d.doc_id * 7919) % 400)::INT) END AS flag_date,
+    CASE WHEN d.doc_id % 17 = 0 AND d.doc_id % 34 <> 0 THEN 'd' || CASE WHEN d.doc_id % 51 = 0 THEN d.doc_id + 10000000 ELSE d.doc_id + 1 END END AS superseded_by,
+    concat_ws('.', d.lang, d.source) AS subject, [d.lang, d.source] AS tags
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+), base AS (
+  SELECT 'd' || doc_id AS src, CASE WHEN doc_id % 97 <> 0 THEN 'd' || ((doc_id * 31 + 7) % (SELECT count(*) FROM documents)) END AS dst,
+    ['RELATED_TO', 'ABOUT', 'SOLVES', 'REQUIRES', 'SUPERSEDES'][(doc_id % 5 + 1)::INT] AS type, (doc_id * 37) % 101 AS strength, doc_id * 3 AS ord, doc_id AS k
+  FROM documents
+), g AS (
+  SELECT src, dst, type, strength, ord FROM base
+  UNION ALL SELECT src, dst, type, strength, ord + 1 FROM base WHERE k % 11 = 0
+  UNION ALL SELECT src, 'd0', type, strength, ord + 2 FROM base WHERE k % 5 = 0
+), u AS (SELECT * FROM g WHERE src IS NOT NULL AND dst IS NOT NULL
+), adj AS (
+  SELECT src AS node, dst AS other, 'out' AS direction, type, strength, ord FROM u
+  UNION ALL SELECT dst, src, 'in', type, strength, ord FROM u
+), s AS (
+  SELECT 'm_' || conv_id || '_' || turn AS id,
+    CASE WHEN conv_id % 19 = 0 THEN NULL WHEN turn = 0 AND conv_id % 13 = 0 THEN 'm_' || conv_id || '_' || turn ELSE 'd' || (conv_id % (SELECT count(*) FROM documents)) END AS parent_id,
+    text AS content, (turn % 10) / 10 AS score
+  FROM conversations
+), v AS (
+  SELECT 'd' || vec_id AS id, vec_id AS ord, embedding::DOUBLE[] AS vec, label FROM embeddings
+), sims AS (
+  SELECT a.id AS a, b.id AS b, a.label = b.label AS dup, greatest(-1, least(1, list_cosine_similarity(a.vec, b.vec))) AS sim FROM v a JOIN v b ON a.id < b.id
+)
+"""
+
+_RELEVANT = """
+, t(term, pat) AS (VALUES ('with', '\\bwith(?:s|es|ed|ing)?\\b'), ('this', '\\bthis(?:s|es|ed|ing)?\\b'), ('onti', '\\bonti(?:s|es|ed|ing)?\\b')),
+c AS (SELECT e.id, e.content, len(regexp_extract_all(lower(e.content), t.pat)) AS n FROM e, t),
+r AS (
+  SELECT id, least(1.0::DOUBLE, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) / 3.0::DOUBLE * 0.7::DOUBLE + sum(least(n, 5) / 5.0::DOUBLE) / 3.0::DOUBLE * 0.15::DOUBLE
+      + CASE WHEN regexp_matches(lower(any_value(content)), '\\bwith this onti\\b') THEN 0.15::DOUBLE ELSE 0 END)
+    * CASE WHEN length(any_value(content)) <= 500 THEN 1 ELSE greatest(0.6::DOUBLE, 1 / (1 + log10(length(any_value(content)) / 500.0::DOUBLE))) END AS relevance
+  FROM c GROUP BY id
+)
+"""
+_RECENCY = "CASE WHEN e.ts IS NULL THEN 0.5 WHEN e.ts > TIMESTAMP '2025-03-01' THEN 1 ELSE pow(0.5, (epoch_us(TIMESTAMP '2025-03-01') - epoch_us(e.ts)) / 86400000000 / 90) END"
+_LEVELS = """
+, x AS (SELECT 40 + i AS i FROM range(81) q(i)),
+w AS (
+  SELECT i / 200 AS threshold, (SELECT count(*) FROM p WHERE dup AND floor(sim * 200) >= i) AS tp, (SELECT count(*) FROM p WHERE NOT dup AND floor(sim * 200) >= i) AS fp, (SELECT count(*) FROM p WHERE dup) AS dups FROM x
+), y AS (
+  SELECT threshold, tp, fp, dups - tp AS fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1 END AS precision, CASE WHEN dups > 0 THEN tp / dups ELSE 0 END AS recall FROM w
+), z AS (
+  SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM y
+)
+"""
+_PAIRS = ", p AS (SELECT a, b, dup, round(sim, 6) AS sim FROM sims WHERE sim >= 0.2)"
+
+_QUERIES = {
+    "relevance_scores": _RELEVANT + "SELECT id, round(relevance, 4) AS relevance FROM r",
+    "lexical_search": _RELEVANT + f"SELECT e.id, round(0.70::DOUBLE * relevance + 0.25::DOUBLE * ({_RECENCY}) + 0.05::DOUBLE * confidence, 4) AS score FROM e JOIN r USING (id) WHERE flag IS NULL AND user_id = 'u1' ORDER BY score DESC, ord LIMIT 10",
+    "recency_decay": f"SELECT id, round({_RECENCY}, 4) AS recency FROM e",
+    "filter_facets": "SELECT id, subject FROM e WHERE flag IS NULL AND user_id = 'u1' AND source IN ('technical', 'personal') AND content_type IN ('insight', 'relationship', 'procedure') AND confidence >= 0.65 AND regexp_full_match(subject, '(en|fr)\\.src[0-9]{1,2}') AND substr(subject, 7)::INT < 20",
+    "hide_flagged": "SELECT id, content_type, source FROM e WHERE flag IS NULL",
+    "time_range": "SELECT id, user_id FROM e WHERE flag IS NULL AND ts BETWEEN TIMESTAMP '2024-06-01' AND TIMESTAMP '2024-09-30'",
+    "keyword_or": "SELECT id FROM e WHERE contains(lower(content), 'worthless') OR contains(lower(content), 'src7') OR len(list_filter(tags, lambda t: contains(lower(t), 'worthless') OR contains(lower(t), 'src7'))) > 0",
+    "excerpt": "SELECT id, substr(content, 1, 300) || CASE WHEN length(content) > 300 THEN '…' ELSE '' END AS excerpt FROM e",
+    "arm_term_coverage": "SELECT id, round((contains(lower(content), 'with')::INT + contains(lower(content), 'this')::INT + contains(lower(content), 'onti')::INT) / 3.0, 4)::DOUBLE AS match_score FROM e WHERE flag IS NULL ORDER BY match_score DESC, ord LIMIT 10",
+    "arm_keyword": "SELECT id, confidence FROM e WHERE flag IS NULL AND (contains(lower(content), 'with') OR contains(lower(content), 'this') OR contains(lower(content), 'onti')) ORDER BY confidence DESC, ts DESC, ord LIMIT 10",
+    "shards_live": "SELECT id, parent_id FROM s WHERE parent_id IS NULL OR parent_id = id OR parent_id NOT IN (SELECT id FROM e WHERE flag IS NOT NULL)",
+    "vector_topk": "SELECT b.id, round(list_cosine_similarity(a.vec, b.vec), 6) AS sim FROM v a, v b WHERE a.ord = 7 ORDER BY round(list_cosine_similarity(a.vec, b.vec), 9) DESC, b.id LIMIT 10",
+    "vector_topk_filtered": "SELECT b.id, round(list_cosine_similarity(a.vec, b.vec), 6) AS sim FROM v a, v b JOIN e ON e.id = b.id WHERE a.ord = 7 AND flag IS NULL AND user_id = 'u1' ORDER BY round(list_cosine_similarity(a.vec, b.vec), 9) DESC, b.id LIMIT 5",
+    "similar_pairs": "SELECT a, b, round(sim, 6) AS sim FROM sims WHERE sim >= 0.35",
+    "vector_coverage": "SELECT content_type, count(*) AS expected, count(v.id) AS stored, round(count(v.id) / count(*), 4) AS coverage, CASE WHEN count(v.id) = 0 THEN 'missing' WHEN count(v.id) / count(*) < 0.8 THEN 'degraded' ELSE 'ok' END AS status FROM e LEFT JOIN v ON v.id = e.id GROUP BY content_type",
+    "route_storage": "SELECT id, CASE WHEN content_type = 'procedure' OR source = 'technical' OR regexp_matches(content, '(?i)config|configuration|setting|schema|setup|installation|procedure|step.*by.*step|documentation|specification|authentication|API|endpoint|database|server|deployment|build|compile|debug|error.*log|stack.*trace') THEN 'graph,mem0,mongodb' ELSE 'graph,mem0' END AS targets FROM e",
+    "suggest_relationships": "SELECT id, concat_ws(',', CASE WHEN regexp_matches(content, '(?i)\\b(fix|solution|resolved?)\\b') THEN 'SOLVES' END, CASE WHEN regexp_matches(content, '(?i)\\b(causes?|leads? to|results? in)\\b') THEN 'CAUSES' END, CASE WHEN regexp_matches(content, '(?i)\\b(requires?|depends? on|needs?)\\b') THEN 'REQUIRES' END, CASE WHEN regexp_matches(content, '(?i)\\b(similar|like|same as)\\b') THEN 'SIMILAR_TO' END, CASE WHEN regexp_matches(content, '(?i)\\b(part of|belongs? to|included? in)\\b') THEN 'PART_OF' END) AS types FROM e",
+    "cache_level": "SELECT id, level, CASE level WHEN 'L1' THEN 5 WHEN 'L2' THEN 30 ELSE 60 END AS ttl_minutes FROM (SELECT id, CASE WHEN source = 'personal' THEN 'L1' WHEN content_type IN ('memory', 'insight') OR confidence > 0.8 THEN 'L2' ELSE 'L3' END AS level FROM e)",
+    "supersede_chain": "SELECT o.id AS old_id, n.id AS new_id FROM e o JOIN e n ON o.superseded_by = n.id",
+    "reap_candidates": "SELECT id, flag FROM e WHERE flag IS NOT NULL AND flag_date < TIMESTAMP '2025-03-01' - INTERVAL 90 DAY",
+    "reap_apply": "SELECT id FROM e WHERE flag IS NULL OR flag_date >= TIMESTAMP '2025-03-01' - INTERVAL 90 DAY",
+    "apply_flags": "SELECT id, CASE WHEN flag = 'RETRACTED' THEN NULL WHEN flag = 'SUPERSEDED' AND superseded_by IS NULL THEN 'UNVERIFIED' ELSE flag END AS flag, CASE WHEN flag = 'RETRACTED' THEN NULL ELSE superseded_by END AS superseded_by, strftime(CASE WHEN flag = 'RETRACTED' THEN NULL WHEN flag = 'SUPERSEDED' AND superseded_by IS NULL THEN TIMESTAMP '2025-03-01' ELSE flag_date END, '%Y-%m-%d') AS day FROM e",
+    "apply_updates": "SELECT id, length(content) + CASE WHEN confidence < 0.5 THEN 10 ELSE 0 END AS chars, CASE WHEN confidence < 0.5 THEN 0.5 ELSE confidence END::DOUBLE AS confidence, CASE WHEN confidence < 0.5 THEN 1 ELSE 0 END AS updates, strftime(CASE WHEN confidence < 0.5 THEN TIMESTAMP '2025-03-01' ELSE ts END, '%Y-%m-%d') AS day FROM e",
+    "supersede_batch": "SELECT id, CASE WHEN flag = 'DELETED' THEN 'SUPERSEDED' ELSE flag END AS flag, CASE WHEN flag = 'DELETED' THEN 'n' || id ELSE superseded_by END AS superseded_by FROM e UNION ALL SELECT 'n' || id, NULL, NULL FROM e WHERE flag = 'DELETED'",
+    "supersede_orphans": """, f AS (SELECT dst, arg_max(src, (ord, src)) AS found FROM g WHERE type = 'SUPERSEDES' AND dst IS NOT NULL GROUP BY dst), k AS (
+      SELECT e.id, CASE WHEN e.superseded_by IS NULL THEN CASE WHEN found IS NOT NULL THEN 'repairable' ELSE 'true-orphan' END WHEN n.id IS NOT NULL THEN 'healthy' WHEN found IS NOT NULL THEN 'graph-only' ELSE 'dangling' END AS state, found
+      FROM e LEFT JOIN e n ON n.id = e.superseded_by LEFT JOIN f ON f.dst = e.id WHERE e.flag = 'SUPERSEDED')
+      SELECT id, state, CASE WHEN state = 'repairable' THEN found END AS repair_to FROM k""",
+    "node_degrees": "SELECT node, count(*) AS degree FROM adj GROUP BY node",
+    "detach_deleted": ", x AS (SELECT id FROM e WHERE flag = 'DELETED') SELECT type, count(*) AS n FROM u WHERE src NOT IN (SELECT id FROM x) AND dst NOT IN (SELECT id FROM x) GROUP BY type",
+    "adjacency_capped": """, a AS (SELECT node, direction, type, other, min((ord, strength)) AS m FROM adj GROUP BY ALL), b AS (
+      SELECT *, row_number() OVER (PARTITION BY node ORDER BY direction DESC, m[1], type, other)::INT AS place FROM a)
+      SELECT node, place, direction, type, other, round(m[2] / 100, 2) AS strength, coalesce(length(substr(e.content, 1, 80)), 0) AS preview_chars FROM b LEFT JOIN e ON e.id = b.other WHERE place <= 25""",
+    "bfs_two_hop": """, r AS (SELECT DISTINCT node, other FROM adj WHERE type = 'RELATED_TO'), h AS (
+      SELECT node AS start, other AS node, 1 AS distance FROM r WHERE node IN ('d5', 'd10', 'd1')
+      UNION ALL SELECT a.node, b.other, 2 FROM r a JOIN r b ON b.node = a.other WHERE a.node IN ('d5', 'd10', 'd1')), m AS (
+      SELECT start, node, min(distance) AS distance FROM h WHERE node <> start GROUP BY start, node), n AS (
+      SELECT *, row_number() OVER (PARTITION BY start ORDER BY distance, node)::INT AS place FROM m) SELECT * FROM n WHERE place <= 20""",
+    "autolink_first5": """, n AS (SELECT a.id, b.id AS other, b.ord FROM e a JOIN e b ON a.id <> b.id AND (a.content_type = b.content_type OR a.source = b.source) WHERE a.content_type IN ('insight', 'relationship')), m AS (
+      SELECT id, row_number() OVER (PARTITION BY id ORDER BY ord)::INT AS place, other FROM n) SELECT * FROM m WHERE place <= 5""",
+    "threshold_sweep": _PAIRS + _LEVELS + "SELECT threshold, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM z",
+    "operating_points": _PAIRS + _LEVELS + ", q AS (SELECT *, sum(fp) OVER (ORDER BY threshold DESC) AS above FROM z) SELECT (SELECT threshold FROM q ORDER BY f1 DESC, threshold LIMIT 1) AS best_f1_threshold, min(threshold) FILTER (WHERE above = 0) AS zero_fp_threshold, max(threshold) FILTER (WHERE recall >= 0.9) AS recall_threshold FROM q",
+    "similarity_histogram": _PAIRS + "SELECT least(floor((sim - 0.2::DOUBLE) / ((0.7::DOUBLE - 0.2::DOUBLE) / 20)), 19)::INT AS bin, count(*) AS n FROM p WHERE sim BETWEEN 0.2 AND 0.7 GROUP BY 1",
+    "similarity_stats": _PAIRS + "SELECT dup, count(*) AS n, round(min(sim), 6) AS min, round(quantile_cont(sim, 0.1), 6) AS p10, round(quantile_cont(sim, 0.25), 6) AS p25, round(quantile_cont(sim, 0.5), 6) AS median, round(quantile_cont(sim, 0.75), 6) AS p75, round(quantile_cont(sim, 0.9), 6) AS p90, round(max(sim), 6) AS max, round(avg(sim), 6) AS mean FROM p GROUP BY dup",
+    "counts_by_type": "SELECT content_type, count(*) AS n FROM e GROUP BY content_type",
+    "counts_by_source": "SELECT source, count(*) AS n FROM e GROUP BY source",
+    "recent_activity": "SELECT count(*) AS total, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-12-30') AS recent FROM e",
+    "graph_density": "SELECT (SELECT count(*) FROM e) AS nodes, (SELECT count(*) FROM u) AS relationships, round((SELECT count(*) FROM u) / (SELECT count(*) FROM e), 6) AS density",
+    "subject_clusters": "SELECT subject, count(*) AS n, arg_min(id, ord) AS first_id, arg_max(id, ord) AS last_id FROM e WHERE flag IS NULL GROUP BY subject HAVING count(*) >= 2",
+    "cluster_reconcile": ", b AS (SELECT split_part(subject, '.', 1) AS prefix, count(*) AS entries, count(*) FILTER (WHERE flag = 'SUPERSEDED') AS superseded FROM e GROUP BY 1), n AS (SELECT split_part(e.subject, '.', 1) AS prefix, count(*) AS near FROM sims JOIN e ON e.id = a WHERE sim >= 0.35 GROUP BY 1) SELECT prefix, entries, superseded, coalesce(near, 0) AS near FROM b LEFT JOIN n USING (prefix)",
+}
+
+ORACLE_SQL = {name: TABLES + sql for name, sql in _QUERIES.items()} | {
+    "search_recommendation": """SELECT c_custkey, CASE WHEN contains(q, 'memory') OR contains(q, 'client') OR contains(q, 'behavior') THEN 'mem0,mongodb'
+      WHEN contains(q, 'technique') OR contains(q, 'relationship') OR contains(q, 'effective') THEN 'graph,mem0' WHEN contains(q, 'config') OR contains(q, 'session') OR contains(q, 'setting') THEN 'mongodb,mem0' ELSE 'mem0,graph,mongodb' END AS systems
+      FROM (SELECT c_custkey, lower(c_mktsegment || ' session ' || c_name) AS q FROM customer)""",
+    "triggered_actions": "SELECT n_nationkey FROM nation WHERE contains(lower(n_name), 'show') OR contains(lower(n_name), 'nation_1') OR contains(lower(n_name), 'nation_23')",
+    "cache_stats": """WITH c AS (SELECT event_type, event_id % 3 = 0 AS l2, event_id % 7 < 4 AS hit FROM events), n AS (
+      SELECT event_type, count(*) FILTER (WHERE NOT l2) AS n1, count(*) FILTER (WHERE NOT l2 AND hit) AS h1, count(*) FILTER (WHERE l2) AS n2, count(*) FILTER (WHERE l2 AND hit) AS h2 FROM c GROUP BY event_type)
+      SELECT event_type, round(h1 / n1, 6) AS l1_rate, round(h2 / n2, 6) AS l2_rate, round((h1 + h2) / n1, 6) AS efficiency, round(h1 / n1 * 100 + h2 / n2 * 20, 6) AS speedup FROM n""",
+    "health_rollup": "SELECT user_id, CASE WHEN count(*) FILTER (WHERE value > 50) = count(*) THEN 'error' WHEN count(*) FILTER (WHERE value > 50) > 0 THEN 'degraded' ELSE 'ok' END AS status, count(*) - count(*) FILTER (WHERE value > 50) AS healthy FROM events GROUP BY user_id",
+    "quality_metrics": """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS items, round(count(*) FILTER (WHERE event_id % 4 <> 0) / count(*), 6) AS on_topic_rate, round(count(*) FILTER (WHERE event_id % 3 = 0) / count(*), 6) AS usage_rate,
+      round(count(*) FILTER (WHERE event_id % 11 = 0) / count(*), 6) AS contradiction_rate,
+      round(CASE WHEN count(*) FILTER (WHERE event_id % 11 = 0) > 0 THEN count(*) FILTER (WHERE event_id % 22 = 0 AND event_id % 30 <= 14) / count(*) FILTER (WHERE event_id % 11 = 0) ELSE 0 END, 6) AS discovery_rate FROM events GROUP BY 1""",
+    "effective_confidence": """WITH RECURSIVE d AS (SELECT 'd' || user_id AS id, strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (WHERE event_id % 3 = 0) / count(*) AS u, count(*) FILTER (WHERE event_id % 11 = 0) / count(*) AS k FROM events GROUP BY ALL),
+      n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY day) AS i FROM d),
+      f AS (SELECT id, i, u, k FROM n WHERE i = 1 UNION ALL SELECT n.id, n.i, 0.3::DOUBLE * n.u + 0.7::DOUBLE * f.u, 0.3::DOUBLE * n.k + 0.7::DOUBLE * f.k FROM f JOIN n ON n.id = f.id AND n.i = f.i + 1)
+      SELECT id, round(greatest(0, 0.8::DOUBLE * (1 + 0.5::DOUBLE * arg_max(u, i) - 2 * arg_max(k, i))), 6) AS effective FROM f GROUP BY id""",
+    "sync_plan": """SELECT 'notes/' || doc_id || '.md' AS path, CASE WHEN doc_id % 5 = 0 THEN 'new' WHEN doc_id % 7 <> 0 AND doc_id % 13 <> 0 THEN 'skip' WHEN doc_id % 9 = 0 OR doc_id % 13 = 0 THEN 'retry' ELSE 'update' END AS action FROM documents""",
+    "session_counts": "SELECT user_id, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M') AS last_used FROM events GROUP BY user_id",
+    "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
+    "watermark_incremental": "SELECT event_id, user_id FROM events WHERE ts > TIMESTAMP '2024-01-05'",
+    "turn_checkpoints": "SELECT conv_id, unnest(range(2, n + 1, 2)) AS checkpoint FROM (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'user' AND NOT contains(text, '<command-message>') GROUP BY conv_id)",
+}
