@@ -17,7 +17,7 @@ from .common import chunks, mix64, plus, seeds
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text bytes sampled at once, and lattice edges kept between chunks.
-CHUNK_BYTES, KEPT_EDGES = 1_500_000, 6_000_000
+CHUNK_BYTES, KEPT_EDGES = 400_000, 2_000_000
 
 _SPACE = "▁"
 #: Where units may end: words of letters apart from other marks, or, if pieces of the model mix these, at spaces only.
