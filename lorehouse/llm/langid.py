@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, plus, seeds
+from .common import chunks, mix64, plus, seeds
 
 #: n-grams of one to three letters are hashed into 2 ** GRAM_BITS buckets; a bucket stands for an n-gram.
 GRAM_BITS = 20
 PROFILE, TOP = 400, 300
 UNKNOWN = "und"
 #: Code points turned into n-grams at once.
-CHUNK = 1_000_000
+CHUNK = 250_000
 #: Languages whose counts a training task holds before it sends them on.
 HELD = 32
 
@@ -80,7 +80,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["lang", "gram", "n"])
         held.clear()
 
-    for batch in batches:
+    for batch in chunks(batches, "text"):
         texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
         for lang in sorted(set(langs)):
             if lang not in held and len(held) >= HELD:
@@ -149,7 +149,7 @@ def predict(docs: DataFrame, model: list[tuple[str, int, int]], text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.full(1 << GRAM_BITS, len(vocab), np.int64)
         table[vocab] = np.arange(len(vocab))
-        for batch in batches:
+        for batch in chunks(batches, names[place]):
             found, score = guess([t or "" for t in batch.column(place).to_pylist()], table)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
