@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors of a block; a task holds two.
 BLOCK_ROWS = 2048
+#: Vectors of a block where only counts leave a task, and of one step within it.
+COUNT_ROWS, STEP_ROWS = 8192, 512
+#: Cosines a unit; the counts of -1..1 are sent in parts of so many.
+UNIT, PART = 1_000_000, 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,6 +69,48 @@ def similar(left: DataFrame, right: DataFrame, keys: list[str], threshold: float
     return l.groupBy(*groups).cogroup(r.groupBy(*[f"r_{c}" for c in groups])).applyInPandas(pairs, "a string, b string, sim double")
 
 
+def similarity_counts(vectors: DataFrame, block: int = COUNT_ROWS) -> DataFrame:
+    """(sim, dup, n): how many pairs of rows of vectors (id, vec, label) have a cosine, rounded to 6 places, and one label or two.
+
+    Every pair of unlike ids counts once, whatever its cosine; dup is null where a label is. Rows are dealt into blocks
+    by hash, and each two blocks are one group, which sends counts in place of pairs: 2000001 a dup at most.
+    """
+    size = vectors.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("nb"))
+    v = vectors.join(F.broadcast(size)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))  # size is one row
+    v = v.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    v = v.select("id", "vec", "label", "block", F.least("block", "other").alias("lb"), F.greatest("block", "other").alias("rb"))
+    parts = -(-(2 * UNIT + 1) // PART)
+
+    def count(t: pa.Table) -> pa.Table:
+        vec, codes = t["vec"].combine_chunks(), lambda c: t[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        m = vec.flatten().to_numpy().reshape(t.num_rows, -1)
+        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        ids, labels, own = codes("id"), codes("label"), t["block"].to_numpy()
+        one = t["lb"][0] == t["rb"][0]
+        left = np.argsort(ids, kind="stable") if one else np.flatnonzero(own == t["lb"][0].as_py())
+        right = left if one else np.flatnonzero(own == t["rb"][0].as_py())
+        total = np.zeros(3 * parts * PART, np.int64)
+        for at in range(0, len(left), STEP_ROWS):
+            i, j = left[at : at + STEP_ROWS], right[at:] if one else right
+            k = np.rint(np.clip(m[i] @ m[j].T, -1, 1) * UNIT).astype(np.int64) + UNIT
+            a, b = labels[i][:, None], labels[j][None, :]
+            k += np.where((a < 0) | (b < 0), 2, a == b) * (parts * PART)
+            total += np.bincount(k[ids[i][:, None] < ids[j][None, :]] if one else k.ravel(), minlength=len(total))
+        rows = total.reshape(-1, PART)
+        found = np.flatnonzero(rows.any(axis=1))
+        counts = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * PART), pa.array(rows[found].ravel().astype(np.int32)))
+        return pa.table({"kind": pa.array((found // parts).astype(np.int32)), "part": pa.array((found % parts).astype(np.int32)), "counts": counts})
+
+    def united(t: pa.Table) -> pa.Table:
+        n = t["counts"].combine_chunks().flatten().to_numpy().reshape(-1, PART).sum(axis=0, dtype=np.int64)
+        at = np.flatnonzero(n)
+        return pa.table({"sim": (t["part"][0].as_py() * PART + at - UNIT) / UNIT, "kind": pa.array(np.full(len(at), t["kind"][0].as_py(), np.int32)), "n": n[at]})
+
+    sent = v.groupBy("lb", "rb").applyInArrow(count, "kind int, part int, counts array<int>")
+    summed = sent.groupBy("kind", "part").applyInArrow(united, "sim double, kind int, n long")
+    return summed.select("sim", F.when(F.col("kind") < 2, F.col("kind") == 1).alias("dup"), "n")
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, id, sim, place): the k rows of vectors (id, vec) nearest each query (query_id, vec), ties to the smaller id.
 

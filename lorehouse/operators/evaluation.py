@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cmp_to_key
+from functools import cmp_to_key, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -45,14 +45,16 @@ def meta_share(ranked: DataFrame, k: int) -> DataFrame:
     return ranked.groupBy("query_id").agg((F.count_if((F.col("rank") <= _positive(k)) & meta) / k).alias("share"))
 
 
-def sweep(pairs: DataFrame, low: int = 100, high: int = 199, scale: int = 200) -> DataFrame:
-    """tp, fp, fn, precision, recall and F1 of (sim, dup) at the thresholds low/scale to high/scale.
+def sweep(pairs: DataFrame, low: int = 100, high: int = 199, scale: int = 200, weight: str | None = None) -> DataFrame:
+    """tp, fp, fn, precision, recall and F1 of (sim, dup) at the thresholds low/scale to high/scale; a row counts weight times, or once.
 
     Pairs are first counted by the last threshold that they reach, and running sums over the grid give every
     threshold's counts: a pair is read once, not once a threshold.
     """
     step = F.greatest(F.lit(low - 1), F.least(F.lit(high), F.floor(F.col("sim") * scale).cast("int")))
-    counts = pairs.groupBy(step.alias("i")).agg(F.count_if("dup").alias("d"), F.count_if(~F.col("dup")).alias("n"))
+    times = F.lit(1) if weight is None else F.col(weight)
+    counted = lambda x: F.sum(F.when(x, times).otherwise(0))
+    counts = pairs.groupBy(step.alias("i")).agg(counted(F.col("dup")).alias("d"), counted(~F.col("dup")).alias("n"))
     grid = pairs.sparkSession.range(low - 1, high + 1).select(F.col("id").cast("int").alias("i"))
     down = Window.orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row a threshold
     every = grid.join(counts, "i", "left").select("i", F.coalesce("d", F.lit(0)).alias("d"), F.coalesce("n", F.lit(0)).alias("n"))
@@ -90,6 +92,29 @@ def summary(values: DataFrame, column: str, by: list[str]) -> DataFrame:
     return g.select(*by, "n", "min", *[F.col("q")[i].alias(x) for i, x in enumerate(names)], "max", "mean")
 
 
+def counted_summary(counts: DataFrame, column: str, weight: str, by: list[str], unit: int = 1_000_000) -> DataFrame:
+    """As summary, of values that are whole multiples of 1 / unit and stand for weight rows each.
+
+    Values are placed by running sums, first over the sums of spans of 1000 values, then within a span; quantiles and
+    mean come from whole numbers, so they don't depend on the order of sums.
+    """
+    cells = counts.select(*by, F.round(F.col(column) * unit).cast("long").alias("k"), F.col(weight).alias("w")).withColumn("span", F.floor(F.col("k") / 1000))
+    before = Window.partitionBy(*by).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # one row a span
+    sums = cells.groupBy(*by, "span").agg(F.sum("w").alias("sw"))
+    spans = sums.select(*[F.col(c).alias(f"s_{c}") for c in [*by, "span"]], F.coalesce(F.sum("sw").over(before), F.lit(0)).alias("before"), F.sum("sw").over(Window.partitionBy(*by)).alias("total"))
+    within = Window.partitionBy(*by, "span").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = cells.withColumn("upto", F.sum("w").over(within))
+    placed = placed.join(spans, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in [*by, "span"]])).withColumn("upto", F.col("upto") + F.col("before"))
+    names = {"p10": 2, "p25": 5, "median": 10, "p75": 15, "p90": 18}  # twentieths
+    at = {x: (F.col("total") - 1) * q for x, q in names.items()}
+    held = lambda place: F.max(F.when((place >= F.col("upto") - F.col("w")) & (place < F.col("upto")), F.col("k")))
+    ends = [c for x, p in at.items() for c in (held(F.floor(p / 20)).alias(f"lo_{x}"), held(F.ceil(p / 20)).alias(f"hi_{x}"))]
+    g = placed.groupBy(*by).agg(F.max("total").alias("total"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.sum(F.col("k") * F.col("w")).alias("sum"), *ends)
+    rest = {x: p % 20 for x, p in at.items()}
+    qs = [((F.col(f"lo_{x}") * (20 - r) + F.col(f"hi_{x}") * r) / (20 * unit)).alias(x) for x, r in rest.items()]
+    return g.select(*by, F.col("total").alias("n"), (F.col("lo") / unit).alias("min"), *qs, (F.col("hi") / unit).alias("max"), (F.col("sum") / F.col("total") / unit).alias("mean"))
+
+
 def legacy_order(ranked: DataFrame, query_col: str = "query_id") -> DataFrame:
     """Order a query's candidates (query_id, id, ord, confidence, legacy_relevance) by the legacy comparator.
 

@@ -394,6 +394,7 @@ def meta_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs from the histogram's lowest edge on."""
     v = S.vectors(spark, d)
     labels = v.select("id", "label")
     found = V.similar(v, v, [], 0.2).where("a < b")
@@ -401,15 +402,19 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return found.join(a, "a").join(b, "b").select("a", "b", F.round("sim", 6).alias("sim"), (F.col("la") == F.col("lb")).alias("dup"))
 
 
+def _swept(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.sweep(V.similarity_counts(S.vectors(spark, d)), 40, 120, 200, "n")
+
+
 @query
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    s = evaluation.sweep(_pairs(spark, d), 40, 120, 200)
+    s = _swept(spark, d)
     return s.select("threshold", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query
 def operating_points(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.operating_points(evaluation.sweep(_pairs(spark, d), 40, 120, 200))
+    return evaluation.operating_points(_swept(spark, d))
 
 
 @query
@@ -419,7 +424,7 @@ def similarity_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def similarity_stats(spark: SparkSession, d: str) -> DataFrame:
-    s = evaluation.summary(_pairs(spark, d), "sim", ["dup"])
+    s = evaluation.counted_summary(V.similarity_counts(S.vectors(spark, d)), "sim", "n", ["dup"])
     return s.select("dup", "n", *[F.round(c, 6).alias(c) for c in ("min", "p10", "p25", "median", "p75", "p90", "max", "mean")])
 
 
