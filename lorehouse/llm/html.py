@@ -15,9 +15,12 @@ from .common import plus
 #: Lines summed in a window, and characters of a window at which text surges; a page with less surges at its peak.
 WINDOW, SURGE = 3, 80
 
-_DROP = "script|style|noscript|template|svg|math|iframe|object|select|textarea|button|head|title"
+#: Elements that go with what is in them; without an end tag, the first four run to the page's end, and of the others only the tag goes.
+_DROP = "script|style|textarea|title|noscript|template|svg|iframe|select|button"
+_TO_END = frozenset(_DROP.split("|")[:4])
+_ENDS = {x: re.compile(rf"</{x}\s*>", re.I) for x in _DROP.split("|")}
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_DROP})\b[^>]*+(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<({_DROP})\b[^>]*+(?<!/)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -52,11 +55,19 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
             out.append((text, side, main))
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    open_ended: set[str] = set()  # names without an end tag from here on
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             s = page[at : m.start()]
             held.append(unescape(s) if "&" in s else s)
         at = m.end()
+        if m[1] and (gone := m[1].lower()) not in open_ended:
+            if end := _ENDS[gone].search(page, at):
+                at = end.end()
+            elif gone in _TO_END:
+                at = len(page)
+            else:
+                open_ended.add(gone)
         name = m[3] or m[6]
         if not name:
             continue

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorehouse.functions import vectors
+from lorehouse.llm import html
 from lorehouse.plans import knowledge
 from lorehouse.sources import tables
 
@@ -48,3 +49,15 @@ def test_similarity_counts_by_blocks(spark):
     got = [sorted(vectors.similarity_counts(v, block).collect(), key=repr) for block in (8192, 90)]
     assert got[0] == got[1] and sum(r["n"] for r in got[0]) == 500 * 499 // 2
     assert sum(r["n"] for r in got[0] if r["dup"] is None) == 500 * 499 // 2 - 490 * 489 // 2
+
+
+def test_main_text_without_end_tags():
+    body = "<article><h1>Head</h1><p>One {} two.</p><p>The end.</p></article>"
+    for top in ("<html><head><title>T</title><body>", "<html><head><title>T</title><style>p{}</style>", "<HEAD><meta charset=utf-8><script>x</script></HEAD><body>"):
+        assert html.main_text(top + body.format("and")) == "Head\nOne and two.\nThe end."
+    assert html.main_text(body.format("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>")) == "Head\nOne x=1 two.\nThe end."
+    assert html.main_text(body.format("<object data='a.svg'>a picture</object>")) == "Head\nOne a picture two.\nThe end."
+    for name in ("svg", "noscript", "button", "select", "iframe", "template"):
+        assert html.main_text(body.format(f"<{name}>and")) == "Head\nOne and two.\nThe end."
+        assert html.main_text(body.format(f"<{name}>gone</{name}>and")) == "Head\nOne and two.\nThe end."
+    assert html.main_text(body.format("<script>var a = 1")) == "Head\nOne"
