@@ -14,6 +14,8 @@ from .common import plus
 
 #: Lines summed in a window, and characters of a window at which text surges; a page with less surges at its peak.
 WINDOW, SURGE = 3, 80
+#: How often a character in article or main counts where their text is weighed against the rest of the page.
+MAIN_WEIGHT = 2
 
 #: Elements that go with what is in them; without an end tag, the first four run to the page's end, and of the others only the tag goes.
 _DROP = "script|style|textarea|title|noscript|template|svg|iframe|select|button"
@@ -27,6 +29,7 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SIDE = frozenset("nav header footer aside form menu dialog fieldset".split())
 _MAIN = frozenset("article main".split())
+_HOLD = frozenset("article body center dd div main section td".split())
 #: Words of class, id or role that mark what isn't main text.
 _SIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination paywall popup promo related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 _KEEP_WORDS = frozenset("article content entry post story body".split())
@@ -41,18 +44,18 @@ def _marked(attributes: str) -> bool:
     return bool(words & _SIDE_WORDS) and not words & _KEEP_WORDS
 
 
-def lines(page: str) -> list[tuple[str, bool, bool]]:
-    """The page's text lines (one a block, white space squeezed): text, whether it's in a marked side part, whether in article or main."""
-    out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, side, main
-    side = main = False
+def lines(page: str) -> list[tuple[str, bool, bool, int]]:
+    """The page's text lines (one a block, white space squeezed): text, whether it's in a marked side part, whether in article or main, and the place of its nearest container."""
+    out: list[tuple[str, bool, bool, int]] = []
+    stack: list[tuple[str, bool, bool, int]] = []  # name, side, main, container
+    side, main, holder = False, False, 0
     held: list[str] = []
 
     def flush() -> None:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            out.append((text, side, main))
+            out.append((text, side, main, holder))
 
     at = 0
     open_ended: set[str] = set()  # names without an end tag from here on
@@ -89,12 +92,12 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         elif name not in _VOID and not attributes.endswith("/"):
             if name in ("p", "li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
                 stack.pop()  # its end tag may be left out
-            marked = name in _SIDE and not (name == "header" and main) or name not in ("html", "body", "main", "article") and _marked(attributes)
+            marked = name in _SIDE and not (name == "header" and main) or name not in ("html", "body", "main") and _marked(attributes)
             if marked and name not in _BLOCK:
                 flush()
-            above = stack[-1] if stack else ("", False, False)
-            stack.append((name, above[1] or marked, above[2] or name in _MAIN))
-        side, main = stack[-1][1:] if stack else (False, False)
+            above = stack[-1] if stack else ("", False, False, 0)
+            stack.append((name, above[1] or marked, above[2] or name in _MAIN, at if name in _HOLD else above[3]))
+        side, main, holder = stack[-1][1:] if stack else (False, False, 0)
     if at < len(page):
         s = page[at:]
         held.append(unescape(s) if "&" in s else s)
@@ -102,28 +105,43 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
+def _runs(sizes: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """(first line, end, characters of the heaviest block) of the runs between the points where text dives."""
+    sums = np.convolve(sizes, np.ones(window, np.int64))  # sums[i] is of the lines i - window + 1 to i
+    filled = np.concatenate([[False], sums > 0, [False]])
+    edges = np.flatnonzero(filled[1:] != filled[:-1]).reshape(-1, 2).tolist()
+    return [(first, last - window + 1, int(sums[first:last].max())) for first, last in edges]
+
+
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """Text between the surge and dive points of the line-block distribution, a block a line.
 
-    Lines of side parts, and of all but article or main where these have text, weigh nothing. A block is `window`
-    lines; its weight is their characters. Text surges where a block weighs `surge` characters, or the page's
-    heaviest block if that has less, or anything where article or main says what the text is, and lasts back and forth
-    to the blocks that weigh nothing. Every such run is kept whole, short lines within it too.
+    Lines of side parts weigh nothing. A block is `window` lines; its weight is their characters. Text surges where a
+    block weighs `surge` characters, or the page's heaviest block if that has less, and lasts back and forth to the
+    blocks that weigh nothing. The lines in article or main and those outside have a distribution each; of the two, the
+    one is taken whose surging runs hold more text, where that in article or main counts MAIN_WEIGHT times. Every
+    surging run of it is kept whole, short lines within it too, and so are its light runs of the same container: all of
+    article and main, or else the nearest element that holds blocks.
     """
     found = lines(page)
-    inner = any(m and not s for _, s, m in found)
-    sizes = np.array([0 if s or inner and not m else len(t) for t, s, m in found], np.int64)
+    inside = np.array([m for _, _, m, _ in found], bool)
+    sizes = np.array([0 if s else len(t) for t, s, _, _ in found], np.int64)
     if not sizes.any():
         return ""
-    sums = np.convolve(sizes, np.ones(window, np.int64))  # sums[i] is of the lines i - window + 1 to i
-    level = 1 if inner else min(surge, int(sums.max()))
-    filled = np.concatenate([[False], sums > 0, [False]])
-    edges = np.flatnonzero(filled[1:] != filled[:-1])
+    parts = [(where, _runs(sizes * where, window), weight) for where, weight in ((inside, MAIN_WEIGHT), (~inside, 1))]
+    level = min(surge, max(top for _, runs, _ in parts for _, _, top in runs))
+    surging = [[r for r in runs if r[2] >= level] for _, runs, _ in parts]
+    weights = [weight * sum(int((sizes * where)[a:b].sum()) for a, b, _ in runs) for (where, _, weight), runs in zip(parts, surging, strict=True)]
+    taken = int(weights[1] > weights[0])
+    where, runs, _ = parts[taken]
+    holders = np.array([0 if m else 1 + h for _, _, m, h in found], np.int64)
+    of = lambda a, b: set(holders[a:b][(sizes * where)[a:b] > 0].tolist())
+    held = set().union(*(of(a, b) for a, b, _ in surging[taken]))
     keep = np.zeros(len(sizes), bool)
-    for first, last in edges.reshape(-1, 2):
-        if sums[first:last].max() >= level:
-            keep[first : last - window + 1] = True
-    return "\n".join(t for (t, _, _), k, n in zip(found, keep, sizes, strict=True) if k and n)
+    for a, b, top in runs:
+        if top >= level or of(a, b) & held:
+            keep[a:b] = where[a:b]
+    return "\n".join(t for (t, _, _, _), k, n in zip(found, keep, sizes, strict=True) if k and n)
 
 
 def extract(pages: DataFrame, html_col: str = "html", window: int = WINDOW, surge: int = SURGE) -> DataFrame:

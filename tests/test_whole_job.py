@@ -61,3 +61,24 @@ def test_main_text_without_end_tags():
         assert html.main_text(body.format(f"<{name}>and")) == "Head\nOne and two.\nThe end."
         assert html.main_text(body.format(f"<{name}>gone</{name}>and")) == "Head\nOne and two.\nThe end."
     assert html.main_text(body.format("<script>var a = 1")) == "Head\nOne"
+
+
+STORY = "".join(f"<p>Paragraph {i} of the story, which is long enough to be told from a teaser by its length alone.</p>" for i in range(6))
+TOLD = [x.partition("</p>")[0] for x in STORY.split("<p>")[1:]]
+SIDE = '<aside><p>a</p><p>b</p><p>c</p><p>d</p></aside>'
+
+
+def test_main_text_weighs_runs_on_every_page():
+    teasers = "<article><h2>Teaser</h2><p>Read more of this.</p></article>" * 2
+    assert html.main_text(f"<body><div>{STORY}</div>{teasers}</body>").split("\n") == TOLD
+    # A long story outside beats articles whose text surges too, and an article beats less text outside.
+    assert html.main_text(f"<body><div>{STORY}</div><article>{STORY[:110]}</p></article></body>").split("\n") == TOLD
+    assert html.main_text(f"<body><div>{STORY[:110]}</p></div><article>{STORY}</article></body>").split("\n") == TOLD
+    assert html.main_text(f"<body><article class='related'>{STORY * 3}</article><div>{STORY}</div></body>").split("\n") == TOLD
+
+
+def test_main_text_keeps_light_runs_of_the_container():
+    for tag in ("div", "article", "main", "section"):
+        page = f"<body><div>Log in</div>{SIDE}<{tag}>{STORY}{SIDE}<p>The end.</p></{tag}>{SIDE}<div>Home</div></body>"
+        assert html.main_text(page).split("\n") == [*TOLD, "The end."], tag
+    assert html.main_text("<body><article><p>Brief.</p></article></body>") == "Brief."
