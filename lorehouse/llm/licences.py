@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,28 +20,98 @@ CONTAINMENT, SHINGLE = 0.75, 5
 #: with probability 1 - 0.5 ** 24, or all but 6e-8.
 BANDS = 24
 
+
+
+def _gnu(name: str, version: str) -> tuple[str, ...]:
+    return (
+        f"This work is licensed under the GNU {name} General Public License, version {version}.".replace("  ", " "),
+        f"Licensed under the GNU {name} General Public License v{version}.".replace("  ", " "),
+        f"This {'library' if name == 'Lesser' else 'program'} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.".replace("  ", " "),
+    )
+
+
+def _cc(code: str, name: str) -> tuple[str, ...]:
+    return (f"This work is licensed under a Creative Commons {name} 4.0 International License.", f"Licensed under CC {code} 4.0.")
+
+
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+
 # Short forms and opening notices of public licenses.
 TEMPLATES: dict[str, tuple[str, ...]] = {
+    "AGPL-3.0": _gnu("Affero", "3"),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
         'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     ),
+    "BSD-2-Clause": (_BSD_HEAD, "Licensed under the BSD 2-Clause License."),
     "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        _BSD_HEAD,
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Licensed under the BSD 3-Clause License.",
+    ),
+    "CC-BY-4.0": _cc("BY", "Attribution"),
+    "CC-BY-NC-4.0": _cc("BY-NC", "Attribution-NonCommercial"),
+    "CC-BY-NC-ND-4.0": _cc("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    "CC-BY-NC-SA-4.0": _cc("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-ND-4.0": _cc("BY-ND", "Attribution-NoDerivatives"),
+    "CC-BY-SA-4.0": _cc("BY-SA", "Attribution-ShareAlike"),
+    "CC0-1.0": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "This work is marked with CC0 1.0 Universal.",
+        "Creative Commons CC0 1.0 Universal Public Domain Dedication",
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+        "Licensed under the Eclipse Public License, version 2.0.",
     ),
-    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0": _gnu("", "2"),
+    "GPL-3.0": _gnu("", "3"),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+        "Licensed under the ISC License.",
     ),
+    "LGPL-2.1": _gnu("Lesser", "2.1"),
+    "LGPL-3.0": _gnu("Lesser", "3"),
     "MIT": (
         "Released under the MIT License.",
+        "Licensed under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     ),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    ),
+}
+
+_OTHER_GNU, _THIRD = r"\b(?:affero|lesser|library general)\b", r"^(?:(?!this software is provided).)*?\bneither the name\b"
+#: Distinguishing words by license: what a match must hold if its template does, what it mustn't hold, and what must and mustn't follow from its start on. Words are lower-case, with a space between two.
+_RULES: dict[str, tuple[str, str, str, str]] = {
+    "AGPL-3.0": (r"\baffero\b.*\b(?:version |v)3\b(?! \d\b)", "", "", ""),
+    "Apache-2.0": (r"\b2 0\b", "", "", ""),
+    "BSD-2-Clause": (r"\b2 clause\b", "", "", _THIRD),
+    "BSD-3-Clause": (r"\b3 clause\b", "", _THIRD, ""),
+    "CC-BY-4.0": (r"\b4 0\b", r"\b(?:noncommercial|sharealike|noderivatives|noderivs|nc|sa|nd)\b", "", ""),
+    "CC-BY-NC-4.0": (r"\b(?:noncommercial|nc)\b.*\b4 0\b", r"\b(?:sharealike|noderivatives|noderivs|sa|nd)\b", "", ""),
+    "CC-BY-NC-ND-4.0": (r"\b(?:noncommercial|nc)\b.*\b(?:noderivatives|nd)\b.*\b4 0\b", "", "", ""),
+    "CC-BY-NC-SA-4.0": (r"\b(?:noncommercial|nc)\b.*\b(?:sharealike|sa)\b.*\b4 0\b", "", "", ""),
+    "CC-BY-ND-4.0": (r"\b(?:noderivatives|nd)\b.*\b4 0\b", r"\b(?:noncommercial|nc)\b", "", ""),
+    "CC-BY-SA-4.0": (r"\b(?:sharealike|sa)\b.*\b4 0\b", r"\b(?:noncommercial|nc)\b", "", ""),
+    "CC0-1.0": (r"\bcc0\b", "", "", ""),
+    "EPL-2.0": (r"\beclipse\b.*\b2 0\b", "", "", ""),
+    "GPL-2.0": (r"\b(?:version |v)2\b(?! \d\b)", _OTHER_GNU, "", ""),
+    "GPL-3.0": (r"\b(?:version |v)3\b(?! \d\b)", _OTHER_GNU, "", ""),
+    "ISC": (r"\bisc\b|\bprovided that\b", "", "", ""),
+    "LGPL-2.1": (r"\blesser\b.*\b(?:version |v)2 1\b", "", "", ""),
+    "LGPL-3.0": (r"\blesser\b.*\b(?:version |v)3\b(?! \d\b)", "", "", ""),
+    "MIT": (r"\bmit\b", "", "", ""),
+    "MPL-2.0": (r"\bmozilla\b.*\b2 0\b", "", "", ""),
 }
 
 _XOR, _MUL = seeds(BANDS, 103), seeds(BANDS, 107)
@@ -58,6 +130,7 @@ class Template:
     window: int
     stride: int
     minima: np.ndarray  # one a band
+    rules: tuple[re.Pattern | None, ...]  # what a match must and mustn't hold, and what must and mustn't follow
 
 
 def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -74,17 +147,30 @@ def prepare(templates: Mapping[str, Sequence[str]]) -> list[Template]:
             if len(found):
                 m = max(1, len(words) - SHINGLE + 1)
                 stride = max(1, m // 4)
-                out.append(Template(name, found, m + stride, stride, np.array([((found ^ x) * y).min() for x, y in zip(_XOR, _MUL, strict=True)])))
+                need, bar, after, not_after = (re.compile(x.encode()) if x else None for x in _RULES.get(name, ("",) * 4))
+                own = _plain(text.encode())
+                need = need if need and need.search(own) else None
+                if text != _BSD_HEAD:
+                    after = not_after = None
+                out.append(Template(name, found, m + stride, stride, np.array([((found ^ x) * y).min() for x, y in zip(_XOR, _MUL, strict=True)]), (need, bar, after, not_after)))
     return out
 
 
+def _plain(raw: bytes) -> bytes:
+    return b" ".join(_WORDS[np.frombuffer(raw, np.uint8)].tobytes().split())
+
+
+#: Words after the start of a match in which the rest of its license is looked for.
+_AHEAD = 200
+
+
 def _retrieved(h: np.ndarray, templates: list[Template]) -> list[np.ndarray]:
     """By template, the starts of the windows of h that agree with it in some band."""
     hits: list[set[int]] = [set() for _ in templates]
-    looks = [np.zeros((BANDS, 1 << _BITS), bool) for _ in templates]
-    for look, t in zip(looks, templates, strict=True):
-        look[np.arange(BANDS), (t.minima >> np.uint64(64 - _BITS)).astype(np.int64)] = True
     by_size = sorted({(t.window, t.stride) for t in templates})
+    looks = {size: np.zeros((BANDS, 1 << _BITS), bool) for size in by_size}
+    for t in templates:
+        looks[t.window, t.stride][np.arange(BANDS), (t.minima >> np.uint64(64 - _BITS)).astype(np.int64)] = True
     for b in range(BANDS):
         width, least = 1, (h ^ _XOR[b]) * _MUL[b]  # least[i] is of the width values from i
         for window, stride in by_size:
@@ -99,9 +185,9 @@ def _retrieved(h: np.ndarray, templates: list[Template]) -> list[np.ndarray]:
             tails = np.arange(len(minima) * stride, len(h), stride)  # windows cut short by the end
             minima = np.concatenate([minima, np.array([((h[i:] ^ _XOR[b]) * _MUL[b]).min() for i in tails.tolist()], np.uint64)]) if len(tails) else minima
             top = (minima >> np.uint64(64 - _BITS)).astype(np.int64)
-            for j, t in enumerate(templates):
+            on = np.flatnonzero(looks[window, stride][b][top])
+            for j, t in enumerate(templates if len(on) else ()):
                 if (t.window, t.stride) == (window, stride):
-                    on = np.flatnonzero(looks[j][b][top])
                     hits[j].update((on[minima[on] == t.minima[b]] * stride).tolist())
     return [np.array(sorted(x), np.int64) for x in hits]
 
@@ -112,8 +198,9 @@ def matches(data: np.ndarray, offsets: np.ndarray, templates: list[Template]) ->
     h, rows = shingle_hashes(words, word_rows, SHINGLE)
     if not len(h):
         return []
-    out = []
+    kept: list[tuple[tuple[int, str, int, int, float], int]] = []
     for t, found in zip(templates, _retrieved(h, templates), strict=True):
+        out: list[tuple[tuple[int, str, int, int, float], int]] = []  # with the shingles shared
         last: tuple[int, int, int] | None = None
         for at in found.tolist():
             stop = min(len(h), at + t.window)
@@ -126,21 +213,45 @@ def matches(data: np.ndarray, offsets: np.ndarray, templates: list[Template]) ->
                     continue
                 a = word_rows[row] + mine[0] - rows[row]
                 b = min(word_rows[row] + mine[-1] - rows[row] + SHINGLE, word_rows[row + 1])
-                item = (row, t.license, int(starts[a] - offsets[row]), int(ends[b - 1] - offsets[row]), share)
+                need, bar, after, not_after = t.rules
+                words_of = lambda i, j, row=row: _plain(data[starts[max(i, word_rows[row])] : ends[min(j, word_rows[row + 1]) - 1]].tobytes())
+                if need and not need.search(words_of(a - SHINGLE + 1, b + SHINGLE - 1)) or bar and bar.search(words_of(a, b)):
+                    continue
+                if (after or not_after) and (bool((after or not_after).search(words_of(a, a + _AHEAD))) != bool(after)):
+                    continue
+                item = (row, t.license, int(starts[a] - offsets[row]), int(ends[b - 1] - offsets[row]), share), len(np.unique(h[mine]))
                 if last and last[0] == row and mine[0] < last[2]:
-                    if share > out[-1][4]:
+                    if share > out[-1][0][4]:
                         out[-1] = item
                 else:
                     out.append(item)
                 last = (row, 0, int(mine[-1]) + 1)
-    return sorted(out)
+        kept += out
+    # Of one license the match with the most shingles, then of all licenses the one with the highest containment.
+    kept = _apart(kept, lambda x: (-x[1], -x[0][4]), same=True)
+    return sorted(x for x, _ in _apart(kept, lambda x: (-x[0][4], -x[1], x[0][1]), same=False))
+
+
+def _apart(items: list, order: Callable, same: bool) -> list:
+    """Items, the best first, without those that overlap a better one of their row (and license, if same)."""
+    out: list = []
+    taken: dict[tuple, list[tuple[int, int]]] = {}
+    for x in sorted(items, key=order):
+        row, name, a, b, _ = x[0]
+        spans = taken.setdefault((row, name if same else ""), [])
+        i = bisect_left(spans, (a, b))  # those taken are sorted and apart
+        if (i == 0 or spans[i - 1][1] <= a) and (i == len(spans) or b <= spans[i][0]):
+            spans.insert(i, (a, b))
+            out.append(x)
+    return out
 
 
 def scan(docs: DataFrame, text_col: str = "text", templates: Mapping[str, Sequence[str]] = TEMPLATES) -> DataFrame:
     """Add licenses, an array of (license, start, end, containment) by license and start; code points, end exclusive.
 
     Words are runs of letters and digits (and all of non-ASCII), A-Z lower-cased. A match is a window that holds at
-    least 0.75 of a template's distinct five-word shingles, and spans these. Every window of the whole text is looked
+    least 0.75 of a template's distinct five-word shingles and its license's distinguishing words, and spans these; of
+    overlapping matches the one with the highest containment is given. Every window of the whole text is looked
     at. A null or empty text has none; repeated rows each get theirs; a column named licenses is replaced.
     The templates, a list of fixed size, go to the tasks.
     """

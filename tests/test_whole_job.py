@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lorehouse.functions import vectors
-from lorehouse.llm import html
+from lorehouse.llm import common, html, licences
 from lorehouse.plans import knowledge
 from lorehouse.sources import tables
 
@@ -82,3 +83,20 @@ def test_main_text_keeps_light_runs_of_the_container():
         page = f"<body><div>Log in</div>{SIDE}<{tag}>{STORY}{SIDE}<p>The end.</p></{tag}>{SIDE}<div>Home</div></body>"
         assert html.main_text(page).split("\n") == [*TOLD, "The end."], tag
     assert html.main_text("<body><article><p>Brief.</p></article></body>") == "Brief."
+
+
+def found_licenses(text):
+    return {x[1] for x in licences.matches(*common.text_buffer(pa.array([text], pa.string())), licences.prepare(licences.TEMPLATES))}
+
+
+def test_licenses_by_their_own_names():
+    for name, texts in licences.TEMPLATES.items():
+        for text in texts:
+            if text != licences._BSD_HEAD:
+                assert found_licenses(f"Some words before. {text} And some words after it.") == {name}, text
+    conditions = " Redistributions of source code must retain the above copyright notice. Redistributions in binary form must reproduce it."
+    assert found_licenses(licences._BSD_HEAD + conditions + " This software is provided as is.") == {"BSD-2-Clause"}
+    assert found_licenses(licences._BSD_HEAD + conditions + " " + licences.TEMPLATES["BSD-3-Clause"][1]) == {"BSD-3-Clause"}
+    notice = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    for kind, version, name in (("", "2", "GPL-2.0"), ("", "3", "GPL-3.0"), ("Affero ", "3", "AGPL-3.0"), ("Lesser ", "3", "LGPL-3.0"), ("Lesser ", "2.1", "LGPL-2.1")):
+        assert found_licenses(notice.format(kind, version)) == {name}
