@@ -33,13 +33,18 @@ def insert_if_absent(existing: DataFrame, new: DataFrame, head: int | None = 300
     return hashed.join(first, "hash").where("ord = first_ord").join(known, "hash", "left_anti").drop("first_ord")
 
 
+def _reaching(new: DataFrame, existing: DataFrame, keys: list[str], refuse: float | None, confirm: float | None) -> DataFrame:
+    """(a, b, sim) of new and existing entries that agree in keys and reach the confirm similarity."""
+    least = rules.CONFIRM if confirm is None or refuse is None or refuse < confirm else confirm
+    return similar(new.select("id", "vec", *keys), existing.select("id", "vec", *keys), keys, least).where("a <> b")
+
+
 def candidates(new: DataFrame, existing: DataFrame, keys: list[str], refuse: float | None = None, confirm: float | None = None, top: int = 5) -> DataFrame:
     """(id, candidate, sim, place, band): the nearest `top` live entries that agree in keys and reach the confirm similarity.
 
     new and existing have id, vec and keys, and content_type; an entry is no candidate of itself.
     """
-    least = rules.CONFIRM if confirm is None or refuse is None or refuse < confirm else confirm
-    pairs = similar(new.select("id", "vec", *keys), existing.select("id", "vec", *keys), keys, least).where("a <> b")
+    pairs = _reaching(new, existing, keys, refuse, confirm)
     order = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
     near = pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
     types = new.select(F.col("id").alias("a"), F.col("content_type").alias("t"))
@@ -58,9 +63,11 @@ def decide(new: DataFrame, existing: DataFrame, keys: list[str], refuse: float |
     rest = new.join(exact_hits, "id", "left_anti").where("vec is not null")
     pool = everything.where("flag is null and vec is not null")
     ords = everything.select("id", "ord")
-    near = candidates(rest, pool, keys, refuse, confirm, top=1_000_000)
-    near = near.join(ords, "id").join(ords.select(F.col("id").alias("candidate"), F.col("ord").alias("candidate_ord")), "candidate").where("candidate_ord < ord")
-    best = near.groupBy("id").agg(F.max_by(F.struct("band", "candidate"), F.struct("sim", -F.col("candidate_ord"))).alias("best"))
+    pairs = _reaching(rest, pool, keys, refuse, confirm).select(F.col("a").alias("id"), F.col("b").alias("candidate"), "sim")
+    near = pairs.join(ords, "id").join(ords.select(F.col("id").alias("candidate"), F.col("ord").alias("candidate_ord")), "candidate").where("candidate_ord < ord")
+    nearest = near.groupBy("id").agg(F.max_by(F.struct("sim", "candidate"), F.struct("sim", -F.col("candidate_ord"))).alias("n"))
+    r, c = rules.thresholds(F.col("content_type"), refuse, confirm)
+    best = nearest.join(new.select("id", "content_type"), "id").select("id", F.struct(rules.band(F.col("n.sim"), r, c).alias("band"), F.col("n.candidate").alias("candidate")).alias("best"))
     j = new.select("id").join(exact_hits, "id", "left").join(best, "id", "left")
     decision = F.when(F.col("against").isNotNull(), "exact").otherwise(F.coalesce("best.band", F.lit("pass")))
     return j.select("id", decision.alias("decision"), F.coalesce("against", F.when(F.col("best.band") != "pass", F.col("best.candidate"))).alias("against"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lorehouse.functions import vectors
 from lorehouse.llm import common, html, licences
+from lorehouse.operators import gate
 from lorehouse.plans import knowledge
 from lorehouse.sources import tables
 
@@ -100,3 +101,13 @@ def test_licenses_by_their_own_names():
     notice = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
     for kind, version, name in (("", "2", "GPL-2.0"), ("", "3", "GPL-3.0"), ("Affero ", "3", "AGPL-3.0"), ("Lesser ", "3", "LGPL-3.0"), ("Lesser ", "2.1", "LGPL-2.1")):
         assert found_licenses(notice.format(kind, version)) == {name}
+
+
+def test_gate_takes_earlier_entries_before_any_rank(spark, capsys):
+    rows = [("a", 0, [1.0, 0.1]), ("b", 1, [1.0, 0.0]), *((f"c{i}", 2 + i, [1.0, i / 1e6]) for i in range(20))]
+    e = spark.createDataFrame(rows, "id string, ord long, vec array<double>").withColumns({c: F.lit("fact") for c in ("content_type", "user_id", "subject")})
+    e = e.withColumns({"content": F.col("id"), "flag": F.lit(None).cast("string")})
+    out = gate.decide(e.where("ord > 0"), e.where("ord = 0"), ["content_type"], 0.45, 0.35)
+    assert [(r["decision"], r["against"]) for r in out.where("id = 'b'").collect()] == [("refuse", "a")]
+    out.explain()
+    assert "Window" not in capsys.readouterr().out  # no rank cuts the candidates of an entry
