@@ -11,6 +11,7 @@ from ..functions import rules
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import analytics, corrections, evaluation, gate, graph, ingest, search
+from ..sources import scratch
 from ..sources import tables as S
 from ..streaming import streams
 
@@ -570,7 +571,7 @@ def budget_truncate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'spark-warehouse/checkpoints'}/lorehouse/streams"
+    return f"{scratch.shared_dir(spark)}/lorehouse/streams"
 
 
 @query
