@@ -8,9 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# What marks an entry as about the store itself.
-META_EXTRACTOR = "kms-session-extract"
-META_SUBJECT = r"^(KMS\.|KMSmcp\.|SparrowDB\.bugs|MacMini\.config|orchestration\.)"
+#: What marks an entry as about the store itself, by default: its extractor, and how its subject starts.
+META_EXTRACTOR, META_SUBJECTS = "session-extract", ("store.", "store_bugs.", "host_config.", "orchestration.")
 
 
 def _positive(k: int) -> int:
@@ -39,10 +38,13 @@ def ndcg_at_k(judged: DataFrame, totals: DataFrame, k: int) -> DataFrame:
     return gain.join(best, "query_id", "left").select("query_id", F.coalesce(F.col("dcg") / F.col("ideal"), F.lit(0.0)).alias("ndcg"))
 
 
-def meta_share(ranked: DataFrame, k: int) -> DataFrame:
-    """(query_id, share) of rows (query_id, rank, extracted_by, subject) about the store itself, over k."""
-    meta = (F.coalesce("extracted_by", F.lit("")) == META_EXTRACTOR) | F.coalesce("subject", F.lit("")).rlike(META_SUBJECT)
-    return ranked.groupBy("query_id").agg((F.count_if((F.col("rank") <= _positive(k)) & meta) / k).alias("share"))
+def meta_share(ranked: DataFrame, k: int, extractor: str = META_EXTRACTOR, subjects: tuple[str, ...] = META_SUBJECTS) -> DataFrame:
+    """(query_id, share) of rows (query_id, rank, extracted_by, subject) about the store itself, over k; 0 for k = 0."""
+    meta = F.coalesce(F.col("extracted_by") == extractor, F.lit(False))
+    for head in subjects:
+        meta = meta | F.coalesce(F.col("subject").startswith(head), F.lit(False))
+    share = F.count_if((F.col("rank") <= k) & meta) / k if _positive(k) else F.lit(0.0)
+    return ranked.groupBy("query_id").agg(share.alias("share"))
 
 
 def sweep(pairs: DataFrame, low: int = 100, high: int = 199, scale: int = 200, weight: str | None = None) -> DataFrame:

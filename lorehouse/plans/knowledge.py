@@ -390,7 +390,7 @@ def ndcg_at_10(spark: SparkSession, d: str) -> DataFrame:
 @query
 def meta_share(spark: SparkSession, d: str) -> DataFrame:
     ranked = _ranked_lexical(spark, d, 10).withColumn("n", F.substring("id", 2, 20).cast("long"))
-    marked = ranked.select("query_id", F.col("lexical_rank").alias("rank"), F.when(F.col("n") % 3 == 0, evaluation.META_EXTRACTOR).alias("extracted_by"), F.when(F.col("n") % 5 == 0, "KMS.notes").otherwise("other").alias("subject"))
+    marked = ranked.select("query_id", F.col("lexical_rank").alias("rank"), F.when(F.col("n") % 3 == 0, evaluation.META_EXTRACTOR).alias("extracted_by"), F.when(F.col("n") % 5 == 0, "store.notes").otherwise("other").alias("subject"))
     return evaluation.meta_share(marked, 5)
 
 
