@@ -26,10 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: later jobs start from the files, which outlive executors."""
-    path = f"{shared_dir(df.sparkSession)}/lorehouse/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def cut(df: DataFrame, onto: DataFrame | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again: later jobs start from the files, which outlive executors.
+
+    With onto, a table that cut has given, the rows are added to its files, and the table read again has both.
+    """
+    path = f"{shared_dir(df.sparkSession)}/lorehouse/{uuid.uuid4().hex}" if onto is None else _PATHS.pop(onto)
+    df.write.mode("append").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

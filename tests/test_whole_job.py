@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import duckdb
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lorehouse.functions import vectors
-from lorehouse.llm import common, html, licences
 from lorehouse.operators import gate
 from lorehouse.plans import knowledge
 from lorehouse.sources import tables
@@ -53,56 +51,6 @@ def test_similarity_counts_by_blocks(spark):
     assert sum(r["n"] for r in got[0] if r["dup"] is None) == 500 * 499 // 2 - 490 * 489 // 2
 
 
-def test_main_text_without_end_tags():
-    body = "<article><h1>Head</h1><p>One {} two.</p><p>The end.</p></article>"
-    for top in ("<html><head><title>T</title><body>", "<html><head><title>T</title><style>p{}</style>", "<HEAD><meta charset=utf-8><script>x</script></HEAD><body>"):
-        assert html.main_text(top + body.format("and")) == "Head\nOne and two.\nThe end."
-    assert html.main_text(body.format("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>")) == "Head\nOne x=1 two.\nThe end."
-    assert html.main_text(body.format("<object data='a.svg'>a picture</object>")) == "Head\nOne a picture two.\nThe end."
-    for name in ("svg", "noscript", "button", "select", "iframe", "template"):
-        assert html.main_text(body.format(f"<{name}>and")) == "Head\nOne and two.\nThe end."
-        assert html.main_text(body.format(f"<{name}>gone</{name}>and")) == "Head\nOne and two.\nThe end."
-    assert html.main_text(body.format("<script>var a = 1")) == "Head\nOne"
-
-
-STORY = "".join(f"<p>Paragraph {i} of the story, which is long enough to be told from a teaser by its length alone.</p>" for i in range(6))
-TOLD = [x.partition("</p>")[0] for x in STORY.split("<p>")[1:]]
-SIDE = '<aside><p>a</p><p>b</p><p>c</p><p>d</p></aside>'
-
-
-def test_main_text_weighs_runs_on_every_page():
-    teasers = "<article><h2>Teaser</h2><p>Read more of this.</p></article>" * 2
-    assert html.main_text(f"<body><div>{STORY}</div>{teasers}</body>").split("\n") == TOLD
-    # A long story outside beats articles whose text surges too, and an article beats less text outside.
-    assert html.main_text(f"<body><div>{STORY}</div><article>{STORY[:110]}</p></article></body>").split("\n") == TOLD
-    assert html.main_text(f"<body><div>{STORY[:110]}</p></div><article>{STORY}</article></body>").split("\n") == TOLD
-    assert html.main_text(f"<body><article class='related'>{STORY * 3}</article><div>{STORY}</div></body>").split("\n") == TOLD
-
-
-def test_main_text_keeps_light_runs_of_the_container():
-    for tag in ("div", "article", "main", "section"):
-        page = f"<body><div>Log in</div>{SIDE}<{tag}>{STORY}{SIDE}<p>The end.</p></{tag}>{SIDE}<div>Home</div></body>"
-        assert html.main_text(page).split("\n") == [*TOLD, "The end."], tag
-    assert html.main_text("<body><article><p>Brief.</p></article></body>") == "Brief."
-
-
-def found_licenses(text):
-    return {x[1] for x in licences.matches(*common.text_buffer(pa.array([text], pa.string())), licences.prepare(licences.TEMPLATES))}
-
-
-def test_licenses_by_their_own_names():
-    for name, texts in licences.TEMPLATES.items():
-        for text in texts:
-            if text != licences._BSD_HEAD:
-                assert found_licenses(f"Some words before. {text} And some words after it.") == {name}, text
-    conditions = " Redistributions of source code must retain the above copyright notice. Redistributions in binary form must reproduce it."
-    assert found_licenses(licences._BSD_HEAD + conditions + " This software is provided as is.") == {"BSD-2-Clause"}
-    assert found_licenses(licences._BSD_HEAD + conditions + " " + licences.TEMPLATES["BSD-3-Clause"][1]) == {"BSD-3-Clause"}
-    notice = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
-    for kind, version, name in (("", "2", "GPL-2.0"), ("", "3", "GPL-3.0"), ("Affero ", "3", "AGPL-3.0"), ("Lesser ", "3", "LGPL-3.0"), ("Lesser ", "2.1", "LGPL-2.1")):
-        assert found_licenses(notice.format(kind, version)) == {name}
-
-
 def test_gate_takes_earlier_entries_before_any_rank(spark, capsys):
     rows = [("a", 0, [1.0, 0.1]), ("b", 1, [1.0, 0.0]), *((f"c{i}", 2 + i, [1.0, i / 1e6]) for i in range(20))]
     e = spark.createDataFrame(rows, "id string, ord long, vec array<double>").withColumns({c: F.lit("fact") for c in ("content_type", "user_id", "subject")})
