@@ -1,10 +1,17 @@
-"""Main text of web pages by line-block distribution."""
+"""Main text of web pages by line-block distribution.
+
+What decides is the distribution of text over the page's lines: of each line the characters outside links less those in
+links. Marks of tags and class names are weights in it: text in article or main counts twice, text of marked side parts
+counts against the blocks that hold it and is never given.
+"""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from .common import plus
 
-#: Lines summed in a window, and characters of a window at which text surges; a page with less surges at its peak.
+#: Lines summed in a window, and its weight at which text surges; a page with less surges at its peak.
 WINDOW, SURGE = 3, 80
 #: How often a character in article or main counts where their text is weighed against the rest of the page.
 MAIN_WEIGHT = 2
@@ -29,7 +36,8 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SIDE = frozenset("nav header footer aside form menu dialog fieldset".split())
 _MAIN = frozenset("article main".split())
-_HOLD = frozenset("article body center dd div main section td".split())
+_HOLD = frozenset("article center dd div main section td".split())
+_ENDLESS = frozenset("p li dt dd tr td th".split())
 #: Words of class, id or role that mark what isn't main text.
 _SIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination paywall popup promo related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 _KEEP_WORDS = frozenset("article content entry post story body".split())
@@ -44,25 +52,66 @@ def _marked(attributes: str) -> bool:
     return bool(words & _SIDE_WORDS) and not words & _KEEP_WORDS
 
 
-def lines(page: str) -> list[tuple[str, bool, bool, int]]:
-    """The page's text lines (one a block, white space squeezed): text, whether it's in a marked side part, whether in article or main, and the place of its nearest container."""
-    out: list[tuple[str, bool, bool, int]] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # name, side, main, container
-    side, main, holder = False, False, 0
+class Line(NamedTuple):
+    """A block's text, white space squeezed: how many characters are in links, whether it's in a marked side part or in article or main, and the places of the containers that hold it."""
+
+    text: str
+    linked: int
+    side: bool
+    main: bool
+    holders: tuple[int, ...]
+
+
+class _Open(NamedTuple):
+    name: str
+    side: bool
+    main: bool
+    muted: bool  # in a marked inline element, whose text goes at once
+    link: bool
+    holders: tuple[int, ...]
+
+
+_ROOT = _Open("", False, False, False, False, ())
+#: Containers that a line's place names, from the outermost; those deeper count as the last of these.
+DEPTH = 64
+
+
+def lines(page: str) -> list[Line]:
+    """The page's text lines, one a block, in time linear in the page."""
+    out: list[Line] = []
+    stack = [_ROOT]
+    opened: Counter[str] = Counter()
     held: list[str] = []
+    linked, first = 0, _ROOT
+
+    def add(s: str) -> None:
+        nonlocal linked, first
+        top = stack[-1]
+        if top.muted:
+            return
+        s = unescape(s) if "&" in s else s
+        if not held:
+            first = top
+        held.append(s)
+        if top.link:
+            linked += len(" ".join(s.split()))
 
     def flush() -> None:
+        nonlocal linked
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            out.append((text, side, main, holder))
+            out.append(Line(text, min(linked, len(text)), first.side, first.main, first.holders))
+        linked = 0
+
+    def pop() -> None:
+        opened[stack.pop().name] -= 1
 
     at = 0
     open_ended: set[str] = set()  # names without an end tag from here on
     while m := _TOKEN.search(page, at):
         if m.start() > at:
-            s = page[at : m.start()]
-            held.append(unescape(s) if "&" in s else s)
+            add(page[at : m.start()])
         at = m.end()
         if m[1] and (gone := m[1].lower()) not in open_ended:
             if end := _ENDS[gone].search(page, at):
@@ -76,72 +125,94 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
             continue
         name, closing, attributes = name.lower(), m[2] or m[5], m[4] or m[7] or ""
         if name == "br":
-            held.append(" ")
+            if held:
+                held.append(" ")
             continue
         if name in _BLOCK:
             flush()
-        elif not closing and "=" not in attributes and name not in _SIDE:
-            continue  # an inline element without attributes changes nothing
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if name not in _BLOCK and stack[i][1]:
-                        flush()
-                    del stack[i:]
-                    break
+            if opened[name] > 0:
+                while stack[-1].name != name:
+                    pop()
+                pop()
         elif name not in _VOID and not attributes.endswith("/"):
-            if name in ("p", "li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
-                stack.pop()  # its end tag may be left out
-            marked = name in _SIDE and not (name == "header" and main) or name not in ("html", "body", "main") and _marked(attributes)
-            if marked and name not in _BLOCK:
-                flush()
-            above = stack[-1] if stack else ("", False, False, 0)
-            stack.append((name, above[1] or marked, above[2] or name in _MAIN, at if name in _HOLD else above[3]))
-        side, main, holder = stack[-1][1:] if stack else (False, False, 0)
+            if name in _ENDLESS and stack[-1].name == name:
+                pop()  # its end tag may be left out
+            above = stack[-1]
+            marked = name in _SIDE and not (name == "header" and above.main) or name not in ("html", "body", "main") and _marked(attributes)
+            holders = (*above.holders, at) if name in _HOLD and len(above.holders) < DEPTH else above.holders
+            stack.append(_Open(name, above.side or marked, above.main or name in _MAIN, above.muted or marked and name not in _BLOCK, above.link or name == "a", holders))
+            opened[name] += 1
     if at < len(page):
-        s = page[at:]
-        held.append(unescape(s) if "&" in s else s)
+        add(page[at:])
     flush()
     return out
 
 
-def _runs(sizes: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """(first line, end, characters of the heaviest block) of the runs between the points where text dives."""
-    sums = np.convolve(sizes, np.ones(window, np.int64))  # sums[i] is of the lines i - window + 1 to i
+def _stretches(weights: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """(first line, end, weight of the heaviest block) of the stretches of lines whose blocks weigh something."""
+    sums = np.convolve(weights, np.ones(window, np.int64))  # sums[i] is of the lines i - window + 1 to i
     filled = np.concatenate([[False], sums > 0, [False]])
     edges = np.flatnonzero(filled[1:] != filled[:-1]).reshape(-1, 2).tolist()
-    return [(first, last - window + 1, int(sums[first:last].max())) for first, last in edges]
+    return [(max(0, first - window + 1), min(len(weights), last), int(sums[first:last].max())) for first, last in edges]
+
+
+def _cores(weights: np.ndarray, window: int, level: float) -> list[tuple[int, int]]:
+    """(surge, dive) of the stretches in which a block weighs level: their first line of a block's mean share of it, and the line after their last."""
+    out = []
+    for first, last, top in _stretches(weights, window):
+        if top >= level:
+            heavy = first + np.flatnonzero(weights[first:last] * window >= level)
+            out.append((int(heavy[0]), int(heavy[-1]) + 1))
+    return out
 
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """Text between the surge and dive points of the line-block distribution, a block a line.
 
-    Lines of side parts weigh nothing. A block is `window` lines; its weight is their characters. Text surges where a
-    block weighs `surge` characters, or the page's heaviest block if that has less, and lasts back and forth to the
-    blocks that weigh nothing. The lines in article or main and those outside have a distribution each; of the two, the
-    one is taken whose surging runs hold more text, where that in article or main counts MAIN_WEIGHT times. Every
-    surging run of it is kept whole, short lines within it too, and so are its light runs of the same container: all of
-    article and main, or else the nearest element that holds blocks.
+    A line weighs its characters outside links less those in links, one of a side part the negative of its characters.
+    A block is `window` lines and weighs their sum. Text surges where a block weighs `surge`, or the page's heaviest
+    block if that has less, and dives where blocks weigh nothing; the points are the first and the last line between
+    that weigh a line's share of it. The lines in article or main and those outside have a distribution each; of the
+    two, the one is taken that holds more text between its points, where that in article or main counts MAIN_WEIGHT
+    times. All of it between the points is kept but side parts, and of what lies around them: in article or main the
+    rest of these, elsewhere the lines outside links that lie in the container that holds all of the kept ones, and in
+    the blocks of the points those in the container of that.
     """
     found = lines(page)
-    inside = np.array([m for _, _, m, _ in found], bool)
-    sizes = np.array([0 if s else len(t) for t, s, _, _ in found], np.int64)
-    if not sizes.any():
+    if not found:
         return ""
-    parts = [(where, _runs(sizes * where, window), weight) for where, weight in ((inside, MAIN_WEIGHT), (~inside, 1))]
-    level = min(surge, max(top for _, runs, _ in parts for _, _, top in runs))
-    surging = [[r for r in runs if r[2] >= level] for _, runs, _ in parts]
-    weights = [weight * sum(int((sizes * where)[a:b].sum()) for a, b, _ in runs) for (where, _, weight), runs in zip(parts, surging, strict=True)]
-    taken = int(weights[1] > weights[0])
-    where, runs, _ = parts[taken]
-    holders = np.array([0 if m else 1 + h for _, _, m, h in found], np.int64)
-    of = lambda a, b: set(holders[a:b][(sizes * where)[a:b] > 0].tolist())
-    held = set().union(*(of(a, b) for a, b, _ in surging[taken]))
-    keep = np.zeros(len(sizes), bool)
-    for a, b, top in runs:
-        if top >= level or of(a, b) & held:
-            keep[a:b] = where[a:b]
-    return "\n".join(t for (t, _, _, _), k, n in zip(found, keep, sizes, strict=True) if k and n)
+    inside, side = np.array([x.main for x in found], bool), np.array([x.side for x in found], bool)
+    sizes = np.array([len(x.text) for x in found], np.int64)
+    weights = np.where(side, -sizes, sizes - 2 * np.array([x.linked for x in found], np.int64))
+    parts = [(where, weights * where, weight) for where, weight in ((inside, MAIN_WEIGHT), (~inside, 1))]
+    level = min(surge, max((top for _, w, _ in parts for _, _, top in _stretches(w, window)), default=0))
+    if level <= 0:  # links at most: what isn't marked
+        return "\n".join(x.text for x in found if not x.side and (x.main or not x.linked))
+    cores = [_cores(w, window, level) for _, w, _ in parts]
+    held = [weight * sum(int(np.maximum(w[a:b], 0).sum()) for a, b in core) for (_, w, weight), core in zip(parts, cores, strict=True)]
+    taken = int(held[1] > held[0])
+    where = parts[taken][0]
+    keep = np.zeros(len(found), bool)
+    for a, b in cores[taken]:
+        keep[a:b] = True
+    keep &= where & ~side
+    if taken == 0:
+        keep |= inside & ~side
+    else:
+        common = found[int(np.flatnonzero(keep)[0])].holders
+        for i in np.flatnonzero(keep).tolist():
+            other = found[i].holders
+            while other[: len(common)] != common:
+                common = common[:-1]
+        points = np.zeros(len(found), bool)  # the blocks that hold a surge or a dive point
+        for a, b in cores[taken]:
+            points[max(0, a - window + 1) : b + window - 1] = True
+        for i in np.flatnonzero(where & (weights > 0)).tolist():
+            holders = found[i].holders
+            keep[i] |= holders[: len(common)] == common if common else not holders
+            keep[i] |= points[i] and len(common) > 1 and holders[: len(common) - 1] == common[:-1]
+    return "\n".join(x.text for x, k in zip(found, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame, html_col: str = "html", window: int = WINDOW, surge: int = SURGE) -> DataFrame:
