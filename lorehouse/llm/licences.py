@@ -127,6 +127,7 @@ _BITS = 16
 class Template:
     license: str
     shingles: np.ndarray  # sorted, distinct
+    places: np.ndarray  # where each first is in the text
     window: int
     stride: int
     minima: np.ndarray  # one a band
@@ -143,7 +144,7 @@ def prepare(templates: Mapping[str, Sequence[str]]) -> list[Template]:
     for name in sorted(templates):
         for text in templates[name]:
             words, _, _, rows = _hashes(*text_buffer(pa.array([text], pa.string())))
-            found = np.unique(shingle_hashes(words, rows, SHINGLE)[0])
+            found, places = np.unique(shingle_hashes(words, rows, SHINGLE)[0], return_index=True)
             if len(found):
                 m = max(1, len(words) - SHINGLE + 1)
                 stride = max(1, m // 4)
@@ -152,7 +153,7 @@ def prepare(templates: Mapping[str, Sequence[str]]) -> list[Template]:
                 need = need if need and need.search(own) else None
                 if text != _BSD_HEAD:
                     after = not_after = None
-                out.append(Template(name, found, m + stride, stride, np.array([((found ^ x) * y).min() for x, y in zip(_XOR, _MUL, strict=True)]), (need, bar, after, not_after)))
+                out.append(Template(name, found, places, m + stride, stride, np.array([((found ^ x) * y).min() for x, y in zip(_XOR, _MUL, strict=True)]), (need, bar, after, not_after)))
     return out
 
 
@@ -192,41 +193,60 @@ def _retrieved(h: np.ndarray, templates: list[Template]) -> list[np.ndarray]:
     return [np.array(sorted(x), np.int64) for x in hits]
 
 
+def _copies(at: np.ndarray, places: np.ndarray, most: int) -> list[np.ndarray]:
+    """Indices of the hits of each copy: hits at `at` of the template's shingles at `places`, whose differences stay within gaps of `most` in a copy."""
+    start = at - places
+    order = np.argsort(start, kind="stable")
+    return [np.sort(x) for x in np.split(order, np.flatnonzero(np.diff(start[order]) > most) + 1)]
+
+
 def matches(data: np.ndarray, offsets: np.ndarray, templates: list[Template]) -> list[tuple[int, str, int, int, float]]:
-    """(row, license, first byte, end, containment) of the rows' matches; overlapping windows of one template give one match."""
+    """(row, license, first byte, end, containment) of the rows' matches, one for each copy of a template.
+
+    The shingles of a template in a retrieved window tell by their places where its text began, so that copies one
+    after the other are told apart; where no copy holds enough (a template whose sentences are in another order), the
+    best of overlapping windows counts.
+    """
     words, starts, ends, word_rows = _hashes(data, offsets)
     h, rows = shingle_hashes(words, word_rows, SHINGLE)
     if not len(h):
         return []
     kept: list[tuple[tuple[int, str, int, int, float], int]] = []
+
+    def item(t: Template, row: int, mine: np.ndarray) -> tuple[tuple[int, str, int, int, float], int] | None:
+        shared = len(np.unique(h[mine]))
+        if shared < CONTAINMENT * len(t.shingles):
+            return None
+        a = word_rows[row] + mine[0] - rows[row]
+        b = min(word_rows[row] + mine[-1] - rows[row] + SHINGLE, word_rows[row + 1])
+        need, bar, after, not_after = t.rules
+        words_of = lambda i, j: _plain(data[starts[max(i, word_rows[row])] : ends[min(j, word_rows[row + 1]) - 1]].tobytes())
+        if need and not need.search(words_of(a - SHINGLE + 1, b + SHINGLE - 1)) or bar and bar.search(words_of(a, b)):
+            return None
+        if (after or not_after) and (bool((after or not_after).search(words_of(a, a + _AHEAD))) != bool(after)):
+            return None
+        return (row, t.license, int(starts[a] - offsets[row]), int(ends[b - 1] - offsets[row]), shared / len(t.shingles)), shared
+
     for t, found in zip(templates, _retrieved(h, templates), strict=True):
-        out: list[tuple[tuple[int, str, int, int, float], int]] = []  # with the shingles shared
-        last: tuple[int, int, int] | None = None
-        for at in found.tolist():
-            stop = min(len(h), at + t.window)
-            inside = at + np.flatnonzero(np.isin(h[at:stop], t.shingles))
+        if not len(found):
+            continue
+        first = np.concatenate([[0], np.flatnonzero(np.diff(found) > t.window) + 1])
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(found)], strict=True):  # windows that touch
+            near = found[lo:hi]
+            inside = near[0] + np.flatnonzero(np.isin(h[near[0] : near[-1] + t.window], t.shingles))
             owner = np.searchsorted(rows, inside, side="right") - 1
             for row in np.unique(owner).tolist():
                 mine = inside[owner == row]
-                share = len(np.unique(h[mine])) / len(t.shingles)
-                if share < CONTAINMENT:
-                    continue
-                a = word_rows[row] + mine[0] - rows[row]
-                b = min(word_rows[row] + mine[-1] - rows[row] + SHINGLE, word_rows[row + 1])
-                need, bar, after, not_after = t.rules
-                words_of = lambda i, j, row=row: _plain(data[starts[max(i, word_rows[row])] : ends[min(j, word_rows[row + 1]) - 1]].tobytes())
-                if need and not need.search(words_of(a - SHINGLE + 1, b + SHINGLE - 1)) or bar and bar.search(words_of(a, b)):
-                    continue
-                if (after or not_after) and (bool((after or not_after).search(words_of(a, a + _AHEAD))) != bool(after)):
-                    continue
-                item = (row, t.license, int(starts[a] - offsets[row]), int(ends[b - 1] - offsets[row]), share), len(np.unique(h[mine]))
-                if last and last[0] == row and mine[0] < last[2]:
-                    if share > out[-1][0][4]:
-                        out[-1] = item
-                else:
-                    out.append(item)
-                last = (row, 0, int(mine[-1]) + 1)
-        kept += out
+                places = t.places[np.searchsorted(t.shingles, h[mine])]
+                out = [x for part in _copies(mine, places, (t.window - t.stride) // 4) if (x := item(t, row, mine[part]))]
+                best: list[tuple[tuple[int, str, int, int, float], int]] = []
+                for at in near.tolist():
+                    part = mine[(mine >= at) & (mine < at + t.window)]
+                    if len(part) and (x := item(t, row, part)):
+                        best.append(x)
+                whole = [(a, b) for (_, _, a, b, _), _ in out]
+                out += [x for x in best if not any(x[0][2] < b and a < x[0][3] for a, b in whole)]
+                kept += out
     # Of one license the match with the most shingles, then of all licenses the one with the highest containment.
     kept = _apart(kept, lambda x: (-x[1], -x[0][4]), same=True)
     return sorted(x for x, _ in _apart(kept, lambda x: (-x[0][4], -x[1], x[0][1]), same=False))
@@ -250,9 +270,9 @@ def scan(docs: DataFrame, text_col: str = "text", templates: Mapping[str, Sequen
     """Add licenses, an array of (license, start, end, containment) by license and start; code points, end exclusive.
 
     Words are runs of letters and digits (and all of non-ASCII), A-Z lower-cased. A match is a window that holds at
-    least 0.75 of a template's distinct five-word shingles and its license's distinguishing words, and spans these; of
-    overlapping matches the one with the highest containment is given. Every window of the whole text is looked
-    at. A null or empty text has none; repeated rows each get theirs; a column named licenses is replaced.
+    least 0.75 of a template's distinct five-word shingles and its license's distinguishing words, and spans these; each
+    copy of a template gives a match; of overlapping matches the one with the highest containment is given. Every window
+    of the whole text is looked at. A null or empty text has none; repeated rows each get theirs; a column named licenses is replaced.
     The templates, a list of fixed size, go to the tasks.
     """
     docs = docs.drop("licenses")
