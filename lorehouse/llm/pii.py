@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import chunks, plus
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds with base patterns, and one that the method alone finds.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 LABELERS = ("format", "check", "gazetteer", "context", "border")
 #: Probability from which the classifier adds a span to the base ones.
 ACCEPT = 0.9
@@ -29,6 +32,8 @@ _AT = re.compile(r" ?(?:\[at\]|\(at\)) ?", re.I)
 _DOTTED = re.compile(r"[A-Za-z0-9-]+(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]+)+", re.I)
 _IP6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 _CARD4 = re.compile(r"(?<![0-9])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,}+")
+_ASSIGNED = re.compile(r"""[:=]\s?["']?\Z""")
 _PHONE10 = re.compile(r"(?<![0-9+.()-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 
 #: Words before a span that speak for its kind, and words that speak against any.
@@ -37,10 +42,13 @@ _CUES = {
     "ip": frozenset("ip address host server client login adresse dirección servidor".split()),
     "card": frozenset("card visa mastercard credit debit payment karte carte tarjeta".split()),
     "phone": frozenset("phone tel telephone call mobile fax telefon téléphone teléfono rufen llame".split()),
+    "secret": frozenset("token key secret password passwd pwd bearer auth credential apikey api_key passwort clave".split()),
 }
-_AGAINST = frozenset("version release isbn issn order invoice section chapter build serial article sku".split())
+_AGAINST = frozenset("version release isbn issn order invoice section chapter build serial article sku commit revision checksum hash uuid digest".split())
 _WORDS = re.compile(r"[^\W\d_][\w-]*")
 _TOP_DOMAINS = frozenset("com net org edu gov int info biz io de fr es uk eu it nl ch at be pl us ca au jp cn in br ru".split())
+_PREFIXES = ("AKIA", "AIza", "ghp_", "gho_", "sk-", "sk_", "xoxb-", "xoxp-", "eyJ")
+_HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "62", "65")
 
 
@@ -79,8 +87,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Other forms of the kinds that touch no base span."""
+def near_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Other forms of the kinds, and near misses of the base patterns, that touch no base span of any kind."""
     out, done = [], 0
     for m in _AT.finditer(text):
         start = m.start()
@@ -90,42 +98,58 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         if tail:
             out.append((0, start, tail.end()))
             done = tail.end()
-    for kind, pattern in ((1, _IP6), (2, _CARD4), (3, _PHONE10)):
+    out += [(1, m.start(), m.end()) for m in _IP.finditer(text)]
+    out += [(2, m.start(), m.end()) for m in _CARD.finditer(text) if m.end() - m.start() >= 12 and 12 <= len(_digits(m[0])) <= 19]
+    out += [(3, m.start(), m.end()) for m in _PHONE.finditer(text) if 7 <= len(_digits(m[0])) <= 18]
+    for kind, pattern in ((1, _IP6), (2, _CARD4), (3, _PHONE10), (4, _SECRET)):
         out += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
     taken = sorted((a, b) for _, a, b in base)
     starts = [a for a, _ in taken]
     ends = np.maximum.accumulate([b for _, b in taken]).tolist() if taken else []
 
     def free(a: int, b: int) -> bool:
-        i = int(np.searchsorted(starts, b))
+        i = bisect_left(starts, b)
         return i == 0 or ends[i - 1] <= a
 
-    return [s for s in out if free(s[1], s[2])]
+    return sorted({s for s in out if free(s[1], s[2])})
 
 
-def votes(text: str, kind: int, start: int, end: int, strict: bool) -> str:
-    """One character a labeler, in the order of LABELERS: 1 for, 0 against, ? no opinion."""
+def votes(text: str, kind: int, start: int, end: int) -> str:
+    """One character a labeler, in the order of LABELERS: 1 for, 0 against, ? no opinion.
+
+    format: whether the span is written as its kind mostly is; check: a rule of the kind that its parts must meet;
+    gazetteer: known endings and prefixes; context: cue words before it; border: no letter or digit beside it.
+    """
     name, span = KINDS[kind], text[start:end]
     digits = _digits(span)
-    check, known = "?", "?"
+    form, check, known = "1", "?", "?"
     if name == "email":
+        form = "1" if "@" in span else "?"
         tail = re.split(r"[.\])]\s?", span)[-1].lower()
-        known = "1" if tail in _TOP_DOMAINS else "?"
+        known = "1" if tail in _TOP_DOMAINS else "0"
         check = "0" if span[0] in ".-" or ".." in span else "1"
     elif name == "ip":
-        parts = _octets(span) if "." in span else None
-        check = "1" if parts is None or max(parts) <= 255 else "0"
-        known = "0" if parts and (parts[0] in (0, 255) or parts == [127, 0, 0, 1]) else "?"
+        parts = _octets(span) if "." in span else []
+        check = "1" if parts is not None and max(parts, default=0) <= 255 else "0"
+        known = "0" if parts is None or parts and (parts[0] == 0 or max(parts) >= 255 or parts == [127, 0, 0, 1]) else "1"
+        form = "0" if text[max(0, start - 1) : start] == "." or text[end : end + 1] == "." and text[end + 1 : end + 2].isdigit() else "1"
     elif name == "card":
-        check = "1" if luhn(digits) else "0"
+        groups = re.split("[^0-9]", span)
+        form = "1" if len(groups) in (3, 4) and max(map(len, groups)) <= 6 else "?" if len(groups) == 1 else "0"
+        check = "1" if 13 <= len(digits) <= 19 and luhn(digits) else "0"
         known = "1" if digits.startswith(_ISSUERS) else "0"
-    else:
+    elif name == "phone":
+        form = "1" if span[0] in "+(" else "?"
         check = "1" if 9 <= len(digits) <= 15 else "0"
-        known = "1" if span[0] == "+" and digits[0] != "0" else "0" if digits[0] in "01" else "?"
+        known = "0" if digits[0] == "0" or len(set(digits)) < 3 else "1" if span[0] == "+" else "?"
+    else:
+        form = "1" if _ASSIGNED.search(text, max(0, start - 3), start) else "0"
+        check = "1" if len(re.findall("[0-9]+|[A-Za-z]+", span)) >= 6 else "0"
+        known = "1" if span.startswith(_PREFIXES) or len(span) in (32, 40, 64) and _HEX.match(span) else "?"
     before = [w.lower() for w in _WORDS.findall(text, max(0, start - 40), start)[-4:]]
     context = "1" if any(w in _CUES[name] for w in before) else "0" if any(w in _AGAINST for w in before) else "?"
     inside = (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())
-    return ("1" if strict else "?") + check + known + context + ("0" if inside else "1")
+    return form + check + known + context + ("0" if inside else "1")
 
 
 def _side(text: str, at: int) -> int:
@@ -141,9 +165,9 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, str, int]]:
         return []
     base = base_spans(text)
     out = []
-    for strict, spans in ((True, base), (False, loose_spans(text, base))):
+    for strict, spans in ((True, base), (False, near_spans(text, base))):
         for k, a, b in spans:
-            out.append((k, a, b, strict, votes(text, k, a, b, strict), (_side(text, a - 1) * 4 + _side(text, b)) * 8 + min(7, (b - a) // 6)))
+            out.append((k, a, b, strict, votes(text, k, a, b), (_side(text, a - 1) * 4 + _side(text, b)) * 8 + min(7, (b - a) // 6)))
     return out
 
 
@@ -170,29 +194,34 @@ def reliabilities(counts: dict[str, float], rounds: int = 100) -> tuple[float, n
     return prior, held, dict(zip(patterns, true.tolist(), strict=True))
 
 
+#: Features of a kind: one, two a labeler, the sides' kinds, the length.
+_WIDTH = 1 + 2 * len(LABELERS) + 4 + 4 + 1
+
+
 def _features(kind: int, pattern: str, shape: int) -> np.ndarray:
-    out = np.zeros(1 + 4 + 2 * len(LABELERS) + 4 + 4 + 1)
-    out[0] = 1
-    out[1 + kind] = 1
+    """Each kind has features of its own, as labelers are not equally good at all."""
+    out = np.zeros((len(KINDS), _WIDTH))
+    mine = out[kind]
+    mine[0] = 1
     for i, c in enumerate(pattern):
         if c != "?":
-            out[5 + 2 * i + (c == "0")] = 1
-    out[15 + shape // 32] = 1
-    out[19 + shape // 8 % 4] = 1
-    out[23] = shape % 8 / 8
-    return out
+            mine[1 + 2 * i + (c == "0")] = 1
+    mine[11 + shape // 32] = 1
+    mine[15 + shape // 8 % 4] = 1
+    mine[19] = shape % 8 / 8
+    return out.ravel()
 
 
 def train(docs: DataFrame, text_col: str = "text") -> list[float]:
     """The span classifier's weights: a logistic regression on the truth that the labelers' votes give.
 
     All documents are read; each task counts its candidates by kind, votes and shape, a table of fixed bounds
-    (4 * 3 ** 5 * 128), and only sums of these counts reach the driver. Without candidates the weights are 0.
+    (5 * 3 ** 5 * 128), and only sums of these counts reach the driver. Without candidates the weights are 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[tuple[int, str, int]] = Counter()
-        for batch in batches:
+        for batch in chunks(batches, text_col):
             for text in batch.column(0).to_pylist():
                 if text:
                     seen.update((k, v, shape) for k, _, _, _, v, shape in candidates(text))
@@ -208,7 +237,7 @@ def train(docs: DataFrame, text_col: str = "text") -> list[float]:
             if k == kind:
                 by_pattern[v] += n
         truth[kind] = reliabilities(by_pattern)[2]
-    x = np.array([_features(k, v, s) for k, v, s, _ in rows]).reshape(len(rows), 24)
+    x = np.array([_features(k, v, s) for k, v, s, _ in rows]).reshape(len(rows), len(KINDS) * _WIDTH)
     y, n = np.array([truth[k][v] for k, v, _, _ in rows]), np.array([float(r[3]) for r in rows])
     w = np.zeros(x.shape[1])
     for _ in range(50 if rows else 0):  # Newton's steps
@@ -221,12 +250,16 @@ def train(docs: DataFrame, text_col: str = "text") -> list[float]:
     return [round(float(v), 9) for v in w]
 
 
+def _probability(kind: int, pattern: str, shape: int, weights: np.ndarray) -> float:
+    return float(1 / (1 + np.exp(-np.clip(_features(kind, pattern, shape) @ weights, -30, 30))))
+
+
 def spans(text: str, weights: np.ndarray) -> list[tuple[int, int, int, bool]]:
     """(kind, start, end, base) by kind and start: all base spans, and others that the classifier accepts and that don't overlap within their kind."""
     out, end = [], {}
     for k, a, b, base, v, shape in candidates(text):
         if not base:
-            if 1 / (1 + np.exp(-np.clip(_features(k, v, shape) @ weights, -30, 30))) < ACCEPT or a < end.get(k, 0):
+            if a < end.get(k, 0) or _probability(k, v, shape, weights) < ACCEPT:
                 continue
             end[k] = b
         out.append((k, a, b, base))
