@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import chunks, plus
 
@@ -40,11 +41,21 @@ def encode_bmp(samples: np.ndarray) -> bytes:
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 
 
+def _samples(raw: bytes, kind: np.dtype | type, n: int, start: int) -> np.ndarray:
+    """n samples from raw; ValueError if it holds fewer."""
+    if start < 0 or n < 0 or start + n * np.dtype(kind).itemsize > len(raw):
+        raise ValueError("image data cut short")
+    return np.frombuffer(raw, kind, n, start)
+
+
 def decode_netpbm(raw: bytes) -> np.ndarray:
-    """P1 to P6 as (height, width) or (height, width, 3), uint8 or, for a maximum over 255, uint16. ValueError if malformed."""
+    """P1 to P6 as (height, width) or (height, width, 3), uint8 or, for a maximum over 255, uint16.
+
+    ValueError if malformed, which a sample over the maximum is too.
+    """
     kind, at, head = raw[:2], 2, []
     for _ in range(2 if kind in (b"P1", b"P4") else 3):
-        if not (m := _TOKEN.match(raw, at)) or not m[1].isdigit():
+        if not (m := _TOKEN.match(raw, at)) or not m[1].isdigit() or len(m[1]) > 9:
             raise ValueError("Netpbm header")
         head.append(int(m[1]))
         at = m.end()
@@ -52,17 +63,27 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
     depth = 3 if kind in (b"P3", b"P6") else 1
     if not (w > 0 and h > 0 and 0 < most < 65536):
         raise ValueError("Netpbm size")
-    wide = np.dtype(np.uint8) if most < 256 else np.dtype(">u2")
+    wide, n = np.dtype(np.uint8) if most < 256 else np.dtype(">u2"), w * h * depth
     if kind == b"P4":
-        rows = np.frombuffer(raw, np.uint8, h * (-(-w // 8)), at + 1).reshape(h, -1)
+        rows = _samples(raw, np.uint8, h * (-(-w // 8)), at + 1).reshape(h, -1)
         out = (1 - np.unpackbits(rows, axis=1)[:, :w]) * np.uint8(255)
     elif kind == b"P1":
-        bits = re.sub(rb"#[^\n]*|\s", b"", raw[at:])[: w * h]
-        out = (ord("1") - np.frombuffer(bits, np.uint8)) * np.uint8(255)
+        bits = _samples(re.sub(rb"#[^\n]*|\s", b"", raw[at:]), np.uint8, n, 0)
+        if not np.isin(bits, (48, 49)).all():
+            raise ValueError("Netpbm bits")
+        out = (ord("1") - bits) * np.uint8(255)
     elif kind in (b"P2", b"P3"):
-        out = np.array(re.sub(rb"#[^\n]*", b"", raw[at:]).split()[: w * h * depth], np.int64).astype(wide.newbyteorder("="))
+        found = re.sub(rb"#[^\n]*", b"", raw[at:]).split()[:n]
+        if len(found) < n or not all(x.isdigit() and len(x) < 10 for x in found):
+            raise ValueError("Netpbm samples")
+        values = np.array(found, np.int64)
+        if values.max() > most:
+            raise ValueError("Netpbm samples")
+        out = values.astype(wide.newbyteorder("="))
     elif kind in (b"P5", b"P6"):
-        out = np.frombuffer(raw, wide, w * h * depth, at + 1).astype(wide.newbyteorder("="))
+        out = _samples(raw, wide, n, at + 1).astype(wide.newbyteorder("="))
+        if out.max() > most:
+            raise ValueError("Netpbm samples")
     else:
         raise ValueError("not Netpbm")
     return out.reshape((h, w) if depth == 1 else (h, w, 3))
@@ -77,7 +98,7 @@ def decode_bmp(raw: bytes) -> np.ndarray:
     if packing or w <= 0 or not h or bits not in (1, 4, 8, 24, 32):
         raise ValueError("BMP form")
     line = (w * bits + 31) // 32 * 4
-    rows = np.frombuffer(raw, np.uint8, line * abs(h), start).reshape(abs(h), line)
+    rows = _samples(raw, np.uint8, line * abs(h), start).reshape(abs(h), line)
     if h > 0:
         rows = rows[::-1]
     if bits >= 24:
@@ -90,7 +111,7 @@ def decode_bmp(raw: bytes) -> np.ndarray:
         index = np.unpackbits(rows, axis=1)[:, :w]
     (used,) = struct.unpack_from("<I", raw, 46)
     table = np.zeros((256, 4), np.uint8)
-    colours = np.frombuffer(raw, np.uint8, min((used or 1 << bits) * 4, start - 14 - size), 14 + size).reshape(-1, 4)
+    colours = _samples(raw, np.uint8, min(used or 1 << bits, (start - 14 - size) // 4, 256) * 4, 14 + size).reshape(-1, 4)
     table[: len(colours)] = colours
     rgb = table[:, 2::-1]
     return rgb[:, 0][index] if (rgb[:, :1] == rgb).all() else rgb[index]
@@ -140,70 +161,70 @@ def payload(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + bytes(-len(raw) % WIDTH or (0 if raw else WIDTH))
 
 
-def texts_to_media(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Each text as an image of 8-bit samples, WIDTH wide: PGM for an odd number of rows, BMP for an even one.
+def text_image(raw: bytes) -> bytes:
+    """A payload as an image of 8-bit samples, WIDTH wide: PGM for an odd number of rows, BMP for an even one."""
+    samples = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
+    return encode_pgm(samples) if len(samples) % 2 else encode_bmp(samples)
 
-    Returns id, n_bytes long and media binary. A null text counts as empty and gives one row of zeros; equal texts
-    give equal media; repeated rows each give theirs.
-    """
-    source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
-            sizes, media = [], []
-            for text in batch.column("text").to_pylist():
-                n, raw = payload(text)
-                samples = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
-                sizes.append(n)
-                media.append(encode_pgm(samples) if len(samples) % 2 else encode_bmp(samples))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
 
-    return source.mapInArrow(run, plus(source.select("id"), n_bytes="long", media="binary"))
+def media_columns(raw: bytes | None, tile: int = TILE) -> tuple[bytes | None, bytes | None, str | None]:
+    """The samples of an image as NPY, lossless; its tile x tile area means as uint8 in NPY; its difference hash. Nulls if malformed."""
+    try:
+        image = decode(raw or b"")
+    except (ValueError, struct.error):
+        return None, None, None
+    small = area_resize(image, tile, tile)
+    if image.dtype == np.uint16:
+        small = small / 257
+    return to_npy(image), to_npy(np.clip(np.rint(small), 0, 255).astype(np.uint8)), difference_hash(image)
 
 
 def decode_media(df: DataFrame, media_col: str = "media", tile: int = TILE) -> DataFrame:
     """Decode a binary column of Netpbm or BMP images.
 
     Replaces the column by npy binary (the samples, lossless), tile binary (tile x tile area means as uint8, in NPY)
-    and dhash string. Null, empty or malformed media give nulls. Columns of df with these names are replaced.
+    and dhash string. Null, empty or malformed media give nulls; repeated rows each give theirs; an empty table gives
+    an empty result. Columns of df with these names are replaced.
     """
     source = df.drop("npy", "tile", "dhash")
     names = [c for c in source.columns if c != media_col]
     source = source.select(*names, media_col)
 
-    def one(raw: bytes | None) -> tuple[bytes | None, bytes | None, str | None]:
-        try:
-            image = decode(raw or b"")
-        except (ValueError, struct.error):
-            return None, None, None
-        small = area_resize(image, tile, tile)
-        if image.dtype == np.uint16:
-            small = small / 257
-        return to_npy(image), to_npy(np.clip(np.rint(small), 0, 255).astype(np.uint8)), difference_hash(image)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             step = max(1, min(batch.num_rows, 1 + int(batch.num_rows * 4_000_000 / max(1, batch.column(len(names)).nbytes))))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                out = [one(x) for x in part.column(len(names)).to_pylist()]
+                out = [media_columns(x, tile) for x in part.column(len(names)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.string())))], [*names, "npy", "tile", "dhash"])
 
     return source.mapInArrow(run, plus(source.select(*names), npy="binary", tile="binary", dhash="string"))
 
 
-def digest(df: DataFrame) -> DataFrame:
-    """Read the npy column back and describe it: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
-    source = df.select("id", "n_bytes", "npy", "dhash")
+_DIGEST = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "tile_bytes": "long", "tile_sha256": "string", "feature": "string"}
+
+
+def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+    """What each text gives as media: the text becomes an image file, which is decoded into media columns, and these are read back.
+
+    Returns the id and n_bytes (of the text), payload_bytes, payload_sha256 and tail_crc32 (of the samples that the NPY
+    holds), media_bytes and media_sha256 (of that NPY), tile_bytes and tile_sha256 (of the tile's NPY), feature (the
+    difference hash). Media stay within the task that makes them. A null text counts as empty and gives one row of
+    zeros; equal texts give equal media; repeated rows each give theirs; an empty table gives an empty result.
+    """
+    source = df.select(id_col, F.col(text_col).alias("_text"))
+    kinds = {"long": pa.int64(), "string": pa.string()}
+
+    def one(text: str | None) -> tuple:
+        n, raw = payload(text)
+        npy, small, feature = media_columns(text_image(raw), tile)
+        back = from_npy(npy).tobytes()
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        return n, len(back), sha(back), zlib.crc32(back[-WIDTH:]), len(npy), sha(npy), len(small), sha(small), feature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for raw, feature in zip(batch.column("npy").to_pylist(), batch.column("dhash").to_pylist(), strict=True):
-                back = from_npy(raw).tobytes()
-                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["id", "n_bytes", *names])
-
-    return source.mapInArrow(run, plus(source.select("id", "n_bytes"), payload_bytes="long", payload_sha256="string", tail_crc32="long", media_bytes="long", media_sha256="string", feature="string"))
+        for batch in chunks(batches, "_text"):
+            rows = [one(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], kinds[k]) for i, k in enumerate(_DIGEST.values()))], [id_col, *_DIGEST])
+
+    return source.mapInArrow(run, plus(source.select(id_col), **_DIGEST))
