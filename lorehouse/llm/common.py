@@ -2,39 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..sources.scratch import cut, discard  # noqa: F401
+
 #: Text bytes that a task turns into numpy arrays at once; a longer document makes a chunk of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _MASK = (1 << 64) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one in the working folder where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if own is None:
-        spark.sparkContext.setCheckpointDir("spark-warehouse/checkpoints")
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: later jobs start from the files, which outlive executors."""
-    path = f"{shared_dir(df.sparkSession)}/lorehouse/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def plus(df: DataFrame, **columns: str) -> T.StructType:
     """The schema of df with further columns, by name and type."""
     more = [T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in columns.items()]
