@@ -2,17 +2,16 @@
 
 OP1 = """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT)) AS v
+  SELECT row_number() OVER () AS number, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT)::DOUBLE[] AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-  GROUP BY vec_id
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  SELECT q.number, q.vec_id AS query_id, c.vec_id, c.number AS other, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.number <> c.number AND len(q.v) = len(c.v)
   WHERE q.vec_id % 100 = 0
 )
 SELECT query_id, rank::INT AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+FROM (SELECT *, row_number() OVER (PARTITION BY number ORDER BY score DESC, vec_id, other) AS rank FROM s)
 WHERE rank <= 10
 """
 
@@ -78,4 +77,28 @@ SELECT d.doc_id, d.size, e.source_size, e.target,
 FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source AND d.h = e.h
 """
 
-ORACLE_SQL = {"op1_topk": OP1, "op2_near_duplicates": OP2, "op7_mix": OP7}
+def _nibble(c: int) -> int:
+    for _ in range(4):
+        c = c >> 1 ^ 0xEDB88320 * (c & 1)
+    return c
+
+
+_NIBBLES = [_nibble(i) for i in range(16)]
+_LOW = f"xor({_NIBBLES}[(xor(c, b) & 15) + 1], c >> 4)"
+_CRC = f"xor({_NIBBLES}[(xor({_LOW}, b >> 4) & 15) + 1], {_LOW} >> 4)"
+
+OP3 = f"""
+WITH d AS (
+  SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::BIGINT)), lambda c, b: {_CRC}), 4294967295::BIGINT) AS text_crc32
+  FROM documents
+), p AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before, sum(size) OVER () AS total,
+    row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) AS place FROM d
+), s AS (
+  SELECT *, least(7, (2 * before + size) * 8 // (2 * total))::INT AS shard FROM p
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM s
+"""
+
+ORACLE_SQL = {"op1_topk": OP1, "op2_near_duplicates": OP2, "op3_shards": OP3, "op7_mix": OP7}

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 #: Vectors of a tree and of a leaf, queries of a block, and one in so many vectors searched first.
 SHARD_ROWS, LEAF_ROWS, BLOCK_ROWS, SEED = 32768, 256, 8192, 16
@@ -26,7 +25,7 @@ def quantise(embedding: Column, scale: int = 1024) -> Column:
 class BallTree:
     """Balls over the rows of one shard: centre, radius, slice of the reordered rows, children, smallest id."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def __init__(self, ids: np.ndarray, numbers: np.ndarray, vectors: np.ndarray) -> None:
         order = np.arange(len(ids))
         exact = vectors.astype(np.float64)
         self.centres, self.radii, self.spans, self.children, self.least = [], [], [], [], []
@@ -51,13 +50,13 @@ class BallTree:
 
         build(0, len(ids))
         self.centres, self.radii = np.array(self.centres), np.array(self.radii)
-        self.ids, self.vectors = ids[order], vectors[order]
+        self.ids, self.numbers, self.vectors = ids[order], numbers[order], vectors[order]
         most = float(np.abs(exact).max(initial=0))
         self.most = most
         self.exact = exact[order]
 
-    def search(self, query: np.ndarray, own: int, bounds: np.ndarray, best: list[tuple[int, int]], k: int, narrow: bool) -> list[tuple[int, int]]:
-        """best holds (score, -id) in a heap, the k-th best first; nodes are opened by upper bound until it can't be beaten."""
+    def search(self, query: np.ndarray, own: int, bounds: np.ndarray, best: list[tuple[int, int, int]], k: int, narrow: bool) -> list[tuple[int, int, int]]:
+        """best holds (score, -id, -number) in a heap, the k-th best first; nodes are opened by upper bound until it can't be beaten. own is the query's number."""
         todo = [(-bounds[0], 0)]
         rows, q = (self.exact, query.astype(np.float64)) if narrow else (self.vectors, query)
         while todo:
@@ -73,14 +72,14 @@ class BallTree:
                 continue
             lo, hi = self.spans[node]
             scores = (rows[lo:hi] @ q).astype(np.int64)
-            ids = self.ids[lo:hi]
-            on = ids != own
+            ids, numbers = self.ids[lo:hi], self.numbers[lo:hi]
+            on = numbers != own
             if len(best) == k:
                 on &= scores >= best[0][0]
             on = np.flatnonzero(on)
             if len(on) > k:
-                on = on[np.lexsort((ids[on], -scores[on]))[:k]]
-            for item in zip(scores[on].tolist(), (-ids[on]).tolist(), strict=True):
+                on = on[np.lexsort((numbers[on], ids[on], -scores[on]))[:k]]
+            for item in zip(scores[on].tolist(), (-ids[on]).tolist(), (-numbers[on]).tolist(), strict=True):
                 if len(best) < k:
                     heapq.heappush(best, item)
                 elif item > best[0]:
@@ -88,19 +87,25 @@ class BallTree:
         return best
 
 
-def _search(vectors: DataFrame, block: dict[int, tuple[np.ndarray, np.ndarray]], floor: dict[int, tuple[int, int]], k: int) -> DataFrame:
-    """Top k of each shard for a block of queries; block: by dimension, ids and vectors; floor: a k-th (score, -id) known before."""
+#: What a search gives: the query's number and id, and a candidate's.
+_FOUND = "number long, query_id long, vec_id long, other long, score long"
+
+
+def _search(vectors: DataFrame, block: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], floor: dict[int, list[tuple[int, int, int]]], k: int) -> DataFrame:
+    """Top k of each shard for a block of queries; block: by dimension, numbers, ids and vectors; floor: by number, the k best known before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[int, int]]] = {}  # goes on from shard to shard of the task
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        best: dict[int, list[tuple[int, int, int]]] = {}  # goes on from shard to shard of the task
+        names: dict[int, int] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
         def shard(dim: int) -> None:
             parts = held.pop(dim)
             if dim not in block:
                 return
-            tree = BallTree(np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts]))
-            ids, queries = block[dim]
+            tree = BallTree(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            numbers, ids, queries = block[dim]
+            names.update(zip(numbers.tolist(), ids.tolist(), strict=True))
             wide = queries.astype(np.float64)
             norms = np.sqrt((wide**2).sum(axis=1))
             narrow = dim * tree.most * float(np.abs(wide).max(initial=0)) < 2.0**52
@@ -108,59 +113,60 @@ def _search(vectors: DataFrame, block: dict[int, tuple[np.ndarray, np.ndarray]],
             for at in range(0, len(ids), 1024):
                 upper = wide[at : at + 1024] @ tree.centres.T + norms[at : at + 1024, None] * (tree.radii + 1e-9 * reach) + 1e-6
                 for i, bounds in enumerate(upper, at):
-                    q = int(ids[i])
-                    best[q] = tree.search(queries[i], q, bounds, best.get(q) or [(s, x) for s, x in floor.get(q, ())], k, narrow)
+                    q = int(numbers[i])
+                    best[q] = tree.search(queries[i], q, bounds, best.get(q) or list(floor.get(q, ())), k, narrow)
 
         for batch in batches:
-            ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
+            numbers, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("number", "vec_id"))
             lists = batch.column("v")
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
             values = lists.flatten().to_numpy(zero_copy_only=False)
             starts = np.cumsum(sizes) - sizes
             for dim in np.unique(sizes).tolist():
                 on = np.flatnonzero(sizes == dim)
-                held.setdefault(dim, []).append((ids[on], values[starts[on, None] + np.arange(dim)].reshape(len(on), dim)))
-                if sum(len(a) for a, _ in held[dim]) >= SHARD_ROWS:
+                held.setdefault(dim, []).append((ids[on], numbers[on], values[starts[on, None] + np.arange(dim)].reshape(len(on), dim)))
+                if sum(len(a) for a, _, _ in held[dim]) >= SHARD_ROWS:
                     shard(dim)
         for dim in list(held):
             shard(dim)
-        rows = [(q, -x, s) for q, found in best.items() for s, x in found if (s, x) not in floor.get(q, ())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
+        rows = [(q, names[q], -x, -n, s) for q, found in best.items() for s, x, n in found if (s, x, n) not in floor.get(q, ())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], ["number", "query_id", "vec_id", "other", "score"])
 
-    return vectors.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
+    return vectors.select("number", "vec_id", "v").mapInArrow(run, _FOUND)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
-    """The k highest integer inner products of each query with all other vectors, ties to the smaller id.
+    """The k highest integer inner products of each query row with all other rows, ties to the smaller id.
 
-    vectors has vec_id long and v array<long>. Queries are taken in blocks of a fixed size, which the driver holds and
-    sends to the tasks. For each block one in SEED vectors is searched first; the k best found there go with the block
-    to all other shards, whose trees are left as soon as no node's bound beats the k-th score. Only vectors of equal
-    dimension are compared. Null ids or vectors take no part; of rows that share an id the smallest vector counts;
-    queries with fewer than k others get all; an empty table gives an empty result.
+    vectors has vec_id long and v array<long>. Queries are taken in blocks of BLOCK_ROWS, one after the other: the
+    driver holds one block, and its results are written before the next. For each block one in SEED vectors is searched
+    first; the k best found there go with the block to all other shards, whose trees are left as soon as no node's
+    bound beats the k-th score. Only vectors of equal dimension are compared. Null ids or vectors take no part; rows
+    that share an id or a vector each are candidates, and queries, of their own; queries with fewer than k others get
+    all; an empty table gives an empty result. A block's results are at most k rows a query.
 
     Returns query_id long, rank int from 1, vec_id long, score long.
     """
-    rows = cut(vectors.where("vec_id is not null and v is not null").groupBy("vec_id").agg(F.min("v").alias("v")))
+    rows = cut(vectors.where("vec_id is not null and v is not null").select("vec_id", "v").withColumn("number", F.monotonically_increasing_id()))  # numbers that last, once written
     queries = rows.where(is_query)
     blocks = -(-queries.count() // BLOCK_ROWS)
-    seed = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(SEED)) == 0
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = []
+    seed = F.pmod(F.xxhash64("number", F.lit(1)), F.lit(SEED)) == 0
+    order = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id", "other")
+    best = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = cut(best(rows.sparkSession.createDataFrame([], _FOUND)))
     for b in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)) == b).collect()
+        mine = queries.where(F.pmod(F.xxhash64("number", F.lit(2)), F.lit(blocks)) == b).collect()
         block = {}
         for dim in {len(r["v"]) for r in mine}:
             same = [r for r in mine if len(r["v"]) == dim]
-            block[dim] = (np.array([r["vec_id"] for r in same], np.int64), np.array([r["v"] for r in same], np.int64).reshape(len(same), dim))
-        first = cut(_search(rows.where(seed), block, {}, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"))
-        floor: dict[int, list[tuple[int, int]]] = {}
+            block[dim] = (*(np.array([r[c] for r in same], np.int64) for c in ("number", "vec_id")), np.array([r["v"] for r in same], np.int64).reshape(len(same), dim))
+        first = cut(best(_search(rows.where(seed), block, {}, k)).drop("rank"))
+        floor: dict[int, list[tuple[int, int, int]]] = {}
         for r in first.collect():
-            floor.setdefault(r["query_id"], []).append((r["score"], -r["vec_id"]))
-        for best in floor.values():
-            heapq.heapify(best)
-        found += [first, _search(rows.where(~seed), block, floor, k)]
-    if not found:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
-    ranked = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            floor.setdefault(r["number"], []).append((r["score"], -r["vec_id"], -r["other"]))
+        for known in floor.values():
+            heapq.heapify(known)
+        found = cut(best(first.union(_search(rows.where(~seed), block, floor, k))), onto=found)
+        discard(first)
+    discard(rows)
+    return found.select("query_id", "rank", "vec_id", "score")
