@@ -33,16 +33,15 @@ def term_pattern(term: str) -> str:
     return f"{_edge(term[0], True)}{stem}(?:s|es|ed|ing)?{last}"
 
 
-def damping(content: Column) -> Column:
-    """1 up to 500 characters, then 1 / (1 + log10(length / 500)), 0.6 at least."""
-    n = F.length(content)
+def damping(n: Column) -> Column:
+    """1 up to 500 characters, then 1 / (1 + log10(n / 500)), 0.6 at least."""
     return F.when(n <= 500, 1.0).otherwise(F.greatest(F.lit(0.6), 1 / (1 + F.log10(n / 500))))
 
 
-def relevance_of(matched: Column, density: Column, phrase: Column, n_terms: Column | int, content: Column) -> Column:
+def relevance_of(matched: Column, density: Column, phrase: Column, n_terms: Column | int, chars: Column) -> Column:
     """0.7 of the terms' coverage, 0.15 of their density, 0.15 for the phrase, 1 at most, damped by length."""
     n = F.lit(n_terms) if isinstance(n_terms, int) else n_terms
-    return F.least(F.lit(1.0), matched / n * 0.7 + density / n * 0.15 + F.when(phrase, 0.15).otherwise(0.0)) * damping(content)
+    return F.least(F.lit(1.0), matched / n * 0.7 + density / n * 0.15 + F.when(phrase, 0.15).otherwise(0.0)) * damping(chars)
 
 
 def relevance(content: Column, query: str) -> Column:
@@ -56,7 +55,7 @@ def relevance(content: Column, query: str) -> Column:
     density = sum((F.least(c, F.lit(5)) / 5 for c in counts), F.lit(0.0))
     phrase = query.strip().lower()
     bonus = lower.rlike(_edge(phrase[0], True) + re.escape(phrase) + _edge(phrase[-1], False)) if len(phrase) > 3 else F.lit(False)
-    return F.coalesce(relevance_of(matched, density, bonus, len(terms), content), F.lit(0.0))
+    return F.coalesce(relevance_of(matched, density, bonus, len(terms), F.length(content)), F.lit(0.0))
 
 
 def recency(ts: Column, as_of: Column) -> Column:
@@ -120,7 +119,7 @@ def slug(name: Column, lower: bool = False) -> Column:
 
 def person_name(name: Column) -> Column:
     """Lower case, other than ASCII letters and digits as single spaces, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9 ]+| +", " ")).alias("name")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9 ]+", " "), " +", " ")).alias("name")
 
 
 def topic_head(content: Column) -> Column:

@@ -31,13 +31,13 @@ def valid(vec: Column, dims: int) -> Column:
     return vec.isNotNull() & (F.size(vec) == dims) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def similar(left: DataFrame, right: DataFrame, keys: list[str], threshold: float, block: int = BLOCK_ROWS) -> DataFrame:
+def similar(left: DataFrame, right: DataFrame, keys: list[str], threshold: float, block: int = BLOCK_ROWS, half: bool = False) -> DataFrame:
     """(a, b, sim) of all pairs of rows that agree in keys and have a cosine of threshold or more.
 
     left and right have id, vec (of one dimension, finite) and keys. The sides of a key are dealt into blocks by hash,
     so many that a block has about `block` rows, and each pair of blocks is one group: a hot key is spread over many
     tasks, none holds more than two blocks, and only the pairs that reach the threshold are written. The work is still
-    the product of a key's two sides.
+    the product of a key's two sides. With half, left and right are one table and each pair is formed once, a < b.
     """
     keys = keys or ["_all"]
     if keys == ["_all"]:
@@ -51,7 +51,8 @@ def similar(left: DataFrame, right: DataFrame, keys: list[str], threshold: float
     def dealt(df: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
         j = df.join(counts, keys)
         j = j.withColumn(mine, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
-        return j.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select(*keys, "lb", "rb", "id", "vec")
+        low, high = (F.col(mine), F.col(other) - 1) if half and mine == "lb" else (F.lit(0), F.col(mine) if half else F.col(other) - 1)
+        return j.withColumn(theirs, F.explode(F.sequence(low, high))).select(*keys, "lb", "rb", "id", "vec")
 
     l, r = dealt(left, "nl", "nr", "lb", "rb"), dealt(right, "nr", "nl", "rb", "lb")
     r = r.select(*[F.col(c).alias(f"r_{c}") for c in r.columns])  # names of its own, as both sides may be one table
@@ -64,7 +65,11 @@ def similar(left: DataFrame, right: DataFrame, keys: list[str], threshold: float
         m, n = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (m, n))
         sims = np.clip(m @ n.T, -1, 1)
         i, j = np.nonzero(sims >= threshold)
-        return pd.DataFrame({"a": x["id"].to_numpy()[i], "b": y["r_id"].to_numpy()[j], "sim": sims[i, j]})
+        a, b, s = x["id"].to_numpy(str)[i], y["r_id"].to_numpy(str)[j], sims[i, j]
+        if half:
+            on = a < b if x["lb"].iloc[0] == x["rb"].iloc[0] else a != b
+            a, b, s = np.where(a < b, a, b)[on], np.where(a < b, b, a)[on], s[on]
+        return pd.DataFrame({"a": a.astype(object), "b": b.astype(object), "sim": s})
 
     return l.groupBy(*groups).cogroup(r.groupBy(*[f"r_{c}" for c in groups])).applyInPandas(pairs, "a string, b string, sim double")
 

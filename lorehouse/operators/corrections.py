@@ -7,22 +7,32 @@ from pyspark.sql import functions as F
 
 
 def update(entries: DataFrame, updates: DataFrame, as_of: str) -> DataFrame:
-    """Apply (id, new_content, new_confidence, note): given values replace, ts moves to as_of, update_history gains the note."""
-    u = updates.select("id", "new_content", "new_confidence", "note", F.lit(True).alias("hit"))
+    """Apply (id, new_content, new_confidence, note, and ord where an id may occur more than once): given values replace, ts moves to as_of, update_history gains the notes in order.
+
+    Of several updates of an id the last given value counts for each column.
+    """
+    at = F.col("ord") if "ord" in updates.columns else F.lit(0)
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
+    notes = F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), "note"))), lambda x: x["note"]).alias("notes")
+    u = updates.groupBy("id").agg(last("new_content"), last("new_confidence"), notes, F.lit(True).alias("hit"))
     j = entries.join(u, "id", "left")
     history = F.col("update_history") if "update_history" in entries.columns else F.array().cast("array<string>")
     changed = {
         "content": F.coalesce("new_content", "content"),
         "confidence": F.coalesce("new_confidence", "confidence"),
         "ts": F.when(F.col("hit"), F.lit(as_of).cast("timestamp")).otherwise(F.col("ts")),
-        "update_history": F.when(F.col("hit"), F.concat(history, F.array("note"))).otherwise(history),
+        "update_history": F.when(F.col("hit"), F.concat(history, "notes")).otherwise(history),
     }
-    return j.withColumns(changed).drop("new_content", "new_confidence", "note", "hit")
+    return j.withColumns(changed).drop("new_content", "new_confidence", "notes", "hit")
 
 
 def flag(entries: DataFrame, flags: DataFrame, as_of: str) -> DataFrame:
-    """Apply (id, new_flag, new_successor): a null flag un-flags; any flag but SUPERSEDED clears superseded_by."""
-    f = flags.select("id", "new_flag", "new_successor", F.lit(True).alias("hit"))
+    """Apply (id, new_flag, new_successor, and ord where an id may occur more than once): a null flag un-flags; any flag but SUPERSEDED clears superseded_by.
+
+    Of several flags of an id the last counts.
+    """
+    at = F.col("ord") if "ord" in flags.columns else F.lit(0)
+    f = flags.groupBy("id").agg(F.max_by(F.struct("new_flag", "new_successor"), at).alias("f")).select("id", "f.new_flag", "f.new_successor", F.lit(True).alias("hit"))
     j = entries.join(f, "id", "left")
     successor = F.when(F.col("new_flag") == "SUPERSEDED", F.col("new_successor"))
     changed = {
@@ -49,9 +59,12 @@ def classify_superseded(entries: DataFrame, reverse: DataFrame) -> DataFrame:
     """(id, state, repair_to) of superseded entries; reverse has (old_id, new_id, ts): what the graph says replaced them.
 
     healthy: the successor is in the table; graph-only: only the graph knows one; repairable: no pointer, but the
-    graph has one; true-orphan: neither; dangling: the pointer leads nowhere. The latest successor counts.
+    graph has one; true-orphan: neither; dangling: the pointer leads nowhere. The latest successor counts, of equal
+    times the first by ord (where reverse has it, else by id).
     """
-    latest = reverse.groupBy("old_id").agg(F.max_by("new_id", F.struct("ts", "new_id")).alias("found"))
+    order = "ord" if "ord" in reverse.columns else "new_id"
+    last = reverse.groupBy("old_id").agg(F.max("ts").alias("ts"))
+    latest = reverse.join(last, ["old_id", "ts"]).groupBy("old_id").agg(F.min_by("new_id", order).alias("found"))
     known = entries.select(F.col("id").alias("superseded_by"), F.lit(True).alias("exists"))
     j = entries.where("flag = 'SUPERSEDED'").select("id", "superseded_by").join(known, "superseded_by", "left").join(latest, F.col("id") == F.col("old_id"), "left")
     state = (
@@ -63,6 +76,19 @@ def classify_superseded(entries: DataFrame, reverse: DataFrame) -> DataFrame:
     return j.select("id", state.alias("state"), F.when(state == "repairable", F.col("found")).alias("repair_to"))
 
 
+def repair(entries: DataFrame, reverse: DataFrame) -> DataFrame:
+    """Entries with the successors of repairable ones filled in."""
+    fixes = classify_superseded(entries, reverse).where("repair_to is not null").select("id", "repair_to")
+    return entries.join(fixes, "id", "left").withColumn("superseded_by", F.coalesce("superseded_by", "repair_to")).drop("repair_to")
+
+
+def unresolved(entries: DataFrame, contradictions: DataFrame, as_of: str, days: int = 14) -> DataFrame:
+    """Flag as UNVERIFIED the live entries with a contradiction (id, raised_at, resolved_at) that is open after days."""
+    late = contradictions.where(F.col("resolved_at").isNull() & (F.col("raised_at") < F.timestamp_add("DAY", F.lit(-days), F.lit(as_of).cast("timestamp")))).select("id").distinct()
+    marks = entries.where("flag is null").join(late, "id", "left_semi").select("id", F.lit("UNVERIFIED").alias("new_flag"), F.lit(None).cast("string").alias("new_successor"))
+    return flag(entries, marks, as_of)
+
+
 def reapable(entries: DataFrame, as_of: str, days: int = 90) -> DataFrame:
     """Flagged entries whose flag is older than days."""
     return entries.where(F.col("flag").isNotNull() & (F.col("flag_date") < F.timestamp_add("DAY", F.lit(-days), F.lit(as_of).cast("timestamp"))))

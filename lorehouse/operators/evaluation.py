@@ -79,11 +79,11 @@ def operating_points(swept: DataFrame, recall: float = 0.9) -> DataFrame:
     )
 
 
-def histogram(values: DataFrame, column: str, low: float = 0.5, high: float = 1.0, bins: int = 20) -> DataFrame:
-    """(bin, n) of the values in low..high; the upper edge counts for the last bin."""
+def histogram(values: DataFrame, column: str, low: float = 0.5, high: float = 1.0, bins: int = 20, weight: str | None = None) -> DataFrame:
+    """(bin, n) of the values in low..high; the upper edge counts for the last bin; a row counts weight times, or once."""
     v = F.col(column)
     at = F.least(F.floor((v - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int")
-    return values.where((v >= low) & (v <= high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    return values.where((v >= low) & (v <= high)).groupBy(at.alias("bin")).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
 
 
 def summary(values: DataFrame, column: str, by: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..functions.vectors import similar
+from ..sources.scratch import cut, discard
 
 
 def fingerprinted(entries: DataFrame) -> DataFrame:
@@ -53,21 +54,44 @@ def candidates(new: DataFrame, existing: DataFrame, keys: list[str], refuse: flo
 
 
 def decide(new: DataFrame, existing: DataFrame, keys: list[str], refuse: float | None = None, confirm: float | None = None) -> DataFrame:
-    """(id, decision, against): exact, refuse, confirm or pass for each new entry, against existing ones and earlier ones of the batch.
+    """(id, decision, against, sim): exact, refuse, confirm or pass for each new entry, in their order, as if they came one by one.
 
-    new and existing have id, ord, content, content_type, user_id, subject, flag and vec. An earlier entry of the batch
-    counts whether or not it is refused itself.
+    new and existing have id, ord (unique), content, content_type, user_id, subject, flag and vec. An entry is held
+    against the live existing entries and the new ones before it that passed: one that was turned away turns nothing
+    away. The order is kept by rounds: an entry is turned away once an earlier one that passed is its copy or reaches
+    the confirm similarity, and passes once all earlier ones like it were turned away. Each round writes its state; a
+    round decides the first entry at least, and all at once where chains of like entries are short.
     """
-    everything = existing.unionByName(new)
-    exact_hits = exact(everything).where("duplicate_of is not null").select("id", F.col("duplicate_of").alias("against"))
-    rest = new.join(exact_hits, "id", "left_anti").where("vec is not null")
-    pool = everything.where("flag is null and vec is not null")
-    ords = everything.select("id", "ord")
-    pairs = _reaching(rest, pool, keys, refuse, confirm).select(F.col("a").alias("id"), F.col("b").alias("candidate"), "sim")
-    near = pairs.join(ords, "id").join(ords.select(F.col("id").alias("candidate"), F.col("ord").alias("candidate_ord")), "candidate").where("candidate_ord < ord")
-    nearest = near.groupBy("id").agg(F.max_by(F.struct("sim", "candidate"), F.struct("sim", -F.col("candidate_ord"))).alias("n"))
+    columns = ["id", "ord", "user_id", "content", "content_type", "subject", "flag", "vec", *[k for k in keys if k not in ("content_type", "user_id", "subject")]]
+    rows = existing.select(*columns, F.lit(False).alias("fresh")).unionByName(new.select(*columns, F.lit(True).alias("fresh"))).where("flag is null")
+    marked = cut(fingerprinted(rows).select("id", "ord", "fresh", "user_id", "fingerprint", "content_type"))
+    pool = rows.where("vec is not null")
+    reaching = _reaching(pool.where("fresh"), pool, keys, refuse, confirm)
+    times = marked.select("id", "ord", "fresh")
+    sided = reaching.join(times.select(F.col("id").alias("a"), F.col("ord").alias("ord")), "a").join(times.select(F.col("id").alias("b"), F.col("ord").alias("b_ord"), F.col("fresh").alias("b_fresh")), "b")
+    edges = cut(sided.where(~F.col("b_fresh") | (F.col("b_ord") < F.col("ord"))).select("a", "b", "sim", F.when(F.col("b_fresh"), F.col("b_ord")).alias("b_ord")))
+    copies = marked.select("id", F.when(F.col("fresh"), F.col("ord")).alias("ord"), "user_id", "fingerprint")
+    several = copies.groupBy("user_id", "fingerprint").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = cut(copies.join(several, ["user_id", "fingerprint"]).withColumn("g", F.sha2(F.to_json(F.struct("user_id", "fingerprint")), 256)).select("id", "ord", "g"))
+    state = cut(marked.select("id", F.when(~F.col("fresh"), F.lit(True)).alias("passed")))  # null: not decided yet
+    while True:
+        near = edges.join(state.select(F.col("id").alias("b"), "passed"), "b").groupBy(F.col("a").alias("id")).agg(F.bool_or(F.coalesce("passed", F.lit(False))).alias("met"), F.count_if(F.col("passed").isNull()).alias("waits"))
+        mates = groups.join(state, "id")
+        firsts = mates.groupBy("g").agg(F.count_if("passed").alias("p"), F.min(F.when(F.col("passed").isNull(), F.col("ord"))).alias("next"))
+        held = mates.join(firsts, "g").where(F.col("passed").isNull()).select("id", (F.col("p") > 0).alias("copied"), (F.col("ord") > F.col("next")).alias("later"))
+        j = state.join(near, "id", "left").join(held, "id", "left")
+        out = F.coalesce("met", F.lit(False)) | F.coalesce("copied", F.lit(False))
+        free = (F.coalesce("waits", F.lit(0)) == 0) & ~F.coalesce("later", F.lit(False))
+        state, before = cut(j.select("id", F.coalesce("passed", F.when(out, F.lit(False)).when(free, F.lit(True))).alias("passed"))), state
+        discard(before)
+        if state.where("passed is null").isEmpty():
+            break
+    passed = state.where("passed").select("id")
+    best = edges.join(passed.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.max_by(F.struct("sim", "b"), F.struct("sim", -F.coalesce("b_ord", F.lit(-1)))).alias("n"))
+    kept = groups.join(passed, "id").groupBy("g").agg(F.min_by("id", F.coalesce("ord", F.lit(-1))).alias("first_id"))
+    copy = groups.join(kept, "g").where("id <> first_id").select("id", "first_id")
     r, c = rules.thresholds(F.col("content_type"), refuse, confirm)
-    best = nearest.join(new.select("id", "content_type"), "id").select("id", F.struct(rules.band(F.col("n.sim"), r, c).alias("band"), F.col("n.candidate").alias("candidate")).alias("best"))
-    j = new.select("id").join(exact_hits, "id", "left").join(best, "id", "left")
-    decision = F.when(F.col("against").isNotNull(), "exact").otherwise(F.coalesce("best.band", F.lit("pass")))
-    return j.select("id", decision.alias("decision"), F.coalesce("against", F.when(F.col("best.band") != "pass", F.col("best.candidate"))).alias("against"))
+    fresh = marked.where("fresh").select("id", "content_type").join(state, "id").join(copy, "id", "left").join(best, "id", "left")
+    turned = ~F.col("passed")
+    decision = F.when(turned & F.col("first_id").isNotNull(), "exact").when(turned, rules.band(F.col("n.sim"), r, c)).otherwise("pass")
+    return fresh.select("id", decision.alias("decision"), F.when(turned, F.coalesce("first_id", "n.b")).alias("against"), F.when(turned & F.col("first_id").isNull(), F.col("n.sim")).alias("sim"))

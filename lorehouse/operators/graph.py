@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.rules import decode_strength
 
@@ -35,37 +43,62 @@ def relationships(edges: DataFrame, entries: DataFrame, cap: int = 25, preview:
 
 
 def related(edges: DataFrame, starts: DataFrame, depth: int = 2, limit: int = 20, relation: str = "RELATED_TO") -> DataFrame:
-    """Nodes within depth undirected steps of each start (column start), by least distance, at most limit a start.
+    """Nodes within depth undirected steps of each start (column start), by least distance, then by name, at most limit a start.
 
-    The frontier is a table that is joined to the edges once a level; visited nodes are left out by an anti-join, so
-    a level costs its new nodes' edges.
+    The frontier is joined to the edges once a level; visited nodes are left out by an anti-join. A start goes on only
+    while it has fewer than limit nodes, so of any node's neighbours none but the first 2 * limit + 1 by name can
+    count: hubs are cut to these, by a rank that Spark prunes before the shuffle, and no result is lost.
     """
     steps = adjacency(edges.where(F.col("type") == relation)).select("node", "other").distinct()
-    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("distance"))
-    frontier = seen
+    steps = steps.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("other"))).where(F.col("r") <= 2 * limit + 1).drop("r")
+    frontier = starts.select("start", F.col("start").alias("node")).distinct()
+    seen = frontier.withColumn("distance", F.lit(0))
+    place = Window.partitionBy("start").orderBy("distance", "node")
     for level in range(1, depth + 1):
         new = frontier.join(steps, "node").select("start", F.col("other").alias("node")).distinct()
-        frontier = new.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(level))
-        seen = seen.unionByName(frontier)
-    order = Window.partitionBy("start").orderBy("distance", "node")
-    return seen.where("distance > 0").withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+        fresh = new.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(level))
+        seen = seen.unionByName(fresh).withColumn("place", F.row_number().over(place)).where(F.col("place") <= limit + 1).drop("place")
+        short = seen.groupBy("start").agg(F.count("*").alias("n")).where(F.col("n") <= limit).select("start")
+        frontier = seen.where(F.col("distance") == level).join(short, "start").select("start", "node")
+    return seen.where("distance > 0").withColumn("place", F.row_number().over(place)).select("start", "node", "distance", "place")
+
+
+#: Names that a task searches for at once.
+BLOCK_NAMES = 50_000
 
 
-def mentions(contents: DataFrame, entities: DataFrame) -> DataFrame:
+def mentions(contents: DataFrame, entities: DataFrame, block: int = BLOCK_NAMES) -> DataFrame:
     """(id, entity): entities whose name or an alias, longer than 3 characters, is a substring of a content, case-folded.
 
-    No content meets every entity: a name's key is its second word, if it has a third (such a word stands alone in
-    the content too), else its first four characters; contents meet the keys in equi-joins, and the pairs found are
-    tested for the whole name.
+    Names are taken in blocks by hash, which go to the tasks; a task searches each content once for all names of a
+    block (Aho-Corasick), in time linear in the text. Nothing is shuffled; the contents are read once a block.
     """
     names = entities.select("entity", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).select("entity", F.lower("name").alias("name")).where(F.length("name") > 3).distinct()
-    middle = F.regexp_extract("name", r"^[^ ]+ ([^ ]+) [^ ]", 1)
-    worded, short = names.withColumn("key", middle).where("key <> ''"), names.withColumn("key", F.substring("name", 1, 4)).where(middle == "")
-    lower = contents.select("id", F.lower("content").alias("content"))
-    words = lower.select("id", F.explode(F.array_distinct(F.split("content", " "))).alias("key"))
-    grams = lower.select("id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("(?s)(?=(.{4}))"), F.lit(1)))).alias("key"))
-    pairs = words.join(worded, "key").unionByName(grams.join(short, "key")).select("id", "entity", "name").distinct()
-    return pairs.join(lower, "id").where(F.contains("content", "name")).select("id", "entity").distinct()
+    blocks = max(1, -(-names.count() // block))
+    kind, lower = entities.schema["entity"], contents.select("id", F.lower("content").alias("content"))
+    schema = T.StructType([contents.schema["id"], kind])
+    out = [_mentioned(lower, names.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == i).collect(), schema) for i in range(blocks)]
+    return reduce(DataFrame.union, out).distinct() if blocks > 1 else out[0]
+
+
+def _mentioned(contents: DataFrame, names: list[Row], schema: T.StructType) -> DataFrame:
+    held: dict[str, list] = {}
+    for r in names:
+        held.setdefault(r["name"], []).append(r["entity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ahocorasick.Automaton()
+        for name, owners in held.items():
+            found.add_word(name, owners)
+        found.make_automaton()
+        for batch in batches if held else ():
+            hits = [list(dict.fromkeys(x for _, owners in found.iter(t) for x in owners)) if t else [] for t in batch.column(1).to_pylist()]
+            rows = np.repeat(np.arange(batch.num_rows), [len(x) for x in hits])
+            entity = pa.array([x for xs in hits for x in xs])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), entity if len(entity) else entity.cast(kinds[1])], ["id", "entity"])
+
+    kinds = [x.type for x in to_arrow_schema(schema)]
+    return contents.mapInArrow(run, schema)
 
 
 def auto_links(new: DataFrame, entries: DataFrame, most: int = 5) -> DataFrame:

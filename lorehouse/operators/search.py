@@ -33,11 +33,11 @@ def facets(entries: DataFrame, user: str | None = None, sources: Sequence[str] =
     return out
 
 
-def keyword_match(query: str, columns: Sequence[str] = ("content",)) -> Column:
-    """Whether any keyword of the query is in any of the columns or of the tags; a query without keywords matches all."""
+def keyword_match(query: str, columns: Sequence[str] = ("content",), without: bool = True) -> Column:
+    """Whether any keyword of the query is in any of the columns or of the tags; a query without keywords matches all, or, where `without` is false, as for documents, nothing."""
     words = [w.lower() for w in T.keywords(query)]
     if not words:
-        return F.lit(True)
+        return F.lit(without)
     hit = F.lit(False)
     for w in words:
         for c in columns:
@@ -112,19 +112,38 @@ def query_forms(queries: DataFrame) -> DataFrame:
     return each.select("query_id", "n_terms", "term", F.explode(F.array_distinct(F.filter(F.array(*forms), lambda f: f.isNotNull()))).alias("form"))
 
 
-def relevance_batch(entries: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, relevance) of all pairs in which a term occurs, for many queries at once.
+#: Query strings whose word forms are sent to all tasks; more are joined by shuffling words.
+SENT_QUERIES = 10_000
+
+
+def relevance_batch(entries: DataFrame, queries: DataFrame, top: int | None = None) -> DataFrame:
+    """(query_id, id, relevance) of all pairs in which a term occurs, for many queries at once; with top, of those pairs that can be among a query's top.
 
     Words of the contents meet the queries' word forms in an equi-join, so a row costs its words, not words times
-    queries; the phrase bonus is looked up for the pairs found.
+    queries, and where the forms are few nothing but counts is shuffled. The phrase is looked for only where all terms
+    were found, as it holds them all, and with top only where it can lift the pair to the top of what others have without.
     """
     words = entries.select("id", F.explode(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9_]+"), F.lit(0))).alias("form"))
-    counts = words.join(query_forms(queries), "form").groupBy("query_id", "id", "term", "n_terms").agg(F.count("*").alias("n"))
-    pairs = counts.groupBy("query_id", "id", "n_terms").agg(F.count("*").alias("matched"), F.sum(F.least("n", F.lit(5)) / 5).alias("density"))
-    both = pairs.join(queries, "query_id").join(entries.select("id", "content"), "id")
-    pattern = F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), F.lower(F.trim("query")), F.lit(r"\E(?![A-Za-z0-9_])"))
-    phrase = (F.length(F.trim("query")) > 3) & F.regexp_like(F.lower("content"), pattern)
-    return both.select("query_id", "id", T.relevance_of(F.col("matched"), F.col("density"), phrase, F.col("n_terms"), F.col("content")).alias("relevance"))
+    forms = query_forms(queries)
+    if queries.limit(SENT_QUERIES + 1).count() <= SENT_QUERIES:
+        forms = F.broadcast(forms)
+    counts = words.join(forms, "form").groupBy("query_id", "id", "term", "n_terms").agg(F.count("*").alias("n"))
+    pairs = counts.groupBy("query_id", "id", "n_terms").agg(F.count("*").alias("matched"), F.sum(F.least("n", F.lit(5)).cast("long")).alias("fifths"))
+    sizes = entries.select("id", F.length("content").alias("chars"))
+    score = lambda phrase: T.relevance_of(F.col("matched"), F.col("fifths") / 5, phrase, F.col("n_terms"), F.col("chars"))
+    scored = pairs.join(sizes, "id").withColumn("low", score(F.lit(False)))
+    open_ = F.col("matched") == F.col("n_terms")
+    if top is not None:
+        order = Window.partitionBy("query_id").orderBy(F.desc("low"))
+        kth = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top).groupBy("query_id").agg(F.min("low").alias("kth"), F.count("*").alias("n"))
+        kth = kth.select("query_id", F.when(F.col("n") == top, F.col("kth") - 1e-6).otherwise(0.0).alias("kth"))  # ranks are of rounded scores
+        scored = scored.join(kth, "query_id").where((F.col("low") >= F.col("kth")) | open_ & (score(F.lit(True)) >= F.col("kth"))).drop("kth")
+    text = F.lower(F.trim("query"))
+    pattern = F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), text, F.lit(r"\E(?![A-Za-z0-9_])"))
+    found = F.contains(F.lower("content"), text) & F.regexp_like(F.lower("content"), pattern)
+    maybe = scored.where(open_).select("query_id", "id").join(queries.where(F.length(F.trim("query")) > 3), "query_id").join(entries.select("id", "content"), "id").where(found).select("query_id", "id", F.lit(True).alias("phrase"))
+    both = scored.join(maybe, ["query_id", "id"], "left")
+    return both.select("query_id", "id", score(F.coalesce("phrase", F.lit(False))).alias("relevance"))
 
 
 def ranked(df: DataFrame, by: Sequence[Column], name: str, partition: Sequence[str] = ()) -> DataFrame:
@@ -132,15 +151,24 @@ def ranked(df: DataFrame, by: Sequence[Column], name: str, partition: Sequence[s
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*by)))
 
 
-def rrf(lexical: DataFrame, vector: DataFrame, partition: Sequence[str] = ("query_id",)) -> DataFrame:
-    """Reciprocal rank fusion of two ranked arms (partition, id, lexical_rank) and (partition, id, vector_rank), to 6 places."""
+def rrf(lexical: DataFrame, vector: DataFrame, partition: Sequence[str] = ("query_id",), weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """Weighted reciprocal rank fusion of two ranked arms (partition, id, lexical_rank) and (partition, id, vector_rank), to 6 places."""
     both = lexical.join(vector, [*partition, "id"], "full")
-    score = F.coalesce(1 / (RRF_K + F.col("lexical_rank")), F.lit(0.0)) + F.coalesce(1 / (RRF_K + F.col("vector_rank")), F.lit(0.0))
+    score = sum(F.coalesce(w / (RRF_K + F.col(c)), F.lit(0.0)) for w, c in zip(weights, ("lexical_rank", "vector_rank"), strict=True))
     return both.withColumn("rrf", F.round(score, 6))
 
 
-def within_budget(results: DataFrame, partition: Sequence[str], rank: str, budget: int = 70 * 1024) -> DataFrame:
-    """The longest prefix of each partition's ranked results whose JSON has budget bytes at most."""
-    cost = F.octet_length(F.to_json(F.struct(*results.columns)))
-    upto = Window.partitionBy(*partition).orderBy(rank).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return results.withColumn("bytes", F.sum(cost).over(upto)).where(F.col("bytes") <= budget)
+def fused_order(recency: str = "recency", lexical: str = "lexical") -> list[Column]:
+    """Order of fused candidates: by score, then the newer, then the better in words, then the id by code point; nulls last."""
+    return [F.desc("rrf"), F.col(recency).desc_nulls_last(), F.col(lexical).desc_nulls_last(), F.col("id").cast("binary")]
+
+
+def within_budget(results: DataFrame, partition: Sequence[str], by: Sequence[Column], cost: Column, budget: int = 70 * 1024, least: int = 1) -> DataFrame:
+    """The longest prefix of each partition's results, in this order, whose costs (`least` or more a row) sum to budget at most; adds place and bytes.
+
+    No row after budget / least others can fit, so that a rank, which Spark prunes before the shuffle, leaves a bounded
+    number a partition to be summed.
+    """
+    placed = ranked(results.withColumn("bytes", cost), by, "place", partition).where(F.col("place") <= budget // least)
+    upto = Window.partitionBy(*partition).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.withColumn("bytes", F.sum("bytes").over(upto)).where(F.col("bytes") <= budget)

@@ -72,7 +72,7 @@ def keyword_or(spark: SparkSession, d: str) -> DataFrame:
 @query
 def document_search(spark: SparkSession, d: str) -> DataFrame:
     e = S.entries(spark, d).withColumn("title", T.topic_head(F.col("content")))
-    found = e.where(search.keyword_match("onti with", ("content", "title")) & F.arrays_overlap("tags", F.array(F.lit("en"), F.lit("src3"))))
+    found = e.where(search.keyword_match("onti with", ("content", "title"), without=False) & F.arrays_overlap("tags", F.array(F.lit("en"), F.lit("src3"))))
     return found.orderBy(F.desc("ts"), "ord").limit(100).select("id", F.substring("title", 1, 20).alias("title"), T.word_count(F.col("content")).alias("words"))
 
 
@@ -125,21 +125,20 @@ def source_counts(spark: SparkSession, d: str) -> DataFrame:
 @query
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     v = S.vectors(spark, d)
-    q = v.where("ord = 7").select(F.col("ord").alias("query_id"), "vec")
-    return V.nearest(q, v, 10).select("id", F.round("sim", 6).alias("sim"))
+    return V.nearest(v.select(F.col("ord").alias("query_id"), "vec"), v, 10).select("query_id", "place", "id", "sim")
 
 
 @query
 def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     v = S.vectors(spark, d)
     pool = v.join(search.facets(S.entries(spark, d), user=USER).select("id"), "id")
-    return V.nearest(v.where("ord = 7").select(F.col("ord").alias("query_id"), "vec"), pool, 5).select("id", F.round("sim", 6).alias("sim"))
+    return V.nearest(v.select(F.col("ord").alias("query_id"), "vec"), pool, 5).select("query_id", "place", "id", "sim")
 
 
 @query
 def similar_pairs(spark: SparkSession, d: str) -> DataFrame:
     v = S.vectors(spark, d)
-    return V.similar(v, v, [], CONFIRM).where("a < b").select("a", "b", F.round("sim", 6).alias("sim"))
+    return V.similar(v, v, [], CONFIRM, half=True).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query
@@ -152,7 +151,7 @@ def vector_coverage(spark: SparkSession, d: str) -> DataFrame:
 def _ranked_lexical(spark: SparkSession, d: str, k: int) -> DataFrame:
     """(query_id, id, relevance, recency, lexical_rank) for all query strings."""
     live = _live(spark, d)
-    rel = search.relevance_batch(live, S.search_queries(spark, d)).withColumn("relevance", F.round("relevance", 6))
+    rel = search.relevance_batch(live, S.search_queries(spark, d), top=k).withColumn("relevance", F.round("relevance", 6))
     j = rel.join(live.select("id", F.round(T.recency(F.col("ts"), F.lit(S.AS_OF)), 6).alias("recency")), "id")
     return search.ranked(j, [F.desc("relevance"), F.desc("recency"), F.col("id")], "lexical_rank", ["query_id"]).where(F.col("lexical_rank") <= k)
 
@@ -160,23 +159,26 @@ def _ranked_lexical(spark: SparkSession, d: str, k: int) -> DataFrame:
 @query
 def rrf_batch_topk(spark: SparkSession, d: str) -> DataFrame:
     lexical = _ranked_lexical(spark, d, 20)
-    v = S.vectors(spark, d)
-    pool = v.join(_live(spark, d).select("id"), "id")
+    v, live = S.vectors(spark, d), _live(spark, d)
+    pool = v.join(live.select("id"), "id")
     queries = S.search_queries(spark, d).select("query_id").join(v.select(F.col("ord").alias("query_id"), "vec"), "query_id")
     near = V.nearest(queries, pool, 20).select("query_id", "id", F.col("place").alias("vector_rank"))
-    fused = search.rrf(lexical.select("query_id", "id", "lexical_rank"), near)
-    top = search.ranked(fused, [F.desc("rrf"), F.col("id")], "place", ["query_id"]).where("place <= 10")
-    return top.select("query_id", "place", "id", "rrf")
+    fused = search.rrf(lexical.select("query_id", "id", "lexical_rank", F.col("relevance").alias("lexical")), near)
+    dated = fused.join(live.select("id", F.round(T.recency(F.col("ts"), F.lit(S.AS_OF)), 6).alias("recency")), "id")
+    return search.ranked(dated, search.fused_order(), "place", ["query_id"]).where("place <= 10").select("query_id", "place", "id", "rrf")
 
 
 @query
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    e = search.scored(search.facets(S.entries(spark, d), user=USER), QUERY, S.AS_OF).where("relevance > 0")
-    lexical = search.ranked(e.orderBy(F.desc("score"), "ord").limit(20), [F.desc("score"), F.col("ord")], "lexical_rank").select(F.lit(7).cast("long").alias("query_id"), "id", "lexical_rank")
+    mine = search.facets(S.entries(spark, d), user=USER)
+    e = search.scored(mine, QUERY, S.AS_OF).where("relevance > 0").withColumn("relevance", F.round("relevance", 6))
+    best = e.orderBy(F.desc("score"), "ord").limit(20)
+    lexical = search.ranked(best, [F.desc("score"), F.col("ord")], "lexical_rank").select(F.lit(7).cast("long").alias("query_id"), "id", "lexical_rank", F.col("relevance").alias("lexical"))
     v = S.vectors(spark, d)
-    pool = v.join(search.facets(S.entries(spark, d), user=USER).select("id"), "id")
-    near = V.nearest(v.where("ord = 7").select(F.col("ord").alias("query_id"), "vec"), pool, 20).select("query_id", "id", F.col("place").alias("vector_rank"))
-    return search.rrf(lexical, near).orderBy(F.desc("rrf"), "id").limit(10).select("id", "lexical_rank", "vector_rank", "rrf")
+    near = V.nearest(v.where("ord = 7").select(F.col("ord").alias("query_id"), "vec"), v.join(mine.select("id"), "id"), 20).select("query_id", "id", F.col("place").alias("vector_rank"))
+    fused = search.rrf(lexical, near, weights=(1.0, 0.8))
+    dated = fused.join(mine.select("id", F.round(T.recency(F.col("ts"), F.lit(S.AS_OF)), 6).alias("recency")), "id")
+    return dated.orderBy(*search.fused_order()).limit(10).select("id", "lexical_rank", "vector_rank", "rrf")
 
 
 # Rules
@@ -219,15 +221,21 @@ def search_recommendation(spark: SparkSession, d: str) -> DataFrame:
 # Gate
 
 
+def _by_content(spark: SparkSession, d: str) -> DataFrame:
+    """Entries whose user, type and subject follow from the content, so that copies are one user's of one kind."""
+    n = F.length("content")
+    return S.entries(spark, d).withColumns({"user_id": F.concat(F.lit("u"), n % 3), "content_type": S.pick(S.CONTENT_TYPES, n % 6), "subject": F.element_at("tags", 1)})
+
+
 @query
 def fingerprint_dups(spark: SparkSession, d: str) -> DataFrame:
-    return gate.exact(S.entries(spark, d).withColumn("user_id", F.lit("u")).withColumn("content_type", F.lit("fact"))).where("duplicate_of is not null").select("id", "duplicate_of")
+    return gate.exact(_by_content(spark, d)).where("duplicate_of is not null").select("id", "duplicate_of")
 
 
 @query
 def content_hash_first_wins(spark: SparkSession, d: str) -> DataFrame:
     e = S.entries(spark, d)
-    return gate.insert_if_absent(e.where("flag = 'DELETED'"), e.where("flag is null")).select("id")
+    return gate.insert_if_absent(e.where("flag = 'DELETED'"), e.where("flag is null or flag <> 'DELETED'")).select("id")
 
 
 def _with_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -242,8 +250,10 @@ def gate_bands(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def gate_batch(spark: SparkSession, d: str) -> DataFrame:
-    e = _with_vectors(spark, d).withColumn("user_id", F.lit("u"))
-    return gate.decide(e.where("flag is null"), e.where("flag = 'RETRACTED'"), ["content_type"], REFUSE, CONFIRM)
+    """The entries of cross_domain sources are there before, all others come one by one."""
+    e = _by_content(spark, d).join(S.vectors(spark, d).select("id", "vec"), "id", "left").where("flag is null")
+    there = F.col("source") == "cross_domain"
+    return gate.decide(e.where(~there), e.where(there), ["content_type"], REFUSE, CONFIRM).withColumn("sim", F.round("sim", 6))
 
 
 # Corrections
@@ -278,7 +288,7 @@ def supersede_chain(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def supersede_orphans(spark: SparkSession, d: str) -> DataFrame:
-    reverse = S.edges(spark, d).where("type = 'SUPERSEDES' and dst is not null").select(F.col("dst").alias("old_id"), F.col("src").alias("new_id"), F.col("ord").alias("ts"))
+    reverse = S.edges(spark, d).where("type = 'SUPERSEDES' and dst is not null").select(F.col("dst").alias("old_id"), F.col("src").alias("new_id"), F.floor(F.col("ord") / 50).alias("ts"), "ord")
     return corrections.classify_superseded(S.entries(spark, d), reverse)
 
 
@@ -314,8 +324,7 @@ def detach_deleted(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bfs_two_hop(spark: SparkSession, d: str) -> DataFrame:
-    starts = spark.createDataFrame([("d5",), ("d10",), ("d1",)], "start string")
-    return graph.related(S.edges(spark, d), starts)
+    return graph.related(S.edges(spark, d), _live(spark, d).select(F.col("id").alias("start")))
 
 
 def _entities(spark: SparkSession, d: str) -> DataFrame:
@@ -394,15 +403,6 @@ def meta_share(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.meta_share(marked, 5)
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs from the histogram's lowest edge on."""
-    v = S.vectors(spark, d)
-    labels = v.select("id", "label")
-    found = V.similar(v, v, [], 0.2).where("a < b")
-    a, b = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-    return found.join(a, "a").join(b, "b").select("a", "b", F.round("sim", 6).alias("sim"), (F.col("la") == F.col("lb")).alias("dup"))
-
-
 def _swept(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.sweep(V.similarity_counts(S.vectors(spark, d)), 40, 120, 200, "n")
 
@@ -420,13 +420,12 @@ def operating_points(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def similarity_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.histogram(_pairs(spark, d), "sim", 0.2, 0.7, 20)
+    return evaluation.histogram(V.similarity_counts(S.vectors(spark, d)), "sim", 0.2, 0.7, 20, "n")
 
 
 @query
 def similarity_stats(spark: SparkSession, d: str) -> DataFrame:
-    s = evaluation.counted_summary(V.similarity_counts(S.vectors(spark, d)), "sim", "n", ["dup"])
-    return s.select("dup", "n", *[F.round(c, 6).alias(c) for c in ("min", "p10", "p25", "median", "p75", "p90", "max", "mean")])
+    return evaluation.counted_summary(V.similarity_counts(S.vectors(spark, d)), "sim", "n", ["dup"])
 
 
 @query
@@ -526,12 +525,14 @@ def transcript_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def claims_explode(spark: SparkSession, d: str) -> DataFrame:
+    """Each conversation's first five turns as a distilled answer, of which the claims are read again."""
     t = F.col("turn")
-    claim = F.struct(S.pick(ingest.CLAIM_TYPES, t % 6).alias("type"), F.substring("text", 1, 80).alias("content"), S.pick(ingest.CONFIDENCES, t % 3).alias("qualitative_confidence"), F.array("role").alias("topics"), F.array().cast("array<string>").alias("people"))
-    c = S.table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", claim.alias("claim")))), lambda x: x["claim"]).alias("claims"))
+    first = search.ranked(S.table(spark, d, "conversations"), [t], "r", ["conv_id"]).where("r <= 5")
+    claim = F.struct(S.pick(ingest.CLAIM_TYPES, t % 6).alias("type"), F.col("text").alias("content"), S.pick(ingest.CONFIDENCES, t % 3).alias("qualitative_confidence"), F.array("role").alias("topics"), F.array().cast("array<string>").alias("people"))
+    c = first.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", claim.alias("claim")))), lambda x: x["claim"]).alias("claims"))
     raw = c.select("conv_id", F.concat(F.lit("```json\n"), F.to_json(F.struct(F.lit("summary").alias("summary"), "claims")), F.lit("\n```")).alias("raw"))
     parsed = raw.select(F.col("conv_id").alias("doc"), ingest.distillation(F.col("raw")).alias("p")).select("doc", F.posexplode("p.claims").alias("ord", "claim"))
-    rows = ingest.merged_claims(parsed.select("doc", "ord", "claim.*"), 4)
+    rows = ingest.merged_claims(parsed.select("doc", "ord", "claim.*"))
     return rows.select("doc", "place", "type", rules.claim_type(F.col("type")).alias("content_type"), rules.numeric_confidence(F.col("qualitative_confidence")).alias("confidence"), F.length("content").alias("chars"))
 
 
@@ -560,11 +561,9 @@ def slugify_subject(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def budget_truncate(spark: SparkSession, d: str) -> DataFrame:
-    e = S.entries(spark, d).select("user_id", "id", "content", "ord")
-    placed = search.ranked(e, [F.col("ord")], "place", ["user_id"]).select("user_id", "place", "id", T.excerpt(F.col("content")).alias("excerpt"))
-    sized = placed.withColumn("bytes", F.octet_length("excerpt") + F.octet_length("id"))
-    upto = Window.partitionBy("user_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return sized.withColumn("bytes", F.sum("bytes").over(upto)).where("bytes <= 71680").select("user_id", "place", "id", "bytes")
+    """Each user's entries by arrival, as many as fit the budget."""
+    e = S.entries(spark, d).select("user_id", "id", T.excerpt(F.col("content")).alias("excerpt"), "ord")
+    return search.within_budget(e, ["user_id"], [F.col("ord")], F.octet_length(F.coalesce("excerpt", F.lit(""))) + F.octet_length("id")).select("user_id", "place", "id", "bytes")
 
 
 # Streams

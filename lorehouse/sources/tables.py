@@ -73,7 +73,7 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query strings, one a benchmark item: query_id, query (its first five words of two letters or more, lower-cased, ASCII)."""
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{2,}\b"), F.lit(0)), 1, 5)
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("(?<![a-z0-9_])[a-z]{2,}(?![a-z0-9_])"), F.lit(0)), 1, 5)
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
 
 
