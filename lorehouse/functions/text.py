@@ -89,6 +89,34 @@ def content_hash(content: Column, head: int | None = None) -> Column:
     return F.sha2(F.substring(s, 1, head) if head else s, 256)
 
 
+def pair_key(new: Column, candidate: Column) -> Column:
+    """SHA-256 of two contents with a bar between."""
+    return F.sha2(F.concat(new, F.lit("|"), candidate), 256)
+
+
+def cache_key(*parts: Column) -> Column:
+    """The first 32 hex digits of the SHA-256 of the parts with a zero character between."""
+    return F.substring(F.sha2(F.concat_ws("\x00", *parts), 256), 1, 32)
+
+
+def legacy_relevance(content: Column, query: str) -> Column:
+    """Share of the query's words that the content holds anywhere, each worth half as much again if it holds the whole query."""
+    lower, terms = F.lower(content), query.lower().split()
+    bonus = F.lit(1.0) + F.when(lower.contains(query.lower()), 0.5).otherwise(0.0)
+    return sum((F.when(lower.contains(t), bonus).otherwise(0.0) for t in terms), F.lit(0.0)) / len(terms) if terms else F.lit(0.0)
+
+
+def length_ratio(a: Column, b: Column) -> Column:
+    """The shorter's share of the longer, after white space is squeezed; 1 for two empty texts."""
+    x, y = (F.length(F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))) for c in (a, b))
+    return F.when(F.greatest(x, y) == 0, 1.0).otherwise(F.least(x, y) / F.greatest(x, y))
+
+
+def event_time(epoch: Column, *texts: Column) -> Column:
+    """The first that is given and valid: seconds since 1970, or an ISO text."""
+    return F.coalesce(F.timestamp_seconds(F.when(epoch > 0, epoch)), *[F.try_to_timestamp(t) for t in texts])
+
+
 def excerpt(content: Column, n: int = 300) -> Column:
     """The first n characters, with an ellipsis if there are more."""
     return F.concat(F.substring(content, 1, n), F.when(F.length(content) > n, "…").otherwise(""))

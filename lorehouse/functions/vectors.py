@@ -31,6 +31,14 @@ def valid(vec: Column, dims: int) -> Column:
     return vec.isNotNull() & (F.size(vec) == dims) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
+def hashed_words(content: Column, dims: int = 64) -> Column:
+    """A deterministic embedding: how many of a text's words fall into each of dims buckets by MD5. It stands where a model's vectors are not at hand."""
+    words = F.regexp_extract_all(F.lower(content), F.lit("[a-z0-9]+"), F.lit(0))
+    buckets = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % dims).cast("int"))
+    counts = F.aggregate(buckets, F.array_repeat(F.lit(0.0), dims), lambda s, b: F.transform(s, lambda x, i: F.when(i == b, x + 1).otherwise(x)))
+    return F.when(F.size(words) > 0, counts)
+
+
 def similar(left: DataFrame, right: DataFrame, keys: list[str], threshold: float, block: int = BLOCK_ROWS, half: bool = False) -> DataFrame:
     """(a, b, sim) of all pairs of rows that agree in keys and have a cosine of threshold or more.
 

@@ -96,3 +96,29 @@ def reapable(entries: DataFrame, as_of: str, days: int = 90) -> DataFrame:
 
 def reap(entries: DataFrame, as_of: str, days: int = 90) -> DataFrame:
     return entries.join(reapable(entries, as_of, days).select("id"), "id", "left_anti")
+
+
+#: What each action needs beside its content.
+REQUIRED = {"supersede": "target_id", "update": "target_id", "complement": "target_id", "force-new": "reason"}
+
+
+def check_actions(rows: DataFrame) -> DataFrame:
+    """Add error to rows (action, target_id, reason): what an action lacks, or that it is unknown; null without an action or if all is there."""
+    error = None
+    for name, column in REQUIRED.items():
+        rule = (F.col("action") == name) & (F.coalesce(F.trim(column), F.lit("")) == "")
+        text = F.lit(f"{name} needs {column}")
+        error = F.when(rule, text) if error is None else error.when(rule, text)
+    return rows.withColumn("error", error.when(F.col("action").isNotNull() & ~F.col("action").isin(*REQUIRED), F.concat(F.lit("unknown action "), "action")))
+
+
+def presence(ids: DataFrame, graph: DataFrame, documents: DataFrame) -> DataFrame:
+    """(id, in_graph, in_documents) of ids, by the tables of both stores (id)."""
+    seen = lambda df, name: df.select("id", F.lit(True).alias(name)).distinct()
+    j = ids.select("id").join(seen(graph, "g"), "id", "left").join(seen(documents, "d"), "id", "left")
+    return j.select("id", F.coalesce("g", F.lit(False)).alias("in_graph"), F.coalesce("d", F.lit(False)).alias("in_documents"))
+
+
+def retry_as_update(refused: DataFrame) -> DataFrame:
+    """Updates (id, new_content, new_confidence, note, ord) of what refused entries (id, ord, content, confidence, against) were held against."""
+    return refused.where("against is not null").select(F.col("against").alias("id"), F.col("content").alias("new_content"), F.col("confidence").alias("new_confidence"), F.concat(F.lit("merged from "), "id").alias("note"), "ord")

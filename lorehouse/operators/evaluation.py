@@ -5,9 +5,11 @@ from __future__ import annotations
 from functools import cmp_to_key, reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut, discard
+
 #: What marks an entry as about the store itself, by default: its extractor, and how its subject starts.
 META_EXTRACTOR, META_SUBJECTS = "session-extract", ("store.", "store_bugs.", "host_config.", "orchestration.")
 
@@ -137,3 +139,49 @@ def legacy_order(ranked: DataFrame, query_col: str = "query_id") -> DataFrame:
 
     kind = ranked.schema[query_col].dataType.simpleString()
     return ranked.groupBy(query_col).applyInPandas(order, f"{query_col} {kind}, id string, place int")
+
+
+def sampled(rows: DataFrame, key: list[str], n: int) -> DataFrame:
+    """n rows at random, the same at every run: those whose keys' MD5 come first."""
+    return rows.withColumn("_h", F.md5(F.concat_ws("|", *key).cast("binary"))).orderBy("_h", *key).limit(n).drop("_h")
+
+
+def auto_label(pairs: DataFrame, sim: Column, ratio: Column, same_source: Column, duplicate: float = 0.92, band: tuple[float, float] = (0.78, 0.90), most: int = 25) -> DataFrame:
+    """Pairs (a, b, ...) with label and place, `most` a label by similarity: duplicate, or look-at within the band; others go."""
+    label = F.when((sim >= duplicate) & same_source & (ratio > 0.5), "duplicate").when((sim >= band[0]) & (sim < band[1]), "look-at")
+    order = Window.partitionBy("label").orderBy(F.desc("_sim"), "a", "b")
+    found = pairs.withColumn("label", label).where("label is not null").withColumn("_sim", sim).withColumn("place", F.row_number().over(order))
+    return found.where(F.col("place") <= most).drop("_sim")
+
+
+def relabel(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b, label) with the label that labels (x, y, new_label) has for the same two ids, in whatever order."""
+    new = labels.groupBy(F.least("x", "y").alias("_lo"), F.greatest("x", "y").alias("_hi")).agg(F.max("new_label").alias("new_label"))
+    keyed = pairs.withColumns({"_lo": F.least("a", "b"), "_hi": F.greatest("a", "b")})
+    return keyed.join(new, ["_lo", "_hi"], "left").withColumn("label", F.coalesce("new_label", "label")).drop("_lo", "_hi", "new_label")
+
+
+def greedy_pairs(pairs: DataFrame, most: int) -> DataFrame:
+    """(a, b, sim, place): the pairs that are taken one after the other, the most similar first, where each id is taken once.
+
+    A pair is taken in the round in which it is the best of both its ids among the pairs that are left; it is then the
+    next that a walk down the sorted pairs would take of either. Rounds go on until `most` are sure: no pair that is
+    left is better than the last of them.
+    """
+    rank = F.struct(-F.col("sim"), "a", "b")
+    left, taken = cut(pairs.select("a", "b", "sim")), None
+    while True:
+        ends = left.select(F.col("a").alias("id"), rank.alias("r")).union(left.select(F.col("b").alias("id"), rank.alias("r"))).groupBy("id").agg(F.min("r").alias("best"))
+        mine = left.withColumn("r", rank).join(ends.select(F.col("id").alias("a"), F.col("best").alias("ba")), "a").join(ends.select(F.col("id").alias("b"), F.col("best").alias("bb")), "b")
+        now = cut(mine.where((F.col("r") == F.col("ba")) & (F.col("r") == F.col("bb"))).select("a", "b", "sim"))
+        taken = now if taken is None else cut(now, onto=taken)
+        used = now.select(F.col("a").alias("id")).union(now.select(F.col("b").alias("id")))
+        rest = cut(left.join(used.withColumnRenamed("id", "a"), "a", "left_anti").join(used.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b", "sim"))
+        discard(left)
+        left = rest
+        best = left.agg(F.min(rank).alias("r")).first()["r"]
+        sure = taken.orderBy(rank).limit(most).agg(F.count("*").alias("n"), F.max(rank).alias("r")).first()
+        if best is None or sure["n"] == most and tuple(sure["r"]) < tuple(best):
+            break
+    top = taken.orderBy(rank).limit(most)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("sim"), "a", "b")))  # `most` rows

@@ -34,6 +34,34 @@ def insert_if_absent(existing: DataFrame, new: DataFrame, head: int | None = 300
     return hashed.join(first, "hash").where("ord = first_ord").join(known, "hash", "left_anti").drop("first_ord")
 
 
+def insert_or_get(existing: DataFrame, new: DataFrame, head: int | None = None) -> DataFrame:
+    """(id, stored_id, is_new) for each new row (id, ord, content): the id under which its content is stored, which is its own if it is the first of its hash."""
+    known = existing.select(T.content_hash(F.col("content"), head).alias("hash"), "id", F.col("ord")).groupBy("hash").agg(F.min_by("id", "ord").alias("known_id"))
+    hashed = new.select("id", "ord", T.content_hash(F.col("content"), head).alias("hash"))
+    first = hashed.groupBy("hash").agg(F.min_by("id", "ord").alias("first_id"))
+    j = hashed.join(first, "hash").join(known, "hash", "left")
+    return j.select("id", F.coalesce("known_id", "first_id").alias("stored_id"), (F.col("known_id").isNull() & (F.col("id") == F.col("first_id"))).alias("is_new"))
+
+
+def judged(candidates: DataFrame, answers: DataFrame) -> DataFrame:
+    """Add relation to candidates (new_content, candidate_content, band): duplicate in the refuse band, the judge's cached answer in the confirm band, else null.
+
+    answers has key (text.pair_key of the two contents) and answer, the judge's raw text; a pair without an answer has
+    null. Each key's answer is read once, so a judge is called on `unjudged` keys only.
+    """
+    keyed = candidates.withColumn("key", T.pair_key(F.col("new_content"), F.col("candidate_content")))
+    known = answers.groupBy("key").agg(F.first("answer").alias("answer"))
+    j = keyed.join(known, "key", "left")
+    relation = F.when(F.col("band") == "refuse", "duplicate").when((F.col("band") == "confirm") & F.col("answer").isNotNull(), rules.model_relation(F.col("answer")))
+    return j.withColumn("relation", relation).drop("key", "answer")
+
+
+def unjudged(candidates: DataFrame, answers: DataFrame) -> DataFrame:
+    """The distinct keys and contents of the confirm band that have no answer yet."""
+    keyed = candidates.where("band = 'confirm'").withColumn("key", T.pair_key(F.col("new_content"), F.col("candidate_content")))
+    return keyed.select("key", "new_content", "candidate_content").dropDuplicates(["key"]).join(answers.select("key"), "key", "left_anti")
+
+
 def _reaching(new: DataFrame, existing: DataFrame, keys: list[str], refuse: float | None, confirm: float | None) -> DataFrame:
     """(a, b, sim) of new and existing entries that agree in keys and reach the confirm similarity."""
     least = rules.CONFIRM if confirm is None or refuse is None or refuse < confirm else confirm

@@ -132,3 +132,24 @@ def with_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     return adjacency(edges).groupBy("node").agg(F.count("*").alias("degree"))
+
+
+def relation_types(edges: DataFrame, fallback: tuple[str, ...] = ("ABOUT", "RELATED_TO")) -> DataFrame:
+    """The distinct safe types of edges (column type), or the fallback where there are none."""
+    found = usable(edges).select("type").distinct()
+    spare = edges.sparkSession.createDataFrame([(t,) for t in fallback], "type string")
+    return found.unionByName(spare.join(F.broadcast(found.agg(F.count("*").alias("n"))), F.col("n") == 0).select("type"))
+
+
+def labelled(nodes: DataFrame, labels: tuple[str, ...], each: int = 500, most: int = 500) -> DataFrame:
+    """Nodes (id, label, ord) of the labels, `each` a label at most, and `most` in all, in the order of the labels."""
+    place = F.array_position(F.array(*map(F.lit, labels)), F.col("label"))
+    few = nodes.where(F.col("label").isin(*labels)).withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("ord"))).where(F.col("place") <= each)
+    return few.orderBy(place, "place").limit(most)
+
+
+def resolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (start, end, type: element ids of another store) by the nodes' own ids (element, id), and whether both ends were found."""
+    at = lambda end, name: nodes.select(F.col("element").alias(end), F.col("id").alias(name))
+    j = edges.join(at("start", "src"), "start", "left").join(at("end", "dst"), "end", "left")
+    return j.select("src", "dst", "type", (F.col("src").isNotNull() & F.col("dst").isNotNull()).alias("found"))

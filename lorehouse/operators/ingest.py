@@ -120,3 +120,35 @@ def after_watermark(meetings: DataFrame, since: str, watermark: str | None) -> D
 def canvases(messages: DataFrame, canvas: DataFrame, link: Column) -> DataFrame:
     """Messages with the canvas (file_id, markdown) that their link names."""
     return messages.withColumn("file_id", link).join(canvas, "file_id")
+
+
+def changed_since(files: DataFrame, roots: tuple[str, ...], after: str | None = None) -> DataFrame:
+    """Importable Markdown files (path, modified) under the chosen roots, one a path, of those changed after a time if one is given."""
+    under = F.exists(F.array(*map(F.lit, roots)), lambda r: F.startswith("path", F.concat(r, F.lit("/"))))
+    found = files.where(under & importable(F.col("path"))).groupBy("path").agg(F.max("modified").alias("modified"))
+    return found if after is None else found.where(F.col("modified") > F.lit(after).cast("timestamp"))
+
+
+def import_status(documents: DataFrame, transcripts: DataFrame, since: str, watermark: str | None) -> DataFrame:
+    """(id, status, end_ts) of meeting documents: deleted, other-type, no-start, no-transcript, late (it ends at the watermark or before) or ready."""
+    spoken = transcripts.where((F.length(F.trim("text")) > 0) & F.coalesce("is_final", F.lit(True))).groupBy(F.col("document_id").alias("id")).agg(F.max("end_ts").alias("end_ts"))
+    last = F.lit(max(since, watermark) if watermark else since).cast("timestamp")
+    status = (
+        F.when(F.col("deleted_at").isNotNull(), "deleted")
+        .when(F.col("type").isNotNull() & (F.col("type") != "meeting"), "other-type")
+        .when(F.col("created_at").isNull(), "no-start")
+        .when(F.col("end_ts").isNull(), "no-transcript")
+        .when(F.col("end_ts") <= last, "late")
+        .otherwise("ready")
+    )
+    return documents.join(spoken, "id", "left").select("id", status.alias("status"), "end_ts")
+
+
+def keep_last(rows: DataFrame, partition: list[str], by: str, n: int) -> DataFrame:
+    """The last n rows of each partition."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*partition).orderBy(F.desc(by)))).where(F.col("_r") <= n).drop("_r")
+
+
+def pending(entries: DataFrame, completed: DataFrame) -> DataFrame:
+    """Entries (embedder_id) without an embedder that aren't completed (id) either: a backfill's work, which shrinks by what it appends there."""
+    return entries.where(F.coalesce("embedder_id", F.lit("")) == "").join(completed.select("id"), "id", "left_anti")

@@ -83,20 +83,52 @@ def arm_vector(vectors: DataFrame, query_vec: Sequence[float], limit: int = 20)
 
 
 def merge(arms: Sequence[tuple[str, DataFrame]]) -> DataFrame:
-    """Union arms (id, content, confidence, ord in its arm) and merge rows of one id, or of one content where it is null.
+    """Union arms (id, content, confidence, ord in its arm, and refs, relationships where they have them) and merge rows of one id, or of one content where it is null.
 
-    The longest content wins, ties to the earlier arm; confidence is the greatest; systems are listed in arm order.
+    The longest content wins, ties to the earlier arm; confidence is the greatest; systems are listed in arm order; refs
+    (array<string>) are united in that order; of relationships (an array) the first that isn't empty is kept.
     """
-    tagged = [df.select(F.coalesce("id", F.md5("content")).alias("key"), "content", "confidence", F.lit(i).alias("arm"), F.lit(name).alias("system"), F.col("ord").cast("long").alias("ord")) for i, (name, df) in enumerate(arms)]
+    none = F.array().cast("array<string>")
+    kinds = next((x.dataType for _, df in arms for x in df.schema.fields if x.name == "relationships"), None)
+    links = lambda df: F.col("relationships") if "relationships" in df.columns else F.lit(None).cast(kinds if kinds is not None else "array<string>")
+    tagged = [
+        df.select(F.coalesce("id", F.md5("content")).alias("key"), "content", "confidence", F.lit(i).alias("arm"), F.lit(name).alias("system"), F.col("ord").cast("long").alias("ord"), (F.coalesce("refs", none) if "refs" in df.columns else none).alias("refs"), links(df).alias("relationships"))
+        for i, (name, df) in enumerate(arms)
+    ]
     rows = reduce(DataFrame.unionByName, tagged)
     return rows.groupBy("key").agg(
         F.max_by("content", F.struct(F.length("content"), -F.col("arm"), -F.col("ord"))).alias("content"),
         F.max("confidence").alias("confidence"),
         F.transform(F.array_sort(F.collect_set(F.struct("arm", "system"))), lambda x: x["system"]).alias("systems"),
         F.min(F.struct("arm", "ord")).alias("arrival"),
+        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("arm", "ord", "refs"))), lambda x: x["refs"]))).alias("refs"),
+        F.min_by("relationships", F.when(F.size("relationships") > 0, F.struct("arm", "ord"))).alias("relationships"),
     )
 
 
+def linked(results: DataFrame, context: DataFrame) -> DataFrame:
+    """Add linked to results (id, refs): its own id if that is an entity of the context (entity), then its references that are."""
+    known = context.agg(F.collect_set("entity").alias("known"))  # the context holds a few entities a search
+    own = F.when(F.array_contains("known", F.col("id")), F.array("id")).otherwise(F.array().cast("array<string>"))
+    return results.join(F.broadcast(known)).withColumn("linked", F.array_union(own, F.array_intersect(F.coalesce("refs", F.array().cast("array<string>")), "known"))).drop("known")
+
+
+def hydrate(hits: DataFrame, entries: DataFrame, preview: int = 80) -> DataFrame:
+    """Vector hits (id, sim, preview) with their entry's content and confidence; of one without an entry the preview, and confidence 0."""
+    known = entries.select("id", "content", "confidence")
+    return hits.join(known, "id", "left").withColumns({"content": F.coalesce("content", F.substring("preview", 1, preview)), "confidence": F.coalesce("confidence", F.lit(0.0))}).drop("preview")
+
+
+def clamp(n: int, low: int, high: int) -> int:
+    """A limit that a caller asks for, kept within bounds."""
+    return max(low, min(high, n))
+
+
+def page(rows: DataFrame, by: Sequence[Column], after: Column | None = None, size: int = 50) -> DataFrame:
+    """The first `size` rows in this order, of those for which `after` holds (such as that the order's key is over the last one seen)."""
+    return (rows if after is None else rows.where(after)).orderBy(*by).limit(size)
+
+
 def scored(entries: DataFrame, query: str, as_of: str) -> DataFrame:
     """Add relevance, recency and the composite score."""
     r, t = T.relevance(F.col("content"), query), T.recency(F.col("ts"), F.lit(as_of))

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -71,3 +71,36 @@ def turn_checkpoints(stream: DataFrame, interval: int = 20) -> DataFrame:
 
     kind = stream.schema["conv_id"].dataType.simpleString()
     return turns.groupBy("conv_id").applyInPandasWithState(step, f"conv_id {kind}, checkpoint long", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def ttl_cache(stream: DataFrame, seconds: int) -> DataFrame:
+    """(key, ts, hit) of look-ups (key, ts): a hit within `seconds` of the fill before, else a miss, which fills the entry again.
+
+    State is one number a key, the time of its last fill. A micro-batch's look-ups of a key are taken in time order.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values("ts", kind="stable")
+        filled = state.get[0] if state.exists else None
+        hits = []
+        for t in (rows["ts"].astype("datetime64[us]").astype("int64")).tolist():
+            hits.append(filled is not None and t < filled + seconds * 1_000_000)
+            if not hits[-1]:
+                filled = t
+        state.update((filled,))
+        yield pd.DataFrame({"key": [key[0]] * len(rows), "ts": rows["ts"], "hit": hits})
+
+    kind = stream.schema["key"].dataType.simpleString()
+    return stream.select("key", "ts").groupBy("key").applyInPandasWithState(step, f"key {kind}, ts timestamp, hit boolean", "filled long", "append", GroupStateTimeout.NoTimeout)
+
+
+def watermark_report(rows: DataFrame, part: str, ts: str, late: str) -> DataFrame:
+    """(part, n, late) of rows that come part by part: how many of a part lie more than `late` before the last time of all parts before it.
+
+    What a stream with this watermark drops of each micro-batch, as a table: the rows that come too late are counted,
+    not only left out.
+    """
+    tops = rows.groupBy(part).agg(F.max(ts).alias("top"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    marks = tops.select(part, (F.max("top").over(before) - F.expr(f"interval {late}")).alias("mark"))
+    return rows.join(F.broadcast(marks), part).groupBy(part).agg(F.count("*").alias("n"), F.count_if(F.col(ts) < F.col("mark")).alias("late"))
