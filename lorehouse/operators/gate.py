@@ -116,8 +116,8 @@ def decide(new: DataFrame, existing: DataFrame, keys: list[str], refuse: float |
             break
     passed = state.where("passed").select("id")
     best = edges.join(passed.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.max_by(F.struct("sim", "b"), F.struct("sim", -F.coalesce("b_ord", F.lit(-1)))).alias("n"))
-    kept = groups.join(passed, "id").groupBy("g").agg(F.min_by("id", F.coalesce("ord", F.lit(-1))).alias("first_id"))
-    copy = groups.join(kept, "g").where("id <> first_id").select("id", "first_id")
+    kept = groups.join(passed, "id").groupBy("g").agg(F.min(F.struct(F.coalesce("ord", F.lit(-1)).alias("at"), "id")).alias("first"))
+    copy = groups.join(kept, "g").where("first.at < ord").select("id", F.col("first.id").alias("first_id"))
     r, c = rules.thresholds(F.col("content_type"), refuse, confirm)
     fresh = marked.where("fresh").select("id", "content_type").join(state, "id").join(copy, "id", "left").join(best, "id", "left")
     turned = ~F.col("passed")
