@@ -431,7 +431,7 @@ def similarity_stats(spark: SparkSession, d: str) -> DataFrame:
 @query
 def legacy_ranker(spark: SparkSession, d: str) -> DataFrame:
     e = search.scored(search.facets(S.entries(spark, d), user=USER), QUERY, S.AS_OF).orderBy(F.desc("score"), "ord").limit(10)
-    legacy = sum((F.when(F.lower("content").contains(t), F.lit(1.0) + F.when(F.lower("content").contains(QUERY), 0.5).otherwise(0.0)).otherwise(0.0) for t in QUERY.split()), F.lit(0.0)) / len(QUERY.split())
+    legacy = T.legacy_relevance(F.col("content"), QUERY)
     return evaluation.legacy_order(e.select(F.lit(1).alias("query_id"), "id", "ord", "confidence", legacy.alias("legacy_relevance")))
 
 
