@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,19 @@ CHUNK_BYTES = 1_000_000
 _MASK = (1 << 64) - 1
 
 
+#: Rows and bytes of a batch that goes to a task's Python worker, by Spark's setting and its default.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow in batches that stay small where texts are long: where the session has Spark's defaults, it gets smaller numbers."""
+    conf = df.sparkSession.conf
+    for name, (default, ours) in _BATCH.items():
+        if conf.get(name, ours) == default:
+            conf.set(name, ours)
+    return df.mapInArrow(run, schema)
+
+
 def plus(df: DataFrame, **columns: str) -> T.StructType:
     """The schema of df with further columns, by name and type."""
     more = [T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in columns.items()]

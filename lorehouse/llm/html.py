@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import plus
+from .common import in_arrow, plus
 
 #: Lines summed in a window, and its weight at which text surges; a page with less surges at its peak.
 WINDOW, SURGE = 3, 80
@@ -233,4 +233,4 @@ def extract(pages: DataFrame, html_col: str = "html", window: int = WINDOW, surg
                 texts = [main_text(x, window, surge) if x else "" for x in part.column(len(names)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], [*names, "main_text"])
 
-    return source.mapInArrow(run, plus(source.select(*names), main_text="string"))
+    return in_arrow(source, run, plus(source.select(*names), main_text="string"))

@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, mix64, plus, seeds
+from .common import chunks, in_arrow, mix64, plus, seeds
 
 #: n-grams of one to three letters are hashed into 2 ** GRAM_BITS buckets; a bucket stands for an n-gram.
 GRAM_BITS = 20
 PROFILE, TOP = 400, 300
 UNKNOWN = "und"
-#: Code points turned into n-grams at once.
-CHUNK = 250_000
+#: Code points and texts turned into n-grams at once.
+CHUNK, CHUNK_ROWS = 250_000, 500
 #: Languages whose counts a training task holds before it sends them on.
 HELD = 32
 
@@ -59,10 +59,10 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _runs(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """The texts in runs of about CHUNK code points, each with its first index."""
+    """The texts in runs of about CHUNK code points and CHUNK_ROWS texts at most, each with its first index."""
     first, run, size = 0, [], 0
     for i, t in enumerate(texts):
-        if run and size + len(t) > CHUNK:
+        if run and (size + len(t) > CHUNK or len(run) == CHUNK_ROWS):
             yield first, run
             first, run, size = i, [], 0
         run.append(t)
@@ -99,7 +99,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", profi
     nothing; without any, the profile is empty.
     """
     labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    sums = labelled.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = in_arrow(labelled, _count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")  # 2 ** GRAM_BITS rows a language at most
     top = sums.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < profile)
     return sorted((r["lang"], r["gram"], r["rank"]) for r in top.select("lang", "gram", "rank").collect())
@@ -153,7 +153,7 @@ def predict(docs: DataFrame, model: list[tuple[str, int, int]], text_col: str =
             found, score = guess([t or "" for t in batch.column(place).to_pylist()], table)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, plus(docs, lang_pred="string", score="double"))
+    return in_arrow(docs, run, plus(docs, lang_pred="string", score="double"))
 
 
 def held_out(id_col: Column, folds: int = 3, fold: int = 1) -> Column:

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, plus, seeds, shingle_hashes, text_buffer, word_hashes
+from .common import chunks, in_arrow, plus, seeds, shingle_hashes, text_buffer, word_hashes
 
 #: Share of a template's distinct five-word shingles that a window must hold.
 CONTAINMENT, SHINGLE = 0.75, 5
@@ -290,4 +290,4 @@ def scan(docs: DataFrame, text_col: str = "text", templates: Mapping[str, Sequen
                 found[row].append({"license": name, "start": first, "end": first + len(raw[a:b].tobytes().decode()), "containment": share})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*names, "licenses"])
 
-    return docs.mapInArrow(run, plus(docs, licenses="array<struct<license:string,start:int,end:int,containment:double>>"))
+    return in_arrow(docs, run, plus(docs, licenses="array<struct<license:string,start:int,end:int,containment:double>>"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, plus
+from .common import chunks, in_arrow, plus
 
 WIDTH = 64
 TILE = 32
@@ -198,7 +198,7 @@ def decode_media(df: DataFrame, media_col: str = "media", tile: int = TILE) -> D
                 out = [media_columns(x, tile) for x in part.column(len(names)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.string())))], [*names, "npy", "tile", "dhash"])
 
-    return source.mapInArrow(run, plus(source.select(*names), npy="binary", tile="binary", dhash="string"))
+    return in_arrow(source, run, plus(source.select(*names), npy="binary", tile="binary", dhash="string"))
 
 
 _DIGEST = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "tile_bytes": "long", "tile_sha256": "string", "feature": "string"}
@@ -227,4 +227,4 @@ def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ti
             rows = [one(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], kinds[k]) for i, k in enumerate(_DIGEST.values()))], [id_col, *_DIGEST])
 
-    return source.mapInArrow(run, plus(source.select(id_col), **_DIGEST))
+    return in_arrow(source, run, plus(source.select(id_col), **_DIGEST))

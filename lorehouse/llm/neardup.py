@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, discard, mix64, plus, seeds, shingle_hashes, text_buffer, word_hashes
+from .common import chunks, cut, discard, in_arrow, mix64, plus, seeds, shingle_hashes, text_buffer, word_hashes
 
 SHINGLE, COORDINATES, MATCHES = 5, 32, 10
 #: Similarity at which documents are linked: NUMERATOR / DENOMINATOR.
@@ -67,7 +67,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * COORDINATES), pa.array(tokens.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), lists], [*names, "n_shingles", "fp", "tokens"])
 
-    return docs.select(*names, "text").mapInArrow(run, plus(docs.select(*names), n_shingles="long", fp="binary", tokens="array<long>"))
+    return in_arrow(docs.select(*names, "text"), run, plus(docs.select(*names), n_shingles="long", fp="binary", tokens="array<long>"))
 
 
 def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -80,7 +80,7 @@ def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
             sets = [flat[rows[i] : rows[i + 1]].tobytes() for i in mine]
             yield pa.RecordBatch.from_arrays([batch.column("nid").take(pa.array(mine, pa.int64())), pa.array(sets, pa.binary())], ["nid", "set"])
 
-    return docs.select("nid", "fp", "text").mapInArrow(run, plus(docs.select("nid"), set="binary"))
+    return in_arrow(docs.select("nid", "fp", "text"), run, plus(docs.select("nid"), set="binary"))
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(DENOMINATOR * inter >= NUMERATOR * (len(merged) - inter))
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, pairs.select("x", "y").schema)
+    return in_arrow(both, run, pairs.select("x", "y").schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def _common(sets: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame, Da
                 flat = np.frombuffer(one.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), nid, np.int64)), pa.array(flat)], ["nid", "shingle"])
 
-    each = cut(sets.join(lists.select("nid").distinct(), "nid").select("nid", "set").mapInArrow(run, "nid long, shingle long"))
+    each = cut(in_arrow(sets.join(lists.select("nid").distinct(), "nid").select("nid", "set"), run, "nid long, shingle long"))
     often = cut(each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
     common = each.join(often.where(F.col("df") > RARE), "shingle").groupBy("nid").agg(F.count("*").alias("common"))
     return cut(common), each, often
@@ -177,7 +177,7 @@ def _maps(sets: DataFrame, nodes: DataFrame) -> DataFrame:
                 held = np.packbits(bits).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("nid").slice(i, 1), pa.ListArray.from_arrays(pa.array([0, words], pa.int32()), pa.array(held))], ["nid", "map"])
 
-    return sets.join(nodes, "nid").select("nid", "set").mapInArrow(run, "nid long, map array<long>")
+    return in_arrow(sets.join(nodes, "nid").select("nid", "set"), run, "nid long, map array<long>")
 
 
 def _within_reach() -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
@@ -13,18 +14,23 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import chunks, mix64, plus, seeds
+from .common import chunks, in_arrow, mix64, plus, seeds
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text bytes sampled at once, and lattice edges kept between chunks.
-CHUNK_BYTES, KEPT_EDGES = 400_000, 2_000_000
+CHUNK_BYTES, KEPT_EDGES = 250_000, 500_000
 
 _SPACE = "▁"
 #: Where units may end: words of letters apart from other marks, or, if pieces of the model mix these, at spaces only.
 _UNITS = (re.compile(r" *[^\W\d_¹²³]+| *(?:[^\w \n]|[\d_¹²³])+| +|\n"), re.compile(r" *[^ \n]+| +|\n"))
 #: Weight of a character that has no piece, and a factor a character that keeps products in range.
 BYTES_WEIGHT, SCALE = 1e-6, 1e3
-_TOP_BITS = 16
+_TOP_BITS = 12
+#: Characters of a unit that are taken for all units at once; the rest of a longer one follows edge by edge.
+_HEAD = 64
+#: Units left at which sampling goes on with one after the other.
+_FEW = 4
+_MASK = (1 << 64) - 1
 _STEP, _PLACE = seeds(2, 53), seeds(64, 71)
 
 
@@ -98,7 +104,7 @@ class Lattice:
     """
 
     def __init__(self, pieces: Pieces) -> None:
-        self.pieces = pieces
+        self.unit, self.longest, self.byte_ids = pieces.unit, pieces.longest, np.array(pieces.byte_ids, np.int32)
         self.tables = []  # by length: hashes of prefixes, ids or -1, weights, where hashes with the same top bits start, most of these
         for n in range(1, pieces.longest + 1):
             known = {s[:n]: -1 for s in pieces.ids if len(s) >= n} | {s: i for s, i in pieces.ids.items() if len(s) == n}
@@ -107,7 +113,7 @@ class Lattice:
             order = np.argsort(h)
             ids = np.array(list(known.values()), np.int32)[order]
             weights = np.array([pieces.weight[s] * SCALE**n if i >= 0 else 0.0 for s, i in known.items()])[order]
-            starts = np.searchsorted(h[order] >> np.uint64(64 - _TOP_BITS), np.arange((1 << _TOP_BITS) + 1, dtype=np.uint64))
+            starts = np.searchsorted(h[order] >> np.uint64(64 - _TOP_BITS), np.arange((1 << _TOP_BITS) + 1, dtype=np.uint64)).astype(np.int32)
             self.tables.append((h[order], ids, weights, starts, int(np.diff(starts).max())))
         self.clear()
 
@@ -143,7 +149,7 @@ class Lattice:
         inner = place[start] > 0
         alpha, share = np.ones(len(points)), np.empty(len(end))
         by_place = np.argsort(place[end], kind="stable")
-        bounds = np.searchsorted(place[end][by_place], np.arange(int(sizes.max()) + 1))
+        bounds = np.searchsorted(place[end][by_place], np.arange(min(_HEAD, int(sizes.max())) + 1))
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             e = by_place[lo:hi]
             w = np.where(inner[e], alpha[start[e] - 1], 1.0) * weight[e]
@@ -154,6 +160,8 @@ class Lattice:
             if lo and (total.min() < 1e-200 or total.max() > 1e200):
                 total = self._rescaled(alpha, node[head], place, total)
             alpha[node[head]] = total
+        if len(rest := np.flatnonzero(place[end] >= _HEAD)):
+            share[rest] = self._onward(alpha, start[rest], end[rest], weight[rest])
         stop = np.searchsorted(end, np.arange(len(points)), side="right") - 1
         sums = np.cumsum(share)
         within = sums - np.repeat(np.concatenate([[0.0], sums[stop[:-1]]]), np.diff(np.concatenate([[-1], stop])))
@@ -167,17 +175,36 @@ class Lattice:
 
     def _rescaled(self, alpha: np.ndarray, nodes: np.ndarray, place: np.ndarray, total: np.ndarray) -> np.ndarray:
         """Divide the last values of each unit by the newest: only their ratios count from here on."""
-        for back in range(1, self.pieces.longest):
+        for back in range(1, self.longest):
             on = place[nodes] >= back
             alpha[nodes[on] - back] /= total[on]
         return np.ones(len(total))
 
+    def _onward(self, alpha: np.ndarray, start: np.ndarray, end: np.ndarray, weight: np.ndarray) -> array:
+        """The shares of the edges that end _HEAD characters or more into a unit: all of them start after its first."""
+        a, starts, ends, out = array("d", alpha.tobytes()), array("q", start.tobytes()), array("q", end.tobytes()), array("d", weight.tobytes())
+        i, n = 0, len(ends)
+        while i < n:
+            node, j, total = ends[i], i, 0.0
+            while j < n and ends[j] == node:
+                out[j] *= a[starts[j] - 1]
+                total += out[j]
+                j += 1
+            for k in range(i, j):
+                out[k] /= total
+            a[node] = total
+            if not 1e-200 < total < 1e200:
+                for back in range(self.longest):
+                    a[node - back] /= total
+            i = j
+        return out
+
     def sample(self, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all units in text order, and each unit's number of codes; keys seed each unit."""
         last, before, code, cum = self.last.view(), self.before.view(), self.code.view(), self.cum.view()
         unit, node, steps = np.arange(len(ends)), ends, []
         many = np.zeros(len(ends), np.int64)
-        while len(node):
+        while len(node) > _FEW:
             u = (mix64(keys[unit] + np.full(1, len(steps), np.uint64) * _STEP[0]) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             edge, stop, want = np.where(node > 0, last[node - 1] + 1, 0), last[node], node + u
             on = np.flatnonzero((cum[edge] <= want) & (edge < stop))
@@ -189,20 +216,42 @@ class Lattice:
             node = before[edge]
             more = node >= 0
             unit, node = unit[more], node[more]
+        rest = []
+        for i, n in zip(unit.tolist(), node.tolist(), strict=True):
+            key, codes = int(keys[i]), []
+            while n >= 0:
+                want = n + _draw(key, len(steps) + len(codes))
+                e, stop = int(last[n - 1]) + 1 if n else 0, int(last[n])
+                while e < stop and cum[e] <= want:
+                    e += 1
+                codes.append(code[e])
+                n = int(before[e])
+            many[i] += len(codes)
+            rest.append((i, codes))
         at = np.cumsum(many)
         out = np.zeros(at[-1] if len(at) else 0, np.int32)
         for t, (unit, found) in enumerate(steps):
             out[at[unit] - 1 - t] = found
+        for i, codes in rest:
+            out[at[i] - many[i] : at[i] - len(steps)] = codes[::-1]
         return out, many
 
 
+def _draw(key: int, step: int) -> float:
+    """As in sample for one unit: a number in 0..1 by the unit's key and the step."""
+    x = (key + step * int(_STEP[0])) & _MASK
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> shift)) * factor & _MASK
+    return ((x ^ (x >> 31)) >> 11) * 2.0**-53
+
+
 def row_key(key: object, seed: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}:{'' if key is None else key}".encode(), digest_size=8).digest(), "little")
 
 
 def encode_rows(lattice: Lattice, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all rows and the n + 1 offsets of the rows."""
-    units, find = [], lattice.pieces.unit.findall
+    units, find = [], lattice.unit.findall
     rows = np.zeros(len(texts) + 1, np.int64)
     for i, t in enumerate(texts):
         units += find(t)
@@ -224,36 +273,47 @@ def encode_rows(lattice: Lattice, texts: list[str], keys: list[int]) -> tuple[np
         wide[low] = [len(x) for x in raw]
         begin = np.concatenate([np.zeros(1, np.int64), np.cumsum(wide)])
         full = np.repeat(out, wide)
-        table = np.array(lattice.pieces.byte_ids, np.int32)
+        table = lattice.byte_ids
         for at, x in zip(begin[low].tolist(), raw, strict=True):
             full[at : at + len(x)] = table[list(x)]
         out, offsets = full, begin[offsets]
     return out, offsets
 
 
-def encode(df: DataFrame, text_col: str = "text", key_col: str = "doc_id", model: str = DEFAULT_MODEL, seed: int = 0) -> DataFrame:
+def encode(df: DataFrame, text_col: str = "text", key_col: str = "doc_id", model: str = DEFAULT_MODEL, seed: int = 0, check: bool = False) -> DataFrame:
     """Add piece_ids array<int>: a segmentation sampled in proportion to its probability, fixed by key and seed.
 
+    With check, also lossless boolean: whether decoding gives the text back (for a null one, the empty text).
+
     Forward filtering sums, for every position, the weights of all ways there; backward sampling draws each piece
     from the end in proportion to its share. Draws depend on the row's key, the unit's place and the step alone, so
     reruns and other partitionings agree, and rows with equal key and text are segmented alike. Characters without a
     piece become byte pieces. A null or empty text has no pieces. A column named piece_ids is replaced.
-    The vocabulary (of fixed size) goes to the tasks with the function; the model's path is read on the driver.
+    The lattice's tables (of fixed size, by the vocabulary) are built on the driver, where the model's path is read, and
+    go to the tasks with the function. An unbroken run of letters is one unit, sampled in time linear in its length.
     """
     pieces = load(model)
-    df = df.drop("piece_ids")
+    lattice, raw = Lattice(pieces), pieces.raw if check else ()
+    df = df.drop("piece_ids", *(["lossless"] if check else []))
     names = df.columns
     place, key_place = names.index(text_col), names.index(key_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(pieces)
         for batch in chunks(batches, names[place], CHUNK_BYTES):
             keys = [row_key(k, seed) for k in batch.column(key_place).to_pylist()]
-            ids, offsets = encode_rows(lattice, [t or "" for t in batch.column(place).to_pylist()], keys)
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*names, "piece_ids"])
+            texts = [t or "" for t in batch.column(place).to_pylist()]
+            ids, offsets = encode_rows(lattice, texts, keys)
+            more = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))]
+            if check:
+                more.append(pa.array([_decoded(raw, ids[a:b]) == t for t, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, "piece_ids", "lossless"][: len(names) + len(more)])
+        lattice.clear()
+
+    return in_arrow(df, run, plus(df, piece_ids="array<int>", **({"lossless": "boolean"} if check else {})))
+
 
-    return df.mapInArrow(run, plus(df, piece_ids="array<int>"))
+def _decoded(raw: tuple[bytes, ...], ids: np.ndarray) -> str:
+    return b"".join(map(raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 def decode(df: DataFrame, ids_col: str = "piece_ids", model: str = DEFAULT_MODEL) -> DataFrame:
@@ -265,11 +325,11 @@ def decode(df: DataFrame, ids_col: str = "piece_ids", model: str = DEFAULT_MODEL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = ceil(batch.column(place).nbytes / 4 / 1_000_000) or 1
+            parts = ceil(batch.column(place).nbytes / 4 / CHUNK_BYTES) or 1
             step = ceil(batch.num_rows / parts) or 1
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                texts = [None if x is None else b"".join(map(raw.__getitem__, x.tolist())).decode("utf-8", "replace") for x in (s.values.to_numpy(zero_copy_only=False) if s.is_valid else None for s in part.column(place))]
+                texts = [None if x is None else _decoded(raw, x) for x in (s.values.to_numpy(zero_copy_only=False) if s.is_valid else None for s in part.column(place))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
-    return df.mapInArrow(run, plus(df, decoded="string"))
+    return in_arrow(df, run, plus(df, decoded="string"))

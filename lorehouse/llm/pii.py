@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, plus
+from .common import chunks, in_arrow, plus
 
 #: The kinds with base patterns, and one that the method alone finds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -228,7 +228,7 @@ def train(docs: DataFrame, text_col: str = "text") -> list[float]:
         rows = [(*key, n) for key, n in seen.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int32(), pa.int64()))], ["kind", "votes", "shape", "n"])
 
-    sums = docs.select(text_col).mapInArrow(run, "kind int, votes string, shape int, n long").groupBy("kind", "votes", "shape").agg(F.sum("n").alias("n")).collect()
+    sums = in_arrow(docs.select(text_col), run, "kind int, votes string, shape int, n long").groupBy("kind", "votes", "shape").agg(F.sum("n").alias("n")).collect()
     rows = sorted((r["kind"], r["votes"], r["shape"], r["n"]) for r in sums)
     truth = {}
     for kind in {r[0] for r in rows}:
@@ -285,7 +285,7 @@ def find(docs: DataFrame, weights: list[float], text_col: str = "text") -> DataF
             found = [[{"kind": KINDS[k], "start": a, "end": b, "base": base} for k, a, b, base in spans(t, w)] if t else [] for t in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*names, "pii"])
 
-    return docs.mapInArrow(run, plus(docs, pii=_SPANS))
+    return in_arrow(docs, run, plus(docs, pii=_SPANS))
 
 
 def redact(docs: DataFrame, weights: list[float], text_col: str = "text") -> DataFrame:
@@ -310,7 +310,7 @@ def redact(docs: DataFrame, weights: list[float], text_col: str = "text") -> Dat
             columns[place] = pa.array([clean(t) for t in columns[place].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def joined(array: Column) -> Column:

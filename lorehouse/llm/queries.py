@@ -32,9 +32,8 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pieces.decode(pieces.encode(docs))
-    return out.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+    out = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), check=True)
+    return out.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "lossless")
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard
+from .common import cut, discard, in_arrow
 
 #: Vectors of a tree and of a leaf, queries of a block, and one in so many vectors searched first.
 SHARD_ROWS, LEAF_ROWS, BLOCK_ROWS, SEED = 32768, 256, 8192, 16
@@ -132,7 +132,7 @@ def _search(vectors: DataFrame, block: dict[int, tuple[np.ndarray, np.ndarray, n
         rows = [(q, names[q], -x, -n, s) for q, found in best.items() for s, x, n in found if (s, x, n) not in floor.get(q, ())]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], ["number", "query_id", "vec_id", "other", "score"])
 
-    return vectors.select("number", "vec_id", "v").mapInArrow(run, _FOUND)
+    return in_arrow(vectors.select("number", "vec_id", "v"), run, _FOUND)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
