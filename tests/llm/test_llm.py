@@ -121,15 +121,17 @@ def test_shards(spark, odd):
 
 
 def test_media_round_trip(spark, odd):
-    rows = media.digest(media.decode_media(media.texts_to_media(odd, "doc_id", "text"))).collect()
+    rows = media.text_media(odd).collect()
     want = []
     for d, t in ODD:
         raw = (t or "").encode()
         pad = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         want.append((d, len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:])))
-    assert sorted(map(str, want)) == sorted(str((r["id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"])) for r in rows)
-    bad = spark.createDataFrame([(1, b"junk"), (2, None)], "id long, media binary")
-    assert all(r["npy"] is None for r in media.decode_media(bad).collect())
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"])) for r in rows)
+    assert media.text_media(odd.limit(0)).count() == 0
+    files = [(1, b"junk"), (2, None), (3, media.text_image(b"x" * 64))]
+    got = {r["id"]: r for r in media.decode_media(spark.createDataFrame(files, "id long, media binary")).collect()}
+    assert got[1]["npy"] is got[2]["npy"] is None and media.from_npy(got[3]["npy"]).tobytes() == b"x" * 64 and media.from_npy(got[3]["tile"]).shape == (32, 32)
 
 
 def test_area_resize_and_images():
