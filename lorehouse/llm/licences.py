@@ -165,16 +165,20 @@ def _plain(raw: bytes) -> bytes:
 _AHEAD = 200
 
 
-def _retrieved(h: np.ndarray, templates: list[Template]) -> list[np.ndarray]:
+def _looks(templates: list[Template]) -> dict[tuple[int, int], np.ndarray]:
+    """By window and stride, which first bits of a band's minimum some template has."""
+    out = {(t.window, t.stride): np.zeros((BANDS, 1 << _BITS), bool) for t in sorted(templates, key=lambda t: (t.window, t.stride))}
+    for t in templates:
+        out[t.window, t.stride][np.arange(BANDS), (t.minima >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+    return out
+
+
+def _retrieved(h: np.ndarray, templates: list[Template], looks: dict[tuple[int, int], np.ndarray]) -> list[np.ndarray]:
     """By template, the starts of the windows of h that agree with it in some band."""
     hits: list[set[int]] = [set() for _ in templates]
-    by_size = sorted({(t.window, t.stride) for t in templates})
-    looks = {size: np.zeros((BANDS, 1 << _BITS), bool) for size in by_size}
-    for t in templates:
-        looks[t.window, t.stride][np.arange(BANDS), (t.minima >> np.uint64(64 - _BITS)).astype(np.int64)] = True
     for b in range(BANDS):
         width, least = 1, (h ^ _XOR[b]) * _MUL[b]  # least[i] is of the width values from i
-        for window, stride in by_size:
+        for window, stride in looks:
             while 2 * width <= min(window, len(least) + width - 1):
                 least = np.minimum(least[:-width], least[width:])
                 width *= 2
@@ -200,7 +204,7 @@ def _copies(at: np.ndarray, places: np.ndarray, most: int) -> list[np.ndarray]:
     return [np.sort(x) for x in np.split(order, np.flatnonzero(np.diff(start[order]) > most) + 1)]
 
 
-def matches(data: np.ndarray, offsets: np.ndarray, templates: list[Template]) -> list[tuple[int, str, int, int, float]]:
+def matches(data: np.ndarray, offsets: np.ndarray, templates: list[Template], looks: dict[tuple[int, int], np.ndarray] | None = None) -> list[tuple[int, str, int, int, float]]:
     """(row, license, first byte, end, containment) of the rows' matches, one for each copy of a template.
 
     The shingles of a template in a retrieved window tell by their places where its text began, so that copies one
@@ -227,7 +231,7 @@ def matches(data: np.ndarray, offsets: np.ndarray, templates: list[Template]) ->
             return None
         return (row, t.license, int(starts[a] - offsets[row]), int(ends[b - 1] - offsets[row]), shared / len(t.shingles)), shared
 
-    for t, found in zip(templates, _retrieved(h, templates), strict=True):
+    for t, found in zip(templates, _retrieved(h, templates, looks or _looks(templates)), strict=True):
         if not len(found):
             continue
         first = np.concatenate([[0], np.flatnonzero(np.diff(found) > t.window) + 1])
@@ -281,10 +285,11 @@ def scan(docs: DataFrame, text_col: str = "text", templates: Mapping[str, Sequen
     kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("containment", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        looks = _looks(prepared)
         for batch in chunks(batches, names[place]):
             data, offsets = text_buffer(batch.column(place))
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for row, name, a, b, share in matches(data, offsets, prepared):
+            for row, name, a, b, share in matches(data, offsets, prepared, looks):
                 raw = data[offsets[row] : offsets[row + 1]]
                 first = len(raw[:a].tobytes().decode())
                 found[row].append({"license": name, "start": first, "end": first + len(raw[a:b].tobytes().decode()), "containment": share})
