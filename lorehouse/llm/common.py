@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..sources.scratch import cut, discard  # noqa: F401
@@ -17,16 +17,23 @@ CHUNK_BYTES = 1_000_000
 _MASK = (1 << 64) - 1
 
 
-#: Rows and bytes of a batch that goes to a task's Python worker, by Spark's setting and its default.
+#: Rows and bytes of a batch that goes to a task's Python worker, by Spark's setting: its default, and what takes the default's place.
 _BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
 
 
-def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow in batches that stay small where texts are long: where the session has Spark's defaults, it gets smaller numbers."""
-    conf = df.sparkSession.conf
+def small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for the session, where its settings are Spark's defaults; a size that a user has set stays.
+
+    Spark reads these settings when a result is computed, so they can't be put back when an operator returns.
+    """
     for name, (default, ours) in _BATCH.items():
-        if conf.get(name, ours) == default:
-            conf.set(name, ours)
+        if spark.conf.get(name) in (default, default.removesuffix("b"), "64MB", "64m"):
+            spark.conf.set(name, ours)
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow in batches that stay small where texts are long; see small_batches."""
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

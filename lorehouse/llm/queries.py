@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, licences, media, mixing, neardup, pieces, pii, sharding, topk
+from . import codes, html, langid, licences, media, mixing, neardup, nndescent, pieces, pii, sharding, topk, trie
+from .common import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = trie.crossed(cut(trie.numbered(table(spark, sf_dir, "conversations"))))
+    return trie.prefix_trie(turns, convs)
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", topk.quantise(F.col("embedding")).alias("v"))
+    coded, books = codes.compress(vectors)
+    out = codes.with_label_errors(coded)
+    return out.select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nndescent.nearest_rows(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_near_duplicates": op2_near_duplicates,
@@ -76,4 +94,7 @@ QUERIES = {
     "op7_mix": op7_mix,
     "op8_licenses": op8_licenses,
     "op9_personal_data": op9_personal_data,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_codes": op12_codes,
+    "op13_neighbours": op13_neighbours,
 }
