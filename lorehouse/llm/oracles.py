@@ -101,4 +101,74 @@ WITH d AS (
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM s
 """
 
-ORACLE_SQL = {"op1_topk": OP1, "op2_near_duplicates": OP2, "op3_shards": OP3, "op7_mix": OP7}
+_ID_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda p: ('0x' || p)::BIGINT)), lambda c, b: {_CRC}), 4294967295::BIGINT)"
+
+OP11 = f"""
+WITH t AS (
+  SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, list(t ORDER BY pos) AS own, {_ID_CRC} % 6 AS h FROM t GROUP BY conv_id
+), r AS (
+  SELECT c.conv_id, list_concat(list_slice(coalesce(b.own, []), 1, c.h), list_slice(c.own, c.h + 1, len(c.own))) AS path
+  FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100
+), m AS (
+  SELECT conv_id, len(path) AS length, d AS depth, sha256(list_slice(path, 1, d)::VARCHAR) AS node,
+         CASE WHEN d > 0 THEN sha256(list_slice(path, 1, d - 1)::VARCHAR) END AS above, CASE WHEN d > 0 THEN length(path[d].text) ELSE 0 END AS n
+  FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM r)
+), n AS (
+  SELECT depth, node, above, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(n) AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE length = depth), '')) AS ends_sha256
+  FROM m GROUP BY depth, node, above
+), k AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM n x WHERE x.above = n.node AND x.depth = n.depth + 1) AS n_children
+  FROM n LEFT JOIN n p ON p.node = n.above AND p.depth = n.depth - 1
+), w AS (
+  SELECT DISTINCT a.depth AS depth, a.node AS node, b.depth AS under_depth, b.node AS under
+  FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.depth >= a.depth
+), z AS (
+  SELECT w.depth, w.node, sum(k.saved) AS saved_tokens, count(*) FILTER (WHERE k.n_children = 0) AS n_leaves
+  FROM w JOIN k ON k.node = w.under AND k.depth = w.under_depth GROUP BY w.depth, w.node
+)
+SELECT conv_id, k.depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM k JOIN z ON k.node = z.node AND k.depth = z.depth
+"""
+
+
+def _op12() -> str:
+    """Four rounds of assignment and means, written out; distances are whole numbers below 2**53, so doubles hold them."""
+    steps = [
+        """v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS n, vec_id, label, v
+  FROM (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT)::DOUBLE[] AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+), x AS MATERIALIZED (
+  SELECT n, p, list_slice(v, p * len(v) // 4 + 1, (p + 1) * len(v) // 4) AS x FROM v, range(4) r(p)
+), e0 AS MATERIALIZED (
+  SELECT p, n AS e, x AS c FROM x WHERE n < 256
+)"""
+    ]
+    for i in range(5):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT n, x.p, min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::BIGINT * 256 + e) AS a
+  FROM x JOIN e{i} ON x.p = e{i}.p GROUP BY n, x.p
+)""")
+        if i < 4:
+            steps.append(f"""e{i + 1} AS MATERIALIZED (
+  SELECT o.p, o.e, coalesce(m.c, o.c) AS c FROM e{i} o LEFT JOIN (
+    SELECT p, e, list(c ORDER BY j)::DOUBLE[] AS c FROM (
+      SELECT x.p, a % 256 AS e, j, floor(sum(x[j]) / count(*)) AS c
+      FROM x JOIN a{i} ON x.n = a{i}.n AND x.p = a{i}.p, range(1, 65) r(j) WHERE j <= len(x) GROUP BY x.p, a % 256, j
+    ) GROUP BY p, e) m ON m.p = o.p AND m.e = o.e
+)""")
+    return f"""WITH {", ".join(steps)}, s AS (
+  SELECT n, string_agg(printf('%02x', a % 256), '' ORDER BY p) AS code, sum(a // 256)::BIGINT AS error FROM a4 GROUP BY n
+), h AS (
+  SELECT sha256(coalesce(string_agg(list_aggregate(list_transform(c, lambda y: y::BIGINT::VARCHAR), 'string_agg', ','), ',' ORDER BY p, e), '')) AS codebooks_sha256 FROM e4
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN s ON v.n = s.n, h
+"""
+
+
+ORACLE_SQL = {"op1_topk": OP1, "op2_near_duplicates": OP2, "op3_shards": OP3, "op7_mix": OP7, "op11_prefix_trie": OP11, "op12_codes": _op12()}
