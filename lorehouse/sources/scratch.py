@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Paths written within each call of settled that is under way.
+_WITHIN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,13 +38,39 @@ def cut(df: DataFrame, onto: DataFrame | None = None) -> DataFrame:
     df.write.mode("append").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
+    if _WITHIN and path not in _WITHIN[-1]:
+        _WITHIN[-1].append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables that cut has given, once nothing reads them any more; other tables are let be."""
     for df in tables:
         if path := _PATHS.pop(df, None):
-            sc = df.sparkSession.sparkContext
-            where = sc._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(df.sparkSession, path)
+
+
+def settled(plan: Callable[[], DataFrame]) -> DataFrame:
+    """The result of plan, written; all other tables that were written for it are deleted, also if plan fails.
+
+    For plans whose result reads tables that nobody else knows of.
+    """
+    _WITHIN.append([])
+    spark, out = SparkSession.getActiveSession(), None
+    try:
+        lazy = plan()
+        spark = lazy.sparkSession
+        out = cut(lazy)
+    finally:
+        for path in _WITHIN.pop():
+            if out is None or path != _PATHS[out]:
+                _delete(spark, path)
+        if out is not None and _WITHIN:
+            _WITHIN[-1].append(_PATHS[out])
+    return out
