@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..sources.scratch import cut, discard  # noqa: F401
+from ..sources.scratch import cut, discard, settled  # noqa: F401
 
 #: Text bytes that a task turns into numpy arrays at once; a longer document makes a chunk of its own.
 CHUNK_BYTES = 1_000_000

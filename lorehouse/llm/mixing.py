@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 #: Hash bits: 60 in all, of which the first histogram looks at 12 and each refinement at 12 more.
 HASH_BITS, STEP_BITS = 60, 12
@@ -63,7 +63,8 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
         j = run.join(F.broadcast(state), F.col("source").eqNullSafe(F.col("src")))
         hit = j.where(F.col("below") + F.col("sum_before") <= F.col("rest")).groupBy("src").agg(F.max(F.struct("bucket", (F.col("below") + F.col("sum_before")).alias("b"), "tokens")).alias("m"))
         got = hit.select(F.col("src").alias("s"), F.shiftleft(F.col("m.bucket"), shift).alias("l"), F.col("m.b").alias("b"), F.col("m.tokens").alias("last"))
-        state = cut(state.drop("last").join(F.broadcast(got), F.col("src").eqNullSafe(F.col("s")), "left").select("src", "source_size", "target", "whole", "rest", F.coalesce("l", "low").alias("low"), F.coalesce("b", "below").alias("below"), F.coalesce("last", F.lit(0)).alias("last")))
+        state, before = cut(state.drop("last").join(F.broadcast(got), F.col("src").eqNullSafe(F.col("s")), "left").select("src", "source_size", "target", "whole", "rest", F.coalesce("l", "low").alias("low"), F.coalesce("b", "below").alias("below"), F.coalesce("last", F.lit(0)).alias("last"))), state
+        discard(before)
     nearer = F.col("below") + F.col("last") - F.col("rest") <= F.col("rest") - F.col("below")
     return state.select("src", "source_size", "target", "whole", (F.col("low") + F.when(nearer, 1).otherwise(0)).alias("bound"))
 
@@ -89,7 +90,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         )
     )
     targets = cut(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
-    return sized, thresholds(sized, targets)
+    bounds = thresholds(sized, targets)
+    discard(targets)
+    return sized, bounds
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import codes, html, langid, licences, media, mixing, neardup, nndescent, pieces, pii, sharding, topk, trie
-from .common import cut
+from .common import cut, settled
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +19,7 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return settled(lambda: neardup.near_duplicates(table(spark, sf_dir, "documents")))
 
 
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix_documents(table(spark, sf_dir, "documents"))
+    out = settled(lambda: mixing.mix_documents(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
@@ -67,20 +67,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns, convs = trie.crossed(cut(trie.numbered(table(spark, sf_dir, "conversations"))))
-    return trie.prefix_trie(turns, convs)
+    return settled(lambda: trie.prefix_trie(*trie.crossed(cut(trie.numbered(table(spark, sf_dir, "conversations"))))))
 
 
 def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", topk.quantise(F.col("embedding")).alias("v"))
-    coded, books = codes.compress(vectors)
-    out = codes.with_label_errors(coded)
-    return out.select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+    def coded() -> DataFrame:
+        out, books = codes.compress(vectors)
+        return codes.with_label_errors(out).withColumn("codebooks_sha256", F.lit(codes.digest(books)))
+
+    return settled(coded).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
 def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return nndescent.nearest_rows(vectors, F.col("vec_id") % 100 == 0)
+    return settled(lambda: nndescent.nearest_rows(vectors, F.col("vec_id") % 100 == 0))
 
 
 QUERIES = {

@@ -13,7 +13,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from lorehouse.llm import codes, common, nndescent, queries, topk, trie
+from lorehouse.sources import scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -246,3 +248,19 @@ def test_codes_of_a_row_come_back():
     x = np.random.default_rng(8).normal(size=(50, 64)) * 10.0 ** np.arange(-20, 30)[:, None]
     back = nndescent.decode(nndescent.encode(x))
     assert (np.abs(back - x).max(axis=1) <= np.abs(x).max(axis=1) / 32767).all()
+
+
+# Written tables
+
+
+def test_results_leave_one_table(spark):
+    """The shared folder gains what the result reads, and nothing else."""
+    def tables():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch.shared_dir(spark)}/lorehouse")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        return {x.getPath().getName() for x in fs.listStatus(path)} if fs.exists(path) else set()
+
+    for name in ("pipeline", "op7_mix", "op12_codes"):
+        before = tables()
+        assert __spark_entry__.queries()[name](spark, SF).count()
+        assert len(tables() - before) == 1, name
