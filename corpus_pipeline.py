@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorehouse.llm import langid, mixing, neardup, pieces, pii
-from lorehouse.llm.common import cut
+from lorehouse.llm.common import discard, settled
 
 #: A text whose score against its nearest language profile is lower has no known language.
 LEAST_SCORE = 0.2
@@ -43,7 +45,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is one of its own; rows with one id and source, or with null ids, are taken alike; documents without
     words are taken like others of their hash; sources without words are not taken. An empty table gives an empty one.
     """
-    bounds = mixing.plan(docs)[1]
+    sized, bounds = mixing.plan(docs)
+    discard(sized)
     rows = docs.select(F.struct(docs.columns).alias("row"))
     taken = mixing.take(rows, bounds, F.col("row.source"), mixing.row_hash(F.col("row.doc_id"))).where("times > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
@@ -62,8 +65,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents; each stage's result is written and read again for the next."""
+    """Apply STAGES to documents; each stage's result is written and read again for the next, and deleted once that is written, with all that was written on the way."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs, before = settled(partial(stage, spark, docs, sf_dir)), docs
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
