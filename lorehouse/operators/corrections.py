@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,16 +102,16 @@ def reap(entries: DataFrame, as_of: str, days: int = 90) -> DataFrame:
 
 
 #: What each action needs beside its content.
-REQUIRED = {"supersede": "target_id", "update": "target_id", "complement": "target_id", "force-new": "reason"}
+REQUIRED = {"supersede": ("target_id", "reason"), "update": ("target_id", "reason"), "complement": ("target_id",), "force-new": ("reason",)}
 
 
 def check_actions(rows: DataFrame) -> DataFrame:
-    """Add error to rows (action, target_id, reason): what an action lacks, or that it is unknown; null without an action or if all is there."""
+    """Add error to rows (action, target_id, reason): what an action needs if it lacks any of it, or that it is unknown; null without an action or if all is there."""
     error = None
-    for name, column in REQUIRED.items():
-        rule = (F.col("action") == name) & (F.coalesce(F.trim(column), F.lit("")) == "")
-        text = F.lit(f"{name} needs {column}")
-        error = F.when(rule, text) if error is None else error.when(rule, text)
+    for name, columns in REQUIRED.items():
+        lacks = reduce(or_, [F.coalesce(F.trim(c), F.lit("")) == "" for c in columns])
+        text = F.lit(f"{name} needs {' and '.join(columns)}")
+        error = F.when((F.col("action") == name) & lacks, text) if error is None else error.when((F.col("action") == name) & lacks, text)
     return rows.withColumn("error", error.when(F.col("action").isNotNull() & ~F.col("action").isin(*REQUIRED), F.concat(F.lit("unknown action "), "action")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -81,32 +81,50 @@ def candidates(new: DataFrame, existing: DataFrame, keys: list[str], refuse: flo
     return near.join(types, "a").select(F.col("a").alias("id"), F.col("b").alias("candidate"), "sim", "place", rules.band(F.col("sim"), r, c).alias("band"))
 
 
+def _column(df: DataFrame, name: str, default: Column) -> Column:
+    return (F.col(name) if name in df.columns else default).alias(name)
+
+
 def decide(new: DataFrame, existing: DataFrame, keys: list[str], refuse: float | None = None, confirm: float | None = None) -> DataFrame:
     """(id, decision, against, sim): exact, refuse, confirm or pass for each new entry, in their order, as if they came one by one.
 
     new and existing have id, ord (unique), content, content_type, user_id, subject, flag and vec. An entry is held
     against the live existing entries and the new ones before it that passed: one that was turned away turns nothing
-    away. The order is kept by rounds: an entry is turned away once an earlier one that passed is its copy or reaches
-    the confirm similarity, and passes once all earlier ones like it were turned away. Each round writes its state; a
-    round decides the first entry at least, and all at once where chains of like entries are short.
+    away. New entries with forced (where new has it) pass without being held against any. An existing entry with born
+    or died (where existing has them) counts for new entries after born and before died alone.
+
+    The order is kept by rounds: an entry is turned away once an earlier one that passed is its copy or reaches the
+    confirm similarity, and passes once all earlier ones like it were turned away. Each round writes its state; a round
+    decides the first entry at least, and all at once where chains of like entries are short.
     """
     columns = ["id", "ord", "user_id", "content", "content_type", "subject", "flag", "vec", *[k for k in keys if k not in ("content_type", "user_id", "subject")]]
-    rows = existing.select(*columns, F.lit(False).alias("fresh")).unionByName(new.select(*columns, F.lit(True).alias("fresh"))).where("flag is null")
-    marked = cut(fingerprinted(rows).select("id", "ord", "fresh", "user_id", "fingerprint", "content_type"))
+    always = F.lit(None).cast("long")
+    old = existing.select(*columns, _column(existing, "born", always), _column(existing, "died", always), F.lit(False).alias("fresh"), F.lit(False).alias("forced"))
+    fresh = new.select(*columns, always.alias("born"), always.alias("died"), F.lit(True).alias("fresh"), _column(new, "forced", F.lit(False)))
+    rows = old.unionByName(fresh).where("flag is null")
+    marked = cut(fingerprinted(rows).select("id", "ord", "fresh", "forced", "born", "died", "user_id", "fingerprint", "content_type"))
     pool = rows.where("vec is not null")
-    reaching = _reaching(pool.where("fresh"), pool, keys, refuse, confirm)
-    times = marked.select("id", "ord", "fresh")
-    sided = reaching.join(times.select(F.col("id").alias("a"), F.col("ord").alias("ord")), "a").join(times.select(F.col("id").alias("b"), F.col("ord").alias("b_ord"), F.col("fresh").alias("b_fresh")), "b")
-    edges = cut(sided.where(~F.col("b_fresh") | (F.col("b_ord") < F.col("ord"))).select("a", "b", "sim", F.when(F.col("b_fresh"), F.col("b_ord")).alias("b_ord")))
-    copies = marked.select("id", F.when(F.col("fresh"), F.col("ord")).alias("ord"), "user_id", "fingerprint")
-    several = copies.groupBy("user_id", "fingerprint").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    groups = cut(copies.join(several, ["user_id", "fingerprint"]).withColumn("g", F.sha2(F.to_json(F.struct("user_id", "fingerprint")), 256)).select("id", "ord", "g"))
-    state = cut(marked.select("id", F.when(~F.col("fresh"), F.lit(True)).alias("passed")))  # null: not decided yet
+    reaching = _reaching(pool.where("fresh and not forced"), pool, keys, refuse, confirm)
+    times = marked.select(F.col("id").alias("b"), F.col("ord").alias("b_ord"), F.col("fresh").alias("b_fresh"), "born", "died")
+    sided = reaching.join(marked.select(F.col("id").alias("a"), F.col("ord").alias("ord")), "a").join(times, "b")
+    counts = (F.col("born").isNull() | (F.col("born") < F.col("ord"))) & (F.col("died").isNull() | (F.col("died") > F.col("ord"))) & (~F.col("b_fresh") | (F.col("b_ord") < F.col("ord")))
+    edges = cut(sided.where(counts).select("a", "b", "sim", "b_fresh", "b_ord"))
+    copies = marked.select("id", "ord", "fresh", "forced", "born", "died", F.sha2(F.to_json(F.struct("user_id", "fingerprint")), 256).alias("g"))
+    several = copies.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = cut(copies.join(several, "g"))
+    dated = F.col("born").isNotNull() | F.col("died").isNotNull()
+    groups = copies.where(~dated).select("id", "g", "fresh", F.struct(F.col("fresh").alias("late"), "ord").alias("at"))
+    # copies of existing entries that count for a time only, and of which few have the same content
+    spans = copies.where(dated).select("g", F.col("id").alias("s"), F.col("ord").alias("s_ord"), "born", "died")
+    held = (F.col("born").isNull() | (F.col("born") < F.col("ord"))) & (F.col("died").isNull() | (F.col("died") > F.col("ord")))
+    spanned = cut(copies.where("fresh and not forced").select("id", "ord", "g").join(spans, "g").where(held).groupBy("id").agg(F.min(F.struct(F.struct(F.lit(False).alias("late"), F.col("s_ord").alias("ord")).alias("at"), F.col("s").alias("id"))).alias("span")))
+    passed = F.when(~F.col("fresh") | F.col("forced"), F.lit(True)).when(F.col("span").isNotNull(), F.lit(False))  # null: not decided yet
+    state = cut(marked.select("id", "fresh", "forced").join(spanned, "id", "left").select("id", passed.alias("passed")))
     while True:
         near = edges.join(state.select(F.col("id").alias("b"), "passed"), "b").groupBy(F.col("a").alias("id")).agg(F.bool_or(F.coalesce("passed", F.lit(False))).alias("met"), F.count_if(F.col("passed").isNull()).alias("waits"))
         mates = groups.join(state, "id")
-        firsts = mates.groupBy("g").agg(F.count_if("passed").alias("p"), F.min(F.when(F.col("passed").isNull(), F.col("ord"))).alias("next"))
-        held = mates.join(firsts, "g").where(F.col("passed").isNull()).select("id", (F.col("p") > 0).alias("copied"), (F.col("ord") > F.col("next")).alias("later"))
+        firsts = mates.groupBy("g").agg(F.min(F.when(F.col("passed"), F.col("at"))).alias("there"), F.min(F.when(F.col("passed").isNull(), F.col("at"))).alias("next"))
+        held = mates.join(firsts, "g").where(F.col("passed").isNull()).select("id", F.coalesce(F.col("there") < F.col("at"), F.lit(False)).alias("copied"), (F.col("at") > F.col("next")).alias("later"))
         j = state.join(near, "id", "left").join(held, "id", "left")
         out = F.coalesce("met", F.lit(False)) | F.coalesce("copied", F.lit(False))
         free = (F.coalesce("waits", F.lit(0)) == 0) & ~F.coalesce("later", F.lit(False))
@@ -115,11 +133,12 @@ def decide(new: DataFrame, existing: DataFrame, keys: list[str], refuse: float |
         if state.where("passed is null").isEmpty():
             break
     passed = state.where("passed").select("id")
-    best = edges.join(passed.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.max_by(F.struct("sim", "b"), F.struct("sim", -F.coalesce("b_ord", F.lit(-1)))).alias("n"))
-    kept = groups.join(passed, "id").groupBy("g").agg(F.min(F.struct(F.coalesce("ord", F.lit(-1)).alias("at"), "id")).alias("first"))
-    copy = groups.join(kept, "g").where("first.at < ord").select("id", F.col("first.id").alias("first_id"))
+    best = edges.join(passed.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.max_by(F.struct("sim", "b"), F.struct("sim", ~F.col("b_fresh"), -F.col("b_ord"))).alias("n"))
+    kept = groups.join(passed, "id").groupBy("g").agg(F.min(F.struct("at", "id")).alias("first"))
+    copy = groups.join(kept, "g").where("first.at < at").select("id", "first").unionByName(spanned.select("id", F.col("span").alias("first")))
+    copy = copy.groupBy("id").agg(F.min("first")["id"].alias("first_id"))
     r, c = rules.thresholds(F.col("content_type"), refuse, confirm)
-    fresh = marked.where("fresh").select("id", "content_type").join(state, "id").join(copy, "id", "left").join(best, "id", "left")
+    fresh = marked.where("fresh").select("id", "content_type", "forced").join(state, "id").join(copy, "id", "left").join(best, "id", "left")
     turned = ~F.col("passed")
     decision = F.when(turned & F.col("first_id").isNotNull(), "exact").when(turned, rules.band(F.col("n.sim"), r, c)).otherwise("pass")
     return fresh.select("id", decision.alias("decision"), F.when(turned, F.coalesce("first_id", "n.b")).alias("against"), F.when(turned & F.col("first_id").isNull(), F.col("n.sim")).alias("sim"))

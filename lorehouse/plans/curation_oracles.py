@@ -35,7 +35,7 @@ _ENTRIES = {
     "judge_decisions": _BANDS
     + """SELECT id, candidate, band, CASE WHEN band = 'refuse' THEN 'duplicate' WHEN (x + y) % 3 <> 0 THEN ['supersedes', 'duplicate', 'complement', 'supersedes-reverse', 'unrelated'][((x + y) % 5 + 1)::INT] END AS relation
       FROM (SELECT *, substr(id, 2)::BIGINT AS x, substr(candidate, 2)::BIGINT AS y, CASE WHEN sim >= 0.45 THEN 'refuse' ELSE 'confirm' END AS band FROM pt WHERE place <= 5)""",
-    "action_errors": """SELECT id, CASE WHEN right(id, 1) = '7' THEN NULL WHEN k IN (0, 1, 2) AND ord % 3 = 0 THEN ['supersede', 'update', 'complement'][k + 1] || ' needs target_id' WHEN k = 3 AND ord % 4 = 0 THEN 'force-new needs reason' WHEN k = 4 THEN 'unknown action merge' END AS error FROM (SELECT *, (ord % 5)::INT AS k FROM e)""",
+    "action_errors": """SELECT id, CASE WHEN right(id, 1) = '7' THEN NULL WHEN k IN (0, 1) AND (ord % 3 = 0 OR ord % 4 = 0) THEN ['supersede', 'update'][k + 1] || ' needs target_id and reason' WHEN k = 2 AND ord % 3 = 0 THEN 'complement needs target_id' WHEN k = 3 AND ord % 4 = 0 THEN 'force-new needs reason' WHEN k = 4 THEN 'unknown action merge' END AS error FROM (SELECT *, (ord % 5)::INT AS k FROM e)""",
     "orphans_repaired": ", f AS (SELECT dst, arg_min(src, (-(ord // 50), ord)) AS found FROM g WHERE type = 'SUPERSEDES' AND dst IS NOT NULL GROUP BY dst) SELECT id, flag, CASE WHEN flag = 'SUPERSEDED' THEN coalesce(superseded_by, found) END AS superseded_by FROM e LEFT JOIN f ON dst = id",
     "auto_flagged": "SELECT CASE WHEN flag IS NULL AND ord % 9 = 0 AND ord % 2 <> 0 AND TIMESTAMP '2025-01-20' + to_days((ord % 60)::INT) < TIMESTAMP '2025-02-15' AND ord IN (SELECT event_id FROM events) THEN 'UNVERIFIED' ELSE flag END AS flag, count(*) AS n FROM e GROUP BY 1",
     "retried_as_updates": _BY_CONTENT
