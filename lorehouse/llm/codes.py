@@ -115,7 +115,7 @@ def _step(rows: DataFrame, books: dict[int, Books], moved: dict[int, Books] | No
 
 
 def _sums(rows: DataFrame, books: dict[int, Books], parts: int) -> DataFrame:
-    """By dimension, part and entry, the number of assigned parts and their componentwise sums; a task adds up its rows first."""
+    """By dimension, part, entry and place, at place 0 the number of assigned parts, then their sums by component; a task adds up its rows first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}
@@ -133,15 +133,16 @@ def _sums(rows: DataFrame, books: dict[int, Books], parts: int) -> DataFrame:
 
     partial = in_arrow(rows.select("v", "code"), run, "dims int, part int, entry int, sums array<long>")
     place = partial.select("dims", "part", "entry", F.posexplode("sums").alias("place", "x"))
-    return place.groupBy("dims", "part", "entry", "place").agg(F.sum("x").alias("x")).groupBy("dims", "part", "entry").agg(F.sort_array(F.collect_list(F.struct("place", "x"))).alias("sums"))
+    return place.groupBy("dims", "part", "entry", "place").agg(F.sum("x").alias("x"))
 
 
 def _move(books: dict[int, Books], sums: DataFrame) -> tuple[dict[int, Books], dict[int, Books]]:
-    """Codebooks whose used entries are the floors of their parts' means, and how far each entry went; at most an entry a row comes to the driver."""
+    """Codebooks whose used entries are the floors of their parts' means, and how far each entry went; as many numbers as the codebooks hold come to the driver."""
     new = {dims: [b.copy() for b in book] for dims, book in books.items()}
-    for r in sums.toLocalIterator():
-        count, *total = (s["x"] for s in r["sums"])
-        new[r["dims"]][r["part"]][r["entry"]] = [t // count for t in total]
+    total = {(r["dims"], r["part"], r["entry"], r["place"]): r["x"] for r in sums.collect()}
+    for (dims, part, entry, place), x in total.items():
+        if place:  # at 0 is the number of parts
+            new[dims][part][entry, place - 1] = x // total[dims, part, entry, 0]
     far = {dims: [np.sqrt(((a - b).astype(np.float64) ** 2).sum(axis=1)) * (1 + SLACK) for a, b in zip(book, books[dims], strict=True)] for dims, book in new.items()}
     return new, far
 
@@ -176,7 +177,7 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
     the codebooks are smaller. Each round assigns every part to its nearest entry, ties to the lower index, and moves
     each used entry to the floor of its parts' mean. Between rounds each row keeps two bounds a part, in a written table
     that takes the place of the one before; a part is compared with all entries only where its bounds don't settle it.
-    The driver holds the codebooks alone, and a round gives it one row an entry.
+    The driver holds the codebooks alone, and their sums of a round.
 
     Null vectors are left out. Vectors of each length have codebooks of their own. Repeated rows count as often as they
     occur. An empty table gives an empty one and no codebooks.
@@ -185,7 +186,7 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
     """
     rows = cut(vectors.where("v is not null"))
     books: dict[int, Books] = {}
-    for (dims,) in rows.select(F.size("v")).distinct().toLocalIterator():
+    for (dims,) in rows.select(F.size("v")).distinct().collect():
         first = rows.where(F.size("v") == dims).orderBy(F.asc_nulls_last("vec_id"), "v").select("v").limit(entries).collect()
         start = np.array([r["v"] for r in first], np.int64).reshape(len(first), dims)
         books[dims] = [start[:, part].copy() for part in cuts(dims, parts)]

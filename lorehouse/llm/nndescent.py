@@ -128,7 +128,7 @@ def first_lists(nodes: DataFrame, k: int) -> DataFrame:
     sizes = {r["dims"]: r["n"] for r in nodes.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).collect()}  # a row a vector length
     total, trees = sum(sizes.values()), {}
     held: dict[int, list[bytes]] = {}
-    for r in nodes.where(F.pmod(F.xxhash64("node"), F.lit(max(total, 1))) < FIT_ROWS).select("code").toLocalIterator():
+    for r in nodes.where(F.pmod(F.xxhash64("node"), F.lit(max(total, 1))) < FIT_ROWS).select("code").collect():
         held.setdefault(len(r["code"]), []).append(bytes(r["code"]))
     for dims, n in sizes.items():
         sample = decode(held[8 + 2 * dims]) if 8 + 2 * dims in held else np.zeros((0, dims))
