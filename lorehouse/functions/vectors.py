@@ -1,4 +1,4 @@
-"""Cosine similarity as expressions and as a blocked join."""
+"""Cosine similarity as expressions, and products of blocks that keep counts or the nearest."""
 
 from __future__ import annotations
 
@@ -39,49 +39,6 @@ def hashed_words(content: Column, dims: int = 64) -> Column:
     return F.when(F.size(words) > 0, counts)
 
 
-def similar(left: DataFrame, right: DataFrame, keys: list[str], threshold: float, block: int = BLOCK_ROWS, half: bool = False) -> DataFrame:
-    """(a, b, sim) of all pairs of rows that agree in keys and have a cosine of threshold or more.
-
-    left and right have id, vec (of one dimension, finite) and keys. The sides of a key are dealt into blocks by hash,
-    so many that a block has about `block` rows, and each pair of blocks is one group: a hot key is spread over many
-    tasks, none holds more than two blocks, and only the pairs that reach the threshold are written. The work is still
-    the product of a key's two sides. With half, left and right are one table and each pair is formed once, a < b.
-    """
-    keys = keys or ["_all"]
-    if keys == ["_all"]:
-        left, right = left.withColumn("_all", F.lit(1)), right.withColumn("_all", F.lit(1))
-
-    def sized(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-
-    counts = sized(left, "nl").join(sized(right, "nr"), keys)
-
-    def dealt(df: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
-        j = df.join(counts, keys)
-        j = j.withColumn(mine, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
-        low, high = (F.col(mine), F.col(other) - 1) if half and mine == "lb" else (F.lit(0), F.col(mine) if half else F.col(other) - 1)
-        return j.withColumn(theirs, F.explode(F.sequence(low, high))).select(*keys, "lb", "rb", "id", "vec")
-
-    l, r = dealt(left, "nl", "nr", "lb", "rb"), dealt(right, "nr", "nl", "rb", "lb")
-    r = r.select(*[F.col(c).alias(f"r_{c}") for c in r.columns])  # names of its own, as both sides may be one table
-    groups = [*keys, "lb", "rb"]
-
-    def pairs(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": pd.Series(dtype=str), "b": pd.Series(dtype=str), "sim": pd.Series(dtype=float)})
-        m, n = np.stack(x["vec"].to_list()).astype(float), np.stack(y["r_vec"].to_list()).astype(float)
-        m, n = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (m, n))
-        sims = np.clip(m @ n.T, -1, 1)
-        i, j = np.nonzero(sims >= threshold)
-        a, b, s = x["id"].to_numpy(str)[i], y["r_id"].to_numpy(str)[j], sims[i, j]
-        if half:
-            on = a < b if x["lb"].iloc[0] == x["rb"].iloc[0] else a != b
-            a, b, s = np.where(a < b, a, b)[on], np.where(a < b, b, a)[on], s[on]
-        return pd.DataFrame({"a": a.astype(object), "b": b.astype(object), "sim": s})
-
-    return l.groupBy(*groups).cogroup(r.groupBy(*[f"r_{c}" for c in groups])).applyInPandas(pairs, "a string, b string, sim double")
-
-
 def similarity_counts(vectors: DataFrame, block: int = COUNT_ROWS) -> DataFrame:
     """(sim, dup, n): how many pairs of rows of vectors (id, vec, label) have a cosine, rounded to 6 places, and one label or two.
 
@@ -141,7 +98,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK_R
         m, n = np.stack(x["vec"].to_list()).astype(float), np.stack(y["v_vec"].to_list()).astype(float)
         m, n = (a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300) for a in (m, n))
         sims, ids = np.round(np.clip(m @ n.T, -1, 1), 9), y["v_id"].to_numpy().astype(str)
-        out = [(q, ids[j], s[j]) for q, s in zip(x["query_id"], sims, strict=True) for j in np.lexsort((ids, -s))[:k]]
+        out = []
+        for q, s in zip(x["query_id"], sims, strict=True):
+            near = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))  # the k best and what ties with the last
+            out += [(q, ids[j], s[j]) for j in near[np.lexsort((ids[near], -s[near]))[:k]]]
         return pd.DataFrame(out, columns=["query_id", "id", "sim"])
 
     kind = queries.schema["query_id"].dataType.simpleString()

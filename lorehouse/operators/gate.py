@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
-from ..functions.vectors import similar
 from ..sources.scratch import cut, discard
+from .similarity import similar
 
 
 def fingerprinted(entries: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import analytics, corrections, evaluation, gate, graph, ingest, people, search
+from ..operators import analytics, corrections, evaluation, gate, graph, ingest, people, search, similarity
 from ..sources import exchange, scratch
 from ..sources import tables as S
 from ..streaming import streams
@@ -275,7 +275,7 @@ def systems_healthy(spark: SparkSession, d: str) -> DataFrame:
 
 def _typed_pairs(spark: SparkSession, d: str) -> DataFrame:
     v, e = S.vectors(spark, d), S.entries(spark, d)
-    near = V.similar(v, v, [], CONFIRM, half=True).withColumn("sim", F.round("sim", 6))
+    near = similarity.similar(v, v, [], CONFIRM, half=True).withColumn("sim", F.round("sim", 6))
     one, two = (e.select(*[F.col(c).alias(f"{c}_{s}" if c != "id" else s) for c in ("id", "ord", "content_type", "source", "subject", "content")]) for s in "ab")
     return near.join(one, "a").join(two, "b")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import analytics, corrections, evaluation, gate, graph, ingest, search
+from ..operators import analytics, corrections, evaluation, gate, graph, ingest, search, similarity
 from ..sources import scratch
 from ..sources import tables as S
 from ..streaming import streams
@@ -138,7 +138,7 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
 @query
 def similar_pairs(spark: SparkSession, d: str) -> DataFrame:
     v = S.vectors(spark, d)
-    return V.similar(v, v, [], CONFIRM, half=True).select("a", "b", F.round("sim", 6).alias("sim"))
+    return similarity.similar(v, v, [], CONFIRM, half=True).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query
