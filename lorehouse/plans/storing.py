@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +17,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
+    """Registers f; its result is written, and what it wrote on the way is deleted."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return scratch.settled(lambda: f(spark, d))
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 def _opened(spark: SparkSession, d: str) -> tuple[store.Store, DataFrame]:
     """A store that holds the live entries of cross_domain sources, and the other live entries as plain requests."""
     e = _by_content(spark, d).join(S.vectors(spark, d).select("id", "vec"), "id", "left").where("flag is null")
-    s = store.Store(spark, f"{scratch.shared_dir(spark)}/lorehouse/{uuid.uuid4().hex}", refuse=REFUSE, confirm=CONFIRM)
+    s = store.Store(spark, scratch.folder(spark), refuse=REFUSE, confirm=CONFIRM)
     there = F.col("source") == "cross_domain"
     columns = ["id", "ord", "ts", "content", "content_type", "source", "user_id", "confidence", "subject", "vec"]
     s.load(e.where(there).select(columns))
@@ -50,7 +56,7 @@ def store_batches(spark: SparkSession, d: str) -> DataFrame:
 @query
 def store_applied(spark: SparkSession, d: str) -> DataFrame:
     """The entries after four batches of updates, supersessions, complements and forced entries, one an event, many of them on one entry."""
-    s = store.Store(spark, f"{scratch.shared_dir(spark)}/lorehouse/{uuid.uuid4().hex}")
+    s = store.Store(spark, scratch.folder(spark))
     e = S.entries(spark, d)
     s.load(e.select("id", "ord", "ts", "content", "content_type", "source", "user_id", "confidence", "subject", "flag", "flag_date", "superseded_by"))
     n = F.col("event_id")

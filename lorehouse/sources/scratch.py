@@ -43,6 +43,14 @@ def cut(df: DataFrame, onto: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def folder(spark: SparkSession) -> str:
+    """A path in the shared folder for files of one's own; within settled it is deleted like a written table."""
+    path = f"{shared_dir(spark)}/lorehouse/{uuid.uuid4().hex}"
+    if _WITHIN:
+        _WITHIN[-1].append(path)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     where = sc._jvm.org.apache.hadoop.fs.Path(path)

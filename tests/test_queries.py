@@ -8,7 +8,7 @@ import decimal
 import duckdb
 import pytest
 
-from lorehouse.plans import curation, curation_oracles, knowledge, oracles, storing, storing_oracles
+from lorehouse.plans import curation, curation_oracles, knowledge, oracles, retrieval, retrieval_oracles, storing, storing_oracles
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,8 +30,8 @@ def duck():
     return con
 
 
-QUERIES = knowledge.QUERIES | curation.QUERIES | storing.QUERIES
-SQL = oracles.ORACLE_SQL | curation_oracles.ORACLE_SQL | storing_oracles.ORACLE_SQL
+QUERIES = knowledge.QUERIES | curation.QUERIES | storing.QUERIES | retrieval.QUERIES
+SQL = oracles.ORACLE_SQL | curation_oracles.ORACLE_SQL | storing_oracles.ORACLE_SQL | retrieval_oracles.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -45,5 +45,5 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_without_sql():
-    """These have tests of their own in test_plain_python and test_store."""
-    assert set(QUERIES) - set(SQL) == {"store_batches", "gate_batch", "legacy_ranker", "pack_paragraphs", "distinct_pairs_greedy"}
+    """These have tests of their own in test_plain_python, test_store and test_similarity."""
+    assert set(QUERIES) - set(SQL) == {"store_batches", "vector_index_search", "gate_batch", "legacy_ranker", "pack_paragraphs", "distinct_pairs_greedy"}

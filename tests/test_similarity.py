@@ -6,7 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lorehouse.functions import vectors
 from lorehouse.operators import similarity
+from lorehouse.operators.vector_index import VectorIndex
+from lorehouse.plans import retrieval
 
 
 def clustered(n, seed=0, dims=16):
@@ -66,3 +69,40 @@ def test_tables_without_pairs(spark):
     assert similarity.similar(zero, zero, [], 0.5, half=True).collect() == []
     assert similarity.similar(zero, zero, [], 0.0, half=True).count() == 60 * 59 // 2
     assert similarity.compared(none, none, [], 0.5) == 0
+
+
+# The vector index
+
+
+def test_index_search_reaches_its_recall(spark):
+    sf = "/root/testdata/sf0.01"
+    want = {(r["query_id"], r["id"]) for r in retrieval.vector_index_exact(spark, sf).collect()}
+    got = {(r["query_id"], r["id"]) for r in retrieval.vector_index_search(spark, sf).collect()}
+    assert len(want & got) >= 0.9 * len(want)
+
+
+def test_index_of_clusters_looks_at_few_lists(spark, tmp_path):
+    x = clustered(3000, 3)
+    df = frame(spark, x)
+    index = VectorIndex.build(df, f"file://{tmp_path}/index")
+    queries = df.where("id < 'v00200'").select(F.col("id").alias("query_id"), "vec")
+    want = vectors.nearest(queries, df.where(F.exists("vec", lambda v: v != 0)), 10).where("query_id <> 'v00007'")
+    rows = lambda out: sorted((r["query_id"], r["place"], r["id"], r["sim"]) for r in out.where("query_id <> 'v00007'").collect())
+    assert rows(index.exact(queries, 10)) == rows(want)
+    assert index.calibrated(queries, 10) <= 5 and 50 <= len(index.centres()[0]) <= 54
+    assert index.exact(queries.where("query_id = 'v00007'"), 10).select("sim").distinct().collect() == [(0.0,)]  # zero is as far from all
+
+
+def test_index_of_odd_tables(spark, tmp_path):
+    df = frame(spark, clustered(100))
+    zero = df.where("id = 'v00007'")
+    queries = df.select(F.col("id").alias("query_id"), "vec")
+    index = VectorIndex.build(zero, f"file://{tmp_path}/none")
+    assert index.exact(queries, 3).collect() == [] and index.calibrated(queries, 3) == 1
+    with pytest.raises(ValueError, match="anew"):
+        index.add(df)
+    one = VectorIndex.build(df.limit(1), f"file://{tmp_path}/one")
+    one.add(df.where("id <> 'v00000'"))
+    assert one.rows().count() == 99
+    got = one.exact(queries.where("query_id = 'v00050'"), 1).first()
+    assert (got["id"], got["sim"]) == ("v00050", 1.0)
