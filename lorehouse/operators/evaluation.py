@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import cut, discard
 
-#: What marks an entry as about the store itself, by default: its extractor, and how its subject starts.
-META_EXTRACTOR, META_SUBJECTS = "session-extract", ("store.", "store_bugs.", "host_config.", "orchestration.")
-
 
 def _positive(k: int) -> int:
     if not isinstance(k, int) or isinstance(k, bool) or k < 0:
@@ -40,8 +37,11 @@ def ndcg_at_k(judged: DataFrame, totals: DataFrame, k: int) -> DataFrame:
     return gain.join(best, "query_id", "left").select("query_id", F.coalesce(F.col("dcg") / F.col("ideal"), F.lit(0.0)).alias("ndcg"))
 
 
-def meta_share(ranked: DataFrame, k: int, extractor: str = META_EXTRACTOR, subjects: tuple[str, ...] = META_SUBJECTS) -> DataFrame:
-    """(query_id, share) of rows (query_id, rank, extracted_by, subject) about the store itself, over k; 0 for k = 0."""
+def meta_share(ranked: DataFrame, k: int, extractor: str, subjects: tuple[str, ...]) -> DataFrame:
+    """(query_id, share) of rows (query_id, rank, extracted_by, subject) about the store itself, over k; 0 for k = 0.
+
+    That is what the extractor has made, or what has a subject that starts like one of subjects.
+    """
     meta = F.coalesce(F.col("extracted_by") == extractor, F.lit(False))
     for head in subjects:
         meta = meta | F.coalesce(F.col("subject").startswith(head), F.lit(False))

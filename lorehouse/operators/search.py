@@ -148,19 +148,27 @@ def query_forms(queries: DataFrame) -> DataFrame:
 SENT_QUERIES = 10_000
 
 
+def postings(entries: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(id, form, n): how often each form of the vocabulary (form, distinct) is a word of an entry's content."""
+    words = entries.select("id", F.explode(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9_]+"), F.lit(0))).alias("form"))
+    return words.join(vocabulary, "form", "left_semi").groupBy("id", "form").agg(F.count("*").alias("n"))
+
+
 def relevance_batch(entries: DataFrame, queries: DataFrame, top: int | None = None) -> DataFrame:
     """(query_id, id, relevance) of all pairs in which a term occurs, for many queries at once; with top, of those pairs that can be among a query's top.
 
-    Words of the contents meet the queries' word forms in an equi-join, so a row costs its words, not words times
-    queries, and where the forms are few nothing but counts is shuffled. The phrase is looked for only where all terms
-    were found, as it holds them all, and with top only where it can lift the pair to the top of what others have without.
+    Words of the contents that no query has go first; the others are counted by entry and form, then by entry and term,
+    before any of them meets the queries, so that a row costs its words and its terms' queries, not its words times
+    queries. Where the forms are few nothing but counts is shuffled. The phrase is looked for only where all terms were
+    found, as it holds them all, and with top only where it can lift the pair to the top of what others have without.
     """
-    words = entries.select("id", F.explode(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9_]+"), F.lit(0))).alias("form"))
     forms = query_forms(queries)
-    if queries.limit(SENT_QUERIES + 1).count() <= SENT_QUERIES:
-        forms = F.broadcast(forms)
-    counts = words.join(forms, "form").groupBy("query_id", "id", "term", "n_terms").agg(F.count("*").alias("n"))
-    pairs = counts.groupBy("query_id", "id", "n_terms").agg(F.count("*").alias("matched"), F.sum(F.least("n", F.lit(5)).cast("long")).alias("fifths"))
+    few = queries.limit(SENT_QUERIES + 1).count() <= SENT_QUERIES
+    sent = F.broadcast if few else (lambda df: df)
+    counts = postings(entries, sent(forms.select("form").distinct()))
+    terms = counts.join(sent(forms.select("form", "term").distinct()), "form").groupBy("id", "term").agg(F.least(F.sum("n"), F.lit(5)).alias("n"))
+    asked = forms.select("query_id", "term", "n_terms").distinct()
+    pairs = terms.join(sent(asked), "term").groupBy("query_id", "id", "n_terms").agg(F.count("*").alias("matched"), F.sum("n").alias("fifths"))
     sizes = entries.select("id", F.length("content").alias("chars"))
     score = lambda phrase: T.relevance_of(F.col("matched"), F.col("fifths") / 5, phrase, F.col("n_terms"), F.col("chars"))
     scored = pairs.join(sizes, "id").withColumn("low", score(F.lit(False)))

@@ -31,9 +31,9 @@ def _no_meta() -> Column:
     return F.create_map().cast("map<string,string>")
 
 
-def prepared(requests: DataFrame, projects: dict[str, str] | None = None) -> DataFrame:
+def prepared(requests: DataFrame, projects: dict[str, str]) -> DataFrame:
     """Requests with what they leave open: type, source, confidence and tags inferred from the content, the default user, targets by routing, and error where an action lacks something."""
-    inferred = rules.inference(F.col("content"), rules.PROJECTS if projects is None else projects)
+    inferred = rules.inference(F.col("content"), projects)
     r = check_actions(requests).withColumn("inferred", inferred)
     r = r.withColumn("content_type", F.coalesce("content_type", "inferred.content_type"))
     r = r.withColumns(
@@ -206,7 +206,7 @@ class Store:
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str] = ("content_type",), refuse: float | None = None, confirm: float | None = None, down: Sequence[str] = (), projects: dict[str, str] | None = None) -> None:
-        self.spark, self.path, self.keys, self.refuse, self.confirm, self.down, self.projects = spark, path.rstrip("/"), keys, refuse, confirm, down, projects
+        self.spark, self.path, self.keys, self.refuse, self.confirm, self.down, self.projects = spark, path.rstrip("/"), keys, refuse, confirm, down, projects or {}
 
     def _numbers(self, kind: str) -> list[int]:
         """Numbers of the folders that were written whole."""

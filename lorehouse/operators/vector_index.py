@@ -50,7 +50,8 @@ class VectorIndex:
         rows = vectors.where(F.exists("vec", lambda x: x != 0)).select("id", "vec")
         n, dims = rows.agg(F.count("*"), F.max(F.size("vec"))).first()
         lot = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, n // FIT_ROWS))) == 0
-        x = np.array([r["vec"] for r in rows.where(lot).select("vec").limit(2 * FIT_ROWS).collect()], np.float64).reshape(-1, dims or 0)
+        some = rows.where(lot).select("vec").limit(2 * FIT_ROWS).collect()
+        x = np.array([r["vec"] for r in some], np.float64).reshape(len(some), dims or 0)
         many = min(lists or LISTS, len(x), lists or max(1, int(np.sqrt(n))))
         centres = _fit(x / np.linalg.norm(x, axis=1, keepdims=True), many) if len(x) else np.zeros((0, 0))
         index._write(rows, centres, dims or 0, "overwrite")
@@ -100,11 +101,13 @@ class VectorIndex:
         centres, radii, _ = self.centres()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in batches if len(centres) else ():
                 x = np.array(batch.column("vec").to_pylist(), np.float64).reshape(batch.num_rows, -1)
                 angles = np.arccos(np.clip(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) @ centres.T, -1, 1))
                 order = np.argsort(angles, axis=1, kind="stable")
                 lists = order[:, :probes] if not least else order[:, probes:]
+                if not lists.size:
+                    continue
                 row = np.repeat(np.arange(len(x)), lists.shape[1])
                 flat = lists.reshape(-1)
                 if least:

@@ -357,7 +357,7 @@ def routes_with_model(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def metadata_tags(spark: SparkSession, d: str) -> DataFrame:
-    m = S.entries(spark, d).select("id", rules.metadata(rules.inference(F.col("content")), F.col("tags")).alias("m"))
+    m = S.entries(spark, d).select("id", rules.metadata(rules.inference(F.col("content"), S.PROJECTS), F.col("tags")).alias("m"))
     return m.select("id", F.array_join("m.tags", ",").alias("tags"), "m.inferred.content_type", F.size("m.search_hints").alias("hints"))
 
 

@@ -186,13 +186,13 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def infer_type(spark: SparkSession, d: str) -> DataFrame:
-    e = S.entries(spark, d).withColumn("i", rules.inference(F.col("content")))
+    e = S.entries(spark, d).withColumn("i", rules.inference(F.col("content"), S.PROJECTS))
     return e.select("id", "i.content_type", F.round("i.confidence", 4).alias("confidence"), rules.inferred_source(F.col("i.project"), F.col("i.content_type")).alias("source"))
 
 
 @query
 def infer_tags(spark: SparkSession, d: str) -> DataFrame:
-    e = S.entries(spark, d).withColumn("i", rules.inference(F.col("content")))
+    e = S.entries(spark, d).withColumn("i", rules.inference(F.col("content"), S.PROJECTS))
     return e.select("id", F.array_join("i.tags", ",").alias("tags"), "i.temporal", F.size("i.patterns").alias("n_patterns"), F.size(rules.questions(F.col("i"))).alias("n_questions"))
 
 
@@ -398,9 +398,10 @@ def ndcg_at_10(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def meta_share(spark: SparkSession, d: str) -> DataFrame:
-    ranked = _ranked_lexical(spark, d, 10).withColumn("n", F.substring("id", 2, 20).cast("long"))
-    marked = ranked.select("query_id", F.col("lexical_rank").alias("rank"), F.when(F.col("n") % 3 == 0, evaluation.META_EXTRACTOR).alias("extracted_by"), F.when(F.col("n") % 5 == 0, "store.notes").otherwise("other").alias("subject"))
-    return evaluation.meta_share(marked, 5)
+    """Entries that are procedures, or have French subjects, count as meta here."""
+    e = S.entries(spark, d).select("id", F.col("content_type").alias("extracted_by"), "subject")
+    marked = _ranked_lexical(spark, d, 10).join(e, "id").select("query_id", F.col("lexical_rank").alias("rank"), "extracted_by", "subject")
+    return evaluation.meta_share(marked, 5, "procedure", ("fr.",))
 
 
 def _swept(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """DuckDB SQL for those knowledge queries that SQL can express plainly."""
 
 from ..functions import rules, text
+from ..sources import tables
 
 #: The derived tables, as in sources.tables.
 TABLES = """
@@ -138,7 +139,7 @@ _SCORES = {t: f"({' + '.join(_holds(p) + '::INT' for p in ps)}) / {len(ps)}.0::D
 _INFERRED = f"""
 , ec AS (SELECT id, coalesce(content, '') AS content FROM e
 ), i1 AS (
-  SELECT id, content, {", ".join(f"{x} AS s_{t}" for t, x in _SCORES.items())}, {_case(rules.PROJECTS)} AS project, {_case(rules.LANGUAGES)} AS language, {_case(rules.TIMES)} AS temporal,
+  SELECT id, content, {", ".join(f"{x} AS s_{t}" for t, x in _SCORES.items())}, {_case(tables.PROJECTS)} AS project, {_case(rules.LANGUAGES)} AS language, {_case(rules.TIMES)} AS temporal,
     list_filter([{", ".join(f"CASE WHEN {_holds(p)} THEN '{name}' END" for name, p in rules.FRAMEWORKS.items())}], lambda x: x IS NOT NULL) AS frameworks FROM ec
 ), i2 AS (
   SELECT *, greatest({", ".join(f"s_{t}" for t in _SCORES)}) AS best FROM i1
@@ -176,7 +177,7 @@ _QUERIES = {
       SELECT id, candidate, place, round(sim, 6) AS sim, CASE WHEN sim >= 0.45 THEN 'refuse' ELSE 'confirm' END AS band FROM pt WHERE place <= 5""",
     "content_hash_first_wins": f", ch AS (SELECT id, ord, flag, substr(lower({_TRIMMED.format('content')}), 1, 300) AS h FROM e) SELECT arg_min(id, ord) AS id FROM ch WHERE flag IS DISTINCT FROM 'DELETED' AND h NOT IN (SELECT h FROM ch WHERE flag = 'DELETED') GROUP BY h",
     "fingerprint_dups": _BY_CONTENT + ", fd AS (SELECT norm, user_id, content_type, subject, arg_min(id, ord) AS first_id FROM bc WHERE flag IS NULL GROUP BY ALL) SELECT id, first_id AS duplicate_of FROM bc JOIN fd ON bc.norm = fd.norm AND bc.user_id = fd.user_id AND bc.content_type = fd.content_type AND bc.subject IS NOT DISTINCT FROM fd.subject WHERE flag IS NULL AND id <> first_id",
-    "meta_share": _RANKED + "SELECT query_id, count(*) FILTER (WHERE rank <= 5 AND (substr(id, 2)::BIGINT % 3 = 0 OR substr(id, 2)::BIGINT % 5 = 0)) / 5.0::DOUBLE AS share FROM jd GROUP BY query_id",
+    "meta_share": _RANKED + "SELECT query_id, count(*) FILTER (WHERE rank <= 5 AND coalesce(content_type = 'procedure' OR starts_with(subject, 'fr.'), false)) / 5.0::DOUBLE AS share FROM jd JOIN e USING (id) GROUP BY query_id",
     "ndcg_at_10": _RANKED + "SELECT query_id, round(coalesce(sum(CASE WHEN rel > 0 THEN 1 / log2(rank + 1) ELSE 0 END) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= sum(rel)), 0), 6) AS ndcg FROM jd GROUP BY query_id",
     "mrr": _RANKED + "SELECT query_id, round(coalesce(1 / min(rank) FILTER (WHERE rel > 0), 0), 6)::DOUBLE AS rr FROM jd GROUP BY query_id",
     "precision_at_5": _RANKED + "SELECT query_id, count(*) FILTER (WHERE rank <= 5 AND rel > 0) / 5.0::DOUBLE AS precision FROM jd GROUP BY query_id",

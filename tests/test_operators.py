@@ -29,11 +29,11 @@ def test_recency(spark):
 
 
 def test_inference(spark):
-    got = one(spark, rules.inference(F.lit("I fixed the bug: the solution was to configure OAuth in python first")))
+    got = one(spark, rules.inference(F.lit("I fixed the bug: the solution was to configure OAuth in python first"), {"sign-in": "OAuth|JWKS"}))
     assert got["content_type"] == "procedure"
-    assert got["project"] == "auth-system"
+    assert got["project"] == "sign-in"
     assert got["language"] == "python"
-    assert got["tags"] == ["auth-system", "python", "procedure"]
+    assert got["tags"] == ["sign-in", "python", "procedure"]
 
 
 def test_merge_prefers_longer_and_unites(spark):

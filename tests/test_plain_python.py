@@ -86,7 +86,7 @@ def plain_inference(c):
     best = max(scores.values())
     first = lambda d: next((n for n, p in d.items() if f(p)), None)
     kind = next((t for t in scores if scores[t] == best > 0), "fact")
-    return kind, round(min(0.9, 0.5 + best * 0.4), 4), first(rules.PROJECTS), first(rules.TIMES), first(rules.LANGUAGES), [n for n, p in rules.FRAMEWORKS.items() if f(p)], [m[0] for m in re.finditer(rules.HABIT, c, re.I | re.A)][:3]
+    return kind, round(min(0.9, 0.5 + best * 0.4), 4), first(tables.PROJECTS), first(rules.TIMES), first(rules.LANGUAGES), [n for n, p in rules.FRAMEWORKS.items() if f(p)], [m[0] for m in re.finditer(rules.HABIT, c, re.I | re.A)][:3]
 
 
 def test_inference_against_the_patterns(spark):
@@ -95,7 +95,7 @@ def test_inference_against_the_patterns(spark):
     texts = [" ".join(rng.choice(pool) for _ in range(rng.randint(1, 14))) for _ in range(400)]
     texts += ["last  time", "xalways", "alwaysé", "I\nthink", "I think", "think I", "version\n1.2", "port=", "a.tsx .ts x.ts", ""]
     df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
-    for r in df.select("i", rules.inference(F.col("t")).alias("x")).collect():
+    for r in df.select("i", rules.inference(F.col("t"), tables.PROJECTS).alias("x")).collect():
         x = r["x"]
         assert (x["content_type"], round(x["confidence"], 4), x["project"], x["temporal"], x["language"], x["frameworks"], x["patterns"]) == plain_inference(texts[r["i"]]), texts[r["i"]]
 

@@ -156,9 +156,9 @@ def test_superseding_needs_its_stores(spark, tmp_path):
 
 def test_store_infers_what_is_left_open(spark):
     row = frame(spark, [{"id": "a", "ord": 1, "content": "How to configure the server: first run the build, then deploy"}], store.REQUEST)
-    r = store.prepared(row).first()
+    r = store.prepared(row, {}).first()
     assert r["user_id"] == "personal" and r["content_type"] and r["source"] and 0.5 <= r["confidence"] <= 0.9 and "mongodb" in r["targets"]
-    assert store.decide(store.Store(spark, "file:///nowhere").entries(), store.prepared(row.limit(0))).count() == 0
+    assert store.decide(store.Store(spark, "file:///nowhere").entries(), store.prepared(row.limit(0), {})).count() == 0
 
 
 def test_store_decides_like_the_gate(spark):
