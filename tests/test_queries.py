@@ -8,7 +8,7 @@ import decimal
 import duckdb
 import pytest
 
-from lorehouse.plans import curation, curation_oracles, knowledge, oracles, retrieval, retrieval_oracles, storing, storing_oracles
+from lorehouse.plans import curation, curation_oracles, importing, importing_oracles, knowledge, oracles, retrieval, retrieval_oracles, storing, storing_oracles
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,8 +30,8 @@ def duck():
     return con
 
 
-QUERIES = knowledge.QUERIES | curation.QUERIES | storing.QUERIES | retrieval.QUERIES
-SQL = oracles.ORACLE_SQL | curation_oracles.ORACLE_SQL | storing_oracles.ORACLE_SQL | retrieval_oracles.ORACLE_SQL
+QUERIES = knowledge.QUERIES | curation.QUERIES | storing.QUERIES | retrieval.QUERIES | importing.QUERIES
+SQL = oracles.ORACLE_SQL | curation_oracles.ORACLE_SQL | storing_oracles.ORACLE_SQL | retrieval_oracles.ORACLE_SQL | importing_oracles.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
