@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import backfill
 from ..sources import readers, scratch
 from ..sources import tables as S
 
@@ -138,3 +139,32 @@ def markdown_import(spark: SparkSession, d: str) -> DataFrame:
     found = readers.markdown_tree(spark, [f"{folder}/notes", f"{folder}/plans"], [f"{folder}/flat"], "2020-01-01")
     name = F.element_at(F.split("path", "/(?=notes/|plans/|flat/)"), -1)
     return found.select(name.alias("path"), "project", "size", F.sha2("content", 256).alias("sha256"), T.word_count(F.col("content")).cast("long").alias("words"))
+
+
+class Unsteady:
+    """An embedder that fails for texts of some lengths: always where the length ends in 3, the first time where it ends in 4."""
+
+    def __init__(self, dims: int) -> None:
+        self.model, self.asked = backfill.HashedWords(dims), set()
+
+    def __call__(self, texts: list[str]) -> list[list[float] | None]:
+        again = [t for t in texts if len(t) % 10 == 4 and t not in self.asked]
+        self.asked.update(again)
+        if again:
+            raise TimeoutError("try again")
+        return [None if len(t) % 10 == 3 else self.model.one(t) for t in texts]
+
+
+@query
+def backfill_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """Two thirds of the entries lack a vector: a run of some parts, one of the rest, and a third that asks for the failed ones again."""
+    e = S.entries(spark, d).withColumn("embedder_id", F.when(F.col("ord") % 3 == 0, "older").when(F.col("ord") % 3 == 1, ""))
+    fill = backfill.Backfill(spark, scratch.folder(spark), functools.partial(Unsteady, 8), "hashed-8", 8)
+    size = max(1, e.count() // 6)
+    fill.run(e, size, most_parts=2)
+    fill.run(e, size)
+    fill.run(e, size)
+    out = backfill.stored(e, fill.vectors(), 8, S.AS_OF)
+    rows = fill.rows().groupBy("id").agg(F.count_if(F.col("vec").isNotNull()).cast("long").alias("written"))
+    total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x)
+    return out.join(rows, "id", "left").join(fill.failures().select("id", "error"), "id", "left").select("id", "embedder_id", total.alias("words"), F.col("embedded_at").isNotNull().alias("filled"), F.coalesce("written", F.lit(0)).alias("written"), "error")

@@ -56,4 +56,7 @@ UNION ALL SELECT dump, NULL, NULL, NULL, NULL, NULL, NULL, NULL, problem FROM p"
     "markdown_import": r"""SELECT project || '/' || CASE WHEN item_id % 6 = 2 THEN 'deep/er/' ELSE '' END || item_id || '.md' AS path, project, strlen(content)::BIGINT AS size, sha256(content) AS sha256, len(list_filter(regexp_split_to_array(content, '\s+'), lambda w: w <> ''))::BIGINT AS words
 FROM (SELECT item_id, ['notes', 'plans', 'flat'][(item_id % 3)::INT + 1] AS project, '# ' || item_id || chr(10) || text AS content FROM benchmark)
 WHERE item_id % 10 <> 9 AND item_id % 6 NOT IN (0, 1) AND NOT (project = 'flat' AND item_id % 6 = 2)""",
+    "backfill_resumed": TABLES + """, w AS (SELECT id, len(regexp_extract_all(lower(content), '[a-z0-9]+'))::DOUBLE AS n, length(content) % 10 AS k, ord FROM e
+), x AS (SELECT *, ord % 3 <> 0 AS asked, ord % 3 <> 0 AND k <> 3 AND n > 0 AS filled FROM w)
+SELECT id, CASE WHEN filled THEN 'hashed-8' WHEN ord % 3 = 0 THEN 'older' WHEN ord % 3 = 1 THEN '' END AS embedder_id, CASE WHEN filled THEN n END AS words, filled, filled::BIGINT AS written, CASE WHEN asked AND NOT filled THEN 'no vector' END AS error FROM x""",
 }
