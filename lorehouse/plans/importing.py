@@ -1,4 +1,4 @@
-"""The registered queries of the sources: stores, meeting caches, chat dumps and Markdown trees, written from whole tables and read again."""
+"""The registered queries of the sources, the backfill and event time: what is written from whole tables and read again, or streamed."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import backfill
 from ..sources import readers, scratch
 from ..sources import tables as S
+from ..streaming import eventtime
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -168,3 +169,39 @@ def backfill_resumed(spark: SparkSession, d: str) -> DataFrame:
     rows = fill.rows().groupBy("id").agg(F.count_if(F.col("vec").isNotNull()).cast("long").alias("written"))
     total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x)
     return out.join(rows, "id", "left").join(fill.failures().select("id", "error"), "id", "left").select("id", "embedder_id", total.alias("words"), F.col("embedded_at").isNotNull().alias("filled"), F.coalesce("written", F.lit(0)).alias("written"), "error")
+
+
+_EVENT = "event_id long, user_id long, ts timestamp"
+
+
+def _streamed(spark: SparkSession, d: str, part: Column, keep: Column | None = None) -> DataFrame:
+    """The events as a stream of parts, one a batch."""
+    e = S.table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    e = (e if keep is None else e.where(keep)).withColumn("part", part)
+    return eventtime.parts_stream(spark, eventtime.put_parts(e, "part", scratch.folder(spark)), _EVENT)
+
+
+@query
+def late_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events that come in four parts, each over all days: those that the stream keeps, and those that it counts as later than two days."""
+    part = F.col("event_id") % 4
+    stream = _streamed(spark, d, part, (part != 3) | (F.dayofmonth("ts") <= 10))
+    run = eventtime.counted(eventtime.first_within(stream, ["event_id"], "ts", "2 days"), scratch.folder(spark))
+    kept = run.rows.agg(F.lit("kept").alias("kind"), F.count("*").alias("n"))
+    return kept.unionByName(spark.range(1).select(F.lit("late").alias("kind"), F.lit(run.late).cast("long").alias("n")))
+
+
+@query
+def closed_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Events that come by the week: the sessions of each user that the watermark has closed."""
+    stream = _streamed(spark, d, F.floor(F.dayofmonth("ts") / 7))
+    out = eventtime.counted(eventtime.sessions(stream, "user_id", "ts", "6 hours", "2 days"), scratch.folder(spark)).rows
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query
+def session_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Events that come by the week: each third event of a user without a day between them."""
+    stream = _streamed(spark, d, F.floor(F.dayofmonth("ts") / 7))
+    out = eventtime.counted(eventtime.session_marks(stream, "user_id", "ts", 3, 86_400, "2 days"), scratch.folder(spark)).rows
+    return out.select("user_id", "mark", F.unix_micros("at").alias("at_us"))

@@ -20,6 +20,11 @@ _MEETINGS = """WITH m AS (
   FROM m LEFT JOIN a ON a.conv_id = m.n
 )"""
 
+#: Islands of a user's events without a gap of so many microseconds.
+_ISLANDS = """WITH v AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events
+), g AS (SELECT *, CASE WHEN t - lag(t) OVER w < {gap} THEN 0 ELSE 1 END AS new FROM v WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)
+), i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id) AS island FROM g)"""
+
 ORACLE_SQL = {
     "sidecar_round_trip": TABLES + "SELECT id, sha256(content) AS content_sha, content_type, confidence, array_to_string(tags, ',') AS tags, NULL::VARCHAR AS problem FROM e UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'ends early'",
     "meeting_cache_import": _MEETINGS
@@ -59,4 +64,12 @@ WHERE item_id % 10 <> 9 AND item_id % 6 NOT IN (0, 1) AND NOT (project = 'flat'
     "backfill_resumed": TABLES + """, w AS (SELECT id, len(regexp_extract_all(lower(content), '[a-z0-9]+'))::DOUBLE AS n, length(content) % 10 AS k, ord FROM e
 ), x AS (SELECT *, ord % 3 <> 0 AS asked, ord % 3 <> 0 AND k <> 3 AND n > 0 AS filled FROM w)
 SELECT id, CASE WHEN filled THEN 'hashed-8' WHEN ord % 3 = 0 THEN 'older' WHEN ord % 3 = 1 THEN '' END AS embedder_id, CASE WHEN filled THEN n END AS words, filled, filled::BIGINT AS written, CASE WHEN asked AND NOT filled THEN 'no vector' END AS error FROM x""",
+    # a batch is held against the watermark that the batch before it ran with: of all parts before that one
+    "late_events": """WITH x AS (SELECT event_id % 4 AS part, ts FROM events WHERE event_id % 4 <> 3 OR day(ts) <= 10
+), t AS (SELECT part, max(ts) AS top FROM x GROUP BY part
+), m AS (SELECT a.part, max(date_trunc('millisecond', b.top)) - INTERVAL 2 DAY AS mark FROM t a LEFT JOIN t b ON b.part <= a.part - 2 GROUP BY a.part
+), k AS (SELECT coalesce(x.ts <= m.mark, false) AS late FROM x JOIN m ON m.part = x.part)
+SELECT 'kept' AS kind, count(*) FILTER (WHERE NOT late) AS n FROM k UNION ALL SELECT 'late', count(*) FILTER (WHERE late) FROM k""",
+    "closed_sessions": _ISLANDS.format(gap=6 * 3_600_000_000) + " SELECT user_id, min(t) AS start_us, max(t) + 21600000000 AS end_us, count(*) AS n FROM i GROUP BY user_id, island HAVING max(t) + 21600000000 <= (SELECT max(t) // 1000 * 1000 - 172800000000 FROM v)",
+    "session_marks": _ISLANDS.format(gap=86_400_000_000) + ", r AS (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY t, event_id) AS mark FROM i) SELECT user_id, mark, t AS at_us FROM r WHERE mark % 3 = 0",
 }
