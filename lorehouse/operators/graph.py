@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.rules import decode_strength
+from .substrings import contained
 
 
 def usable(edges: DataFrame) -> DataFrame:
@@ -63,22 +63,23 @@ def related(edges: DataFrame, starts: DataFrame, depth: int = 2, limit: int = 20
     return seen.where("distance > 0").withColumn("place", F.row_number().over(place)).select("start", "node", "distance", "place")
 
 
-#: Names that a task searches for at once.
+#: Names that a task searches for at once, at most.
 BLOCK_NAMES = 50_000
 
 
 def mentions(contents: DataFrame, entities: DataFrame, block: int = BLOCK_NAMES) -> DataFrame:
     """(id, entity): entities whose name or an alias, longer than 3 characters, is a substring of a content, case-folded.
 
-    Names are taken in blocks by hash, which go to the tasks; a task searches each content once for all names of a
-    block (Aho-Corasick), in time linear in the text. Nothing is shuffled; the contents are read once a block.
+    Up to `block` names go to the tasks, where a content is searched once for all of them (Aho-Corasick), in time linear
+    in the text; nothing is shuffled. More names meet the contents by their rarest runs of characters.
     """
     names = entities.select("entity", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).select("entity", F.lower("name").alias("name")).where(F.length("name") > 3).distinct()
-    blocks = max(1, -(-names.count() // block))
     kind, lower = entities.schema["entity"], contents.select("id", F.lower("content").alias("content"))
-    schema = T.StructType([contents.schema["id"], kind])
-    out = [_mentioned(lower, names.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == i).collect(), schema) for i in range(blocks)]
-    return reduce(DataFrame.union, out).distinct() if blocks > 1 else out[0]
+    few = names.limit(block + 1).collect()
+    if len(few) <= block:
+        return _mentioned(lower, few, T.StructType([contents.schema["id"], kind]))
+    met = contained(names.select(F.col("name").alias("needle")), lower.withColumnRenamed("content", "text"))
+    return met.join(names, F.col("needle") == F.col("name")).select("id", "entity").distinct()
 
 
 def _mentioned(contents: DataFrame, names: list[Row], schema: T.StructType) -> DataFrame:

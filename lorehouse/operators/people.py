@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .substrings import contained
 
 
 def registry(rows: DataFrame) -> DataFrame:
@@ -18,9 +19,8 @@ def resolve(mentions: DataFrame, people: DataFrame) -> DataFrame:
     """(mention, person, how) for mentions (mention, a string): a cascade, in which each step sees what the steps before left.
 
     exact: the normalised name or alias; ends: first and last word; lower: the lower-case name as it stands; part: the
-    mention's text is part of the names of one person alone. Names of several people resolve to the least person. The
-    last step holds the mentions that are left against names by a key, the names' words: a mention is part of a name at
-    its word ends only.
+    normalised mention stands anywhere in the lower-case names of one person alone. Names of several people resolve to
+    the least person, but in the last step to none.
     """
     names = people.select("person", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).distinct()
     words = lambda c: F.filter(F.split(T.person_name(F.col(c)), " "), lambda w: w != "")
@@ -34,8 +34,7 @@ def resolve(mentions: DataFrame, people: DataFrame) -> DataFrame:
         hit = left.where(able).withColumn("key", mine).join(keys, "key").select("mention", "person", F.lit(how).alias("how"))
         left = left.join(hit, "mention", "left_anti")
         found = hit if found is None else found.unionByName(hit)
-    parts = names.select("person", F.explode(words("name")).alias("key"), T.person_name(F.col("name")).alias("norm")).distinct()
-    key = left.select("mention", T.person_name(F.col("mention")).alias("m"), F.element_at(words("mention"), 1).alias("key")).where("m <> ''")
-    part = key.join(parts, "key").where(F.contains(F.concat(F.lit(" "), "norm", F.lit(" ")), F.concat(F.lit(" "), "m", F.lit(" "))))
-    one = part.groupBy("mention").agg(F.count_distinct("person").alias("n"), F.min("person").alias("person")).where("n = 1")
-    return found.unionByName(one.select("mention", "person", F.lit("part").alias("how")))
+    texts = names.select(F.lower("name").alias("text")).distinct().withColumn("id", F.sha2("text", 256))
+    part = contained(left.select(T.person_name(F.col("mention")).alias("needle")), texts).join(texts, "id").join(names.select("person", F.lower("name").alias("text")).distinct(), "text")
+    one = part.groupBy("needle").agg(F.min("person").alias("person"), F.max("person").alias("other")).where("person = other")
+    return found.unionByName(left.withColumn("needle", T.person_name(F.col("mention"))).join(one, "needle").select("mention", "person", F.lit("part").alias("how")))

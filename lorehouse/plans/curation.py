@@ -140,7 +140,7 @@ def people_resolved(spark: SparkSession, d: str) -> DataFrame:
     p = people.registry(_people(spark, d))
     n = F.substring("person", 2, 10).cast("long")
     first, last = F.split("name", " ")[0], F.split("name", " ")[2]
-    mention = F.when(n % 5 == 0, F.concat(F.upper("name"), F.lit("!"))).when(n % 5 == 1, F.concat(first, F.lit(" "), last)).when(n % 5 == 2, F.element_at("aliases", 1)).when(n % 5 == 3, F.concat(F.lit("no one "), "person")).otherwise(F.lower(last))
+    mention = F.when(n % 5 == 0, F.concat(F.upper("name"), F.lit("!"))).when(n % 5 == 1, F.concat(first, F.lit(" "), last)).when(n % 5 == 2, F.element_at("aliases", 1)).when(n % 5 == 3, F.concat(F.lit("#"), n)).otherwise(F.lower(last))
     return people.resolve(p.select(mention.alias("mention")), p)
 
 

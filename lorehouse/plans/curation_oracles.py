@@ -63,10 +63,10 @@ _ENTRIES = {
 ORACLE_SQL = {name: TABLES + sql for name, sql in _ENTRIES.items()} | {
     "node_contents": """SELECT 'p' || p_partkey AS id, coalesce(nullif(concat_ws(' — ', nullif(trim(CASE WHEN p_partkey % 3 <> 0 THEN p_name END), ''), nullif(trim(CASE WHEN p_partkey % 2 = 0 THEN '  ' WHEN p_partkey % 9 <> 0 THEN p_brand END), '')), ''), 'p' || p_partkey) AS content FROM part""",
     "people_resolved": f"""WITH p AS (SELECT s_suppkey AS n, {_WORDS}[(s_suppkey % 12 + 1)::INT] AS f, {_WORDS}[(s_suppkey // 12 % 12 + 1)::INT] AS l, 'p' || lpad(s_suppkey::VARCHAR, 6, '0') AS person FROM supplier
-), m AS (SELECT DISTINCT CASE n % 5 WHEN 0 THEN upper(f || ' ' || l[1] || '. ' || l) || '!' WHEN 1 THEN upper(f[1]) || f[2:] || ' ' || upper(l[1]) || l[2:] WHEN 2 THEN f || '_' || n WHEN 3 THEN 'no one ' || person ELSE l END AS mention,
-  CASE n % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'ends' WHEN 2 THEN 'exact' WHEN 3 THEN 'none' ELSE 'part' END AS how, CASE WHEN n % 5 = 2 THEN person END AS own, CASE WHEN n % 5 < 2 THEN f END AS f, CASE WHEN n % 5 IN (0, 1, 4) THEN l END AS l FROM p
-), k AS (SELECT f, l, min(person) AS person FROM p GROUP BY f, l), o AS (SELECT w, count(DISTINCT person) AS c, min(person) AS person FROM (SELECT person, f AS w FROM p UNION ALL SELECT person, l FROM p) GROUP BY w)
-SELECT mention, coalesce(own, k.person, o.person) AS person, how FROM m LEFT JOIN k ON k.f = m.f AND k.l = m.l LEFT JOIN o ON m.how = 'part' AND o.w = m.l AND o.c = 1 WHERE how <> 'none' AND coalesce(own, k.person, o.person) IS NOT NULL""",
+), m AS (SELECT DISTINCT CASE n % 5 WHEN 0 THEN upper(f || ' ' || l[1] || '. ' || l) || '!' WHEN 1 THEN upper(f[1]) || f[2:] || ' ' || upper(l[1]) || l[2:] WHEN 2 THEN f || '_' || n WHEN 3 THEN '#' || n ELSE l END AS mention,
+  CASE n % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'ends' WHEN 2 THEN 'exact' ELSE 'part' END AS how, CASE n % 5 WHEN 3 THEN n::VARCHAR WHEN 4 THEN l END AS needle, CASE WHEN n % 5 = 2 THEN person END AS own, CASE WHEN n % 5 < 2 THEN f END AS f, CASE WHEN n % 5 IN (0, 1, 4) THEN l END AS l FROM p
+), k AS (SELECT f, l, min(person) AS person FROM p GROUP BY f, l), o AS (SELECT needle, count(DISTINCT person) AS c, min(person) AS person FROM (SELECT DISTINCT needle FROM m WHERE how = 'part') JOIN (SELECT person, f || ' ' || l[1] || '. ' || l AS t FROM p UNION ALL SELECT person, f || '_' || n FROM p) ON contains(t, needle) GROUP BY needle)
+SELECT mention, coalesce(own, k.person, o.person) AS person, how FROM m LEFT JOIN k ON k.f = m.f AND k.l = m.l LEFT JOIN o ON m.how = 'part' AND o.needle = m.needle AND o.c = 1 WHERE coalesce(own, k.person, o.person) IS NOT NULL""",
     "meeting_import": _MEETINGS + " SELECT id, segments, strftime(end_ts, '%Y-%m-%d %H') AS end_hour FROM dc JOIN tr USING (id) WHERE NOT gone AND (type IS NULL OR type = 'meeting') AND created_at IS NOT NULL AND end_ts > TIMESTAMP '2024-02-20'",
     "meeting_import_report": _MEETINGS + f" SELECT {_STATE} AS status, count(*) AS n, strftime(max(end_ts), '%Y-%m-%d %H') AS last_hour FROM dc LEFT JOIN tr USING (id) GROUP BY 1",
     "huddle_canvases": "SELECT conv_id, turn, 'T' || (n % 9) AS team, 'F' || (n % 50) AS file_id, length(d.text) AS chars FROM (SELECT conv_id, turn, conv_id * 100 + turn AS n FROM conversations) JOIN documents d ON d.doc_id = n % 50 WHERE n % 3 <> 0 AND (n % 2 = 0 OR n % 5 = 0)",

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from lorehouse.functions import rules
 from lorehouse.functions import text as T
-from lorehouse.operators import analytics, evaluation, gate, graph, ingest, search
+from lorehouse.operators import analytics, evaluation, gate, graph, ingest, search, substrings
 
 
 def one(spark, column):
@@ -88,3 +90,12 @@ def test_pack_paragraphs(spark):
 def test_vector_health(spark):
     h = lambda a, b, c, ok=True: one(spark, analytics.vector_health(F.lit(a), F.lit(b), F.lit(c), F.lit(ok)))
     assert [h(100, 100, 100), h(100, 90, 100), h(50, 50, 100), h(0, 0, 10), h(1, 1, 1, False)] == ["ok", "degraded", "degraded", "missing", "unknown"]
+
+
+def test_strings_in_texts(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abé😀 .") for _ in range(n))
+    needles, texts = [word(rng.randrange(8)) for _ in range(120)] + [None, "abab.b" * 3], [(i, word(rng.randrange(40))) for i in range(150)] + [(900, None), (901, ""), (902, "x" + "abab.b" * 9)]
+    got = substrings.contained(spark.createDataFrame([(x,) for x in needles], "needle string"), spark.createDataFrame(texts, "id long, text string")).collect()
+    want = {(i, x) for i, t in texts if t for x in needles if x and x in t}
+    assert len(got) == len(want) and {(r["id"], r["needle"]) for r in got} == want
