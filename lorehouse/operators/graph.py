@@ -63,6 +63,81 @@ def related(edges: DataFrame, starts: DataFrame, depth: int = 2, limit: int = 20
     return seen.where("distance > 0").withColumn("place", F.row_number().over(place)).select("start", "node", "distance", "place")
 
 
+def related_paths(edges: DataFrame, starts: DataFrame, depth: int = 2, limit: int = 20, relation: str = "RELATED_TO") -> DataFrame:
+    """(start, node, distance, parent, strength, place): nodes within depth undirected steps, in the order of their discovery, with the edge that found each.
+
+    A level goes through the edges of all nodes of the level before, outgoing ones first, then by ord; the first edge
+    that leads to a node not seen before finds it, and gives its parent and strength. At most limit nodes a start count.
+    As in related, a start goes on while it has fewer, and hubs are cut to the neighbours that can count.
+    """
+    both = adjacency(edges.where(F.col("type") == relation)).withColumn("at", F.struct((F.col("direction") == "in").alias("back"), "ord"))
+    steps = both.groupBy("node", "other").agg(F.min(F.struct("at", "strength")).alias("e"))
+    steps = steps.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("e.at", "other"))).where(F.col("r") <= 2 * limit + 1).drop("r")
+    frontier = starts.select("start", F.col("start").alias("node")).distinct()
+    seen = frontier.select("start", "node", F.lit(0).alias("distance"), F.lit(None).cast("struct<at:struct<back:boolean,ord:bigint>,strength:int,parent:string>").alias("first"))
+    place = Window.partitionBy("start").orderBy("distance", "first.at", "node")
+    for level in range(1, depth + 1):
+        first = F.min(F.struct("e.at", F.col("e.strength").cast("int").alias("strength"), F.col("node").alias("parent"))).alias("first")
+        new = frontier.join(steps, "node").groupBy("start", F.col("other").alias("found")).agg(first).withColumnRenamed("found", "node")
+        fresh = new.join(seen.select("start", "node"), ["start", "node"], "left_anti").select("start", "node", F.lit(level).alias("distance"), "first")
+        seen = seen.unionByName(fresh).withColumn("place", F.row_number().over(place)).where(F.col("place") <= limit + 1).drop("place")
+        short = seen.groupBy("start").agg(F.count("*").alias("n")).where(F.col("n") <= limit).select("start")
+        frontier = seen.where(F.col("distance") == level).join(short, "start").select("start", "node")
+    found = seen.where("distance > 0").withColumn("place", F.row_number().over(place))
+    return found.select("start", "node", "distance", "first.parent", decode_strength(F.col("first.strength")).alias("strength"), "place")
+
+
+#: The order in which a node's labels are looked at; the first that it has is its type. The first is no entity's.
+LABELS = ("Knowledge", "Person", "Organization", "Project", "Technology", "Concept", "Service", "Event")
+#: Labels of nodes that run the store itself.
+OPERATIONAL = ("ContextTrigger", "ToolRoute", "ResourceMap", "QueryType", "System", "MemoryTier")
+
+
+def summaries(ids: DataFrame, nodes: DataFrame, edges: DataFrame, entries: DataFrame, neighbours: int = 4) -> DataFrame:
+    """(id, name, type, summary, related) of ids that are nodes (id, label) of a known label, or entries (id, content).
+
+    The type is the first of LABELS that a node has. The name is the content's first three words, the summary its first
+    200 characters, both null without an entry; related are the entries among the first `neighbours` that RELATED_TO edges
+    lead to or from, by least ord, each with 40 characters. What is no such node has neither name nor relations.
+    """
+    order = F.array_position(F.array(*map(F.lit, LABELS)), F.col("label"))
+    typed = nodes.where(F.col("label").isin(*LABELS)).groupBy("id").agg(F.min_by("label", order).alias("type"))
+    wanted = ids.select("id").distinct()
+    e = entries.select("id", "content")
+    j = wanted.join(typed, "id", "left").join(e, "id", "left").where("type is not null or content is not null")
+    near = adjacency(edges.where("type = 'RELATED_TO'")).groupBy("node", "other").agg(F.min("ord").alias("ord"))
+    near = near.join(wanted.select(F.col("id").alias("node")), "node", "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("ord", "other"))).where(F.col("r") <= neighbours)
+    named = near.join(e.select(F.col("id").alias("other"), F.substring("content", 1, 40).alias("name")), "other").groupBy(F.col("node").alias("id")).agg(F.sort_array(F.collect_list(F.struct("r", F.col("other").alias("id"), "name"))).alias("all"))
+    known = F.col("type").isNotNull()
+    out = j.join(named, "id", "left")
+    none = F.array().cast("array<struct<id:string,name:string>>")
+    related_ = F.when(known, F.coalesce(F.transform("all", lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name"))), none)).otherwise(none)
+    name = F.when(known, F.array_join(F.slice(F.split("content", " "), 1, 3), " "))
+    return out.select("id", name.alias("name"), F.coalesce("type", F.lit(LABELS[0])).alias("type"), F.substring("content", 1, 200).alias("summary"), related_.alias("related"))
+
+
+def context(hits: DataFrame, most: int = 6) -> DataFrame:
+    """(query_id, id, place): the first `most` different entities that a search's hits lead to, in their order.
+
+    hits has query_id, arm, place, id, labels and refs, arrays or null. Hits of the arm graph with an entity's label, and
+    no operational one, come first by place, then the refs of the arm mongodb, then those of mem0.
+    """
+    entity, running = F.array(*map(F.lit, LABELS[1:])), F.array(*map(F.lit, OPERATIONAL))
+    own = hits.where((F.col("arm") == "graph") & F.arrays_overlap("labels", entity) & ~F.arrays_overlap("labels", running)).select("query_id", F.struct(F.lit(0).alias("arm"), "place", F.lit(0).alias("at")).alias("arrival"), "id")
+    linked = hits.where(F.col("arm").isin("mongodb", "mem0")).select("query_id", F.when(F.col("arm") == "mongodb", 1).otherwise(2).alias("arm"), "place", F.posexplode("refs").alias("at", "id"))
+    all_ = own.unionByName(linked.select("query_id", F.struct("arm", "place", "at").alias("arrival"), "id")).where("id is not null")
+    first = all_.groupBy("query_id", "id").agg(F.min("arrival").alias("arrival"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("arrival", "id"))).where(F.col("place") <= most).drop("arrival")
+
+
+def annotated(hits: DataFrame, entities: DataFrame) -> DataFrame:
+    """hits with linked: their own id and refs that are among the query's entities (query_id, id), in this order."""
+    refs = hits.select("query_id", "arm", "place", F.posexplode(F.concat(F.array("id"), F.coalesce("refs", F.array().cast("array<string>")))).alias("at", "ref"))
+    met = refs.join(entities.select("query_id", F.col("id").alias("ref")), ["query_id", "ref"], "left_semi")
+    linked = met.groupBy("query_id", "arm", "place").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "ref"))), lambda x: x["ref"]).alias("linked"))
+    return hits.join(linked, ["query_id", "arm", "place"], "left").withColumn("linked", F.coalesce("linked", F.array().cast("array<string>")))
+
+
 #: Names that a task searches for at once, at most.
 BLOCK_NAMES = 50_000
 

@@ -1,4 +1,4 @@
-"""The registered queries of the vector index, over whole tables."""
+"""The registered queries of the vector index and of entities around hits, over whole tables."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graph
 from ..operators.vector_index import VectorIndex
 from ..sources import scratch
 from ..sources import tables as S
@@ -50,3 +51,48 @@ def vector_index_search(spark: SparkSession, d: str) -> DataFrame:
     queries = v.select(F.col("ord").alias("query_id"), "vec")
     index = VectorIndex.build(v, scratch.folder(spark))
     return index.search(queries, 10, index.calibrated(queries, 10)).select("query_id", "place", "id", "sim")
+
+
+@query
+def related_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Of all live entries, what is within two steps, by which edge it was found, and that edge's strength."""
+    live = S.entries(spark, d).where("flag is null").select(F.col("id").alias("start"))
+    return graph.related_paths(S.edges(spark, d), live).select("start", "node", "distance", "parent", F.round("strength", 4).alias("strength"), "place")
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled nodes: most entries have one label, some two, some none, and a few labels belong to no entry."""
+    n = F.col("doc_id")
+    labels = graph.LABELS + graph.OPERATIONAL[:2]
+    t = S.table(spark, d, "documents").select("doc_id")
+    own = t.where(n % 7 != 3).select(F.concat(F.lit("d"), n).alias("id"), S.pick(labels, n % 10).alias("label"))
+    more = t.where(n % 5 == 1).select(F.concat(F.lit("d"), n).alias("id"), S.pick(labels, (n + 4) % 10).alias("label"))
+    bare = t.where(n % 50 == 0).select(F.concat(F.lit("x"), n).alias("id"), F.lit("Person").alias("label"))
+    return own.unionByName(more).unionByName(bare)
+
+
+@query
+def entity_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """A card for every entry, and for ids that are nodes alone or nothing at all."""
+    n = F.col("doc_id")
+    ids = S.table(spark, d, "documents").select(F.when(n % 25 == 0, F.concat(F.lit("x"), n)).otherwise(F.concat(F.lit("d"), n)).alias("id"))
+    cards = graph.summaries(ids, _nodes(spark, d), S.edges(spark, d), S.entries(spark, d))
+    names = F.array_join(F.transform("related", lambda x: F.concat_ws("=", x["id"], F.length(x["name"]).cast("string"))), ",")
+    return cards.select("id", "name", "type", F.sha2("summary", 256).alias("summary_sha"), names.alias("related"))
+
+
+@query
+def entity_cards(spark: SparkSession, d: str) -> DataFrame:
+    """The hits of all query strings in three arms, what entities these lead to, and which of them each hit links to."""
+    e = S.entries(spark, d)
+    n = F.col("ord")
+    labels = _nodes(spark, d).groupBy("id").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+    known = e.join(labels, "id", "left").select("id", "labels", F.when(n % 3 != 0, F.array(F.concat(F.lit("d"), n * 7 % 40), F.concat(F.lit("d"), n * 3 % 20))).alias("refs"), n.alias("n"))
+    q = S.search_queries(spark, d).select("query_id")
+    # each query meets nine entries, three an arm
+    at = q.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("n", (F.col("query_id") * 13 + F.col("j") * 11) % 150)
+    hits = at.join(known, "n").select("query_id", S.pick(("graph", "mongodb", "mem0"), F.col("j") % 3).alias("arm"), F.floor(F.col("j") / 3).cast("int").alias("place"), "id", "labels", "refs")
+    hits = scratch.cut(hits)
+    entities = scratch.cut(graph.context(hits))
+    linked = graph.annotated(hits, entities).select("query_id", F.concat("arm", "place").alias("what"), "id", F.array_join("linked", ",").alias("linked"))
+    return linked.unionByName(entities.select("query_id", F.concat(F.lit("entity"), "place").alias("what"), "id", F.lit("").alias("linked")))
