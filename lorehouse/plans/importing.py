@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import backfill
+from ..operators import backfill, distil, ingest, synclog
 from ..sources import readers, scratch
 from ..sources import tables as S
 from ..streaming import eventtime
@@ -205,3 +206,39 @@ def session_marks(spark: SparkSession, d: str) -> DataFrame:
     stream = _streamed(spark, d, F.floor(F.dayofmonth("ts") / 7))
     out = eventtime.counted(eventtime.session_marks(stream, "user_id", "ts", 3, 86_400, "2 days"), scratch.folder(spark)).rows
     return out.select("user_id", "mark", F.unix_micros("at").alias("at_us"))
+
+
+def _told(text: str) -> str:
+    """A model that stands for one that distils: its answer follows from the text's length, and isn't always as it must be."""
+    n = len(text)
+    claims = [{"type": ingest.CLAIM_TYPES[(n + i) % 6] if n % 11 != 3 else "rumour", "content": f"claim {i} of {n}", "qualitative_confidence": ingest.CONFIDENCES[(n + i) % 3], "topics": [f"t{i}"], "people": []} for i in range(n % 7)]
+    body = json.dumps({"summary": f"text of {n}", "claims": claims})
+    return (f"```json\n{body}\n```", f"Here it is: {body} That is all.", f"\ufeff{body}", body[:-1] if n % 8 == 3 else body)[n % 4]
+
+
+@query
+def distilled(spark: SparkSession, d: str) -> DataFrame:
+    """All entries through a table function, called from SQL: summaries, claims and errors."""
+    distil.register(spark, "distil", lambda: _told)
+    rows = spark.sql("SELECT * FROM distil(TABLE({entries}))", entries=S.entries(spark, d).select("id", "content"))
+    return rows.select("id", "place", "type", "content", F.round("confidence", 2).alias("confidence"), F.array_join("topics", ",").alias("topics"), "error")
+
+
+@query
+def sync_log_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Three runs of an import of all documents as files: what is planned from the log in each, with failures and changes between."""
+    log = synclog.SyncLog(spark, scratch.folder(spark))
+    n = F.col("doc_id")
+    out = None
+    for run in range(3):
+        changed = (n % 10 < run) if run else F.lit(False)
+        files = S.table(spark, d, "documents").where(F.lit(run) >= n % 4 - 1).select("doc_id", F.concat(F.lit("notes/"), n, F.lit(".md")).alias("path"), F.sha2(F.concat_ws("#", "text", F.when(changed, F.lit(str(run)))), 256).alias("sha256"))
+        plan = scratch.cut(log.plan(files.select("path", "sha256")))
+        done = files.join(plan.where("action <> 'skip'"), "path")
+        fails = (n + run) % 7 == 0
+        log.record(done.select("path", "sha256", F.when(~fails, F.concat(F.lit("k"), n)).alias("whole_doc_id"), F.when(fails, F.lit("no answer")).alias("last_error")))
+        if run == 1:
+            log.compact()
+        counted = plan.groupBy(F.lit(run).alias("run"), "action").agg(F.count("*").alias("n"))
+        out = counted if out is None else out.unionByName(counted)
+    return out

@@ -25,6 +25,20 @@ _ISLANDS = """WITH v AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events
 ), g AS (SELECT *, CASE WHEN t - lag(t) OVER w < {gap} THEN 0 ELSE 1 END AS new FROM v WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)
 ), i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id) AS island FROM g)"""
 
+
+def _sync_runs() -> str:
+    """Three runs written out: what a file was at each, and what the run before left of it."""
+    steps = ["WITH l0 AS (SELECT NULL::BIGINT AS doc_id, NULL AS sha, NULL::BOOLEAN AS ok WHERE false)"]
+    for run in range(3):
+        sha = f"text || CASE WHEN doc_id % 10 < {run} THEN '#{run}' ELSE '' END" if run else "text"
+        steps.append(
+            f"""f{run} AS (SELECT d.doc_id, {sha} AS sha, l.sha AS old, l.ok FROM documents d LEFT JOIN l{run} l USING (doc_id) WHERE {run} >= d.doc_id % 4 - 1
+), p{run} AS (SELECT *, CASE WHEN old IS NULL THEN 'new' WHEN sha = old AND ok THEN 'skip' WHEN NOT ok THEN 'retry' ELSE 'update' END AS action FROM f{run}
+), l{run + 1} AS (SELECT doc_id, sha, (doc_id + {run}) % 7 <> 0 AS ok FROM p{run} WHERE action <> 'skip' UNION ALL SELECT * FROM l{run} WHERE doc_id NOT IN (SELECT doc_id FROM p{run} WHERE action <> 'skip'))"""
+        )
+    return ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT {run} AS run, action, count(*) AS n FROM p{run} GROUP BY action" for run in range(3))
+
+
 ORACLE_SQL = {
     "sidecar_round_trip": TABLES + "SELECT id, sha256(content) AS content_sha, content_type, confidence, array_to_string(tags, ',') AS tags, NULL::VARCHAR AS problem FROM e UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'ends early'",
     "meeting_cache_import": _MEETINGS
@@ -72,4 +86,12 @@ SELECT id, CASE WHEN filled THEN 'hashed-8' WHEN ord % 3 = 0 THEN 'older' WHEN o
 SELECT 'kept' AS kind, count(*) FILTER (WHERE NOT late) AS n FROM k UNION ALL SELECT 'late', count(*) FILTER (WHERE late) FROM k""",
     "closed_sessions": _ISLANDS.format(gap=6 * 3_600_000_000) + " SELECT user_id, min(t) AS start_us, max(t) + 21600000000 AS end_us, count(*) AS n FROM i GROUP BY user_id, island HAVING max(t) + 21600000000 <= (SELECT max(t) // 1000 * 1000 - 172800000000 FROM v)",
     "session_marks": _ISLANDS.format(gap=86_400_000_000) + ", r AS (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY t, event_id) AS mark FROM i) SELECT user_id, mark, t AS at_us FROM r WHERE mark % 3 = 0",
+    "distilled": TABLES + """, t AS (SELECT id, length(content) AS n FROM e), x AS (
+  SELECT id, n, CASE WHEN n % 4 = 3 AND n % 8 = 3 THEN 'not JSON' WHEN n % 7 = 0 THEN 'no claims' WHEN n % 11 = 3 THEN 'claim 0' END AS error FROM t
+)
+SELECT id, NULL::INT AS place, NULL AS type, NULL AS content, NULL::DOUBLE AS confidence, NULL AS topics, error FROM x WHERE error IS NOT NULL
+UNION ALL SELECT id, 0, 'summary', 'text of ' || n, NULL, NULL, NULL FROM x WHERE error IS NULL
+UNION ALL SELECT id, (i + 1)::INT, ['decision', 'preference', 'learning', 'context', 'brainstorm', 'reference'][(n + i) % 6 + 1], 'claim ' || i || ' of ' || n, [0.9, 0.65, 0.4][(n + i) % 3 + 1]::DOUBLE, 't' || i, NULL
+FROM x, range(5) r(i) WHERE error IS NULL AND i < n % 7""",
+    "sync_log_runs": _sync_runs(),
 }
