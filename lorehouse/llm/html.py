@@ -38,28 +38,64 @@ _SIDE = frozenset("nav header footer aside form menu dialog fieldset".split())
 _MAIN = frozenset("article main".split())
 _HOLD = frozenset("article center dd div main section td".split())
 _ENDLESS = frozenset("p li dt dd tr td th".split())
+#: Elements of a phrase: their words are the sentence's, whatever their class says.
+_PHRASE = frozenset("a abbr b cite code em i mark q s small strong sub sup u".split())
 #: Words of class, id or role that mark what isn't main text.
 _SIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination paywall popup promo related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 _KEEP_WORDS = frozenset("article content entry post story body".split())
+#: First words that say what a name's last word is, and those that say what else the page has.
+_KINDS, _STATES = frozenset("ad ads advert promo related sponsored".split()), frozenset("has is no with without".split())
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _marked(attributes: str) -> bool:
-    if "=" not in attributes:
+def _names_side(name: str) -> bool:
+    """Whether a class name marks a side part. The last word of a compound names the part: article-comments are comments, a comment-body is a body, a post-header an article's own header; another word marks it where the last one says nothing."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    if not words or words[0] in _STATES:
+        return False
+    if words[-1] == "header" and set(words) & _KEEP_WORDS:
         return False
-    words = {w.lower() for m in _NAMES.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or "")}
-    return bool(words & _SIDE_WORDS) and not words & _KEEP_WORDS
+    return words[-1] in _SIDE_WORDS or words[0] in _KINDS or bool(set(words) & _SIDE_WORDS) and words[-1] not in _KEEP_WORDS
+
+
+def _marked(attributes: str) -> bool:
+    return "=" in attributes and any(_names_side(name) for m in _NAMES.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").split())
 
 
 class Line(NamedTuple):
-    """A block's text, white space squeezed: how many characters are in links, whether it's in a marked side part or in article or main, and the places of the containers that hold it."""
+    """A block's text, white space squeezed: how many characters are in links, whether it's in a marked side part or in article or main, and the innermost container that holds it."""
 
     text: str
     linked: int
     side: bool
     main: bool
-    holders: tuple[int, ...]
+    holder: int
+
+
+class Containers:
+    """The page's containers by number, 0 being the page, in the order in which they open: the one that holds each, and the last one that opened within it."""
+
+    def __init__(self) -> None:
+        self.above, self.last = [0], [0]
+
+    def open(self, above: int) -> int:
+        self.above.append(above)
+        self.last.append(len(self.last))
+        return len(self.last) - 1
+
+    def close(self, number: int) -> None:
+        self.last[number] = len(self.last) - 1
+
+    def holds(self, outer: int, inner: int) -> bool:
+        return outer <= inner <= self.last[outer]
+
+    def common(self, some: list[int]) -> int:
+        """The innermost container that holds all of some: that of the first and the last to open."""
+        least, most = min(some), max(some)
+        while not self.holds(least, most):
+            least = self.above[least]
+        return least
 
 
 class _Open(NamedTuple):
@@ -68,17 +104,16 @@ class _Open(NamedTuple):
     main: bool
     muted: bool  # in a marked inline element, whose text goes at once
     link: bool
-    holders: tuple[int, ...]
+    holder: int
 
 
-_ROOT = _Open("", False, False, False, False, ())
-#: Containers that a line's place names, from the outermost; those deeper count as the last of these.
-DEPTH = 64
+_ROOT = _Open("", False, False, False, False, 0)
 
 
-def lines(page: str) -> list[Line]:
-    """The page's text lines, one a block, in time linear in the page."""
+def lines(page: str) -> tuple[list[Line], Containers]:
+    """The page's text lines, one a block, and its containers, in time linear in the page."""
     out: list[Line] = []
+    held_by = Containers()
     stack = [_ROOT]
     opened: Counter[str] = Counter()
     held: list[str] = []
@@ -101,11 +136,14 @@ def lines(page: str) -> list[Line]:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            out.append(Line(text, min(linked, len(text)), first.side, first.main, first.holders))
+            out.append(Line(text, min(linked, len(text)), first.side, first.main, first.holder))
         linked = 0
 
     def pop() -> None:
-        opened[stack.pop().name] -= 1
+        gone = stack.pop()
+        opened[gone.name] -= 1
+        if gone.holder != stack[-1].holder:
+            held_by.close(gone.holder)
 
     at = 0
     open_ended: set[str] = set()  # names without an end tag from here on
@@ -140,13 +178,17 @@ def lines(page: str) -> list[Line]:
                 pop()  # its end tag may be left out
             above = stack[-1]
             marked = name in _SIDE and not (name == "header" and above.main) or name not in ("html", "body", "main") and _marked(attributes)
-            holders = (*above.holders, at) if name in _HOLD and len(above.holders) < DEPTH else above.holders
-            stack.append(_Open(name, above.side or marked, above.main or name in _MAIN, above.muted or marked and name not in _BLOCK, above.link or name == "a", holders))
+            holder = held_by.open(above.holder) if name in _HOLD else above.holder
+            muted = above.muted or marked and name not in _BLOCK and name not in _PHRASE
+            stack.append(_Open(name, above.side or marked and name not in _PHRASE, above.main or name in _MAIN, muted, above.link or name == "a", holder))
             opened[name] += 1
     if at < len(page):
         add(page[at:])
     flush()
-    return out
+    while len(stack) > 1:
+        pop()
+    held_by.close(0)
+    return out, held_by
 
 
 def _stretches(weights: np.ndarray, window: int) -> list[tuple[int, int, int]]:
@@ -179,7 +221,7 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     rest of these, elsewhere the lines outside links that lie in the container that holds all of the kept ones, and in
     the blocks of the points those in the container of that.
     """
-    found = lines(page)
+    found, containers = lines(page)
     if not found:
         return ""
     inside, side = np.array([x.main for x in found], bool), np.array([x.side for x in found], bool)
@@ -200,18 +242,15 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     if taken == 0:
         keep |= inside & ~side
     else:
-        common = found[int(np.flatnonzero(keep)[0])].holders
-        for i in np.flatnonzero(keep).tolist():
-            other = found[i].holders
-            while other[: len(common)] != common:
-                common = common[:-1]
+        common = containers.common([found[i].holder for i in np.flatnonzero(keep).tolist()])
         points = np.zeros(len(found), bool)  # the blocks that hold a surge or a dive point
         for a, b in cores[taken]:
             points[max(0, a - window + 1) : b + window - 1] = True
+        around = containers.above[common]
         for i in np.flatnonzero(where & (weights > 0)).tolist():
-            holders = found[i].holders
-            keep[i] |= holders[: len(common)] == common if common else not holders
-            keep[i] |= points[i] and len(common) > 1 and holders[: len(common) - 1] == common[:-1]
+            holder = found[i].holder
+            keep[i] |= containers.holds(common, holder) if common else not holder
+            keep[i] |= points[i] and around > 0 and containers.holds(around, holder)
     return "\n".join(x.text for x, k in zip(found, keep, strict=True) if k)
 
 

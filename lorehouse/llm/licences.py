@@ -161,10 +161,6 @@ def _plain(raw: bytes) -> bytes:
     return b" ".join(_WORDS[np.frombuffer(raw, np.uint8)].tobytes().split())
 
 
-#: Words after the start of a match in which the rest of its license is looked for.
-_AHEAD = 200
-
-
 def _looks(templates: list[Template]) -> dict[tuple[int, int], np.ndarray]:
     """By window and stride, which first bits of a band's minimum some template has."""
     out = {(t.window, t.stride): np.zeros((BANDS, 1 << _BITS), bool) for t in sorted(templates, key=lambda t: (t.window, t.stride))}
@@ -216,19 +212,35 @@ def matches(data: np.ndarray, offsets: np.ndarray, templates: list[Template], lo
     if not len(h):
         return []
     kept: list[tuple[tuple[int, str, int, int, float], int]] = []
-
-    def item(t: Template, row: int, mine: np.ndarray) -> tuple[tuple[int, str, int, int, float], int] | None:
+    seen: dict[tuple[int, bytes], np.ndarray] = {}
+
+    def words_of(row: int, i: int, j: int) -> bytes:
+        return _plain(data[starts[max(i, word_rows[row])] : ends[min(j, word_rows[row + 1]) - 1]].tobytes())
+
+    def places_of(row: int, rule: re.Pattern[bytes]) -> np.ndarray:
+        """The words of a row at which a rule is met, in order; a row's text is looked through once a rule."""
+        if (row, rule.pattern) not in seen:
+            plain = words_of(row, word_rows[row], word_rows[row + 1])
+            firsts = np.flatnonzero(np.frombuffer(b" " + plain, np.uint8) == 32)
+            met = np.array([m.start() for m in rule.finditer(plain)], np.int64)
+            seen[row, rule.pattern] = word_rows[row] + np.searchsorted(firsts, met, side="right") - 1
+        return seen[row, rule.pattern]
+
+    def item(t: Template, row: int, mine: np.ndarray, until: int) -> tuple[tuple[int, str, int, int, float], int] | None:
+        """The match of these hits, if its words are right; what follows it is looked at up to the word `until`."""
         shared = len(np.unique(h[mine]))
         if shared < CONTAINMENT * len(t.shingles):
             return None
         a = word_rows[row] + mine[0] - rows[row]
         b = min(word_rows[row] + mine[-1] - rows[row] + SHINGLE, word_rows[row + 1])
         need, bar, after, not_after = t.rules
-        words_of = lambda i, j: _plain(data[starts[max(i, word_rows[row])] : ends[min(j, word_rows[row + 1]) - 1]].tobytes())
-        if need and not need.search(words_of(a - SHINGLE + 1, b + SHINGLE - 1)) or bar and bar.search(words_of(a, b)):
-            return None
-        if (after or not_after) and (bool((after or not_after).search(words_of(a, a + _AHEAD))) != bool(after)):
+        if need and not need.search(words_of(row, a - SHINGLE + 1, b + SHINGLE - 1)) or bar and bar.search(words_of(row, a, b)):
             return None
+        if after or not_after:
+            met = places_of(row, after or not_after)
+            i = int(np.searchsorted(met, a))
+            if (i < len(met) and met[i] < until) != bool(after):
+                return None
         return (row, t.license, int(starts[a] - offsets[row]), int(ends[b - 1] - offsets[row]), shared / len(t.shingles)), shared
 
     for t, found in zip(templates, _retrieved(h, templates, looks or _looks(templates)), strict=True):
@@ -239,18 +251,27 @@ def matches(data: np.ndarray, offsets: np.ndarray, templates: list[Template], lo
             near = found[lo:hi]
             inside = near[0] + np.flatnonzero(np.isin(h[near[0] : near[-1] + t.window], t.shingles))
             owner = np.searchsorted(rows, inside, side="right") - 1
-            for row in np.unique(owner).tolist():
-                mine = inside[owner == row]
+            edges = np.flatnonzero(np.diff(owner)) + 1
+            for mine in np.split(inside, edges) if len(inside) else ():
+                row = int(np.searchsorted(rows, mine[0], side="right") - 1)
                 places = t.places[np.searchsorted(t.shingles, h[mine])]
-                out = [x for part in _copies(mine, places, (t.window - t.stride) // 4) if (x := item(t, row, mine[part]))]
-                best: list[tuple[tuple[int, str, int, int, float], int]] = []
-                for at in near.tolist():
-                    part = mine[(mine >= at) & (mine < at + t.window)]
-                    if len(part) and (x := item(t, row, part)):
-                        best.append(x)
-                whole = [(a, b) for (_, _, a, b, _), _ in out]
-                out += [x for x in best if not any(x[0][2] < b and a < x[0][3] for a, b in whole)]
+                whole = [mine[part] for part in _copies(mine, places, (t.window - t.stride) // 4)]
+                whole = sorted((x for x in whole if len(np.unique(h[x])) >= CONTAINMENT * len(t.shingles)), key=lambda x: x[0])
+                nexts = [int(word_rows[row] + x[0] - rows[row]) for x in whole[1:]] + [int(word_rows[row + 1])] * bool(whole)
+                out = [x for hits, until in zip(whole, nexts, strict=True) if (x := item(t, row, hits, until))]
                 kept += out
+                # elsewhere the windows count, each looked at once
+                spans = sorted((a, b) for (_, _, a, b, _), _ in out)
+                tops = np.maximum.accumulate([b for _, b in spans]) if spans else np.zeros(0, np.int64)
+                for at in near[max(0, int(np.searchsorted(near, mine[0] - t.window))) : int(np.searchsorted(near, mine[-1], side="right"))].tolist():
+                    part = mine[np.searchsorted(mine, at) : np.searchsorted(mine, at + t.window)]
+                    if len(part) < CONTAINMENT * len(t.shingles):
+                        continue
+                    a = int(starts[word_rows[row] + part[0] - rows[row]] - offsets[row])
+                    b = int(ends[min(word_rows[row] + part[-1] - rows[row] + SHINGLE, word_rows[row + 1]) - 1] - offsets[row])
+                    i = bisect_left(spans, (b,))
+                    if (i == 0 or tops[i - 1] <= a) and (x := item(t, row, part, int(word_rows[row + 1]))):
+                        kept.append(x)
     # Of one license the match with the most shingles, then of all licenses the one with the highest containment.
     kept = _apart(kept, lambda x: (-x[1], -x[0][4]), same=True)
     return sorted(x for x, _ in _apart(kept, lambda x: (-x[0][4], -x[1], x[0][1]), same=False))

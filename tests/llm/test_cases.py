@@ -331,3 +331,41 @@ def test_stages_on_awkward_tables(spark):
             assert name == "encode" or out.columns == df.columns
             assert out.count() >= 0
     assert pipeline.personal_data(spark, df, SF).where("doc_id = 4").first()["text"] == "Mail [email], or [phone], please"
+
+
+def test_main_text_names_of_parts():
+    for name in ("article-comments", "entry-comments", "postComments", "body-cookie-notice", "post-share-widget", "story-ad", "related-post", "comment-list", "ad slot", "post comments", "sponsored-content"):
+        for tag in ("div", "article"):
+            page = f"<{tag}>{STORY}<div class='{name}'><p>This is not of the story, though it is a sentence long enough to be weighed.</p></div></{tag}>"
+            assert html.main_text(page).split("\n") == TOLD, name
+    for name in ("post-header", "entry-content", "story-body", "content has-sidebar", "no-comments article", "main-story"):
+        page = f"<div><div class='{name}'><h1>Head</h1>{STORY}</div></div>"
+        assert html.main_text(page).split("\n") == ["Head", *TOLD], name
+    page = f"<article>{STORY}<p>As <a class='related-link' href=x>told here</a>, the <b class=notice>first</b> one.</p></article>"
+    assert html.main_text(page).split("\n") == [*TOLD, "As told here, the first one."]
+
+
+def test_main_text_of_deep_containers():
+    side = "<div><a href=x>Log in</a></div>"
+    for deep in (1, 63, 64, 65, 300, 5000):
+        page = f"<body>{side}{'<div>' * deep}<h1>Title</h1>{STORY}<p>The end.</p>{'</div>' * deep}<div>About us</div></body>"
+        assert html.main_text(page).split("\n") == ["Title", *TOLD, "The end."], deep
+
+
+def test_licenses_far_from_their_clauses():
+    head, third = licences._BSD_HEAD, licences.TEMPLATES["BSD-3-Clause"][1]
+    for between in (0, 150, 190, 230, 5000):
+        assert found_licenses(f"{head} {'word ' * between}{third}") == {"BSD-3-Clause"}, between
+    # the clause of a later copy isn't the first one's
+    two = licences.matches(*common.text_buffer(pa.array([f"{head} {'word ' * 40} {head} {third}"], pa.string())), licences.prepare(licences.TEMPLATES))
+    assert [x[1] for x in two][:2] == ["BSD-2-Clause", "BSD-3-Clause"]
+
+
+def test_licenses_of_a_long_text_of_copies_in_linear_time():
+    mit, took, prepared = licences.TEMPLATES["MIT"][2], [], licences.prepare(licences.TEMPLATES)
+    for n in (3000, 12000):
+        text = common.text_buffer(pa.array(["\n\n".join(f"Copyright (c) {i} Someone\n{mit}" for i in range(n))], pa.string()))
+        began = time.time()
+        assert len([x for x in licences.matches(*text, prepared) if x[1] == "MIT"]) == n
+        took.append(time.time() - began)
+    assert took[1] < 10 * took[0] + 1 and took[1] < 30
