@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,9 +52,26 @@ class BallTree:
         build(0, len(ids))
         self.centres, self.radii = np.array(self.centres), np.array(self.radii)
         self.ids, self.numbers, self.vectors = ids[order], numbers[order], vectors[order]
-        most = float(np.abs(exact).max(initial=0))
-        self.most = most
-        self.exact = exact[order]
+        self._measure()
+
+    def _measure(self) -> None:
+        self.exact = self.vectors.astype(np.float64)
+        self.most = float(np.abs(self.exact).max(initial=0))
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        children = np.array([c or (-1, -1) for c in self.children], np.int64)
+        np.savez(out, centres=self.centres, radii=self.radii, spans=np.array(self.spans, np.int64), children=children, least=np.array(self.least, np.int64), ids=self.ids, numbers=self.numbers, vectors=self.vectors)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> BallTree:
+        tree, held = cls.__new__(cls), np.load(io.BytesIO(raw))
+        tree.centres, tree.radii, tree.ids, tree.numbers, tree.vectors = (held[c] for c in ("centres", "radii", "ids", "numbers", "vectors"))
+        tree.spans, tree.least = list(map(tuple, held["spans"].tolist())), held["least"].tolist()
+        tree.children = [None if c[0] < 0 else tuple(c) for c in held["children"].tolist()]
+        tree._measure()
+        return tree
 
     def search(self, query: np.ndarray, own: int, bounds: np.ndarray, best: list[tuple[int, int, int]], k: int, narrow: bool) -> list[tuple[int, int, int]]:
         """best holds (score, -id, -number) in a heap, the k-th best first; nodes are opened by upper bound until it can't be beaten. own is the query's number."""
@@ -91,30 +109,15 @@ class BallTree:
 _FOUND = "number long, query_id long, vec_id long, other long, score long"
 
 
-def _search(vectors: DataFrame, block: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], floor: dict[int, list[tuple[int, int, int]]], k: int) -> DataFrame:
-    """Top k of each shard for a block of queries; block: by dimension, numbers, ids and vectors; floor: by number, the k best known before."""
+def _trees(vectors: DataFrame) -> DataFrame:
+    """dim int and tree binary: a ball tree of each SHARD_ROWS vectors of one dimension, and of the rest of a task's; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[int, int, int]]] = {}  # goes on from shard to shard of the task
-        names: dict[int, int] = {}
         held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
-        def shard(dim: int) -> None:
-            parts = held.pop(dim)
-            if dim not in block:
-                return
-            tree = BallTree(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            numbers, ids, queries = block[dim]
-            names.update(zip(numbers.tolist(), ids.tolist(), strict=True))
-            wide = queries.astype(np.float64)
-            norms = np.sqrt((wide**2).sum(axis=1))
-            narrow = dim * tree.most * float(np.abs(wide).max(initial=0)) < 2.0**52
-            reach = np.sqrt((tree.centres**2).sum(axis=1)) + tree.radii
-            for at in range(0, len(ids), 1024):
-                upper = wide[at : at + 1024] @ tree.centres.T + norms[at : at + 1024, None] * (tree.radii + 1e-9 * reach) + 1e-6
-                for i, bounds in enumerate(upper, at):
-                    q = int(numbers[i])
-                    best[q] = tree.search(queries[i], q, bounds, best.get(q) or list(floor.get(q, ())), k, narrow)
+        def shard(dim: int) -> pa.RecordBatch:
+            tree = BallTree(*(np.concatenate(x) for x in zip(*held.pop(dim), strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([tree.to_bytes()], pa.binary())], ["dim", "tree"])
 
         for batch in batches:
             numbers, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("number", "vec_id"))
@@ -126,47 +129,75 @@ def _search(vectors: DataFrame, block: dict[int, tuple[np.ndarray, np.ndarray, n
                 on = np.flatnonzero(sizes == dim)
                 held.setdefault(dim, []).append((ids[on], numbers[on], values[starts[on, None] + np.arange(dim)].reshape(len(on), dim)))
                 if sum(len(a) for a, _, _ in held[dim]) >= SHARD_ROWS:
-                    shard(dim)
+                    yield shard(dim)
         for dim in list(held):
-            shard(dim)
+            yield shard(dim)
+
+    return cut(in_arrow(vectors.select("number", "vec_id", "v"), run, "dim int, tree binary"))
+
+
+def _search(trees: DataFrame, block: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], floor: dict[int, list[tuple[int, int, int]]], k: int) -> DataFrame:
+    """Top k of each task's trees for a block of queries; block: by dimension, numbers, ids and vectors; floor: by number, the k best known before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple[int, int, int]]] = {}  # goes on from tree to tree of the task
+        names: dict[int, int] = {}
+        for batch in batches:
+            for dim, raw in zip(batch.column("dim").to_pylist(), batch.column("tree"), strict=True):
+                if dim not in block:
+                    continue
+                tree = BallTree.from_bytes(raw.as_py())
+                numbers, ids, queries = block[dim]
+                names.update(zip(numbers.tolist(), ids.tolist(), strict=True))
+                wide = queries.astype(np.float64)
+                norms = np.sqrt((wide**2).sum(axis=1))
+                narrow = dim * tree.most * float(np.abs(wide).max(initial=0)) < 2.0**52
+                reach = np.sqrt((tree.centres**2).sum(axis=1)) + tree.radii
+                for at in range(0, len(ids), 1024):
+                    upper = wide[at : at + 1024] @ tree.centres.T + norms[at : at + 1024, None] * (tree.radii + 1e-9 * reach) + 1e-6
+                    for i, bounds in enumerate(upper, at):
+                        q = int(numbers[i])
+                        best[q] = tree.search(queries[i], q, bounds, best.get(q) or list(floor.get(q, ())), k, narrow)
         rows = [(q, names[q], -x, -n, s) for q, found in best.items() for s, x, n in found if (s, x, n) not in floor.get(q, ())]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], ["number", "query_id", "vec_id", "other", "score"])
 
-    return in_arrow(vectors.select("number", "vec_id", "v"), run, _FOUND)
+    return in_arrow(trees, run, _FOUND)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """The k highest integer inner products of each query row with all other rows, ties to the smaller id.
 
-    vectors has vec_id long and v array<long>. Queries are taken in blocks of BLOCK_ROWS, one after the other: the
-    driver holds one block, and its results are written before the next. For each block one in SEED vectors is searched
-    first; the k best found there go with the block to all other shards, whose trees are left as soon as no node's
-    bound beats the k-th score. Only vectors of equal dimension are compared. Null ids or vectors take no part; rows
+    vectors has vec_id long and v array<long>. The trees are built once and written, those of one in SEED vectors apart.
+    Queries are taken in blocks of BLOCK_ROWS, one after the other: the driver holds one block, and its results are
+    written before the next. For each block the trees of the few are searched first; the k best found there go with the
+    block to all others, which are left as soon as no node's bound beats the k-th score. Only vectors of equal dimension are compared. Null ids or vectors take no part; rows
     that share an id or a vector each are candidates, and queries, of their own; queries with fewer than k others get
     all; an empty table gives an empty result. A block's results are at most k rows a query.
 
     Returns query_id long, rank int from 1, vec_id long, score long.
     """
     rows = cut(vectors.where("vec_id is not null and v is not null").select("vec_id", "v").withColumn("number", F.monotonically_increasing_id()))  # numbers that last, once written
-    queries = rows.where(is_query)
+    queries = cut(rows.where(is_query))
     blocks = -(-queries.count() // BLOCK_ROWS)
     seed = F.pmod(F.xxhash64("number", F.lit(1)), F.lit(SEED)) == 0
     order = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id", "other")
     best = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    some, others = _trees(rows.where(seed)), _trees(rows.where(~seed))
     found = cut(best(rows.sparkSession.createDataFrame([], _FOUND)))
+    discard(rows)
     for b in range(blocks):
         mine = queries.where(F.pmod(F.xxhash64("number", F.lit(2)), F.lit(blocks)) == b).collect()
         block = {}
         for dim in {len(r["v"]) for r in mine}:
             same = [r for r in mine if len(r["v"]) == dim]
             block[dim] = (*(np.array([r[c] for r in same], np.int64) for c in ("number", "vec_id")), np.array([r["v"] for r in same], np.int64).reshape(len(same), dim))
-        first = cut(best(_search(rows.where(seed), block, {}, k)).drop("rank"))
+        first = cut(best(_search(some, block, {}, k)).drop("rank"))
         floor: dict[int, list[tuple[int, int, int]]] = {}
         for r in first.collect():
             floor.setdefault(r["number"], []).append((r["score"], -r["vec_id"], -r["other"]))
         for known in floor.values():
             heapq.heapify(known)
-        found = cut(best(first.union(_search(rows.where(~seed), block, floor, k))), onto=found)
+        found = cut(best(first.union(_search(others, block, floor, k))), onto=found)
         discard(first)
-    discard(rows)
+    discard(queries, some, others)
     return found.select("query_id", "rank", "vec_id", "score")

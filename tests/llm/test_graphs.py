@@ -264,3 +264,14 @@ def test_results_leave_one_table(spark):
         before = tables()
         assert __spark_entry__.queries()[name](spark, SF).count()
         assert len(tables() - before) == 1, name
+
+
+def test_ball_trees_come_back_whole():
+    rng = np.random.default_rng(9)
+    vectors = rng.integers(-50, 50, (3000, 6))
+    tree = topk.BallTree(np.arange(3000), np.arange(3000) * 2, vectors)
+    back = topk.BallTree.from_bytes(tree.to_bytes())
+    for query in vectors[:20]:
+        bounds = query @ tree.centres.T + np.sqrt((query**2).sum()) * tree.radii + 1e-6
+        want, got = (t.search(query, -1, bounds, [], 10, True) for t in (tree, back))
+        assert sorted(want) == sorted(got) and sorted(s for s, _, _ in got) == sorted((vectors @ query).tolist())[-10:]

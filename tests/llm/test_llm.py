@@ -237,7 +237,7 @@ def test_matches_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, result = queries.QUERIES[name](spark, SF), con.execute(oracles.ORACLE_SQL[name])
     names = [d[0] for d in result.description]
