@@ -82,8 +82,8 @@ def arm_vector(vectors: DataFrame, query_vec: Sequence[float], limit: int = 20)
     return vectors.withColumn("similarity", cosine(F.col("vec"), q)).orderBy(F.desc("similarity"), "ord").limit(limit)
 
 
-def merge(arms: Sequence[tuple[str, DataFrame]]) -> DataFrame:
-    """Union arms (id, content, confidence, ord in its arm, and refs, relationships where they have them) and merge rows of one id, or of one content where it is null.
+def merge(arms: Sequence[tuple[str, DataFrame]], by: Sequence[str] = ()) -> DataFrame:
+    """Union arms (id, content, confidence, ord in its arm, and refs, relationships where they have them) and merge rows of one id, or of one content where it is null; with by, those that agree in these columns.
 
     The longest content wins, ties to the earlier arm; confidence is the greatest; systems are listed in arm order; refs
     (array<string>) are united in that order; of relationships (an array) the first that isn't empty is kept.
@@ -92,11 +92,11 @@ def merge(arms: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     kinds = next((x.dataType for _, df in arms for x in df.schema.fields if x.name == "relationships"), None)
     links = lambda df: F.col("relationships") if "relationships" in df.columns else F.lit(None).cast(kinds if kinds is not None else "array<string>")
     tagged = [
-        df.select(F.coalesce("id", F.md5("content")).alias("key"), "content", "confidence", F.lit(i).alias("arm"), F.lit(name).alias("system"), F.col("ord").cast("long").alias("ord"), (F.coalesce("refs", none) if "refs" in df.columns else none).alias("refs"), links(df).alias("relationships"))
+        df.select(*by, F.coalesce("id", F.md5("content")).alias("key"), "content", "confidence", F.lit(i).alias("arm"), F.lit(name).alias("system"), F.col("ord").cast("long").alias("ord"), (F.coalesce("refs", none) if "refs" in df.columns else none).alias("refs"), links(df).alias("relationships"))
         for i, (name, df) in enumerate(arms)
     ]
     rows = reduce(DataFrame.unionByName, tagged)
-    return rows.groupBy("key").agg(
+    return rows.groupBy(*by, "key").agg(
         F.max_by("content", F.struct(F.length("content"), -F.col("arm"), -F.col("ord"))).alias("content"),
         F.max("confidence").alias("confidence"),
         F.transform(F.array_sort(F.collect_set(F.struct("arm", "system"))), lambda x: x["system"]).alias("systems"),

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, unified
 from ..operators.vector_index import VectorIndex
 from ..sources import scratch
 from ..sources import tables as S
@@ -96,3 +96,34 @@ def entity_cards(spark: SparkSession, d: str) -> DataFrame:
     entities = scratch.cut(graph.context(hits))
     linked = graph.annotated(hits, entities).select("query_id", F.concat("arm", "place").alias("what"), "id", F.array_join("linked", ",").alias("linked"))
     return linked.unionByName(entities.select("query_id", F.concat(F.lit("entity"), "place").alias("what"), "id", F.lit("").alias("linked")))
+
+
+def _search(spark: SparkSession, d: str, hybrid: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All query strings, with an entry's vector each, over all tables."""
+    n = F.col("ord")
+    e = S.entries(spark, d).withColumn("refs", F.when(n % 3 != 0, F.array(F.concat(F.lit("d"), n * 7 % 40), F.concat(F.lit("d"), n * 3 % 20))).otherwise(F.array().cast("array<string>")))
+    v = S.vectors(spark, d)
+    queries = S.search_queries(spark, d).join(v.select(F.col("ord").alias("query_id"), "vec"), "query_id", "left")
+    tables = unified.Tables(e, S.shards(spark, d), v.select("id", "vec"), _nodes(spark, d), S.edges(spark, d))
+    return unified.search_batch(scratch.cut(queries), tables, unified.Options(S.AS_OF, {"min_confidence": 0.5}, hybrid))
+
+
+@query
+def unified_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """One search from end to end for all query strings, ranks fused."""
+    results, _, _ = _search(spark, d, True)
+    return results.select("query_id", "place", "id", "score", "relevance", "recency", F.round("confidence", 6).alias("confidence"), F.array_join("systems", ",").alias("systems"), "lexical_rank", "vector_rank", F.array_join("linked", ",").alias("linked"))
+
+
+@query
+def unified_lexical(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the lexical score alone."""
+    results, _, _ = _search(spark, d, False)
+    return results.select("query_id", "place", "id", "score", "relevance", "recency", F.round("confidence", 6).alias("confidence"), F.array_join("systems", ",").alias("systems"), F.array_join("linked", ",").alias("linked"))
+
+
+@query
+def unified_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What each arm found of each query, and how many entities that leads to."""
+    _, cards, counts = _search(spark, d, True)
+    return counts.unionByName(cards.groupBy("query_id").agg(F.count("*").alias("n")).withColumn("system", F.lit("entities")))

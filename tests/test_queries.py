@@ -45,5 +45,5 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_without_sql():
-    """These have tests of their own in test_plain_python, test_store and test_similarity."""
-    assert set(QUERIES) - set(SQL) == {"store_batches", "vector_index_search", "gate_batch", "legacy_ranker", "pack_paragraphs", "distinct_pairs_greedy"}
+    """These have tests of their own in test_plain_python, test_store, test_similarity and test_unified."""
+    assert set(QUERIES) - set(SQL) == {"store_batches", "vector_index_search", "unified_hybrid", "unified_lexical", "unified_counts", "gate_batch", "legacy_ranker", "pack_paragraphs", "distinct_pairs_greedy"}
