@@ -157,6 +157,17 @@ def mentions(contents: DataFrame, entities: DataFrame, block: int = BLOCK_NAMES)
     return met.join(names, F.col("needle") == F.col("name")).select("id", "entity").distinct()
 
 
+def entity_refs(contents: DataFrame, entities: DataFrame, answers: DataFrame) -> DataFrame:
+    """(id, entity, how): what each content is about: of the ids that a model named those that are entities, else what its text mentions.
+
+    contents has id and content, entities entity, name and aliases, answers id and found, the model's ids as an array of
+    the entities' type, null or absent where it gave none. how is model or mention.
+    """
+    named = answers.select("id", F.explode("found").alias("entity")).distinct().join(entities.select("entity").distinct(), "entity", "left_semi").join(contents.select("id"), "id", "left_semi").select("id", "entity", F.lit("model").alias("how"))
+    rest = contents.select("id", "content").join(named.select("id").distinct(), "id", "left_anti")
+    return named.unionByName(mentions(rest, entities).select("id", "entity", F.lit("mention").alias("how")))
+
+
 def _mentioned(contents: DataFrame, names: list[Row], schema: T.StructType) -> DataFrame:
     held: dict[str, list] = {}
     for r in names:

@@ -1,4 +1,4 @@
-"""The registered queries of the vector index and of entities around hits, over whole tables."""
+"""The registered queries of the vector index, of searches from end to end, of entities around hits, and of rules by their branches, over whole tables."""
 
 from __future__ import annotations
 
@@ -8,10 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, unified
+from ..functions import rules
+from ..functions import text as T
+from ..functions import vectors as V
+from ..operators import graph, search, unified
 from ..operators.vector_index import VectorIndex
-from ..sources import scratch
+from ..sources import readers, scratch
 from ..sources import tables as S
+from .knowledge import _entities
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -127,3 +131,81 @@ def unified_counts(spark: SparkSession, d: str) -> DataFrame:
     """What each arm found of each query, and how many entities that leads to."""
     _, cards, counts = _search(spark, d, True)
     return counts.unionByName(cards.groupBy("query_id").agg(F.count("*").alias("n")).withColumn("system", F.lit("entities")))
+
+
+@query
+def model_links(spark: SparkSession, d: str) -> DataFrame:
+    """What all entries are about: a model's answers for a third of them, of which some name no entity, and mentions for the others."""
+    n = F.col("ord")
+    e = S.entries(spark, d)
+    entities = _entities(spark, d)
+    answers = e.where(n % 3 == 0).select("id", F.when(n % 2 == 0, F.array(n % 40, n % 7 + 100_000, n % 40)).alias("found"))
+    refs = graph.entity_refs(e.select("id", "content"), entities, answers)
+    return refs.select("id", "entity", "how")
+
+
+@query
+def default_bands(spark: SparkSession, d: str) -> DataFrame:
+    """The gate's bands by content type, without an override, with one, and with one that doesn't hold, for similarities from the labelled vectors."""
+    e = S.entries(spark, d).select("id", "content_type")
+    v = S.vectors(spark, d).withColumn("sim", F.round(F.lit(0.75) + F.abs(F.col("vec")[0]), 6)).select("id", "sim").join(e, "id")
+    kinds = {"plain": (None, None), "override": (0.9, 0.8), "half": (0.9, None), "crossed": (0.7, 0.8)}
+    bands = [rules.band(F.col("sim"), *rules.thresholds(F.col("content_type"), *given)).alias(name) for name, given in kinds.items()]
+    return v.select("id", *bands)
+
+
+@query
+def claim_types(spark: SparkSession, d: str) -> DataFrame:
+    """A claim of every kind a conversation turn, as the importers of either variant take it."""
+    c = S.table(spark, d, "conversations")
+    kind = S.pick(("decision", "preference", "learning", "context", "brainstorm", "reference", "other"), (F.col("conv_id") + F.col("turn")) % 7)
+    return c.select("conv_id", "turn", rules.claim_type(kind).alias("as_insight"), rules.claim_type(kind, "fact").alias("as_fact"))
+
+
+@query
+def neighbour_cosines(spark: SparkSession, d: str) -> DataFrame:
+    """The cosine of each vector and the one with the next id, also of a zero vector."""
+    v = S.vectors(spark, d).select("ord", F.when(F.col("ord") % 50 == 7, F.transform("vec", lambda x: x * 0)).otherwise(F.col("vec")).alias("vec"))
+    after = v.select((F.col("ord") - 1).alias("ord"), F.col("vec").alias("other"))
+    return v.join(after, "ord").select("ord", F.round(V.cosine(F.col("vec"), F.col("other")), 6).alias("sim"))
+
+
+@query
+def calibration_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of entries with a label by hand or none, written as JSON lines and read again, and relabelled by their ids' heads."""
+    e = S.entries(spark, d).select("id", "ord", "subject", "content_type", F.substring("content", 1, 80).alias("content"))
+    b = e.select((F.col("ord") - 1).alias("ord"), *[F.col(c).alias(f"{c}_b") for c in ("id", "subject", "content_type", "content")])
+    n = F.col("ord")
+    pairs = e.join(b, "ord").select(F.col("id").alias("id_a"), "id_b", F.col("subject").alias("subject_a"), "subject_b", "content_type", "content_type_b", F.col("content").alias("content_a"), "content_b", F.round(n % 100 / 100, 2).alias("sim_observed"), F.when(n % 3 == 0, "duplicate").when(n % 3 == 1, "distinct").alias("human_label"))
+    folder = scratch.folder(spark)
+    readers.write_pairs(pairs, folder)
+    back = readers.read_pairs(spark, folder, "id_a string, id_b string, subject_a string, subject_b string, content_type string, content_type_b string, content_a string, content_b string, sim_observed double, human_label string")
+    return back.select("id_a", "id_b", "sim_observed", "human_label", F.sha2(F.concat("content_a", F.lit("|"), "content_b"), 256).alias("sha"), "_problem")
+
+
+@query
+def meeting_dump_import(spark: SparkSession, d: str) -> DataFrame:
+    """All conversations as five dumps of meetings, of which one has a meeting without a title and one isn't an array."""
+    c = S.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("transcript"))
+    n = F.col("conv_id")
+    meeting = F.struct(F.concat(F.lit("m"), n).alias("id"), F.when((n % 5 != 3) | (n > 5), F.concat(F.lit("talk "), n)).alias("title"), F.when(n % 2 == 0, "2024-05-01").alias("date"), "transcript")
+    files = c.groupBy((n % 5).alias("k")).agg(F.to_json(F.collect_list(meeting)).alias("json"))
+    folder = scratch.folder(spark)
+    readers.register(spark)
+    files.select(F.concat(F.lit("dump-"), "k", F.lit(".json")).alias("path"), F.when(F.col("k") == 4, F.concat(F.lit('{"meetings": '), "json", F.lit("}"))).otherwise(F.col("json")).alias("content")).write.format("text_files").option("path", folder).mode("append").save()
+    meetings, problems = readers.meeting_dump(spark, folder)
+    out = meetings.select("id", "title", "date", F.sha2("transcript", 256).alias("sha"), F.lit(None).cast("string").alias("problem"))
+    none = [F.lit(None).cast("string").alias(x) for x in ("id", "title", "date", "sha")]
+    return out.unionByName(problems.select(*none, "problem").distinct())
+
+
+@query
+def document_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The newest documents under limits that are asked for: none, a page, and more than are given."""
+    e = S.entries(spark, d).withColumn("title", T.topic_head(F.col("content")))
+    out = None
+    for asked in (0, 7, 250):
+        found = e.where(search.keyword_match("er", ("content", "title"), without=False))
+        rows = search.page(found, [F.desc("ts"), F.col("ord")], size=search.clamp(asked, 1, 100)).select(F.lit(asked).alias("asked"), "id")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -62,4 +62,18 @@ FROM i LEFT JOIN t ON t.id = i.id LEFT JOIN e ON e.id = i.id LEFT JOIN y ON y.id
   SELECT h.query_id, h.arm || h.place AS what, h.id, list_filter(list_prepend(h.id, h.refs), lambda r: list_contains(c.ids, r)) AS linked FROM h LEFT JOIN (SELECT query_id, list(id) AS ids FROM c GROUP BY query_id) c ON c.query_id = h.query_id
 )
 SELECT query_id, what, id, coalesce(array_to_string(linked, ','), '') AS linked FROM m UNION ALL SELECT query_id, 'entity' || place, id, '' FROM c""",
+    "model_links": KNOWN["entity_links"].rsplit("SELECT id, entity FROM el", 1)[0]
+    + """SELECT id, entity, 'mention' AS how FROM el WHERE id NOT IN (SELECT 'd' || doc_id FROM documents WHERE doc_id % 6 = 0 AND doc_id % 40 IN (SELECT item_id FROM benchmark))
+UNION ALL SELECT 'd' || doc_id, doc_id % 40, 'model' FROM documents WHERE doc_id % 6 = 0 AND doc_id % 40 IN (SELECT item_id FROM benchmark)""",
+    "default_bands": TABLES
+    + """, x AS (SELECT v.id, round(0.75 + abs(vec[1]), 6) AS sim, CASE content_type WHEN 'procedure' THEN 0.85 WHEN 'pattern' THEN 0.92 ELSE 0.88 END AS r FROM v JOIN e ON e.id = v.id)
+SELECT id, CASE WHEN sim >= r THEN 'refuse' WHEN sim >= 0.78 THEN 'confirm' ELSE 'pass' END AS plain, CASE WHEN sim >= 0.9 THEN 'refuse' WHEN sim >= 0.8 THEN 'confirm' ELSE 'pass' END AS override,
+  CASE WHEN sim >= r THEN 'refuse' WHEN sim >= 0.78 THEN 'confirm' ELSE 'pass' END AS half, CASE WHEN sim >= r THEN 'refuse' WHEN sim >= 0.78 THEN 'confirm' ELSE 'pass' END AS crossed FROM x""",
+    "claim_types": "SELECT conv_id, turn, ['insight', 'memory', 'insight', 'memory', 'insight', 'procedure', 'memory'][((conv_id + turn) % 7)::INT + 1] AS as_insight, ['insight', 'memory', 'fact', 'memory', 'insight', 'procedure', 'memory'][((conv_id + turn) % 7)::INT + 1] AS as_fact FROM conversations",
+    "neighbour_cosines": TABLES + "SELECT a.ord, CASE WHEN a.ord % 50 = 7 OR b.ord % 50 = 7 THEN 0.0::DOUBLE ELSE round(list_cosine_similarity(a.vec, b.vec), 6) END AS sim FROM v a JOIN v b ON b.ord = a.ord + 1",
+    "calibration_round_trip": TABLES + "SELECT a.id AS id_a, b.id AS id_b, round((a.ord % 100) / 100.0::DOUBLE, 2) AS sim_observed, CASE a.ord % 3 WHEN 0 THEN 'duplicate' WHEN 1 THEN 'distinct' END AS human_label, sha256(a.content[:80] || '|' || b.content[:80]) AS sha, NULL::VARCHAR AS _problem FROM e a JOIN e b ON b.ord = a.ord + 1",
+    "meeting_dump_import": """WITH m AS (SELECT conv_id AS n, string_agg(text, chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+SELECT 'm' || n AS id, 'talk ' || n AS title, CASE WHEN n % 2 = 0 THEN '2024-05-01' END AS date, sha256(t) AS sha, NULL::VARCHAR AS problem FROM m WHERE n % 5 < 3
+UNION ALL VALUES (NULL, NULL, NULL, NULL, 'meeting'), (NULL, NULL, NULL, NULL, 'not an array')""",
+    "document_pages": TABLES + """, f AS (SELECT id, row_number() OVER (ORDER BY ts DESC, ord) AS r FROM e WHERE contains(lower(content), 'er') OR list_bool_or(list_transform(tags, lambda t: contains(lower(t), 'er')))) SELECT 0 AS asked, id FROM f WHERE r <= 1 UNION ALL SELECT 7, id FROM f WHERE r <= 7 UNION ALL SELECT 250, id FROM f WHERE r <= 100""",
 }

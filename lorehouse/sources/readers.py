@@ -344,6 +344,29 @@ def write_sidecar(entries: DataFrame, path: str, overwrite: bool = True) -> None
     rows.write.format("sidecar").option("path", path).mode("overwrite" if overwrite else "append").save()
 
 
+def meeting_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Meetings (file, id, title, date, transcript) of files that hold an array of them, and (file, key, problem) of what is wrong.
+
+    A meeting needs id, title and transcript as strings; nothing is taken of a file in which one lacks any.
+    """
+    rows = json_members(spark, path, "[]")
+    m = rows.where("problem is null").withColumn("m", F.from_json("value", "id string, title string, date string, transcript string"))
+    quoted = lambda c: F.coalesce(F.get_json_object("value", f"$.{c}").isNotNull() & F.regexp_like("value", F.lit(rf'"{c}"\s*:\s*"')), F.lit(False))
+    full = F.col("value").startswith("{") & quoted("id") & quoted("title") & quoted("transcript")
+    bad = rows.where("problem is not null").select("file", "key", "problem").unionByName(m.where(~full).select("file", "key", F.lit("meeting").alias("problem")))
+    return m.select("file", "m.*").join(bad.select("file").distinct(), "file", "left_anti"), bad
+
+
+def write_pairs(pairs: DataFrame, path: str) -> None:
+    """Write labelled pairs as JSON lines, one file a task."""
+    pairs.write.mode("overwrite").json(path)
+
+
+def read_pairs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Labelled pairs of JSON lines, by a DDL schema, and _problem, the text of a line that isn't one."""
+    return spark.read.schema(f"{schema}, _problem string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_problem").json(path)
+
+
 _WHEN = "struct<dateTime:string>"
 _DOCUMENT = f"id string, title string, type string, deleted_at string, created_at string, updated_at string, google_calendar_event struct<start:{_WHEN},end:{_WHEN}>"
 _SEGMENTS = "array<struct<text:string,source:string,is_final:boolean,start_timestamp:string,end_timestamp:string>>"
