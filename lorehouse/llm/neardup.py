@@ -26,6 +26,8 @@ NUMERATOR, DENOMINATOR = 75, 100
 STARS = 3
 #: Nodes that a list of a rare shingle holds at most, members of a long list that a task is dealt, and words of a set's map at most.
 RARE, PART, MOST_WORDS = 8, 1024, 4096
+#: Places that a class's sets are dealt to when it is named.
+SALTS = 32
 
 _XOR, _MUL, _TOKEN = seeds(COORDINATES, 3), seeds(COORDINATES, 5), seeds(COORDINATES, 7)
 _PRINT = seeds(2, 13)
@@ -284,9 +286,12 @@ def _classified(docs: DataFrame, k: int) -> DataFrame:
     sets = signed.where("fp is not null").groupBy("fp").agg(first, F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
     reps = cut(sets.withColumn("nid", F.monotonically_increasing_id()))  # numbers that last, once written
     found = links(reps, docs, k)
-    classes = reps.select("nid", "fp", F.col("first.doc_id").alias("least")).join(found, "nid", "left").withColumn("class", F.coalesce("label", "nid"))
-    least = classes.where("label is not null").groupBy("label").agg(F.min("least").alias("of_all"))
-    named = classes.join(least, "label", "left").select("fp", "class", F.coalesce("of_all", "least").alias("least"))
+    classes = reps.select("nid", "fp", F.col("first.doc_id").alias("least"))
+    linked = classes.join(found, "nid").withColumn("salt", F.pmod("nid", F.lit(SALTS)))
+    # a class may hold much of the table, so its name goes to SALTS places; sets without links meet nothing
+    of_all = linked.groupBy("label").agg(F.min("least").alias("of_all")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    named = linked.join(of_all, ["label", "salt"]).select("fp", F.col("label").alias("class"), "of_all")
+    named = named.unionByName(classes.join(found, "nid", "left_anti").select("fp", F.col("nid").alias("class"), F.col("least").alias("of_all"))).withColumnRenamed("of_all", "least")
     return signed.drop("tokens", "spare").join(named, "fp", "left").drop("fp")
 
 
