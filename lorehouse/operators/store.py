@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
+from ..functions.vectors import valid
 from ..sources.scratch import cut, discard
 from . import gate
 from .corrections import check_actions
@@ -31,8 +32,8 @@ def _no_meta() -> Column:
     return F.create_map().cast("map<string,string>")
 
 
-def prepared(requests: DataFrame, projects: dict[str, str]) -> DataFrame:
-    """Requests with what they leave open: type, source, confidence and tags inferred from the content, the default user, targets by routing, and error where an action lacks something."""
+def prepared(requests: DataFrame, projects: dict[str, str], dims: int | None = None) -> DataFrame:
+    """Requests with what they leave open, and without vectors that haven't dims finite components, where dims is given: type, source, confidence and tags inferred from the content, the default user, targets by routing, and error where an action lacks something."""
     inferred = rules.inference(F.col("content"), projects)
     r = check_actions(requests).withColumn("inferred", inferred)
     r = r.withColumn("content_type", F.coalesce("content_type", "inferred.content_type"))
@@ -44,6 +45,7 @@ def prepared(requests: DataFrame, projects: dict[str, str]) -> DataFrame:
             "confidence": rules.inferred_confidence(F.col("confidence"), F.col("inferred.confidence")),
             "tags": F.col("inferred.tags"),
             "metadata": F.coalesce("metadata", _no_meta()),
+            "vec": F.when(valid(F.col("vec"), dims), F.col("vec")) if dims else F.col("vec"),
         }
     )
     r = r.withColumn("targets", rules.storage_targets(F.col("content"), F.col("content_type"), F.col("source")))
@@ -205,8 +207,8 @@ class Store:
     from the latest snapshot that was written whole.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str] = ("content_type",), refuse: float | None = None, confirm: float | None = None, down: Sequence[str] = (), projects: dict[str, str] | None = None) -> None:
-        self.spark, self.path, self.keys, self.refuse, self.confirm, self.down, self.projects = spark, path.rstrip("/"), keys, refuse, confirm, down, projects or {}
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str] = ("content_type",), refuse: float | None = None, confirm: float | None = None, down: Sequence[str] = (), projects: dict[str, str] | None = None, dims: int | None = None) -> None:
+        self.spark, self.path, self.keys, self.refuse, self.confirm, self.down, self.projects, self.dims = spark, path.rstrip("/"), keys, refuse, confirm, down, projects or {}, dims
 
     def _numbers(self, kind: str) -> list[int]:
         """Numbers of the folders that were written whole."""
@@ -255,7 +257,7 @@ class Store:
     def apply(self, requests: DataFrame, batch: int) -> None:
         """Decide on a batch of requests (REQUEST, ids unique) and write what it makes and changes; the same batch again replaces itself."""
         entries = self.entries(batch)
-        asked = cut(prepared(requests, self.projects))
+        asked = cut(prepared(requests, self.projects, self.dims))
         decisions = decide(entries, asked, self.keys, self.refuse, self.confirm, self.down)
         self._write(decisions.select(_names(DECISION)), f"decisions/batch={batch}")
         done = self._read("decisions", "batch", [batch], DECISION)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -79,3 +80,53 @@ class SyncLog:
             self.record(self.rows())
             for _, name in parts:
                 self._fs.delete(self._path(f"v{VERSION}/{name}"), True)
+
+
+class Watermark:
+    """How far an importer has come, in a folder: the greatest end of what it imported, and its last ids.
+
+    Each advance writes a mark that is there whole or not at all; the last one counts, and one that can't be read counts
+    as none. The end only moves forward.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 200) -> None:
+        self.spark, self.top, self.keep = spark, path.rstrip("/"), keep
+
+    def _marks(self) -> list[str]:
+        jvm = self.spark._jvm
+        top = jvm.org.apache.hadoop.fs.Path(self.top)
+        fs = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(top):
+            return []
+        found = [s.getPath() for s in fs.listStatus(top) if s.getPath().getName().startswith("mark-")]
+        return sorted((str(p) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))), key=lambda p: int(p.rsplit("-", 1)[1]))
+
+    def read(self) -> tuple[str | None, list[str]]:
+        """The end, as ISO text in UTC, and the ids, oldest first."""
+        marks = self._marks()
+        if not marks:
+            return None, []
+        text = "\n".join(r["value"] for r in self.spark.read.text(marks[-1], wholetext=True).collect())
+        try:
+            mark = json.loads(text)
+        except ValueError:
+            return None, []
+        if not isinstance(mark, dict):
+            return None, []
+        end, ids = mark.get("end"), mark.get("ids")
+        return end if isinstance(end, str) else None, [x for x in ids if isinstance(x, str)] if isinstance(ids, list) else []
+
+    def since(self, given: str | None = None) -> str | None:
+        """The later of the mark and a time that is given."""
+        end, _ = self.read()
+        return max((x for x in (given, end) if x), default=None)
+
+    def advance(self, imported: DataFrame) -> None:
+        """Move on by what was imported (id, start, end), oldest first; rows without an end leave the end where it is."""
+        end, ids = self.read()
+        last = imported.agg(F.date_format(F.max("end"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+        new = [r["id"] for r in imported.orderBy(F.desc_nulls_last("start"), F.desc("id")).select("id").limit(self.keep).collect()][::-1]  # as many rows at most
+        ids = [x for x in ids if x not in set(new)] + new
+        mark = json.dumps({"end": max((x for x in (end, last) if x), default=None), "ids": ids[-self.keep :]})
+        number = int(self._marks()[-1].rsplit("-", 1)[1]) + 1 if self._marks() else 0
+        self.spark.createDataFrame([(mark,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.top}/mark-{number}")

@@ -98,6 +98,20 @@ def meeting_cache_report(spark: SparkSession, d: str) -> DataFrame:
     return counted.unionByName(problems.groupBy(F.concat(F.lit("problem: "), "problem").alias("kind")).agg(F.countDistinct("file").alias("n")))
 
 
+@query
+def meeting_cache_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs with a kept watermark: meetings of even numbers first, then all; what ends at the mark or before is late and stays out."""
+    meetings, _ = readers.meeting_cache(spark, _cached_meetings(spark, d))
+    mark, out = synclog.Watermark(spark, scratch.folder(spark)), None
+    for run, keep in enumerate((F.col("key").cast("long") % 2 == 0, F.lit(True))):
+        found = scratch.cut(readers.importable_meetings(meetings.where(keep), mark.since("2024-02-20")).select("id", "start", "end"))
+        mark.advance(found)
+        rows = found.select(F.lit(run).alias("run"), "id")
+        out = rows if out is None else out.unionByName(rows)
+    end, ids = mark.read()
+    return out.unionByName(spark.createDataFrame([(2, end[:16]), (3, str(len(ids)))], "run int, id string"))
+
+
 @query
 def chat_dump_import(spark: SparkSession, d: str) -> DataFrame:
     """Six dumps of all conversation turns, three of each shape; one array has a huddle without a channel, one object breaks off."""

@@ -55,6 +55,12 @@ ORACLE_SQL = {
 )
 SELECT id, title, strftime(start_at, '%Y-%m-%d %H:%M') AS start, strftime(end_at, '%Y-%m-%d %H:%M') AS end, turns, transcript_sha
 FROM v JOIN x ON x.conv_id = v.n WHERE NOT deleted AND type = 'meeting' AND start_at IS NOT NULL AND end_at > TIMESTAMP '2024-02-20'""",
+    "meeting_cache_incremental": _MEETINGS
+    + r""", x AS (SELECT DISTINCT conv_id FROM g WHERE final AND regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''
+), y AS (SELECT v.* FROM v JOIN x ON x.conv_id = v.n WHERE NOT deleted AND type = 'meeting' AND start_at IS NOT NULL AND end_at > TIMESTAMP '2024-02-20'
+), ya AS (SELECT * FROM y WHERE n % 2 = 0), yb AS (SELECT * FROM y WHERE end_at > (SELECT max(end_at) FROM ya))
+SELECT 0 AS run, id FROM ya UNION ALL SELECT 1, id FROM yb UNION ALL SELECT 2, strftime(max(end_at), '%Y-%m-%d %H:%M') FROM (SELECT end_at FROM ya UNION ALL SELECT end_at FROM yb)
+UNION ALL SELECT 3, least(200, count(DISTINCT id))::VARCHAR FROM (SELECT id FROM ya UNION ALL SELECT id FROM yb)""",
     "meeting_cache_report": _MEETINGS + " SELECT CASE WHEN spoken THEN 'spoken' ELSE 'silent' END AS kind, count(*) AS n FROM v GROUP BY 1 UNION ALL SELECT 'problem: ends early', 1",
     "chat_dump_import": """WITH c AS (
   SELECT conv_id * 100 + turn AS n, (conv_id * 100 + turn) % 6 AS k, text FROM conversations

@@ -391,11 +391,20 @@ def mrr(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ndcg_at_10(spark: SparkSession, d: str) -> DataFrame:
-    j = _judged(spark, d)
+    j = scratch.cut(_judged(spark, d))  # read twice
     totals = j.groupBy("query_id").agg(F.sum("rel").alias("relevant"))
     return evaluation.ndcg_at_k(j, totals, 10).select("query_id", F.round("ndcg", 6).alias("ndcg"))
 
 
+@query
+def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Precision at 5, reciprocal rank and nDCG at 10 of one ranking, which is made once."""
+    j = scratch.cut(_judged(spark, d))
+    totals = j.groupBy("query_id").agg(F.sum("rel").alias("relevant"))
+    out = evaluation.precision_at_k(j, 5).join(evaluation.reciprocal_rank(j), "query_id").join(evaluation.ndcg_at_k(j, totals, 10), "query_id")
+    return out.select("query_id", "precision", F.round("rr", 6).alias("rr"), F.round("ndcg", 6).alias("ndcg"))
+
+
 @query
 def meta_share(spark: SparkSession, d: str) -> DataFrame:
     """Entries that are procedures, or have French subjects, count as meta here."""

@@ -179,6 +179,9 @@ _QUERIES = {
     "fingerprint_dups": _BY_CONTENT + ", fd AS (SELECT norm, user_id, content_type, subject, arg_min(id, ord) AS first_id FROM bc WHERE flag IS NULL GROUP BY ALL) SELECT id, first_id AS duplicate_of FROM bc JOIN fd ON bc.norm = fd.norm AND bc.user_id = fd.user_id AND bc.content_type = fd.content_type AND bc.subject IS NOT DISTINCT FROM fd.subject WHERE flag IS NULL AND id <> first_id",
     "meta_share": _RANKED + "SELECT query_id, count(*) FILTER (WHERE rank <= 5 AND coalesce(content_type = 'procedure' OR starts_with(subject, 'fr.'), false)) / 5.0::DOUBLE AS share FROM jd JOIN e USING (id) GROUP BY query_id",
     "ndcg_at_10": _RANKED + "SELECT query_id, round(coalesce(sum(CASE WHEN rel > 0 THEN 1 / log2(rank + 1) ELSE 0 END) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= sum(rel)), 0), 6) AS ndcg FROM jd GROUP BY query_id",
+    "ranking_metrics": _RANKED
+    + """SELECT query_id, count(*) FILTER (WHERE rank <= 5 AND rel > 0) / 5.0::DOUBLE AS precision, round(coalesce(1 / min(rank) FILTER (WHERE rel > 0), 0), 6)::DOUBLE AS rr,
+  round(coalesce(sum(CASE WHEN rel > 0 THEN 1 / log2(rank + 1) ELSE 0 END) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= sum(rel)), 0), 6) AS ndcg FROM jd GROUP BY query_id""",
     "mrr": _RANKED + "SELECT query_id, round(coalesce(1 / min(rank) FILTER (WHERE rel > 0), 0), 6)::DOUBLE AS rr FROM jd GROUP BY query_id",
     "precision_at_5": _RANKED + "SELECT query_id, count(*) FILTER (WHERE rank <= 5 AND rel > 0) / 5.0::DOUBLE AS precision FROM jd GROUP BY query_id",
     "hybrid_rrf": _HITS + """, lx AS (SELECT id, round(relevance, 6) AS lexical, row_number() OVER (ORDER BY score DESC, ord)::INT AS lexical_rank FROM hit WHERE relevance > 0),

@@ -76,3 +76,19 @@ def test_log_of_ids_holds_no_failures(spark, tmp_path):
     assert log.plan(ids).collect() == [("b", "new")] and log.plan(ids, force=True).count() == 3
     log.compact()
     assert log.plan(ids).collect() == [("b", "new")] and log.rows().count() == 2
+
+
+def test_watermark_only_moves_forward(spark, tmp_path):
+    mark = synclog.Watermark(spark, f"file://{tmp_path}/mark", keep=3)
+    assert mark.read() == (None, []) and mark.since() is None and mark.since("2024-01-01") == "2024-01-01"
+    rows = lambda *given: spark.createDataFrame(list(given), "id string, s string, e string").select("id", F.to_timestamp("s").alias("start"), F.to_timestamp("e").alias("end"))
+    mark.advance(rows(("a", "2024-01-01", "2024-01-05"), ("b", "2024-01-02", None)))
+    assert mark.read() == ("2024-01-05 00:00:00.000000", ["a", "b"])
+    mark.advance(rows(("c", "2023-01-01", "2023-01-05"), ("a", "2024-01-01", None)))
+    assert mark.read() == ("2024-01-05 00:00:00.000000", ["b", "c", "a"])
+    mark.advance(rows(("d", "2024-02-01", "2024-02-05")))
+    assert mark.read() == ("2024-02-05 00:00:00.000000", ["c", "a", "d"]) and mark.since("2024-01-01") == mark.read()[0]
+    last = sorted((tmp_path / "mark").glob("mark-2/part-*"))[0]
+    (tmp_path / "mark" / "mark-2" / f".{last.name}.crc").unlink(missing_ok=True)
+    last.write_text("{broken")
+    assert synclog.Watermark(spark, f"file://{tmp_path}/mark").read() == (None, [])

@@ -166,3 +166,9 @@ def test_store_decides_like_the_gate(spark):
     want = {r["id"]: (r["decision"], r["against"]) for r in knowledge.gate_batch(spark, SF).collect()}
     got = {r["id"]: ({"stored": "pass"}.get(r["status"], r["kind"]), r["against"]) for r in storing.store_batches(spark, SF).collect()}
     assert got == want
+
+
+def test_vectors_are_checked_as_they_are_stored(spark):
+    rows = [{"id": f"a{i}", "ord": i, "content": f"text {i}", "vec": v} for i, v in enumerate(([1.0, 2.0], [1.0], [1.0, float("nan")], [float("inf"), 1.0], None))]
+    got = {r["id"]: r["vec"] for r in store.prepared(frame(spark, rows, store.REQUEST), {}, 2).collect()}
+    assert got == {"a0": [1.0, 2.0], "a1": None, "a2": None, "a3": None, "a4": None}
