@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import backfill, distil, ingest, synclog
-from ..sources import readers, scratch
+from ..sources import exchange, readers, scratch
 from ..sources import tables as S
 from ..streaming import eventtime
 
@@ -256,3 +256,29 @@ def sync_log_runs(spark: SparkSession, d: str) -> DataFrame:
         counted = plan.groupBy(F.lit(run).alias("run"), "action").agg(F.count("*").alias("n"))
         out = counted if out is None else out.unionByName(counted)
     return out
+
+
+def _graph_dump(spark: SparkSession, d: str) -> DataFrame:
+    """Parts and suppliers as nodes of another graph, with properties of every kind."""
+    n, m = F.col("p_partkey"), F.col("s_suppkey")
+    props = F.to_json(F.struct(F.when(n % 4 != 0, F.concat(F.lit("part-"), n)).alias("id"), F.when(n % 3 != 0, F.col("p_name")).alias("name"), F.when(n % 5 == 0, "  ").otherwise(F.col("p_brand")).alias("notes"), F.when(n % 7 == 0, "procedure").alias("contentType"), F.when(n % 2 == 0, n % 10 / 10).alias("confidence"), F.array(n % 3, n % 5).alias("tag-list"), F.repeat(F.lit("x"), F.lit(6000)).alias("long"), F.when(n % 6 == 0, "2024-03-01T10:00:00Z").alias("createdAt")))
+    parts = S.table(spark, d, "part").select(F.concat(F.lit("4:p:"), n).alias("element"), F.when(n % 9 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("Part"), F.lit("Thing"))).alias("labels"), F.when(n % 50 == 0, F.lit("{broken")).otherwise(props).alias("props"))
+    makers = S.table(spark, d, "supplier").select(F.concat(F.lit("4:s:"), m).alias("element"), F.array(F.lit("Organization")).alias("labels"), F.to_json(F.struct(F.col("s_name").alias("name"), m.alias("rank"))).alias("props"))
+    return parts.unionByName(makers)
+
+
+@query
+def graph_migration(spark: SparkSession, d: str) -> DataFrame:
+    """What nodes of another graph become as entries."""
+    e = exchange.migrated_nodes(_graph_dump(spark, d), S.AS_OF)
+    pairs = F.transform(F.array_sort(F.map_entries("metadata")), lambda x: F.concat(x["key"], F.lit("="), F.when(F.length(x["value"]) > 100, F.length(x["value"]).cast("string")).otherwise(x["value"])))
+    return e.select("id", "content", "content_type", "source", F.round("confidence", 4).alias("confidence"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts"), F.array_join(pairs, ";").alias("metadata"))
+
+
+@query
+def graph_migration_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as relations between parts and suppliers: by part, those with both ends and those without."""
+    nodes = exchange.migrated_nodes(_graph_dump(spark, d), S.AS_OF)
+    rel = S.table(spark, d, "lineitem").select(F.concat(F.lit("4:p:"), "l_partkey").alias("src_element"), F.concat(F.lit("4:s:"), "l_suppkey").alias("dst_element"), F.concat(F.lit("sold by "), F.lower("l_returnflag")).alias("type"))
+    edges = exchange.migrated_edges(rel, nodes)
+    return edges.groupBy("src", "type", "status").agg(F.count("*").alias("n"), F.count_distinct("dst").alias("ends"))

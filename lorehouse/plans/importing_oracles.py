@@ -100,4 +100,13 @@ UNION ALL SELECT id, 0, 'summary', 'text of ' || n, NULL, NULL, NULL FROM x WHER
 UNION ALL SELECT id, (i + 1)::INT, ['decision', 'preference', 'learning', 'context', 'brainstorm', 'reference'][(n + i) % 6 + 1], 'claim ' || i || ' of ' || n, [0.9, 0.65, 0.4][(n + i) % 3 + 1]::DOUBLE, 't' || i, NULL
 FROM x, range(5) r(i) WHERE error IS NULL AND i < n % 7""",
     "sync_log_runs": _sync_runs(),
+    "graph_migration": """SELECT CASE WHEN n % 4 <> 0 THEN 'part-' || n ELSE '4:p:' || n END AS id,
+  coalesce(nullif(concat_ws(' — ', CASE WHEN n % 3 <> 0 THEN p_name END, CASE WHEN n % 5 <> 0 THEN p_brand END), ''), CASE WHEN n % 4 <> 0 THEN 'part-' || n ELSE '4:p:' || n END) AS content,
+  CASE WHEN n % 7 = 0 THEN 'procedure' WHEN n % 9 = 0 THEN 'fact' ELSE 'Part' END AS content_type, 'graph-import' AS source, CASE WHEN n % 2 = 0 THEN round((n % 10) / 10.0::DOUBLE, 4) ELSE 0.8::DOUBLE END AS confidence,
+  CASE WHEN n % 6 = 0 THEN '2024-03-01 10:00' ELSE '2025-03-01 00:00' END AS ts, 'long=5000;notes=' || CASE WHEN n % 5 = 0 THEN '  ' ELSE p_brand END || ';tag_list=[' || n % 3 || ',' || n % 5 || ']' AS metadata
+FROM (SELECT *, p_partkey AS n FROM part) WHERE n % 50 <> 0
+UNION ALL SELECT '4:s:' || s_suppkey, s_name, 'Organization', 'graph-import', 0.8, '2025-03-01 00:00', 'rank=' || s_suppkey FROM supplier""",
+    "graph_migration_edges": """SELECT CASE WHEN p_partkey % 4 <> 0 THEN 'part-' || p_partkey ELSE '4:p:' || p_partkey END AS src, 'SOLD_BY_' || upper(l_returnflag) AS type,
+  CASE WHEN p_partkey IS NULL OR s_suppkey IS NULL THEN 'no-end' ELSE 'ok' END AS status, count(*) AS n, count(DISTINCT s_suppkey) AS ends
+FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_partkey % 50 <> 0 LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3""",
 }

@@ -44,3 +44,45 @@ def node_content(columns: Sequence[str], id_col: str = "id") -> Column:
     """The non-blank ones of a node's texts joined by a dash, or its id."""
     joined = F.concat_ws(" — ", *[F.when(F.trim(F.col(c).cast("string")) != "", F.trim(F.col(c).cast("string"))) for c in columns])
     return F.when(joined != "", joined).otherwise(F.col(id_col))
+
+
+#: Properties that become an entry's own columns; the others are its metadata.
+OWN = ("id", "name", "description", "content", "contentType", "source", "userId", "confidence", "timestamp", "createdAt")
+#: Characters of a property at most.
+MOST = 5000
+
+
+def migrated_nodes(nodes: DataFrame, as_of: str, source: str = "graph-import") -> DataFrame:
+    """Entries of a graph's nodes (element, labels, props as a JSON object), with element: an import from another graph.
+
+    A node's id is its property, else its element's. Content joins the non-blank ones of name, description, notes,
+    headline, content and text, or is the id. Type, source, user, confidence and time are properties, or the first label,
+    `source`, '', 0.8 and as_of. The other properties are metadata: keys of letters, digits and underscore, arrays and
+    objects as JSON, none longer than MOST; null ones go, and so does an object that isn't JSON.
+    """
+    p = F.from_json("props", "map<string,string>")
+    text = lambda k: F.col("p").getItem(k)
+    parts = F.filter(F.array(*[text(k) for k in ("name", "description", "notes", "headline", "content", "text")]), lambda x: F.coalesce(F.trim(x) != "", F.lit(False)))
+    ident = F.coalesce(F.nullif(text("id"), F.lit("")), F.col("element"))
+    rest = F.map_filter("p", lambda k, v: ~k.isin(*OWN) & v.isNotNull())
+    safe = F.transform(F.map_entries(rest), lambda e: F.struct(F.regexp_replace(e["key"], "[^a-zA-Z0-9_]", "_").alias("key"), F.substring(e["value"], 1, MOST).alias("value")))
+    last = F.aggregate(safe, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])))  # keys that are then alike: the last counts
+    joined = F.array_join(parts, " — ")
+    return nodes.withColumn("p", p).where(F.col("p").isNotNull()).select(
+        "element",
+        ident.alias("id"),
+        F.coalesce(F.nullif(joined, F.lit("")), ident).alias("content"),
+        F.coalesce(F.nullif(text("contentType"), F.lit("")), F.try_element_at("labels", F.lit(1)), F.lit("fact")).alias("content_type"),
+        F.coalesce(F.nullif(text("source"), F.lit("")), F.lit(source)).alias("source"),
+        F.coalesce(F.nullif(text("userId"), F.lit("")), F.nullif(text("user_id"), F.lit("")), F.lit("")).alias("user_id"),
+        F.coalesce(text("confidence").try_cast("double"), F.lit(0.8)).alias("confidence"),
+        F.coalesce(F.try_to_timestamp(F.coalesce(F.nullif(text("timestamp"), F.lit("")), text("createdAt"))), F.lit(as_of).cast("timestamp")).alias("ts"),
+        last.alias("metadata"),
+    )
+
+
+def migrated_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst, type, status) of relations (src_element, dst_element, type) by the ids of migrated nodes (element, id): ok, or no-end, with what is known of the ends."""
+    at = nodes.select("element", "id")
+    j = relations.join(at.select(F.col("element").alias("src_element"), F.col("id").alias("src")), "src_element", "left").join(at.select(F.col("element").alias("dst_element"), F.col("id").alias("dst")), "dst_element", "left")
+    return j.select("src", "dst", F.regexp_replace(F.upper("type"), "[^A-Z0-9_]", "_").alias("type"), F.when(F.col("src").isNull() | F.col("dst").isNull(), "no-end").otherwise("ok").alias("status"))
