@@ -317,7 +317,7 @@ def _decoded(raw: tuple[bytes, ...], ids: np.ndarray) -> str:
 
 
 def decode(df: DataFrame, ids_col: str = "piece_ids", model: str = DEFAULT_MODEL) -> DataFrame:
-    """Add decoded string: the bytes of the pieces end to end; null ids give null. A column named decoded is replaced."""
+    """Add decoded string: the bytes of the pieces end to end; null ids give null, no ids the empty text; an empty table gives an empty one. A column named decoded is replaced."""
     raw = load(model).raw
     df = df.drop("decoded")
     names = df.columns

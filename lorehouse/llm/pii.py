@@ -289,7 +289,10 @@ def find(docs: DataFrame, weights: list[float], text_col: str = "text") -> DataF
 
 
 def redact(docs: DataFrame, weights: list[float], text_col: str = "text") -> DataFrame:
-    """Put [kind] in place of every span; overlapping spans of several kinds give one mark, of the kind that starts first."""
+    """Put [kind] in place of every span; overlapping spans of several kinds give one mark, of the kind that starts first.
+
+    Null and empty texts stay as they are, rows alike stay alike, other columns stay; an empty table gives an empty one.
+    """
     names = docs.columns
     place, w = names.index(text_col), np.array(weights)
 

@@ -325,11 +325,34 @@ def test_stages_on_awkward_tables(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
     one = [(r["doc_id"], r["text"]) for r in neardup.one_of_each(df).collect()]
     assert sorted(map(str, one)) == sorted(map(str, [(1, text), (1, rows[2][1]), (None, rows[4][1]), (2, None), (3, ""), (4, rows[8][1])]))
-    for docs in (df, df.limit(0), df.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})):
-        for name, stage in pipeline.STAGES:
-            out = stage(spark, docs, SF)
-            assert name == "encode" or out.columns == df.columns
-            assert out.count() >= 0
+    held = Counter((r["doc_id"], r["text"], r["source"]) for r in df.collect())
+    unlabelled = df.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
+    for docs in (df, unlabelled):
+        rows = Counter((r["doc_id"], r["text"], r["source"]) for r in docs.collect())
+        known = Counter((r["doc_id"], r["text"], r["source"]) for r in pipeline.language(spark, docs, SF).collect())
+        assert all(n == rows[x] and x[1] and any(c.isalpha() for c in x[1]) for x, n in known.items())  # rows alike stay or go alike
+        assert not known if docs is unlabelled else (1, text, "a") in known
+        clean = pipeline.personal_data(spark, docs, SF).collect()
+        assert Counter((r["doc_id"], r["source"]) for r in clean) == Counter((i, s) for i, _, s in rows.elements())
+        assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in clean)
+        taken = Counter((r["doc_id"], r["text"], r["source"]) for r in pipeline.mix(spark, docs, SF).collect())
+        times = {x: taken[x] / rows[x] for x in rows}
+        assert set(taken) <= set(rows) and all(t in (0, 1, 2) for t in times.values())
+        for x in times:  # of one id and source all are taken alike
+            assert {times[y] for y in times if (y[0], y[2]) == (x[0], x[2])} == {times[x]}
+        words = {s: sum(len((t or "").split()) * n for (_, t, z), n in rows.items() if z == s) for s in {x[2] for x in rows}}
+        assert all(not any(times[x] for x in times if x[2] == s) for s, w in words.items() if not w)  # a source without words is not taken
+        out = pipeline.encode(spark, docs, SF).collect()
+        assert len(out) == sum(rows.values()) and all(r["lossless"] and r["n_pieces"] == len(r["piece_ids"]) for r in out)
+        alike = {}
+        for r in out:
+            if r["doc_id"] in (2, 3, 4):
+                alike[r["doc_id"]] = r["piece_ids"]
+        assert alike[2] == alike[3] == [] and len(alike[4]) > 5
+    assert sum(held.values()) == 9
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, df.limit(0), SF)
+        assert out.collect() == [] and (name == "encode" or out.columns == df.columns)
     assert pipeline.personal_data(spark, df, SF).where("doc_id = 4").first()["text"] == "Mail [email], or [phone], please"
 
 

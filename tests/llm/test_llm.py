@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lorehouse.llm import html, langid, licences, media, mixing, neardup, oracles, pieces, pii, queries, sharding, topk
+from lorehouse.llm import common, html, langid, licences, media, mixing, neardup, oracles, pieces, pii, queries, sharding, topk
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -221,7 +221,7 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, kept = kept, corpus_pipeline.cut(stage(spark, kept, SF))
+        before, kept = kept, common.cut(stage(spark, kept, SF))
         assert kept.columns == docs.columns, name
         if name == "near_duplicates":
             classes = brute_classes([(r["doc_id"], r["text"]) for r in before.collect()])
