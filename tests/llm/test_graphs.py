@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lorehouse.llm import codes, common, nndescent, queries, topk, trie
+from lorehouse.llm import codes, common, nndescent, queries, sharding, topk, trie
 from lorehouse.sources import scratch
 
 SF = "/root/testdata/sf0.001"
@@ -275,3 +275,15 @@ def test_ball_trees_come_back_whole():
         bounds = query @ tree.centres.T + np.sqrt((query**2).sum()) * tree.radii + 1e-6
         want, got = (t.search(query, -1, bounds, [], 10, True) for t in (tree, back))
         assert sorted(want) == sorted(got) and sorted(s for s, _, _ in got) == sorted((vectors @ query).tolist())[-10:]
+
+
+def test_shards_are_written_in_order(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x" * (i * 37 % 90)) for i in range(200)], "doc_id long, text string").repartition(5)
+    sharding.write_shards(df, ["doc_id"], F.octet_length("text") + 1, f"file://{tmp_path}/out", 4)
+    back = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in back) == sorted(map(tuple, df.collect())) and {r["shard"] for r in back} == {0, 1, 2, 3}
+    total = sum(r["size"] for r in back)
+    for s in range(4):
+        mine = sorted((r["slot"], r["doc_id"]) for r in back if r["shard"] == s)
+        assert [x for x, _ in mine] == list(range(len(mine))) and [i for _, i in mine] == sorted(i for _, i in mine)
+        assert abs(sum(r["size"] for r in back if r["shard"] == s) - total / 4) < 100
