@@ -107,10 +107,11 @@ def merge(arms: Sequence[tuple[str, DataFrame]], by: Sequence[str] = ()) -> Data
 
 
 def linked(results: DataFrame, context: DataFrame) -> DataFrame:
-    """Add linked to results (id, refs): its own id if that is an entity of the context (entity), then its references that are."""
-    known = context.agg(F.collect_set("entity").alias("known"))  # the context holds a few entities a search
-    own = F.when(F.array_contains("known", F.col("id")), F.array("id")).otherwise(F.array().cast("array<string>"))
-    return results.join(F.broadcast(known)).withColumn("linked", F.array_union(own, F.array_intersect(F.coalesce("refs", F.array().cast("array<string>")), "known"))).drop("known")
+    """Add linked to results (id, unique, and refs): its own id if that is an entity of the context (entity), then its references that are, each once."""
+    none = F.array().cast("array<string>")
+    each = results.select("id", F.posexplode(F.array_distinct(F.concat(F.array("id"), F.coalesce("refs", none)))).alias("at", "entity"))
+    met = each.join(context.select("entity"), "entity", "left_semi").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "entity"))), lambda x: x["entity"]).alias("linked"))
+    return results.join(met, "id", "left").withColumn("linked", F.coalesce("linked", none))
 
 
 def hydrate(hits: DataFrame, entries: DataFrame, preview: int = 80) -> DataFrame:

@@ -99,3 +99,22 @@ def test_strings_in_texts(spark):
     got = substrings.contained(spark.createDataFrame([(x,) for x in needles], "needle string"), spark.createDataFrame(texts, "id long, text string")).collect()
     want = {(i, x) for i, t in texts if t for x in needles if x and x in t}
     assert len(got) == len(want) and {(r["id"], r["needle"]) for r in got} == want
+
+
+def test_rows_by_a_query_vector(spark):
+    rows = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("b", 1, [0.0, 1.0]), ("c", 2, [1.0, 1.0]), ("d", 3, [0.0, 0.0]), ("e", 4, [2.0, 2.0])], "id string, ord long, vec array<double>")
+    got = [(r["id"], round(r["similarity"], 6)) for r in search.arm_vector(rows, [1.0, 1.0], 3).collect()]
+    assert got == [("c", 1.0), ("e", 1.0), ("a", 0.707107)]
+
+
+def test_pairs_that_a_judge_is_asked(spark):
+    rows = [("x", "y", "confirm"), ("x", "y", "confirm"), ("x", "z", "confirm"), ("x", "w", "refuse"), ("v", "w", "confirm")]
+    pairs = spark.createDataFrame(rows, "new_content string, candidate_content string, band string")
+    known = pairs.where("candidate_content = 'z'").select(T.pair_key(F.col("new_content"), F.col("candidate_content")).alias("key"))
+    got = gate.unjudged(pairs, known)
+    assert sorted((r["new_content"], r["candidate_content"]) for r in got.collect()) == [("v", "w"), ("x", "y")]
+
+
+def test_minutes_by_strategy(spark):
+    got = spark.createDataFrame([(s,) for s in ("aggressive", "conservative", "realtime")], "s string").select("s", rules.strategy_ttl_minutes(F.col("s")).alias("m"))
+    assert {r["s"]: r["m"] for r in got.collect()} == {"aggressive": 60, "conservative": 30, "realtime": 0}
