@@ -87,9 +87,9 @@ def related_paths(edges: DataFrame, starts: DataFrame, depth: int = 2, limit: in
     return found.select("start", "node", "distance", "first.parent", decode_strength(F.col("first.strength")).alias("strength"), "place")
 
 
-#: The order in which a node's labels are looked at; the first that it has is its type. The first is no entity's.
+# The order in which a node's labels are looked at; the first that it has is its type. The first is no entity's.
 LABELS = ("Knowledge", "Person", "Organization", "Project", "Technology", "Concept", "Service", "Event")
-#: Labels of nodes that run the store itself.
+# Labels of nodes that run the store itself.
 OPERATIONAL = ("ContextTrigger", "ToolRoute", "ResourceMap", "QueryType", "System", "MemoryTier")
 
 

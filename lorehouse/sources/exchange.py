@@ -46,7 +46,7 @@ def node_content(columns: Sequence[str], id_col: str = "id") -> Column:
     return F.when(joined != "", joined).otherwise(F.col(id_col))
 
 
-#: Properties that become an entry's own columns; the others are its metadata.
+# Properties that become an entry's own columns; the others are its metadata.
 OWN = ("id", "name", "description", "content", "contentType", "source", "userId", "confidence", "timestamp", "createdAt")
 #: Characters of a property at most.
 MOST = 5000
