@@ -50,9 +50,13 @@ def _terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.size(words).alias("n"), F.explode(words).alias("term")).groupBy("query_id", "n", "term").agg(F.count("*").alias("times"))
 
 
-def _covered(terms: DataFrame, rows: DataFrame, texts: str) -> DataFrame:
-    """(query_id, id, match_score): the share of a query's words that a text holds anywhere, where it holds any."""
-    met = contained(terms.select(F.col("term").alias("needle")), rows.select("id", F.lower(texts).alias("text")))
+def _met(terms: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, needle): the words that a content holds anywhere."""
+    return contained(terms.select(F.col("term").alias("needle")), rows.select("id", F.lower("content").alias("text")))
+
+
+def _covered(terms: DataFrame, met: DataFrame) -> DataFrame:
+    """(query_id, id, match_score): the share of a query's words that a text holds, where it holds any."""
     return met.join(terms, F.col("needle") == F.col("term")).groupBy("query_id", "id", "n").agg(F.sum("times").alias("hits")).select("query_id", "id", (F.col("hits") / F.col("n")).alias("match_score"))
 
 
@@ -75,17 +79,17 @@ def arms(queries: DataFrame, tables: Tables, options: Options) -> list[tuple[str
         return bare.join(F.broadcast(rows.orderBy(*by).limit(most)))
 
     kept = search.live_shards(tables.shards, tables.entries)
-    s = _covered(terms, kept, "content").join(kept, "id").unionByName(of_all(kept.withColumn("match_score", F.lit(1.0)), [F.desc("score"), F.col("id")]).select("id", "query_id", "match_score", *[c for c in kept.columns if c != "id"]))
+    s = _covered(terms, _met(terms, kept)).join(kept, "id").unionByName(of_all(kept.withColumn("match_score", F.lit(1.0)), [F.desc("score"), F.col("id")]).select("id", "query_id", "match_score", *[c for c in kept.columns if c != "id"]))
     s = _first(s, [F.desc("match_score"), F.desc("score"), F.col("id")], most).select("query_id", "id", "content", F.col("score").alias("confidence"), F.col("place").cast("long").alias("ord"), F.lit(None).cast("timestamp").alias("ts"), no_refs.alias("refs"))
 
-    e = live.select("id", "ord")
-    g = _covered(terms, live, "content").join(e, "id").unionByName(of_all(e, [F.col("ord")]).select("id", "query_id", F.lit(1.0).alias("match_score"), "ord"))
+    e, met = live.select("id", "ord"), cut(_met(terms, live))
+    g = _covered(terms, met).join(e, "id").unionByName(of_all(e, [F.col("ord")]).select("id", "query_id", F.lit(1.0).alias("match_score"), "ord"))
     g = _first(g, [F.desc("match_score"), F.col("ord")], most).join(live.select("id", "content", "ts", "refs"), "id").select("query_id", "id", "content", F.col("match_score").alias("confidence"), F.col("place").cast("long").alias("ord"), "ts", "refs")
 
     words = terms.where(F.length("term") >= 2)
     tagged = live.select("id", F.explode("tags").alias("tag")).select(F.to_json(F.struct("id", "tag")).alias("key"), "id", F.lower("tag").alias("text"))
     of_tags = contained(words.select(F.col("term").alias("needle")), tagged.select("text").distinct().withColumn("id", F.col("text"))).withColumnRenamed("id", "text").join(tagged.select("id", "text"), "text").select("id", "needle")
-    found = contained(words.select(F.col("term").alias("needle")), live.select("id", F.lower("content").alias("text"))).unionByName(of_tags).join(words, F.col("needle") == F.col("term")).select("query_id", "id").distinct()
+    found = met.unionByName(of_tags).join(words, F.col("needle") == F.col("term")).select("query_id", "id").distinct()
     none = queries.join(words.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
     certain = [F.desc("confidence"), F.desc("ts"), F.col("ord")]
     m = live.select("id", "confidence", "ts", "ord")

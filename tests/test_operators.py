@@ -96,9 +96,10 @@ def test_strings_in_texts(spark):
     rng = random.Random(3)
     word = lambda n: "".join(rng.choice("abé😀 .") for _ in range(n))
     needles, texts = [word(rng.randrange(8)) for _ in range(120)] + [None, "abab.b" * 3], [(i, word(rng.randrange(40))) for i in range(150)] + [(900, None), (901, ""), (902, "x" + "abab.b" * 9)]
-    got = substrings.contained(spark.createDataFrame([(x,) for x in needles], "needle string"), spark.createDataFrame(texts, "id long, text string")).collect()
     want = {(i, x) for i, t in texts if t for x in needles if x and x in t}
-    assert len(got) == len(want) and {(r["id"], r["needle"]) for r in got} == want
+    for few in (substrings.FEW, 20):
+        got = substrings.contained(spark.createDataFrame([(x,) for x in needles], "needle string"), spark.createDataFrame(texts, "id long, text string"), few).collect()
+        assert len(got) == len(want) and {(r["id"], r["needle"]) for r in got} == want
 
 
 def test_rows_by_a_query_vector(spark):
