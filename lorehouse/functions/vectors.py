@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a block; a task holds two.
-BLOCK_ROWS = 2048
+#: Vectors of a block at least, where a side has them; blocks of a side, until one would hold more than so many components. A task holds two.
+BLOCK_ROWS, SPREAD, COMPONENTS = 2048, 16, 1 << 22
+#: Rows of the two sides that one step within a task multiplies.
+STEP = (512, 1024)
 #: Vectors of a block where only counts leave a task, and of one step within it.
 COUNT_ROWS, STEP_ROWS = 8192, 512
 #: Cosines a unit; the counts of -1..1 are sent in parts of so many.
@@ -81,30 +83,101 @@ def similarity_counts(vectors: DataFrame, block: int = COUNT_ROWS) -> DataFrame:
     return summed.select("sim", F.when(F.col("kind") < 2, F.col("kind") == 1).alias("dup"), "n")
 
 
+def blocks(rows: Column, dims: Column, block: int = BLOCK_ROWS) -> Column:
+    """How many blocks a side is dealt into: SPREAD of them once it has the rows, so that each row is sent SPREAD times whatever the size, and more only where a block would be too large for a task."""
+    return F.greatest(F.lit(1), F.ceil(rows * dims / COMPONENTS), F.least(F.lit(SPREAD), F.ceil(rows / block))).cast("int")
+
+
+def matrix(vec: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The rows of a column of lists of one length, as doubles."""
+    parts = [p for p in (vec.chunks if isinstance(vec, pa.ChunkedArray) else [vec]) if len(p)]
+    sizes = {x for p in parts for x in pc.unique(pc.list_value_length(p)).to_pylist()}
+    if None in sizes or len(sizes) > 1:
+        raise ValueError("vectors have to be of one dimension, and not null")
+    return np.concatenate([p.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(p), -1) for p in parts]) if parts else np.zeros((0, 0))
+
+
+def units(vec: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    x = matrix(vec)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+class Best:
+    """The k nearest of the rows y met so far for each of the rows x, unit vectors both: by the cosine, rounded to 9 places, ties to the smaller id.
+
+    Products are formed in single precision; what may be among the best by its bound of error is computed in double. With
+    least, rows that are less similar than that are left out.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, ids: pa.ChunkedArray | pa.Array, k: int, least: np.ndarray | None = None) -> None:
+        self.x, self.y, self.k = x, y, min(k, len(y))
+        self.x32, self.y32 = x.astype(np.float32), y.astype(np.float32)
+        self.by_id = pc.sort_indices(ids).to_numpy().astype(np.int64)
+        self.place = np.empty(len(y), np.int64)
+        self.place[self.by_id] = np.arange(len(y))
+        self.error = (x.shape[1] + 8) * 1.2e-7
+        self.floor = np.full(len(x), -np.inf) if least is None else np.where(least > -1, least, -np.inf)
+        self.sims, self.at = np.full((len(x), self.k), -np.inf), np.full((len(x), self.k), -1)
+
+    def meet(self, rows: np.ndarray, columns: np.ndarray) -> None:
+        """Hold rows of x against rows of y (each given once, in the order of their ids)."""
+        for lo in range(0, len(rows), STEP[0]):
+            for at in range(0, len(columns), STEP[1]):
+                self._step(rows[lo : lo + STEP[0]], columns[at : at + STEP[1]])
+
+    def _step(self, r: np.ndarray, c: np.ndarray) -> None:
+        m, k = self.x32[r] @ self.y32[c].T, self.k
+        fresh = np.isneginf(self.floor[r])
+        if len(c) > k and fresh.any():
+            self.floor[r[fresh]] = np.partition(m[fresh], len(c) - k, axis=1)[:, len(c) - k] - self.error - 1e-9
+        i, j = np.divmod(np.flatnonzero(m >= (self.floor[r] - self.error - 1e-9).astype(np.float32)[:, None]), len(c))
+        if len(i) > 16 * k * len(r) and len(c) > k:  # many copies: the first of those that tie
+            s = np.round(np.clip(self.x[r] @ self.y[c].T, -1, 1), 9)
+            kth = np.partition(s, len(c) - k, axis=1)[:, len(c) - k, None]
+            more, same = s > kth, s == kth
+            i, j = np.nonzero(more | (same & (np.cumsum(same, axis=1) <= k - more.sum(axis=1, keepdims=True))))
+            s = s[i, j]
+        else:
+            s = np.round(np.clip(np.einsum("ij,ij->i", self.x[r[i]], self.y[c[j]]), -1, 1), 9)
+        if not len(i):
+            return
+        met, own = np.unique(i, return_inverse=True)
+        rows, n = r[met], len(met)
+        own = np.concatenate([own, np.repeat(np.arange(n), k)])
+        s, c = np.concatenate([s, self.sims[rows].ravel()]), np.concatenate([c[j], self.at[rows].ravel()])
+        o = np.lexsort((self.place[c], -s, own))
+        nth = np.arange(len(o)) - np.searchsorted(own[o], np.arange(n))[own[o]]
+        o = o[nth < k]
+        self.sims[rows], self.at[rows] = s[o].reshape(n, k), c[o].reshape(n, k)
+        self.floor[rows] = np.maximum(self.floor[rows], self.sims[rows, k - 1] - 1e-9)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of x, rows of y and their cosines."""
+        i, nth = np.nonzero(self.at >= 0)
+        return i, self.at[i, nth], self.sims[i, nth]
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, id, sim, place): the k rows of vectors (id, vec) nearest each query (query_id, vec), ties to the smaller id.
 
     Both sides are dealt into blocks by hash; a group is a pair of blocks and keeps k rows a query. Cosines are
     rounded to 9 places, so that ties don't depend on the order of sums.
     """
-    counts = queries.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("nq")).join(F.broadcast(vectors.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("nv"))))  # one row
+    size = lambda df, name: df.agg(blocks(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(1)), block).alias(name))
+    counts = size(queries, "nq").join(F.broadcast(size(vectors, "nv")))  # one row
     q = queries.join(F.broadcast(counts)).select("query_id", "vec", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("vb"))
     v = vectors.join(F.broadcast(counts)).select("id", "vec", F.pmod(F.xxhash64("id"), F.col("nv")).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"))
     v = v.select(F.col("id").alias("v_id"), F.col("vec").alias("v_vec"), F.col("qb").alias("v_qb"), F.col("vb").alias("v_vb"))
 
-    def top(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype=str), "sim": pd.Series(dtype=float)})
-        m, n = np.stack(x["vec"].to_list()).astype(float), np.stack(y["v_vec"].to_list()).astype(float)
-        m, n = (a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300) for a in (m, n))
-        sims, ids = np.round(np.clip(m @ n.T, -1, 1), 9), y["v_id"].to_numpy().astype(str)
-        out = []
-        for q, s in zip(x["query_id"], sims, strict=True):
-            near = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))  # the k best and what ties with the last
-            out += [(q, ids[j], s[j]) for j in near[np.lexsort((ids[near], -s[near]))[:k]]]
-        return pd.DataFrame(out, columns=["query_id", "id", "sim"])
+    def top(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.table({"query_id": x["query_id"].slice(0, 0), "id": y["v_id"].slice(0, 0), "sim": pa.array([], pa.float64())})
+        best = Best(units(x["vec"]), units(y["v_vec"]), y["v_id"], k)
+        best.meet(np.arange(x.num_rows), best.by_id)
+        i, j, s = best.found()
+        return pa.table({"query_id": x["query_id"].take(pa.array(i)), "id": y["v_id"].take(pa.array(j)), "sim": s})
 
     kind = queries.schema["query_id"].dataType.simpleString()
-    found = q.groupBy("qb", "vb").cogroup(v.groupBy("v_qb", "v_vb")).applyInPandas(top, f"query_id {kind}, id string, sim double")
+    found = q.groupBy("qb", "vb").cogroup(v.groupBy("v_qb", "v_vb")).applyInArrow(top, f"query_id {kind}, id string, sim double")
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
