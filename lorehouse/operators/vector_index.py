@@ -5,18 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from ..sources.scratch import cut, discard
-from .similarity import SLACK, assigned
+from .similarity import SLACK, assigned, dealt, ordered
 
 #: Lists at most, rows that the centres are fitted on at most (about), and rounds of the fit.
 LISTS, FIT_ROWS, ROUNDS = 1024, 32768, 8
-#: Rows of a part of a list, and queries that meet a part at once.
-PART_ROWS, QUERY_ROWS = 8192, 2048
+#: Rows of a part of a list, as files.
+PART_ROWS = 8192
 #: Queries that a calibration asks exactly, about.
 CALIBRATION = 64
 
@@ -96,53 +96,71 @@ class VectorIndex:
         placed.withColumn("part", F.pmod(F.xxhash64("id"), many).cast("int")).select("id", "vec", "list", "part").write.mode("append").parquet(f"{self.path}/rows")
         discard(placed)
 
-    def _probed(self, queries: DataFrame, probes: int, least: bool = False) -> DataFrame:
-        """queries (query_id, vec, and least with least) with list, one row a list to look at: the nearest `probes`, or with least those further ones that can hold a row of that similarity."""
+    def _bands(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By list the first of its bands, how many it has, and its rows: near lists share a band up to a block of rows, and a crowded list has several."""
+        centres, _, _ = self.centres()
+        rows = np.array([r["n"] for r in self.spark.read.parquet(f"{self.path}/centres").select("list", "n").orderBy("list").collect()], np.int64)
+        first, span = np.zeros(len(rows), np.int64), np.ones(len(rows), np.int64)
+        if not len(rows):
+            return first, span, rows
+        most = max(1, min(max(V.BLOCK_ROWS, -(-int(rows.sum()) // V.SPREAD)), V.COMPONENTS // max(1, centres.shape[1])))
+        band, held = 0, 0
+        for i in ordered(centres):
+            span[i] = max(1, -(-rows[i] // most))
+            if held and held + rows[i] > most:
+                band, held = band + 1, 0
+            first[i], held = band, held + rows[i]
+            if span[i] > 1:
+                band, held = band + span[i], 0
+        return first, span, rows
+
+    def _probed(self, queries: DataFrame, probes: int, bands: tuple[np.ndarray, np.ndarray, np.ndarray], least: bool = False) -> DataFrame:
+        """queries (query_id, vec, least) by band, with the lists of it to look at: the nearest `probes`, or with least those further ones that can hold a row of that similarity."""
         centres, radii, _ = self.centres()
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches if len(centres) else ():
-                x = np.array(batch.column("vec").to_pylist(), np.float64).reshape(batch.num_rows, -1)
-                angles = np.arccos(np.clip(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) @ centres.T, -1, 1))
-                order = np.argsort(angles, axis=1, kind="stable")
-                lists = order[:, :probes] if not least else order[:, probes:]
-                if not lists.size:
-                    continue
-                row = np.repeat(np.arange(len(x)), lists.shape[1])
-                flat = lists.reshape(-1)
-                if least:
-                    wide = np.arccos(np.clip(batch.column("least").to_numpy(zero_copy_only=False), -1, 1))
-                    on = angles[row, flat] <= wide[row] + radii[flat] + SLACK
-                    row, flat = row[on], flat[on]
-                out = batch.select(["query_id", "vec"]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(flat.astype(np.int32))], ["query_id", "vec", "list"])
-
-        kind = queries.schema["query_id"].dataType.simpleString()
-        return queries.mapInArrow(run, f"query_id {kind}, vec array<double>, list int")
-
-    def _found(self, probed: DataFrame, k: int) -> DataFrame:
-        """(query_id, id, sim) of the k best of each list part that a query looks at."""
-        parts = F.broadcast(self.spark.read.parquet(f"{self.path}/centres").where("n > 0").select("list", "parts"))
-        probed = cut(probed)
-        blocks = probed.groupBy("list").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("nq"))
-        blocks = F.broadcast(blocks)  # LISTS rows at most
-        q = probed.join(parts, "list").join(blocks, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).select("list", "part", "qb", "query_id", "vec")
-        v = self.rows().join(blocks, "list").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
-        v = v.select(*[F.col(c).alias(f"v_{c}") for c in ("list", "part", "qb", "id", "vec")])
+        first, span, rows = bands
+
+        def add(x: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+            angles = np.arccos(np.clip(x @ centres.T, -1, 1))
+            near = np.argsort(angles, axis=1, kind="stable")[:, :probes]
+            if not least:
+                on = np.zeros(angles.shape, bool)
+            else:
+                on = angles <= np.arccos(np.clip(batch.column("least").to_numpy(zero_copy_only=False), -1, 1))[:, None] + radii + SLACK
+            np.put_along_axis(on, near, not least, axis=1)
+            return on & (rows > 0)
+
+        return dealt(queries.select("query_id", "vec", "least"), add, first, span, "band", "lists")
+
+    def _found(self, probed: DataFrame, k: int, bands: tuple[np.ndarray, np.ndarray, np.ndarray], asked: int) -> DataFrame:
+        """(query_id, id, sim) of the k best of each band that a query looks at; of `asked` queries."""
+        first, span, _ = bands
+        where = self.spark.createDataFrame([(i, int(f), int(s)) for i, (f, s) in enumerate(zip(first, span, strict=True))], "list int, first int, span int")
+        dims = len(r["centre"]) if (r := self.spark.read.parquet(f"{self.path}/centres").first()) else 1
+        nq = max(1, -(-asked * dims // V.COMPONENTS), min(V.SPREAD, -(-asked // V.BLOCK_ROWS)))
+        q = probed.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int"))
+        band = (F.col("first") + F.pmod(F.xxhash64("id", F.lit(7)), F.col("span"))).cast("int")
+        v = self.rows().join(F.broadcast(where), "list").withColumn("band", band).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))  # LISTS rows
+        v = v.select(*[F.col(c).alias(f"v_{c}") for c in ("band", "qb", "list", "id", "vec")])
         kind = probed.schema["query_id"].dataType.simpleString()
 
-        def top(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(x) and len(y):
-                m, n = np.stack(x["vec"].to_list()).astype(float), np.stack(y["v_vec"].to_list()).astype(float)
-                m, n = (a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300) for a in (m, n))
-                ids = y["v_id"].to_numpy().astype(str)
-                for q, s in zip(x["query_id"], np.round(np.clip(m @ n.T, -1, 1), 9), strict=True):
-                    near = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
-                    out += [(q, ids[j], s[j]) for j in near[np.lexsort((ids[near], -s[near]))[:k]]]
-            return pd.DataFrame(out, columns=["query_id", "id", "sim"])
-
-        return q.groupBy("list", "part", "qb").cogroup(v.groupBy("v_list", "v_part", "v_qb")).applyInPandas(top, f"query_id {kind}, id string, sim double")
+        def top(x: pa.Table, y: pa.Table) -> pa.Table:
+            if not x.num_rows or not y.num_rows:
+                return pa.table({"query_id": x["query_id"].slice(0, 0), "id": y["v_id"].slice(0, 0), "sim": pa.array([], pa.float64())})
+            best = V.Best(V.units(x["vec"]), V.units(y["v_vec"]), y["v_id"], k, x["least"].to_numpy())
+            lists = x["lists"].combine_chunks()
+            into = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            o = np.argsort(into, kind="stable")
+            into, row = into[o], row[o]
+            own = y["v_list"].to_numpy()
+            at = np.lexsort((best.place, own))
+            held, starts = np.unique(own[at], return_index=True)
+            for n, columns in zip(held, np.split(at, starts[1:]), strict=True):
+                best.meet(row[np.searchsorted(into, n) : np.searchsorted(into, n, "right")], columns)
+            i, j, s = best.found()
+            return pa.table({"query_id": x["query_id"].take(pa.array(i)), "id": y["v_id"].take(pa.array(j)), "sim": s})
+
+        return q.groupBy("band", "qb").cogroup(v.groupBy("v_band", "v_qb")).applyInArrow(top, f"query_id {kind}, id string, sim double")
 
     def _best(self, found: DataFrame, k: int) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
@@ -150,18 +168,22 @@ class VectorIndex:
 
     def search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
         """(query_id, id, sim, place): the k nearest of the rows in the `probes` lists nearest each query, exactly ranked; ties to the smaller id, cosines to 9 places."""
-        return self._best(self._found(self._probed(queries.select("query_id", "vec"), probes), k), k)
+        bands = self._bands()
+        asked = queries.select("query_id", "vec", F.lit(-1.0).alias("least"))
+        return self._best(self._found(self._probed(asked, probes, bands), k, bands, asked.count()), k)
 
     def exact(self, queries: DataFrame, k: int, probes: int = 4) -> DataFrame:
         """The same over all rows: `probes` lists give each query a similarity to beat, then all lists that can beat it are looked at.
 
         By the triangle inequality a list whose centre is farther than the angle to beat and its radius holds nothing better.
         """
+        bands = self._bands()
         asked = cut(queries.select("query_id", "vec"))
-        first = cut(self._found(self._probed(asked, probes), k))
-        floors = self._best(first, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("sim").alias("s")).select("query_id", F.when(F.col("n") >= k, F.col("s")).alias("floor"))
+        n = asked.count()
+        first = cut(self._best(self._found(self._probed(asked.withColumn("least", F.lit(-1.0)), probes, bands), k, bands, n), k).drop("place"))
+        floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("sim").alias("s")).select("query_id", F.when(F.col("n") >= k, F.col("s")).alias("floor"))
         again = asked.join(floors, "query_id", "left").withColumn("least", F.coalesce(F.col("floor") - 1e-9, F.lit(-1.0))).select("query_id", "vec", "least")
-        return self._best(first.unionByName(self._found(self._probed(again, probes, least=True), k)), k)
+        return self._best(first.unionByName(self._found(self._probed(again, probes, bands, least=True), k, bands, n)), k)
 
     def calibrated(self, queries: DataFrame, k: int, recall: float = 0.95) -> int:
         """Lists to look at so that the share `recall` of the k nearest is found, as measured on about CALIBRATION of the queries.
