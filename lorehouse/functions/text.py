@@ -108,7 +108,15 @@ def legacy_relevance(content: Column, query: str) -> Column:
 
 def length_ratio(a: Column, b: Column) -> Column:
     """The shorter's share of the longer, after white space is squeezed; 1 for two empty texts."""
-    x, y = (F.length(F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))) for c in (a, b))
+    return share_of_longer(squeezed_length(a), squeezed_length(b))
+
+
+def squeezed_length(text: Column) -> Column:
+    return F.length(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")))
+
+
+def share_of_longer(x: Column, y: Column) -> Column:
+    """The smaller's share of the larger of two lengths; 1 for two of 0."""
     return F.when(F.greatest(x, y) == 0, 1.0).otherwise(F.least(x, y) / F.greatest(x, y))
 
 
