@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,10 +64,10 @@ def unjudged(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     return keyed.select("key", "new_content", "candidate_content").dropDuplicates(["key"]).join(answers.select("key"), "key", "left_anti")
 
 
-def _reaching(new: DataFrame, existing: DataFrame, keys: list[str], refuse: float | None, confirm: float | None) -> DataFrame:
-    """(a, b, sim) of new and existing entries that agree in keys and reach the confirm similarity."""
+def _reaching(new: DataFrame, existing: DataFrame, keys: list[str], refuse: float | None, confirm: float | None, carried: Sequence[str] = (), top: int | None = None) -> DataFrame:
+    """(a, b, sim) of new and existing entries that agree in keys and reach the confirm similarity, with what similar carries; with top all that can be among the first `top` of a, and others."""
     least = rules.CONFIRM if confirm is None or refuse is None or refuse < confirm else confirm
-    return similar(new.select("id", "vec", *keys), existing.select("id", "vec", *keys), keys, least).where("a <> b")
+    return similar(new.select("id", "vec", *keys, *carried), existing.select("id", "vec", *keys, *carried), keys, least, carried=carried, top=top).where("a <> b")
 
 
 def candidates(new: DataFrame, existing: DataFrame, keys: list[str], refuse: float | None = None, confirm: float | None = None, top: int = 5) -> DataFrame:
@@ -73,7 +75,7 @@ def candidates(new: DataFrame, existing: DataFrame, keys: list[str], refuse: flo
 
     new and existing have id, vec and keys, and content_type; an entry is no candidate of itself.
     """
-    pairs = _reaching(new, existing, keys, refuse, confirm)
+    pairs = _reaching(new, existing, keys, refuse, confirm, top=top)
     order = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
     near = pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
     types = new.select(F.col("id").alias("a"), F.col("content_type").alias("t"))
@@ -104,9 +106,8 @@ def decide(new: DataFrame, existing: DataFrame, keys: list[str], refuse: float |
     rows = old.unionByName(fresh).where("flag is null")
     marked = cut(fingerprinted(rows).select("id", "ord", "fresh", "forced", "born", "died", "user_id", "fingerprint", "content_type"))
     pool = rows.where("vec is not null")
-    reaching = _reaching(pool.where("fresh and not forced"), pool, keys, refuse, confirm)
-    times = marked.select(F.col("id").alias("b"), F.col("ord").alias("b_ord"), F.col("fresh").alias("b_fresh"), "born", "died")
-    sided = reaching.join(marked.select(F.col("id").alias("a"), F.col("ord").alias("ord")), "a").join(times, "b")
+    reaching = _reaching(pool.where("fresh and not forced"), pool, keys, refuse, confirm, ["ord", "fresh", "born", "died"])
+    sided = reaching.select("a", "b", "sim", F.col("ord_a").alias("ord"), F.col("ord_b").alias("b_ord"), F.col("fresh_b").alias("b_fresh"), F.col("born_b").alias("born"), F.col("died_b").alias("died"))
     counts = (F.col("born").isNull() | (F.col("born") < F.col("ord"))) & (F.col("died").isNull() | (F.col("died") > F.col("ord"))) & (~F.col("b_fresh") | (F.col("b_ord") < F.col("ord")))
     edges = cut(sided.where(counts).select("a", "b", "sim", "b_fresh", "b_ord"))
     copies = marked.select("id", "ord", "fresh", "forced", "born", "died", F.sha2(F.to_json(F.struct("user_id", "fingerprint")), 256).alias("g"))
@@ -120,8 +121,9 @@ def decide(new: DataFrame, existing: DataFrame, keys: list[str], refuse: float |
     spanned = cut(copies.where("fresh and not forced").select("id", "ord", "g").join(spans, "g").where(held).groupBy("id").agg(F.min(F.struct(F.struct(F.lit(False).alias("late"), F.col("s_ord").alias("ord")).alias("at"), F.col("s").alias("id"))).alias("span")))
     passed = F.when(~F.col("fresh") | F.col("forced"), F.lit(True)).when(F.col("span").isNotNull(), F.lit(False))  # null: not decided yet
     state = cut(marked.select("id", "fresh", "forced").join(spanned, "id", "left").select("id", passed.alias("passed")))
+    open_ = edges
     while True:
-        near = edges.join(state.select(F.col("id").alias("b"), "passed"), "b").groupBy(F.col("a").alias("id")).agg(F.bool_or(F.coalesce("passed", F.lit(False))).alias("met"), F.count_if(F.col("passed").isNull()).alias("waits"))
+        near = open_.join(state.select(F.col("id").alias("b"), "passed"), "b").groupBy(F.col("a").alias("id")).agg(F.bool_or(F.coalesce("passed", F.lit(False))).alias("met"), F.count_if(F.col("passed").isNull()).alias("waits"))
         mates = groups.join(state, "id")
         firsts = mates.groupBy("g").agg(F.min(F.when(F.col("passed"), F.col("at"))).alias("there"), F.min(F.when(F.col("passed").isNull(), F.col("at"))).alias("next"))
         held = mates.join(firsts, "g").where(F.col("passed").isNull()).select("id", F.coalesce(F.col("there") < F.col("at"), F.lit(False)).alias("copied"), (F.col("at") > F.col("next")).alias("later"))
@@ -132,6 +134,14 @@ def decide(new: DataFrame, existing: DataFrame, keys: list[str], refuse: float |
         discard(before)
         if state.where("passed is null").isEmpty():
             break
+        # a pair counts for the next rounds while the later one waits and the earlier one wasn't turned away
+        waiting = state.where("passed is null").select(F.col("id").alias("a"))
+        turned = state.where("not passed").select(F.col("id").alias("b"))
+        open_, before = cut(open_.select("a", "b").join(waiting, "a", "left_semi").join(turned, "b", "left_anti")), open_
+        if before is not edges:
+            discard(before)
+    if open_ is not edges:
+        discard(open_)
     passed = state.where("passed").select("id")
     best = edges.join(passed.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.max_by(F.struct("sim", "b"), F.struct("sim", ~F.col("b_fresh"), -F.col("b_ord"))).alias("n"))
     kept = groups.join(passed, "id").groupBy("g").agg(F.min(F.struct("at", "id")).alias("first"))
