@@ -103,17 +103,17 @@ def summaries(ids: DataFrame, nodes: DataFrame, edges: DataFrame, entries: DataF
     order = F.array_position(F.array(*map(F.lit, LABELS)), F.col("label"))
     typed = nodes.where(F.col("label").isin(*LABELS)).groupBy("id").agg(F.min_by("label", order).alias("type"))
     wanted = ids.select("id").distinct()
-    e = entries.select("id", "content")
-    j = wanted.join(typed, "id", "left").join(e, "id", "left").where("type is not null or content is not null")
-    near = adjacency(edges.where("type = 'RELATED_TO'")).groupBy("node", "other").agg(F.min("ord").alias("ord"))
-    near = near.join(wanted.select(F.col("id").alias("node")), "node", "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("ord", "other"))).where(F.col("r") <= neighbours)
-    named = near.join(e.select(F.col("id").alias("other"), F.substring("content", 1, 40).alias("name")), "other").groupBy(F.col("node").alias("id")).agg(F.sort_array(F.collect_list(F.struct("r", F.col("other").alias("id"), "name"))).alias("all"))
+    # heads of the contents alone are shuffled
+    e = entries.select("id", F.col("content").isNotNull().alias("there"), F.substring_index("content", " ", 3).alias("head"), F.substring("content", 1, 200).alias("summary"))
+    j = wanted.join(typed, "id", "left").join(e, "id", "left").where("type is not null or there")
+    near = adjacency(edges.where("type = 'RELATED_TO'")).join(wanted.select(F.col("id").alias("node")), "node", "left_semi")
+    near = near.groupBy("node", "other").agg(F.min("ord").alias("ord")).withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("ord", "other"))).where(F.col("r") <= neighbours)
+    named = near.join(entries.select(F.col("id").alias("other"), F.substring("content", 1, 40).alias("name")), "other").groupBy(F.col("node").alias("id")).agg(F.sort_array(F.collect_list(F.struct("r", F.col("other").alias("id"), "name"))).alias("all"))
     known = F.col("type").isNotNull()
     out = j.join(named, "id", "left")
     none = F.array().cast("array<struct<id:string,name:string>>")
     related_ = F.when(known, F.coalesce(F.transform("all", lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name"))), none)).otherwise(none)
-    name = F.when(known, F.array_join(F.slice(F.split("content", " "), 1, 3), " "))
-    return out.select("id", name.alias("name"), F.coalesce("type", F.lit(LABELS[0])).alias("type"), F.substring("content", 1, 200).alias("summary"), related_.alias("related"))
+    return out.select("id", F.when(known, F.col("head")).alias("name"), F.coalesce("type", F.lit(LABELS[0])).alias("type"), "summary", related_.alias("related"))
 
 
 def context(hits: DataFrame, most: int = 6) -> DataFrame:
