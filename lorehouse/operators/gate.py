@@ -93,18 +93,20 @@ def decide(new: DataFrame, existing: DataFrame, keys: list[str], refuse: float |
     new and existing have id, ord (unique), content, content_type, user_id, subject, flag and vec. An entry is held
     against the live existing entries and the new ones before it that passed: one that was turned away turns nothing
     away. New entries with forced (where new has it) pass without being held against any. An existing entry with born
-    or died (where existing has them) counts for new entries after born and before died alone.
+    or died (where existing has them) counts for new entries after born and before died alone. Existing entries that have
+    their fingerprint need no content.
 
     The order is kept by rounds: an entry is turned away once an earlier one that passed is its copy or reaches the
     confirm similarity, and passes once all earlier ones like it were turned away. Each round writes its state; a round
     decides the first entry at least, and all at once where chains of like entries are short.
     """
-    columns = ["id", "ord", "user_id", "content", "content_type", "subject", "flag", "vec", *[k for k in keys if k not in ("content_type", "user_id", "subject")]]
+    columns = ["id", "ord", "user_id", "fingerprint", "content_type", "subject", "flag", "vec", *[k for k in keys if k not in ("content_type", "user_id", "subject")]]
     always = F.lit(None).cast("long")
+    existing, new = existing if "fingerprint" in existing.columns else fingerprinted(existing), fingerprinted(new)
     old = existing.select(*columns, _column(existing, "born", always), _column(existing, "died", always), F.lit(False).alias("fresh"), F.lit(False).alias("forced"))
     fresh = new.select(*columns, always.alias("born"), always.alias("died"), F.lit(True).alias("fresh"), _column(new, "forced", F.lit(False)))
     rows = old.unionByName(fresh).where("flag is null")
-    marked = cut(fingerprinted(rows).select("id", "ord", "fresh", "forced", "born", "died", "user_id", "fingerprint", "content_type"))
+    marked = cut(rows.select("id", "ord", "fresh", "forced", "born", "died", "user_id", "fingerprint", "content_type"))
     pool = rows.where("vec is not null")
     reaching = _reaching(pool.where("fresh and not forced"), pool, keys, refuse, confirm, ["ord", "fresh", "born", "died"])
     sided = reaching.select("a", "b", "sim", F.col("ord_a").alias("ord"), F.col("ord_b").alias("b_ord"), F.col("fresh_b").alias("b_fresh"), F.col("born_b").alias("born"), F.col("died_b").alias("died"))

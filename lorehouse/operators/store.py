@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..functions.vectors import valid
-from ..sources.scratch import cut, discard
+from ..sources.scratch import cut, discard, sent
 from . import gate
 from .corrections import check_actions
 
@@ -58,11 +58,13 @@ def _timeline(entries: DataFrame, changes: DataFrame) -> DataFrame:
 
     changes has target_id, ord, action, content, subject and vec, one row a change. Entries without changes are one row
     that always counts; of a changed one each state counts from its change until the next; a superseded one never again.
+    Rows have their fingerprint in place of the content, so that no content of an entry without changes is read.
     """
     columns = ["id", "ord", "content", "content_type", "user_id", "subject", "flag", "vec"]
-    touched = changes.select(F.col("target_id").alias("id")).distinct()
-    still = entries.join(touched, "id", "left_anti").select(*columns, F.lit(None).cast("long").alias("born"), F.lit(None).cast("long").alias("died"), F.col("id").alias("entry_id"))
-    hit = entries.join(touched, "id").select(*columns)
+    touched = sent(changes.select(F.col("target_id").alias("id")).distinct())
+    lean = [c if c != "content" else "fingerprint" for c in columns]
+    still = entries.join(touched, "id", "left_anti").select(*lean, F.lit(None).cast("long").alias("born"), F.lit(None).cast("long").alias("died"), F.col("id").alias("entry_id"))
+    hit = entries.join(touched, "id", "left_semi").select(*columns)
     first = hit.withColumns({"born": F.lit(None).cast("long"), "gone": F.col("flag").isNotNull(), "updated": F.lit(True)})
     step = changes.select(F.col("target_id").alias("id"), F.col("ord").alias("born"), F.col("content").alias("c"), F.col("subject").alias("s"), F.col("vec").alias("v"), (F.col("action") == "supersede").alias("gone"), (F.col("action") == "update").alias("updated"))
     later = step.join(hit, "id").select("id", "ord", F.when(F.col("updated"), F.col("c")).alias("content"), "content_type", "user_id", F.when(F.col("updated"), F.col("s")).alias("subject"), "flag", F.when(F.col("updated"), F.col("v")).alias("vec"), "born", "gone", "updated")
@@ -78,7 +80,7 @@ def _timeline(entries: DataFrame, changes: DataFrame) -> DataFrame:
         }
     )
     version = F.concat_ws("#", "id", "born")
-    return still.unionByName(rows.where("not gone").select(version.alias("id"), *columns[1:], "born", "died", F.col("id").alias("entry_id")))
+    return still.unionByName(rows.where("not gone").withColumn("fingerprint", _fingerprint()).select(version.alias("id"), *lean[1:], "born", "died", F.col("id").alias("entry_id")))
 
 
 def decide(entries: DataFrame, requests: DataFrame, keys: Sequence[str] = ("content_type",), refuse: float | None = None, confirm: float | None = None, down: Sequence[str] = ()) -> DataFrame:
@@ -90,7 +92,8 @@ def decide(entries: DataFrame, requests: DataFrame, keys: Sequence[str] = ("cont
     target in a store that keeps flags, and all such stores that have it up (not in down): otherwise it fails and
     nothing of it is written. An update of what isn't there fails.
     """
-    asked = requests.join(entries.select(F.col("id").alias("target_id"), F.col("targets").alias("there")), "target_id", "left")
+    aims = sent(requests.where("target_id is not null").select(F.col("target_id").alias("id")).distinct())
+    asked = requests.join(sent(entries.join(aims, "id", "left_semi").select(F.col("id").alias("target_id"), F.col("targets").alias("there"))), "target_id", "left")
     flagged = F.filter("there", lambda t: t.isin(*FLAGGED_STORES))
     up = lambda stores: F.filter(stores, lambda t: ~t.isin(*down)) if down else stores
     lost = F.array_intersect(flagged, F.array(*map(F.lit, down)).cast("array<string>"))
@@ -104,10 +107,13 @@ def decide(entries: DataFrame, requests: DataFrame, keys: Sequence[str] = ("cont
     asked = cut(asked.withColumns({"fails": error, "flagged": flagged}))
     good = asked.where("fails is null")
     new = good.where("action is null or action <> 'update'").withColumn("flag", F.lit(None).cast("string"))
-    lines = cut(_timeline(entries, good.where("action in ('supersede', 'update')").select("target_id", "ord", "action", "content", "subject", "vec")))
-    gated = gate.decide(new, lines, list(keys), refuse, confirm)
-    names = lines.where("id <> entry_id").select(F.col("id").alias("against"), "entry_id")
-    gated = gated.join(names, "against", "left").select("id", "decision", F.coalesce("entry_id", "against").alias("against"), "sim")
+    if new.where("not forced").isEmpty():  # forced ones are held against none
+        gated = new.select("id", F.lit("pass").alias("decision"), F.lit(None).cast("string").alias("against"), F.lit(None).cast("double").alias("sim"))
+    else:
+        lines = cut(_timeline(entries, good.where("action in ('supersede', 'update')").select("target_id", "ord", "action", "content", "subject", "vec")))
+        gated = gate.decide(new, lines, list(keys), refuse, confirm)
+        names = lines.where("id <> entry_id").select(F.col("id").alias("against"), "entry_id")
+        gated = gated.join(names, "against", "left").select("id", "decision", F.coalesce("entry_id", "against").alias("against"), "sim")
     j = asked.join(gated, "id", "left")
     passed = F.col("decision") == "pass"
     status = (
@@ -165,7 +171,8 @@ def changed(entries: DataFrame, requests: DataFrame, decisions: DataFrame) -> Da
     pairs = ups.select("target_id", "ord", F.explode("metadata").alias("k", "v")).groupBy("target_id", "k").agg(F.max_by("v", "ord").alias("v"))
     meta = pairs.groupBy("target_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("u_meta"))
     s = acts.where("status = 'superseded'").groupBy("target_id").agg(F.max_by(F.struct("id", "ts", "reason"), "ord").alias("s"))
-    j = entries.join(u.withColumnRenamed("target_id", "id").withColumn("up", F.lit(True)), "id", "left").join(meta.withColumnRenamed("target_id", "id"), "id", "left").join(s.withColumnRenamed("target_id", "id"), "id", "left")
+    touched = sent(acts.select(F.col("target_id").alias("id")).distinct())
+    j = entries.join(touched, "id", "left_semi").join(u.withColumnRenamed("target_id", "id").withColumn("up", F.lit(True)), "id", "left").join(meta.withColumnRenamed("target_id", "id"), "id", "left").join(s.withColumnRenamed("target_id", "id"), "id", "left")
     j = j.where("up or s is not null")
     up, gone = F.coalesce("up", F.lit(False)), F.col("s").isNotNull()
     more = F.coalesce("u_meta", _no_meta())
@@ -236,8 +243,11 @@ class Store:
         rows = self._read("versions", "batch", batches, ENTRY)
         if start:
             rows = self._read("snapshots", "upto", start, ENTRY).unionByName(rows)
-        last = rows.groupBy("id").agg(F.max("batch").alias("batch"))
-        return rows.join(last, ["id", "batch"], "left_semi").drop("batch")
+        if len(start) + len(batches) < 2:
+            return rows.drop("batch")
+        several = rows.groupBy("id").agg(F.max("batch").alias("last"), F.min("batch").alias("first")).where("first < last")
+        several = sent(several.select(F.col("id").alias("several"), "last"))  # ids alone are shuffled
+        return rows.join(several, (F.col("id") == F.col("several")) & (F.col("batch") < F.col("last")), "left_anti").drop("batch")
 
     def decisions(self) -> DataFrame:
         """DECISION of all batches, and batch."""

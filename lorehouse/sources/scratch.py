@@ -7,6 +7,7 @@ from collections.abc import Callable
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 #: Paths written within each call of settled that is under way.
@@ -43,6 +44,15 @@ def cut(df: DataFrame, onto: DataFrame | None = None) -> DataFrame:
     return out
 
 
+#: Rows of a table that is sent to all tasks, at most.
+SENT_ROWS = 500_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """df, to be sent to all tasks if it has no more than SENT_ROWS narrow rows, so that what it is joined to isn't shuffled; it is counted at once."""
+    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
+
+
 def folder(spark: SparkSession) -> str:
     """A path in the shared folder for files of one's own; within settled it is deleted like a written table."""
     path = f"{shared_dir(spark)}/lorehouse/{uuid.uuid4().hex}"
