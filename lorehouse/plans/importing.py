@@ -262,7 +262,9 @@ def _graph_dump(spark: SparkSession, d: str) -> DataFrame:
     """Parts and suppliers as nodes of another graph, with properties of every kind."""
     n, m = F.col("p_partkey"), F.col("s_suppkey")
     props = F.to_json(F.struct(F.when(n % 4 != 0, F.concat(F.lit("part-"), n)).alias("id"), F.when(n % 3 != 0, F.col("p_name")).alias("name"), F.when(n % 5 == 0, "  ").otherwise(F.col("p_brand")).alias("notes"), F.when(n % 7 == 0, "procedure").alias("contentType"), F.when(n % 2 == 0, n % 10 / 10).alias("confidence"), F.array(n % 3, n % 5).alias("tag-list"), F.repeat(F.lit("x"), F.lit(6000)).alias("long"), F.when(n % 6 == 0, "2024-03-01T10:00:00Z").alias("createdAt")))
-    parts = S.table(spark, d, "part").select(F.concat(F.lit("4:p:"), n).alias("element"), F.when(n % 9 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("Part"), F.lit("Thing"))).alias("labels"), F.when(n % 50 == 0, F.lit("{broken")).otherwise(props).alias("props"))
+    # a small file is one task, and its rows grow a hundredfold: they are dealt out while they are narrow
+    dealt = S.table(spark, d, "part").select("p_partkey", "p_name", "p_brand").repartition(4 * spark.sparkContext.defaultParallelism)
+    parts = dealt.select(F.concat(F.lit("4:p:"), n).alias("element"), F.when(n % 9 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("Part"), F.lit("Thing"))).alias("labels"), F.when(n % 50 == 0, F.lit("{broken")).otherwise(props).alias("props"))
     makers = S.table(spark, d, "supplier").select(F.concat(F.lit("4:s:"), m).alias("element"), F.array(F.lit("Organization")).alias("labels"), F.to_json(F.struct(F.col("s_name").alias("name"), m.alias("rank"))).alias("props"))
     return parts.unionByName(makers)
 

@@ -68,7 +68,8 @@ def migrated_nodes(nodes: DataFrame, as_of: str, source: str = "graph-import") -
     safe = F.transform(F.map_entries(rest), lambda e: F.struct(F.regexp_replace(e["key"], "[^a-zA-Z0-9_]", "_").alias("key"), F.substring(e["value"], 1, MOST).alias("value")))
     last = F.aggregate(safe, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])))  # keys that are then alike: the last counts
     joined = F.array_join(parts, " — ")
-    return nodes.withColumn("p", p).where(F.col("p").isNotNull()).select(
+    # a generator gives the object once; as a column it would be parsed again for each property that is read
+    return nodes.withColumn("p", F.explode(F.array_compact(F.array(p)))).select(
         "element",
         ident.alias("id"),
         F.coalesce(F.nullif(joined, F.lit("")), ident).alias("content"),
