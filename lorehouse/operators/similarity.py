@@ -174,7 +174,7 @@ def similar(left: DataFrame, right: DataFrame, keys: list[str], threshold: float
     left and right have id, vec (of one dimension, finite) and keys. With half, left and right are one table and each
     pair is formed once, a < b. Columns of both that are carried come along as name_a and name_b. With top, pairs of one
     row with itself are left out, and of the others those that can't be among the `top` of a, by similarity and then by b,
-    may be; top and half exclude each other.
+    may be; top and half exclude each other. Similarities are vectors.cosines then, so that copies tie in any block.
 
     Each row belongs to the nearest of some pivots, and a pivot's radius is the largest angle
     of its rows on the right. By the triangle inequality a row can reach the threshold with another only if its angle to
@@ -202,6 +202,7 @@ def similar(left: DataFrame, right: DataFrame, keys: list[str], threshold: float
         if not x.num_rows or not y.num_rows:
             return
         m, n = V.units(x["vec"]), V.units(y["vec"])
+        x_vec, y_vec = (V.matrix(x["vec"]), V.matrix(y["vec"])) if top else (m, n)
         ids = pc.rank(pa.chunked_array([*x["id"].chunks, *y["id"].chunks]), tiebreaker="dense").to_numpy().astype(np.int64)
         x_id, y_id, x_pivot, y_pivot = ids[: len(m)], ids[len(m) :], x["pivot"].to_numpy(), y["pivot"].to_numpy()
         lists = x["reach"].combine_chunks()
@@ -220,6 +221,10 @@ def similar(left: DataFrame, right: DataFrame, keys: list[str], threshold: float
                 out.append((pc.if_else(pa.array(swap), q, p), pc.if_else(pa.array(swap), p, q)) if half else (p, q))
             return pa.RecordBatch.from_arrays([*out[0], pa.array(s), *[c[side] for side in (0, 1) for c in out[1:]]], ["a", "b", "sim", *[c for c, _ in kinds]])
 
+        def exact(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            step = max(1, (1 << 20) // x_vec.shape[1])
+            return np.concatenate([V.cosines(x_vec[i[lo : lo + step]], y_vec[j[lo : lo + step]]) for lo in range(0, len(i), step)])
+
         def best(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
             i, j, s = (np.concatenate([p[c] for p in parts]) for c in range(3))
             o = np.lexsort((y_id[j], -s, i))
@@ -234,7 +239,7 @@ def similar(left: DataFrame, right: DataFrame, keys: list[str], threshold: float
                 for at in range(0, len(theirs), STEP[1]):
                     a, b = mine[lo : lo + STEP[0]], theirs[at : at + STEP[1]]
                     sims = np.clip(m[a] @ n[b].T, -1, 1)
-                    i, j = np.divmod(np.flatnonzero(sims >= threshold), len(b))
+                    i, j = np.divmod(np.flatnonzero(sims >= (threshold - SLACK if top else threshold)), len(b))
                     s, i, j = sims[i, j], a[i], b[j]
                     if half:
                         on = np.where(x_pivot[i] == y_pivot[j], x_id[i] < y_id[j], x_id[i] != y_id[j])
@@ -242,8 +247,13 @@ def similar(left: DataFrame, right: DataFrame, keys: list[str], threshold: float
                         on = x_id[i] != y_id[j] if top else np.ones(len(i), bool)
                     if not on.any():
                         continue
-                    kept.append((i[on], j[on], s[on]))
-                    held += int(on.sum())
+                    i, j, s = i[on], j[on], s[on]
+                    if top:
+                        s = exact(i, j)
+                        on = s >= threshold
+                        i, j, s = i[on], j[on], s[on]
+                    kept.append((i, j, s))
+                    held += len(i)
                     if top and held > 4 * top * len(m) + (1 << 20):
                         kept = [best(kept)]
                         held = 0
